@@ -1,4 +1,7 @@
 """Registered queries, each with the SQL that states the same result where SQL can express it."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from marginalia.plans import relational, textual
+
+_PARTS = (relational, textual)
+QUERIES: dict = {k: v for p in _PARTS for k, v in p.QUERIES.items()}
+SQL: dict = {k: v for p in _PARTS for k, v in p.SQL.items()}
