@@ -39,10 +39,11 @@ def clip(text: Column, n: int = 160, squeeze: bool = True) -> Column:
 
 
 def occurrences(text: Column, quote: Column) -> Column:
-    """Offsets of all occurrences, overlapping ones too."""
-    n, m = F.char_length(text), F.char_length(quote)
-    found = F.filter(F.sequence(F.lit(0), F.greatest(n - m, F.lit(0))), lambda i: F.substring(text, i + 1, m) == quote)
-    return F.when((m == 0) | (m > n), F.array().cast("array<int>")).otherwise(found)
+    """Offsets of all occurrences, overlapping ones too: the text is split before each."""
+    pieces = F.split(text, F.concat(F.lit("(?=\\Q"), quote, F.lit("\\E)")), -1)
+    starts = F.aggregate(pieces, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all")), lambda a, p: F.struct((a["at"] + F.char_length(p)).alias("at"), F.concat(a["all"], F.array(a["at"])).alias("all")), lambda a: a["all"])
+    found = F.filter(starts, lambda i: (i > 0) | F.startswith(text, quote))
+    return F.when(quote == "", F.array().cast("array<int>")).otherwise(F.filter(found, lambda i: i < F.char_length(text)))
 
 
 def sentence_spans(text: Column) -> Column:
@@ -52,10 +53,10 @@ def sentence_spans(text: Column) -> Column:
     another; pieces are trimmed and their offsets follow.
     """
     marked = F.regexp_replace(text, f"([.!?]+[\"'”’)\\]]*{WS}+)(?=[A-Z0-9\"'“‘(\\[])", "$1" + _BREAK)
-    pieces = F.split(marked, _BREAK)
-    ends = F.transform(pieces, lambda p, i: F.aggregate(F.slice(pieces, F.lit(1), i + 1), F.lit(0), lambda a, x: a + F.char_length(x)))
-    spans = F.transform(pieces, lambda p, i: _trimmed(p, F.element_at(ends, i + 1) - F.char_length(p)))
-    return F.filter(spans, lambda s: s["text"] != "")
+    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
+    step = lambda a, p: F.struct((a["at"] + F.char_length(p)).alias("at"), F.concat(a["all"], F.array(_trimmed(p, a["at"]))).alias("all"))
+    # one pass over the pieces: an expression named inside a lambda is computed anew for each element
+    return F.aggregate(F.split(marked, _BREAK), F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda a: F.filter(a["all"], lambda s: s["text"] != ""))
 
 
 def _trimmed(piece: Column, start: Column) -> Column:

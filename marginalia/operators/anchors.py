@@ -40,9 +40,9 @@ def resolve(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     tried = own.filter(~F.coalesce(exact, F.lit(False))).withColumn("hit", match_quote("text", "quoted", "prefix", "suffix"))
     second = tried.filter("hit.start IS NOT NULL").select(*columns, F.col("block_id").alias("new_block_id"), F.col("hit.start").alias("new_start"), F.col("hit.end").alias("new_end"), F.lit(2).alias("rung"))
     missing = tried.filter("hit.start IS NULL").select(*columns)
-    o = blocks.select(F.col("id").alias("o_id"), F.col("document_id").alias("o_doc"), F.col("ord").alias("o_ord"), F.col("text").alias("o_text"))
-    may = (F.col("quoted") != "") & (F.contains("o_text", "quoted") | F.contains(normalize(F.col("o_text")), normalize(F.col("quoted"))))
-    others = missing.join(o, (F.col("document_id") == F.col("o_doc")) & ~F.col("o_id").eqNullSafe(F.col("block_id")) & may)
+    o = blocks.select(F.col("id").alias("o_id"), F.col("document_id").alias("o_doc"), F.col("ord").alias("o_ord"), F.col("text").alias("o_text"), normalize(F.col("text")).alias("o_squeezed"))
+    may = (F.col("squeezed") != "") & F.contains("o_squeezed", "squeezed")  # holds for exact matches too
+    others = missing.withColumn("squeezed", normalize(F.col("quoted"))).join(o, (F.col("document_id") == F.col("o_doc")) & ~F.col("o_id").eqNullSafe(F.col("block_id")) & may)
     hits = others.withColumn("hit", match_quote("o_text", "quoted", "prefix", "suffix")).filter("hit.start IS NOT NULL")
     best = hits.groupBy("id").agg(F.min_by(F.struct("o_id", "hit"), F.struct("o_ord", "o_id")).alias("best"))
     rest = missing.join(best, "id", "left").select(

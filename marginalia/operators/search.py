@@ -139,7 +139,7 @@ def ranked(notes: DataFrame, query: str, k: int = K, text: str = "content") -> D
             one = one | _places(F.col("_t"), phrase)
         hit = hit & (~one if negated else one)
     words = sorted({w for negated, choices in terms if not negated for p in choices for w in p})
-    n = [F.size(F.filter("_t", lambda x, w=w: x == w)) for w in words]
+    n = [F.size("_t") - F.size(F.array_remove("_t", w)) for w in words]
     rank = F.lit(0.0)
     for c in n:
         rank = rank + F.lit(0.1) * c / (c + 1)

@@ -202,8 +202,8 @@ def edited_ranges(spark, sf_dir):
 _SPANS_SQL = "SELECT id AS block_id, 5 AS start, 25 AS \"end\", 'anchor' AS layer FROM {blocks} x UNION ALL SELECT id, 10, 15, 'link' FROM {blocks} y WHERE ord % 2 = 0 UNION ALL SELECT id, 12, 60, 'term' FROM {blocks} z"
 _SEGMENTS_SQL = f"""
     WITH s AS ({_SPANS_SQL}), b AS (SELECT id AS block_id, text, length(text) AS n FROM {{blocks}} w),
-    c AS (SELECT block_id, greatest(0, least(at, n)) AS at FROM (SELECT block_id, unnest([start, "end"]) AS at FROM s) JOIN b USING (block_id) UNION SELECT block_id, unnest([0, n]) FROM b),
-    g AS (SELECT block_id, at AS seg_start, lead(at) OVER (PARTITION BY block_id ORDER BY at) AS seg_end FROM c)
+    c AS (SELECT block_id, greatest(0, least(pos, n)) AS pos FROM (SELECT block_id, unnest([start, "end"]) AS pos FROM s) JOIN b USING (block_id) UNION SELECT block_id, unnest([0, n]) FROM b),
+    g AS (SELECT block_id, pos AS seg_start, lead(pos) OVER (PARTITION BY block_id ORDER BY pos) AS seg_end FROM c)
 """
 
 
