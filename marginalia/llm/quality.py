@@ -1,7 +1,7 @@
 """Quality classifier over learned subword embeddings.
 
-A document is the mean of vectors of its words and of their character n-grams, all hashed into one
-table; a softmax layer over that mean gives the classes.  Vectors and layer are learned together by
+A document is the mean of vectors of its words, of their character n-grams, of pairs of the same
+word and of its end, all hashed into one table; a softmax layer over that mean gives the classes.  Vectors and layer are learned together by
 stochastic gradient descent in numpy, on a bounded sample of labelled rows.  Because the mean is
 linear, a word's share of the output is the same wherever it stands: scoring looks up one number
 for each word of a whole text.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +32,21 @@ def features(word: str) -> np.ndarray:
     return np.asarray([zlib.crc32(raw) % BUCKETS, *(zlib.crc32(raw[i : i + n], n) % BUCKETS for n in GRAMS for i in range(len(raw) - n + 1))], np.int32)
 
 
+#: Table rows of the end of a text and of a word pair whose words are the same, and how often each
+#: counts: the end steadies short texts, the pair tells running text from a word said over and over.
+END, SAME = zlib.crc32(b"</s>") % BUCKETS, zlib.crc32(b"<w w>") % BUCKETS
+END_COUNT, SAME_COUNT = 16, 8
+
+
+def same_pairs(words: list[str]) -> int:
+    return sum(map(eq, words, words[1:]))
+
+
 def bag(text: str, words: Pieces) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a whole text and their shares."""
-    found = [words[w] for w in text.split()]
-    if not found:
-        return np.zeros(0, np.int32), np.zeros(0, np.float32)
-    ids, n = np.unique(np.concatenate(found), return_counts=True)
+    found = text.split()
+    extra = np.repeat(np.asarray([END, SAME], np.int32), [END_COUNT, SAME_COUNT * same_pairs(found)])
+    ids, n = np.unique(np.concatenate([extra, *map(words.__getitem__, found)]), return_counts=True)
     return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
 
 
@@ -117,7 +127,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``docs`` with a last column score: the probability of class 1 for each whole text.
 
-    A null text counts as empty; without words the output layer's bias alone decides.
+    A null text counts as empty; without words the vector of the text's end decides.
     """
     spark = docs.sparkSession
     # one number for each row of the table: 1 MB however large the corpus
@@ -136,8 +146,10 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for batch in texts:
             out = np.zeros(len(batch))
             for i, t in enumerate(batch):
-                total = sum(map(words.__getitem__, t.split()), 0j) if t else 0j
-                z = bias + (total.real / total.imag if total.imag else 0.0)
+                found = t.split() if t else []
+                same = SAME_COUNT * same_pairs(found)
+                total = sum(map(words.__getitem__, found), complex(END_COUNT * shares[END] + same * shares[SAME], END_COUNT + same))
+                z = bias + total.real / total.imag
                 out[i] = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
             yield pd.Series(out)
 

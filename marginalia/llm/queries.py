@@ -71,13 +71,13 @@ SQL = {
     "op7_line_dedup": """
         WITH lines AS (
             SELECT doc_id, source, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS at
+                   generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos
             FROM documents
         ), common AS (
             SELECT line FROM lines WHERE trim(line, ' ') <> '' GROUP BY line HAVING count(DISTINCT source) >= 5
         )
         SELECT doc_id, count(*) AS n_lines, count(c.line) AS n_removed,
-               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY at) FILTER (WHERE c.line IS NULL), '')) AS kept_sha256
+               sha256(coalesce(string_agg(l.line, chr(10) ORDER BY pos) FILTER (WHERE c.line IS NULL), '')) AS kept_sha256
         FROM lines l LEFT JOIN common c ON l.line = c.line GROUP BY doc_id
     """,
 }

@@ -70,30 +70,89 @@ def led_pieces(text: str) -> list[str]:
 
 
 class Pieces(dict):
-    """What a piece gives, computed once for each piece: at most ``limit`` are held."""
+    """What a piece gives, computed once for each piece while it is held.
 
-    def __init__(self, give, limit: int = 1_000_000):
+    Pieces of two generations are held, each of ``limit`` at most: those met since the last change
+    of generation, and those met in the one before, which stay if they are met again.
+    """
+
+    def __init__(self, give, limit: int = 450_000):
         super().__init__()
-        self.give, self.limit = give, limit
+        self.give, self.limit, self.before = give, limit, {}
 
     def __missing__(self, piece: str):
-        found = self.give(piece)
+        found = self.before.get(piece)
+        if found is None:
+            found = self.give(piece)
         if len(self) >= self.limit:
+            self.before = dict(self)
             self.clear()
         if len(piece) <= 256:
             self[piece] = found
         return found
 
 
+#: A run of letters, with its leading space, and the ASCII punctuation after it.
+_WORD_MARKS = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class Ids:
+    """Token ids of a piece.
+
+    A word with marks after it is two matches of the splitting patterns, which the tokenizer's own
+    model encodes without the rest of its machinery; all else goes through the whole tokenizer.
+    """
+
+    def __init__(self, path: str):
+        self.rule, self.tokenizer = cut_rule(path), load(path)
+        self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
+        # letters and then marks never hold a string in which a letter follows a mark
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.parted = self.rule != "whole" and all(re.search(r"[!-&(-/:-@\[-`{-~][^\W\d_]", t) for t in added)
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        others = [b for b in range(256) if b not in set(plain)]
+        # the byte-level alphabet: printable bytes as they are, others above them in order
+        self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+    def __call__(self, piece: str) -> list[int]:
+        if not piece:
+            return []
+        if self.parted:
+            if (found := self.word(piece)) is not None:
+                return found
+            # a line break between two words is a match of its own, or dropped
+            first, line, rest = piece.partition("\n")
+            if line and rest and rest[0] != " " and (one := self.word(first)) is not None and (two := self.word(rest)) is not None:
+                return one + (self.matched("\n") if self.rule == "led" else []) + two
+        return self.tokenizer.encode(piece, add_special_tokens=False).ids
+
+    def word(self, piece: str) -> list[int] | None:
+        """Ids of a word with marks after it; None for all else."""
+        found = _WORD_MARKS.fullmatch(piece)
+        if not found:
+            return None
+        lead, word, marks = found.groups()
+        if self.rule == "dropped":
+            word = word.lower() if word.isascii() else self.normalizer.normalize_str(word)
+            lead = ""
+        if not word.isalpha():
+            return None
+        return self.matched(lead + word) + self.matched(marks) if marks else self.matched(lead + word)
+
+    def matched(self, match: str) -> list[int]:
+        chars = match.replace(" ", self.alphabet[32]) if match.isascii() and match.isprintable() else "".join(map(self.alphabet.__getitem__, match.encode()))
+        return [t.id for t in self.model.tokenize(chars)]
+
+
 class Counter:
     """Number of tokens of texts, by pieces."""
 
     def __init__(self, path: str):
-        self.rule = cut_rule(path)
-        tokenizer = load(path)
-        self.raw = Pieces(lambda s: len(tokenizer.encode(s, add_special_tokens=False)) if s else 0)
+        ids = Ids(path)
+        self.rule = ids.rule
+        self.raw = Pieces(lambda s: len(ids(s)))
         lead = " " if self.rule == "led" else ""
-        self.bare = Pieces(lambda s: self.raw.give(lead + s))
+        self.bare = Pieces(lambda s: len(ids(lead + s)))
 
     def __call__(self, text: str) -> int:
         if self.rule == "whole":
@@ -108,11 +167,11 @@ class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers, by pieces."""
 
     def __init__(self, path: str):
-        self.rule = cut_rule(path)
-        tokenizer = load(path)
-        self.raw = Pieces(lambda s: np.asarray(tokenizer.encode(s, add_special_tokens=False).ids, "<u4").tobytes() if s else b"", 1_000_000)
+        ids = Ids(path)
+        self.rule = ids.rule
+        self.raw = Pieces(lambda s: np.asarray(ids(s), "<u4").tobytes())
         lead = " " if self.rule == "led" else ""
-        self.bare = Pieces(lambda s: self.raw.give(lead + s), 1_000_000)
+        self.bare = Pieces(lambda s: np.asarray(ids(lead + s), "<u4").tobytes())
 
     def __call__(self, text: str) -> bytes:
         if self.rule == "whole":
