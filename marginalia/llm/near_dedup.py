@@ -1,14 +1,14 @@
 """Near-deduplication by the similarity of word shingles, with SimHash fingerprints.
 
 Two texts are near-duplicates if the Jaccard similarity of their sets of shingles is ``similarity``
-or more.  Fingerprints of such texts can differ in many bits (at 0.8 in 10 of 64 on average, in 18
-at times), and within 18 bits distances from a vantage point, 32 +- 4, rule out nothing: a tree
-over the whole table would compare all pairs.  So
+or more.  Fingerprints, taken over the distinct shingles, of such texts can differ in many bits (at
+0.8 in 10 of 64 on average, in over 20 at times), so they link but never part texts:
 
 * fingerprints are dealt into shards by bands of two least shingle hashes: of a pair at 0.8 the
   bands miss one in some 10^7 together;
-* within a shard the vantage-point tree of ``simhash`` gives the pairs within RADIUS bits;
-* a sketch of least hashes rules out most of what is unlike;
+* within a shard the vantage-point tree of ``simhash`` joins texts within RADIUS bits;
+* texts of a shard that the tree has not joined are all compared by a sketch of least hashes; a pair
+  at 0.8 agrees in fewer than AGREE of its bytes once in some 3 * 10^8;
 * what is left is linked, and the groups so found are verified on whole sets of shingles, in rounds
   of a bounded number of leaders against all members of a group, spread over many tasks.  A group
   is done when its verified links join all of it or all members have led.
@@ -28,7 +28,7 @@ from marginalia.llm.simhash import LEAF, fingerprint, hashes, shingles
 
 SIZE, SIMILARITY, RADIUS = 5, 0.8, 20
 #: Bands of two rows each, bytes of the sketch and how many must agree.
-BANDS, SKETCH, AGREE = 16, 32, 15
+BANDS, SKETCH, AGREE = 16, 32, 11
 #: Leaders of a group in one round, members that one task compares with them.
 LEADERS, MEMBERS = 32, 256
 
@@ -42,6 +42,11 @@ def least_hashes(h: np.ndarray) -> np.ndarray:
     return np.asarray([((h ^ (h >> np.uint64(29))) * f).min() for f in _FACTORS], np.uint64)
 
 
+def sketch_of(low: np.ndarray) -> np.ndarray:
+    """A byte of each least hash, from all its bits: the high bits of a minimum are mostly zero."""
+    return ((low * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(56)).astype(np.uint8)
+
+
 def _signatures(docs: DataFrame, text: str) -> DataFrame:
     """t (hash of the text), fp, n (distinct shingles), sketch, bands; map-only."""
 
@@ -53,7 +58,7 @@ def _signatures(docs: DataFrame, text: str) -> DataFrame:
                 distinct = np.unique(h)
                 low = least_hashes(distinct)
                 bands = (low[0::2] * np.uint64(0xD6E8FEB86659FD93) ^ low[1::2]).view(np.int64)
-                rows.append((fingerprint(h), len(distinct), (low >> np.uint64(56)).astype(np.uint8).tobytes(), bands.tolist()))
+                rows.append((fingerprint(distinct), len(distinct), sketch_of(low).tobytes(), bands.tolist()))
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(np.asarray([r[0] for r in rows], np.uint64).view(np.int64)), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.list_(pa.int64()))],
                 names=["t", "fp", "n", "sketch", "bands"],
@@ -63,8 +68,13 @@ def _signatures(docs: DataFrame, text: str) -> DataFrame:
 
 
 def _pairs(fps: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of likely pairs of a shard, by a vantage-point tree over its fingerprints."""
+    """Links of likely pairs of a shard, a forest over its places: by a vantage-point tree over
+    fingerprints, then by sketches between all that the tree has not joined."""
     out: list = []
+    columns = np.ascontiguousarray(sketch.T)
+
+    def sized(a, b):
+        return np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
 
     def cross(x, y):
         step = max(1, (1 << 20) // max(1, len(y)))
@@ -72,7 +82,7 @@ def _pairs(fps: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float
             a, b = np.nonzero(np.bitwise_count(fps[x[i : i + step], None] ^ fps[None, y]) <= RADIUS)
             a, b = x[i : i + step][a], y[b]
             keep = a < b if x is y else np.ones(len(a), bool)
-            keep &= np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b])
+            keep &= sized(a, b)
             a, b = a[keep], b[keep]
             for j in range(0, len(a), 1 << 16):
                 p, q = a[j : j + (1 << 16)], b[j : j + (1 << 16)]
@@ -80,6 +90,24 @@ def _pairs(fps: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float
                 if like.any():
                     out.append(forest(p[like], q[like]))
 
+    def beyond(x, y):
+        step = max(1, (1 << 20) // max(1, len(y)))
+        for i in range(0, len(x), step):
+            part, others = x[i : i + step], y[i:] if x is y else y
+            agree = np.zeros((len(part), len(others)), np.uint8)
+            for c in columns:
+                agree += c[part, None] == c[None, others]
+            a, b = np.nonzero(agree >= AGREE)
+            a, b = part[a], others[b]
+            keep = (a != b) & sized(a, b)
+            if keep.any():
+                out.append(forest(a[keep], b[keep]))
+
+    def joined():
+        if not out:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return forest(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
+
     stack = [np.arange(len(fps))]
     while stack:
         s = stack.pop()
@@ -96,9 +124,19 @@ def _pairs(fps: np.ndarray, n: np.ndarray, sketch: np.ndarray, similarity: float
         if len(near_inner) and len(near_outer):
             cross(near_inner, near_outer)
         stack += [inner, outer]
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return forest(np.concatenate([o[0] for o in out]), np.concatenate([o[1] for o in out]))
+
+    node, root = joined()
+    group = np.arange(len(fps))
+    group[node] = root
+    left = np.arange(len(fps))
+    # the large groups against all that is not theirs, then the rest among themselves
+    for g in np.flatnonzero(np.bincount(group, minlength=len(fps)) > LEAF):
+        own = left[group[left] == g]
+        left = left[group[left] != g]
+        beyond(own, left)
+    if len(np.unique(group[left])) > 1:
+        beyond(left, left)
+    return joined()
 
 
 def _candidates(signatures: DataFrame, similarity: float) -> DataFrame:

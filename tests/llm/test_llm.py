@@ -180,6 +180,50 @@ def test_near_dedup(spark):
     assert kept == [i * 7 for i in range(len(texts)) if i % 4 == 0 or i >= 48]
 
 
+def shingle_set(text):
+    return set(simhash.shingles(text, near_dedup.SIZE))
+
+
+def brute_near(texts, similarity=near_dedup.SIMILARITY):
+    """Places that stay: the first of each class that pairs of ``similarity`` or more link."""
+    root, sets = list(range(len(texts))), [shingle_set(t or "") for t in texts]
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a and sets[j] and len(a & sets[j]) >= similarity * len(a | sets[j]) - 1e-9:
+                x, y = root[i], root[j]
+                root = [min(x, y) if r in (x, y) else r for r in root]
+    return [i for i, r in enumerate(root) if i == r]
+
+
+def planted_near(rng):
+    """Pairs at 0.80 to 0.85, of which each word changed takes five shingles, and pairs of nearly
+    one set in which a line is repeated many times."""
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    texts = []
+    for _ in range(60):
+        words = [word() for _ in range(204)]
+        texts += [" ".join(words), " ".join([*words[:-19], *(word() for _ in range(19))])]  # 181 of 219
+        words = [word() for _ in range(54)]
+        texts += [" ".join(words), " ".join(words + words[:5] * 60)]  # 50 of 54
+    return texts
+
+
+def test_near_dedup_finds_planted_pairs(spark):
+    texts = planted_near(random.Random(3))
+    for a, b in zip(texts[::2], texts[1::2]):
+        assert len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) >= 0.8
+    kept = sorted(r["doc_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect())
+    assert kept == [i * 7 for i in brute_near(texts)] == [i * 7 for i in range(0, len(texts), 2)]
+
+
+def test_pairs_beyond_the_radius_are_kept():
+    # of one sketch, fingerprints 64 bits apart, among others that the tree joins
+    fps = np.asarray([0, 1, 3, 2**64 - 1] * 200, np.uint64)
+    sketch = np.repeat(np.random.default_rng(1).integers(0, 256, (200, near_dedup.SKETCH), dtype=np.uint8), 4, axis=0)
+    node, root = near_dedup._pairs(fps, np.full(800, 50), sketch, 0.8)
+    assert sorted(zip(node.tolist(), root.tolist())) == [(i, i - i % 4) for i in range(800) if i % 4]
+
+
 def test_longest_previous_factors():
     rng = random.Random(2)
     for _ in range(40):
