@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from marginalia.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
 from marginalia.llm.common import materialize, table
 
-#: Bytes of a passage that may stand only once: shorter than 51 words of running text.
-PASSAGE, GRAM = 240, 100
+#: Words of a passage that may stand only once, however short or long they are.
+PASSAGE = 51
 
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,8 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what repeats an earlier passage; n_chars follows the text."""
-    cut = suffix_dedup.remove_later_copies(docs, length=PASSAGE, gram=GRAM)
+    """Texts without what repeats an earlier passage of over 50 words; n_chars follows the text."""
+    cut = suffix_dedup.remove_later_copies(docs, length=2 * PASSAGE - 1, gram=suffix_dedup.WORD_GRAM, words=True)
     return cut.withColumn("n_chars", F.char_length("text").cast("bigint")).select(*docs.columns)
 
 

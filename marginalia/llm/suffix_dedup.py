@@ -17,6 +17,9 @@ bytes count.  So
 * anchors with more differing contexts than one task should hold are dealt out by the strings
   themselves instead, hashed with 128 bits.
 
+A length can also be one of words: then a text is a sequence of words and of the white space between
+them, and ``length`` and GRAM count these symbols, 2 n - 1 for n words.
+
 The result is exact over all documents, and no step gathers a group of unbounded size.
 """
 
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import materialize, partitions
 
 LENGTH, GRAM = 400, 200
+#: Symbols of a gram where lengths are of words.
+WORD_GRAM = 35
 #: Differing contexts of an anchor that one task compares.
 GROUP = 1500
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -42,12 +47,12 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
 
 def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Rank of every position by the ``length`` bytes from it on (fewer at the end: -1)."""
+    """Rank of every position by the ``length`` bytes or symbols from it on (fewer at the end: -1)."""
     n = len(data) - length + 1
     if n <= 0:
         return np.full(len(data), -1, np.int64)
     size = 1
-    while size * 2 <= min(8, length):
+    while data.dtype == np.uint8 and size * 2 <= min(8, length):
         size *= 2
     ranks = np.zeros(len(data) - size + 1, np.uint64)
     for i in range(size):
@@ -112,16 +117,20 @@ def _common(text: np.ndarray, a: int, b: int) -> int:
     return done
 
 
-def repeated_starts(texts: list[bytes], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text the starts of its strings of ``length`` bytes that occur earlier (in this or
-    an earlier text), and of those that occur anywhere else.
+    an earlier text), and of those that occur anywhere else.  Texts are bytes or lists of symbols.
 
     Factors are cut off at ``length``: equal ranks of that many bytes are neighbours in suffix
     order, and within them the previous smaller position exists for all but the first.
     """
     sizes = np.asarray([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
-    data = np.frombuffer(b"".join(texts), np.uint8)
+    if texts and isinstance(texts[0], list):
+        ids: dict[bytes, int] = {}
+        data = np.asarray([ids.setdefault(x, len(ids)) for t in texts for x in t], np.int64)
+    else:
+        data = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes)
     within = np.arange(len(data)) - begin[owner] if len(data) else np.zeros(0, np.int64)
     valid = np.flatnonzero(within + length <= sizes[owner]) if len(data) else np.zeros(0, np.int64)
@@ -143,6 +152,49 @@ def repeated_starts(texts: list[bytes], length: int) -> tuple[list[np.ndarray],
     return by_text(previous), by_text(previous | following)
 
 
+# ---------------------------------------------------------------- words
+
+
+def symbol_edges(data: np.ndarray) -> np.ndarray:
+    """Where words and runs of ASCII white space begin, and the end of the text."""
+    if not len(data):
+        return np.zeros(1, np.int64)
+    space = _space(data)
+    return np.concatenate([[0], np.flatnonzero(space[1:] != space[:-1]) + 1, [len(data)]])
+
+
+def _space(data: np.ndarray) -> np.ndarray:
+    return (data == 32) | ((data >= 9) & (data <= 13))
+
+
+def symbol_hashes(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each symbol's bytes."""
+    power = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[0][: len(data)], out=total[1:])
+    h = (total[edges[1:]] - total[edges[:-1]]) * power[1][edges[:-1]]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+def symbols(raw: bytes) -> list[bytes]:
+    edges = symbol_edges(np.frombuffer(raw, np.uint8)).tolist()
+    return [raw[a:b] for a, b in zip(edges, edges[1:])]
+
+
+def word_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans of symbols, narrowed to whole words, as spans of bytes; those below ``length`` go."""
+    data = np.frombuffer(raw, np.uint8)
+    edges = symbol_edges(data)
+    if not len(starts):
+        return starts, ends
+    space = _space(data[edges[:-1]])
+    s, e = starts + space[starts], ends - space[ends - 1]
+    keep = e - s >= length
+    return merged(edges[s[keep]], edges[e[keep]])
+
+
 # ---------------------------------------------------------------- anchors
 
 
@@ -257,12 +309,16 @@ def _signed(h: bytes) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:16], "little", signed=True)
 
 
-def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: bool = False) -> DataFrame:
     """(row, s, e): spans of bytes of texts covered by repeated strings of ``length`` bytes.
 
     With ``keep_first`` only strings that occur earlier count, in the order of rows and positions;
     otherwise all that occur anywhere else.  ``row`` is a bigint column, unique and not null.
     Spans of a row may overlap.
+
+    With ``words`` positions, ``length`` and ``gram`` count symbols instead of bytes, and strings
+    start with a word (``length`` is odd, so they end with one); ``word_spans`` has still to narrow
+    the spans.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -272,16 +328,19 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             rows, poss, hs, cs, ties, lefts = [], [], [], [], [], []
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 raw = (t or "").encode()
-                pos, h, tie = anchors(np.frombuffer(raw, np.uint8), length, gram)
+                data = np.frombuffer(raw, np.uint8)
+                edges = symbol_edges(data) if words else None
+                pos, h, tie = anchors(symbol_hashes(data, edges) if words else data, length, gram)
                 if not len(pos):
                     continue
-                a, e = context_bounds(pos, len(raw), length, gram)
+                a, e = context_bounds(pos, len(edges) - 1 if words else len(raw), length, gram)
+                begin, end = (edges[a], edges[e]) if words else (a, e)
                 rows.append(np.full(len(pos), r))
                 poss.append(pos)
                 hs.append(h)
                 ties.append(tie)
                 # the place of the anchor in its context counts too
-                cs.append([int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=8, salt=(p - x).to_bytes(4, "little")).digest(), "little", signed=True) for p, x, y in zip(pos.tolist(), a.tolist(), e.tolist())])
+                cs.append([int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=8, salt=(p - f).to_bytes(4, "little")).digest(), "little", signed=True) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
                 lefts.append(e - a)
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -314,9 +373,11 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             out = {k: [] for k in ("h", "row", "pos", "n", "contexts", "bytes")}
             for r, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = (t or "").encode()
+                edges = symbol_edges(np.frombuffer(raw, np.uint8)).tolist() if words else None
                 for x in at:
                     a = max(x["pos"] - (length - gram), 0)
-                    for k, v in (("h", x["h"]), ("row", r), ("pos", x["pos"]), ("n", x["n"]), ("contexts", x["contexts"]), ("bytes", raw[a : a + x["size"]])):
+                    own = raw[edges[a] : edges[a + x["size"]]] if words else raw[a : a + x["size"]]
+                    for k, v in (("h", x["h"]), ("row", r), ("pos", x["pos"]), ("n", x["n"]), ("contexts", x["contexts"]), ("bytes", own)):
                         out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()], names=list(out))
 
@@ -338,6 +399,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             rows, begins, texts = [], [], []
             for _, r, p, raw in held:
                 a = max(p - (length - gram), 0)
+                raw = symbols(raw) if words else raw
                 if rows and rows[-1] == r and a <= begins[-1] + len(texts[-1]):
                     texts[-1] += raw[max(0, begins[-1] + len(texts[-1]) - a) :]
                 else:
@@ -345,7 +407,10 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
                     begins.append(a)
                     texts.append(raw)
             previous, elsewhere = repeated_starts(texts, length)
-            return spans_of(rows, begins, previous if keep_first else elsewhere)
+            starts = previous if keep_first else elsewhere
+            if words:
+                starts = [np.asarray([i for i in st.tolist() if not t[i].isspace()], np.int64) for t, st in zip(texts, starts)]
+            return spans_of(rows, begins, starts)
 
         for b in batches:
             for x in zip(*(b.column(k).to_pylist() for k in ("h", "row", "pos", "bytes"))):
@@ -366,8 +431,11 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             out = [[], [], [], []]
             for r, p, raw in zip(b.column("row").to_pylist(), b.column("pos").to_pylist(), b.column("bytes").to_pylist()):
                 a = max(p - (length - gram), 0)
-                for i in range(len(raw) - length + 1):
-                    for o, v in zip(out, (*_signed(hashlib.blake2b(raw[i : i + length], digest_size=16).digest()), r, a + i)):
+                edges = symbol_edges(np.frombuffer(raw, np.uint8)).tolist() if words else range(len(raw) + 1)
+                for i in range(len(edges) - length):
+                    if words and raw[edges[i] : edges[i + 1]].isspace():
+                        continue
+                    for o, v in zip(out, (*_signed(hashlib.blake2b(raw[edges[i] : edges[i + length]], digest_size=16).digest()), r, a + i)):
                         o.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["x", "y", "row", "s"])
 
@@ -436,17 +504,18 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", leng
     return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
-def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: bool = False) -> DataFrame:
     """``docs``, all rows and columns, with texts cut by what repeats an earlier string of
     ``length`` bytes; the first copy, in the order of keys and positions, stays.
 
     Removed runs are narrowed to whole characters.  A null text stays null; a text of which all is
-    removed becomes empty.
+    removed becomes empty.  With ``words``, ``length`` and ``gram`` are of symbols (n words and the
+    white space between them are 2 n - 1), and removed runs are of whole words.
     """
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     t, k = f"c{docs.columns.index(text)}", f"c{docs.columns.index(key)}"
     rows = with_rows(plain, t, k, plain.columns)
-    lists = _span_lists(repeated_spans(rows, t, "_row", True, length, gram, group))
+    lists = _span_lists(repeated_spans(rows, t, "_row", True, length, gram, group, words))
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -456,6 +525,10 @@ def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id"
                 out.append(x)
                 continue
             raw = x.encode()
+            if words:
+                at = np.asarray([(y["s"], y["e"]) for y in own], np.int64).reshape(-1, 2)
+                out.append(_without(raw, *word_spans(raw, at[:, 0], at[:, 1], length)).decode())
+                continue
             lead = np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True)
             s, e = _runs(list(own))
             at = np.flatnonzero(lead)

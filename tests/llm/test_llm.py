@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -266,6 +267,46 @@ def test_suffix_dedup(spark, group):
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw[i]), int(gone[i].sum()), runs, hashlib.sha256(left).hexdigest())
 
 
+def brute_without_passages(texts, n):
+    """Texts without the runs of ``n`` whole words that stand at an earlier place."""
+    seen, out = set(), []
+    for t in texts:
+        words = list(re.finditer(rb"[^ \t-\r]+", (t or "").encode()))
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        gone = np.zeros(len(raw), bool)
+        for a, b in zip(words, words[n - 1 :]):
+            passage = raw[a.start() : b.end()].tobytes()
+            if passage in seen:
+                gone[a.start() : b.end()] = True
+            seen.add(passage)
+        out.append(raw[~gone].tobytes().decode())
+    return out
+
+
+@pytest.mark.parametrize("group", [1500, 2])
+def test_suffix_dedup_by_words(spark, group):
+    rng, n = random.Random(12), 6
+    base = ["".join(rng.choice(["a", "b", "é", "longer", "ab", "."]) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(40)) for _ in range(4)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 30) :][: rng.randint(5, 90)] + rng.choice(["", " ", "x y " * rng.randint(0, 12), str(rng.random())]) for _ in range(rng.randint(0, 5))) for _ in range(60)] + [None, "", " ", " " * 30, "a b c d e f", " a b c d e f "]
+    got = {r["doc_id"]: r["text"] for r in suffix_dedup.remove_later_copies(docs(spark, texts, True), length=2 * n - 1, gram=5, group=group, words=True).collect()}
+    assert [got[i * 7] or "" for i in range(len(texts))] == brute_without_passages(texts, n)
+
+
+def test_pipeline_passages_are_of_51_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(6)
+    own = lambda: " ".join(f"o{rng.randint(0, 10**9)}" for _ in range(30))
+    short = [" ".join(rng.choice("abcdefghij") for _ in range(k)) for k in (50, 51, 51)]
+    long = [" ".join(f"word{rng.randint(0, 10**9)}" for _ in range(k)) for k in (50, 51, 60)]
+    texts = [f"{own()} {p}\n{own()}" for p in short + long for _ in range(3)]
+    got = {r["doc_id"]: r for r in corpus_pipeline.cut_repeated_passages(spark, docs(spark, texts), "").collect()}
+    want = brute_without_passages(texts, 51)
+    assert [len(t.split()) for t in want] == [110] * 3 + [111, 60, 60] * 2 + [110] * 3 + [111, 60, 60] + [120, 60, 60]
+    assert [got[i * 7]["text"] for i in range(len(texts))] == want
+    assert [got[i * 7]["n_chars"] for i in range(len(texts))] == [len(t) for t in want]
+
+
 def test_repeated_keys_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(1, "x" * 30), (1, "y" * 5), (None, "x" * 30)], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in suffix_dedup.repeat_report(df, length=20, gram=10).collect()) == [0, 30, 30]
