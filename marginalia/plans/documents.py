@@ -53,7 +53,7 @@ def page_references(spark, sf_dir):
 @query()
 def lifted_citations(spark, sf_dir):
     """Citation marks lifted out of texts as spans (REF7, REF8, STR18)."""
-    b = S.blocks(spark, sf_dir).filter("ord < 2")
+    b = S.blocks(spark, sf_dir)
     marked = F.concat(F.left("text", F.lit(10)), F.lit(T.CITE_OPEN + "r1" + T.CITE_MID), F.substring("text", 11, F.lit(8)), F.lit(T.CITE_CLOSE), F.substring("text", 19, F.char_length("text")))
     return H.lifted(b.withColumn("text", marked)).select("id", "text", F.transform("citations", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["ref_id"])).alias("citations"))
 
@@ -61,7 +61,7 @@ def lifted_citations(spark, sf_dir):
 @query()
 def bracket_citations(spark, sf_dir):
     """Numbers in brackets by the entries they name (REF9)."""
-    b = S.blocks(spark, sf_dir).filter("ord < 2").select(F.col("id").alias("block_id"), F.col("document_id").alias("id"), F.concat("text", F.lit(" [1] and [2, 7] and [9]")).alias("text"))
+    b = S.blocks(spark, sf_dir).select(F.col("id").alias("block_id"), F.col("document_id").alias("id"), F.concat("text", F.lit(" [1] and [2, 7] and [9]")).alias("text"))
     refs = S.documents(spark, sf_dir).select("id", F.explode(F.array(F.lit("1"), F.lit("2"))).alias("label")).withColumn("ref_id", F.concat(F.lit("r"), "label"))
     return H.bracket_citations(b, refs)
 

@@ -91,7 +91,7 @@ def sentence_spans(spark, sf_dir):
 @query()
 def simplified_sentences(spark, sf_dir):
     """Marked plain sentences and the source sentences they mirror (STR6, STR7, SPN6)."""
-    b = S.blocks(spark, sf_dir).filter("ord < 2").select(F.col("id").alias("key"), T.sentence_spans(F.col("text")).alias("sentences"))
+    b = S.blocks(spark, sf_dir).select(F.col("id").alias("key"), T.sentence_spans(F.col("text")).alias("sentences"))
     raw = F.array_join(F.transform("sentences", lambda s, i: F.concat(F.left(s["text"], F.lit(20)), F.lit(" [["), (i + 1).cast("string"), F.lit("]]"))), " ")
     plain = b.select("key", F.explode(T.simplified(raw)).alias("p")).select("key", F.col("p.text").alias("plain"), F.explode("p.refs").alias("ref"))
     return A.mirrored(plain, b).select("key", T.strip_simplify_markers(F.col("plain")).alias("plain"), "ref", "start", "end")
@@ -194,7 +194,7 @@ def remapped_anchors(spark, sf_dir):
 @query()
 def edited_ranges(spark, sf_dir):
     """What differs from a block's first version (DIF5)."""
-    b = S.blocks(spark, sf_dir).filter("ord < 3")
+    b = S.blocks(spark, sf_dir)
     r = b.select("id", F.explode(A.edited_ranges("text", F.regexp_replace("text", r"\b(of|de|der)\b", "new"))).alias("r"))
     return r.select("id", "r.start", "r.end")
 

@@ -4,11 +4,13 @@ import datetime
 import decimal
 import math
 import os
+import re
 
 import duckdb
 import pytest
 
 from marginalia import plans
+from marginalia.sources import tables
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -54,3 +56,13 @@ def test_runs(spark, name):
     df = plans.QUERIES[name](spark, SF)
     assert df.columns
     df.limit(5).collect()
+
+
+def test_queries_read_all_blocks(spark):
+    blocks = {r["id"]: (r["text"] or "") for r in tables.blocks(spark, SF).collect()}
+    ids = lambda name, key="id": {r[key] for r in plans.QUERIES[name](spark, SF).select(key).distinct().collect()}
+    assert ids("lifted_citations") == set(blocks)
+    assert ids("bracket_citations", "block_id") == set(blocks)
+    assert ids("edited_ranges") == {k for k, t in blocks.items() if re.search(r"\b(of|de|der)\b", t)}
+    # a sentence's first twenty characters mark it
+    assert ids("simplified_sentences", "key") == {k for k, t in blocks.items() if t.strip()}
