@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from marginalia.functions import text as T
 from marginalia.operators import derive as D
@@ -66,10 +67,17 @@ def bracket_citations(spark, sf_dir):
     return H.bracket_citations(b, refs)
 
 
+_WIDTH = 90
+
+
 def _items(spark, sf_dir):
-    """Lines of documents as positioned text: forty to a page, the first larger."""
+    """Texts of documents as positioned text: wrapped to lines of at most _WIDTH characters, at white
+    space where there is some, forty to a page; those of the first block are larger."""
     b = S.blocks(spark, sf_dir).filter("text <> ''")
-    return b.select("document_id", F.floor(F.col("ord") / 40).cast("int").alias("page"), F.left("text", F.lit(90)).alias("s"), F.lit(72.0).alias("x"), (F.lit(700.0) - F.col("ord") % 40 * 12).alias("y"), (F.least(F.char_length("text"), F.lit(90)) * 5.0).alias("w"), F.when(F.col("ord") == 0, 18.0).otherwise(10.0).alias("size"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
+    wrapped = F.regexp_extract_all("text", F.lit(rf"(?s)(\S(?:.{{0,{_WIDTH - 2}}}\S)?(?=\s|$)|\S{{{_WIDTH}}})"), F.lit(1))
+    b = b.select("document_id", "ord", F.posexplode(wrapped).alias("piece", "s"))
+    b = b.withColumn("at", F.row_number().over(Window.partitionBy("document_id").orderBy("ord", "piece")) - 1)  # bounded by a document
+    return b.select("document_id", F.floor(F.col("at") / 40).cast("int").alias("page"), "s", F.lit(72.0).alias("x"), (F.lit(700.0) - F.col("at") % 40 * 12).alias("y"), (F.char_length("s") * 5.0).alias("w"), F.when(F.col("ord") == 0, 18.0).otherwise(10.0).alias("size"), F.lit(612.0).alias("page_width"), F.lit(792.0).alias("page_height"))
 
 
 @query()

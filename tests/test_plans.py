@@ -66,3 +66,17 @@ def test_queries_read_all_blocks(spark):
     assert ids("edited_ranges") == {k for k, t in blocks.items() if re.search(r"\b(of|de|der)\b", t)}
     # a sentence's first twenty characters mark it
     assert ids("simplified_sentences", "key") == {k for k, t in blocks.items() if t.strip()}
+
+
+def test_pdf_items_hold_whole_texts(spark):
+    from marginalia.plans import documents
+
+    want, got, places = {}, {}, set()
+    for r in tables.blocks(spark, SF).orderBy("document_id", "ord").collect():
+        want[r["document_id"]] = want.get(r["document_id"], "") + "".join((r["text"] or "").split())
+    items = documents._items(spark, SF).collect()
+    for r in sorted(items, key=lambda r: (r["document_id"], r["page"], -r["y"])):
+        got[r["document_id"]] = got.get(r["document_id"], "") + "".join(r["s"].split())
+        places.add((r["document_id"], r["page"], r["y"]))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    assert len(places) == len(items) and max(len(r["s"]) for r in items) <= 90
