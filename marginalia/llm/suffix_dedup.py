@@ -1,4 +1,4 @@
-"""Removal of long repeated passages by longest-previous-factor arrays.
+"""Removal of long repeated passages by anchors and ranks of prefixes.
 
 The longest previous factor of a position is the longest match of what starts there with what
 starts at an earlier position.  In suffix order the best earlier match stands at the previous or
@@ -12,8 +12,9 @@ bytes count.  So
 * anchors that occur once are dropped; for the others, the CONTEXT around an anchor holds every
   string of ``length`` bytes whose anchor it is;
 * occurrences with equal contexts repeat in full, and take part in the rest as one;
-* differing contexts of one anchor come together, and a suffix array over them with its longest
-  previous factors tells which strings repeat, comparing bytes, not hashes;
+* differing contexts of one anchor come together, and ranks of their prefixes of ``length`` bytes
+  tell which strings repeat, comparing bytes, not hashes (a longest previous factor counts only if
+  it reaches that length, so the array itself is not built);
 * anchors with more differing contexts than one task should hold are dealt out by the strings
   themselves instead, hashed with 128 bits.
 
