@@ -3,27 +3,35 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_LOCAL: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that is unset, as in local tests, a temporary folder is set in its place.
+    Only in a local session where that is unset, as in tests, a temporary folder takes its place.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='marginalia-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
-        atexit.register(lambda: __import__("shutil").rmtree(found[7:], ignore_errors=True))
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    if not _LOCAL:
+        _LOCAL.append(tempfile.mkdtemp(prefix="marginalia-"))
+        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
+    return f"file://{_LOCAL[0]}"
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
@@ -48,10 +56,34 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def paths_of(df: DataFrame) -> list[str]:
-    """Folders that a table read from files lies in."""
-    return sorted({f.rpartition("/")[0] for f in df.inputFiles()})
+class Scratch:
+    """Intermediate tables of one operator, deleted when nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, tag))
+        return materialize(df, tag, self.paths[-1])
+
+    def drop(self) -> None:
+        while self.paths:
+            remove(self.spark, self.paths.pop())
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def with_rows(docs: DataFrame, text: str, key: str, others: list[str]) -> DataFrame:
+    """``docs`` with a bigint column _row, unique, not null and in the order of the key.
+
+    A whole-number key that is unique and never null is taken as it is; otherwise rows are numbered
+    in the order of key and text in a copy in the shared folder.
+    """
+    if docs.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
+        seen = docs.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max(F.col(key).isNull()).alias("gap")).first()
+        if not seen["gap"] and (seen["n"] or 1) == 1:
+            return docs.select(F.col(key).cast("bigint").alias("_row"), *(F.col(f"`{c}`") for c in others))
+    dealt = docs.repartitionByRange(partitions(docs.sparkSession), key).sortWithinPartitions(key, text)
+    return materialize(dealt.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`") for c in others)), "rows")

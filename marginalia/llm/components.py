@@ -34,12 +34,15 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[root[own]]
 
 
-def contracted(links: DataFrame) -> DataFrame:
-    """The links of every task as a spanning forest, larger node first."""
+#: Links that a task contracts at once.
+HELD = 1 << 21
+
+
+def contracted(links: DataFrame, step: int = 64) -> DataFrame:
+    """The links of every task as a spanning forest for each ``step`` batches, larger node first."""
 
     def run(batches):
         held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        step = 64  # batches at a time: what is held stays below two forests of them
         while held:
             x, y = forest(np.concatenate([h[0] for h in held[:step]]), np.concatenate([h[1] for h in held[:step]]))
             held = held[step:]
@@ -48,14 +51,20 @@ def contracted(links: DataFrame) -> DataFrame:
     return links.select("a", "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame, rounds: int = 60, held: int = HELD) -> DataFrame:
     """(node, root) of every node that has a link to another, root the smallest node reachable.
 
-    ``links`` has bigint columns a and b.
+    ``links`` has bigint columns a and b.  Before the stars, tasks that read ``held`` links each
+    contract them once more; if one such task reads them all, its forest is the result.
     """
     spark = links.sparkSession
-    path = new_path(spark, "links")
-    now = materialize(contracted(links).filter("a <> b").distinct(), "links", path)
+    first, path = new_path(spark, "links"), new_path(spark, "links")
+    tasks = max(1, -(-materialize(contracted(links).filter("a <> b"), "links", first).count() // held))
+    again = spark.read.schema("a bigint, b bigint").parquet(first).coalesce(tasks)
+    now = materialize(contracted(again, 1 << 30) if tasks == 1 else contracted(again).distinct(), "links", path)
+    remove(spark, first)
+    if tasks == 1:
+        return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
     last = None
     for _ in range(rounds):
         ends = now.select("a", "b").union(now.select("b", "a"))

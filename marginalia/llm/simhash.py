@@ -1,16 +1,18 @@
 """SimHash near-deduplication with vantage-point trees.
 
 A text's fingerprint has a bit set where over half of its shingles' hashes have it set.  Distinct
-fingerprints within a few bits of each other are linked.  The search goes by Hamming distance from
+fingerprints within 3 bits of each other are linked.  The search goes by Hamming distance from
 vantage points:
 
-* The 64 bits are seen as blocks.  Two fingerprints within r bits are, in one of m blocks at least,
-  within floor(r / m).  Each block is a metric space of at most 65,536 points, for which the driver
-  builds a vantage-point tree from exact counts over the whole table.  A tree over all 64 bits
-  alone prunes next to nothing at r = 3: distances from any vantage point are 32 +- 4, so nearly all
-  balls overlap both sides of each split.
-* Leaves of the trees are shards.  A fingerprint lies in the leaf that its block falls in, and asks
-  in each leaf that its ball overlaps.
+* The 64 bits are seen as blocks, each with a reach of its own: of two fingerprints within 3 bits
+  the first 16 bits are within one bit, or one of the two blocks of 24 bits is the same (otherwise
+  2 + 1 + 1 bits differ).  A tree over all 64 bits alone prunes next to nothing: distances from any
+  vantage point are 32 +- 4, so nearly all balls overlap both sides of each split.
+* The first block is a metric space of at most 65,536 points, for which the driver builds a
+  vantage-point tree from exact counts over the whole table.  Its leaves are shards.  A fingerprint
+  lies in the leaf that its block falls in, and asks in each other leaf that its ball overlaps.
+  A shard that one value fills is split once more, by four blocks of the bits that are left.
+* A block of reach zero needs no tree: its values are the shards.
 * Within a shard, a tree over all 64 bits is searched: pairs across a split are looked for only
   among those that the triangle inequality leaves near the boundary.
 
@@ -28,7 +30,9 @@ from pyspark.sql import functions as F
 from marginalia.llm.common import materialize, partitions
 from marginalia.llm.components import components, forest
 
-SEED, BITS = 42, 64
+SEED, BITS, RADIUS = 42, 64, 3
+#: Bits of the block that has a tree.
+TREE_BITS = 16
 #: Fingerprints a shard should hold; leaves of the local tree.
 SHARD, LEAF = 4096, 512
 
@@ -80,41 +84,49 @@ def fingerprints(docs: DataFrame, size: int, text: str, key: str) -> DataFrame:
 # ---------------------------------------------------------------- trees over blocks
 
 
-def block_tree(values: np.ndarray, weights: np.ndarray, radius: int, shard: int) -> dict[int, tuple[int, list[int]]]:
-    """Vantage-point tree over the values of a block: value -> (its leaf, leaves its ball overlaps).
+def block_tree(values: np.ndarray, weights: np.ndarray, shard: int) -> tuple[np.ndarray, np.ndarray]:
+    """Vantage-point tree over the values of a block: the leaf of each value (-1 for values that do
+    not occur), and whether a leaf is of one value that is heavier than ``shard``.
 
     A node's vantage point is its heaviest value; it is split at the weighted median distance.
     """
-    home: dict[int, int] = {}
-    reach: dict[int, list[int]] = {int(v): [] for v in values}
-    leaves = 0
-    stack = [(np.arange(len(values)), np.arange(len(values)))]  # those inside, those whose ball overlaps
+    home, full = np.full(1 << TREE_BITS, -1, np.int64), []
+    stack = [np.arange(len(values))]
     while stack:
-        inside, asking = stack.pop()
-        if weights[inside].sum() > shard and len(inside) > 1:
+        inside = stack.pop()
+        total = weights[inside].sum()
+        if total > shard and len(inside) > 1:
             v = values[inside[np.argmax(weights[inside])]]
             d = np.bitwise_count(values[inside] ^ v)
             order = np.argsort(d, kind="stable")
-            half = np.searchsorted(np.cumsum(weights[inside][order]), weights[inside].sum() / 2)
+            half = np.searchsorted(np.cumsum(weights[inside][order]), total / 2)
             mu = min(int(d[order][min(half, len(order) - 1)]), int(d.max()) - 1)
-            da = np.bitwise_count(values[asking] ^ v).astype(np.int64)
-            stack.append((inside[d <= mu], asking[da <= mu + radius]))
-            stack.append((inside[d > mu], asking[da > mu - radius]))
+            stack += [inside[d <= mu], inside[d > mu]]
             continue
-        for i in inside:
-            home[int(values[i])] = leaves
-        for i in asking:
-            reach[int(values[i])].append(leaves)
-        leaves += 1
-    return {v: (home[v], reach[v]) for v in reach}
-
-
-def block_edges(blocks: int) -> list[int]:
-    return [round(BITS * i / blocks) for i in range(blocks + 1)]
-
-
-def block_of(fp: np.ndarray, edges: list[int], b: int) -> np.ndarray:
-    return (fp >> np.uint64(edges[b])) & np.uint64((1 << (edges[b + 1] - edges[b])) - 1)
+        home[values[inside].astype(np.int64)] = len(full)
+        full.append(total > shard)
+    return home, np.asarray(full, bool)
+
+
+def shards_of(fps: np.ndarray, home: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in ``fps`` and the shards that each lies or asks in."""
+    ball = np.asarray([0, *(1 << k for k in range(TREE_BITS))])
+    own = (fps & np.uint64((1 << TREE_BITS) - 1)).astype(np.int64)
+    leaves = np.sort(home[own[:, None] ^ ball], axis=1)
+    fresh = leaves >= 0
+    fresh[:, 1:] &= leaves[:, 1:] != leaves[:, :-1]
+    place, column = np.nonzero(fresh)
+    leaf = leaves[place, column]
+    split = full[leaf]
+    at, shard = [place[~split]], [leaf[~split] << 16]
+    for j in range(4):
+        sub = ((fps[place[split]] >> np.uint64(TREE_BITS + 12 * j)) & np.uint64(0xFFF)).astype(np.int64)
+        at.append(place[split])
+        shard.append(leaf[split] << 16 | (j + 1) << 12 | sub)
+    for j in range(2):
+        at.append(np.arange(len(fps)))
+        shard.append(((fps >> np.uint64(TREE_BITS + 24 * j)) & np.uint64(0xFFFFFF)).astype(np.int64) | (j + 1) << 60)
+    return np.concatenate(at), np.concatenate(shard)
 
 
 # ---------------------------------------------------------------- search within a shard
@@ -157,33 +169,20 @@ def shard_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
 # ---------------------------------------------------------------- links over the whole table
 
 
-def fingerprint_links(distinct: DataFrame, radius: int, blocks: int, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) whose components are those of all pairs within ``radius`` bits.
+def fingerprint_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) whose components are those of all pairs within RADIUS bits.
 
     ``distinct`` has a bigint column fp, each value once, and lies in the shared folder.
     """
-    edges, near = block_edges(blocks), radius // blocks
-    each = F.array(*(F.struct(F.lit(b).alias("tree"), F.shiftrightunsigned("fp", edges[b]).bitwiseAND(F.lit((1 << (edges[b + 1] - edges[b])) - 1)).alias("value")) for b in range(blocks)))
-    # at most 65,536 values for each block, however many rows there are
-    counts = distinct.select(F.explode(each).alias("e")).groupBy("e.tree", "e.value").count().toPandas()
-    trees = {}
-    for b in range(blocks):
-        own = counts[counts["tree"] == b]
-        trees[b] = block_tree(own["value"].to_numpy().astype(np.uint64), own["count"].to_numpy(), near, shard)
+    # at most 65,536 values, however many rows there are
+    counts = distinct.groupBy(F.col("fp").bitwiseAND(F.lit((1 << TREE_BITS) - 1)).alias("value")).count().toPandas()
+    home, full = block_tree(counts["value"].to_numpy().astype(np.uint64), counts["count"].to_numpy(), shard)
 
     def place(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            rows, tree, leaf, own = [], [], [], []
-            for b in range(blocks):
-                for i, v in enumerate(block_of(fp, edges, b).tolist()):
-                    home, asks = trees[b][v]
-                    for a in asks:
-                        rows.append(i)
-                        tree.append(b)
-                        leaf.append(a)
-                        own.append(a == home)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[rows].view(np.int64) if rows else np.zeros(0, np.int64)), pa.array(tree, pa.int32()), pa.array(leaf, pa.int32()), pa.array(own, pa.bool_())], names=["fp", "tree", "leaf", "own"])
+            at, shards = shards_of(fp, home, full)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(shards)], names=["fp", "shard"])
 
     def search(batches):
         # a task's shards, one after another; a shard's rows arrive together
@@ -191,41 +190,41 @@ def fingerprint_links(distinct: DataFrame, radius: int, blocks: int, shard: int
         now = None
 
         def links():
-            t = pa.Table.from_batches(held)
-            fps = np.unique(t.column("fp").to_numpy().view(np.uint64))
-            a, b = shard_links(fps, radius)
+            fps = np.unique(np.concatenate(held).view(np.uint64))
+            a, b = shard_links(fps, RADIUS)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            k = batch.column("tree").to_numpy().astype(np.int64) << 32 | batch.column("leaf").to_numpy()
+            fp, k = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
             cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
             for i, j in zip(cut, cut[1:]):
                 if now is not None and k[i] != now:
-                    yield links()
+                    if sum(map(len, held)) > 1:
+                        yield links()
                     held.clear()
                 now = k[i]
-                held.append(batch.slice(i, j - i))
-        if held:
+                held.append(fp[i:j])
+        if sum(map(len, held)) > 1:
             yield links()
 
-    placed = distinct.select("fp").mapInArrow(place, "fp bigint, tree int, leaf int, own boolean")
-    dealt = placed.repartition(partitions(distinct.sparkSession), "tree", "leaf").sortWithinPartitions("tree", "leaf")
+    placed = distinct.select("fp").mapInArrow(place, "fp bigint, shard bigint")
+    dealt = placed.repartition(partitions(distinct.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(search, "a bigint, b bigint")
 
 
-def near_duplicate_classes(docs: DataFrame, size: int = 3, radius: int = 3, blocks: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, size: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
     """One row for each row of ``docs``: key, fingerprint (16 hex digits), component_id.
 
-    Rows whose fingerprints differ in at most ``radius`` bits are linked; component_id is the
+    Rows whose fingerprints differ in at most 3 bits are linked; component_id is the
     smallest key that links lead to.  Texts without words (null, empty, white space) have
     fingerprint zero and are linked like any other.  Equal rows give equal rows; a null key is
     never a component_id unless all keys of its component are null; an empty table gives none.
     """
     own = materialize(fingerprints(docs, size, text, key), "fingerprints")
     distinct = materialize(own.groupBy("fp").agg(F.min("key").alias("low")), "distinct")
-    linked = components(fingerprint_links(distinct, radius, blocks))
+    linked = components(fingerprint_links(distinct))
     roots = distinct.join(linked, distinct["fp"] == linked["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
     least = roots.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = roots.join(least, "root").select("fp", "component_id")

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, partitions
+from marginalia.llm.common import materialize, partitions, with_rows
 
 LENGTH, GRAM = 400, 200
 #: Symbols of a gram where lengths are of words.
@@ -451,20 +451,6 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
     return whole.select("row", "s", "e").union(small).union(large)
 
 
-def with_rows(docs: DataFrame, text: str, key: str, others: list[str]) -> DataFrame:
-    """``docs`` with a bigint column _row, unique, not null and in the order of the key.
-
-    A whole-number key that is unique and never null is taken as it is; otherwise rows are numbered
-    in the order of key and text in a copy in the shared folder.
-    """
-    if docs.schema[key].dataType.simpleString() in ("bigint", "int", "smallint", "tinyint"):
-        seen = docs.groupBy(key).agg(F.count("*").alias("n")).agg(F.max("n").alias("n"), F.max(F.col(key).isNull()).alias("gap")).first()
-        if not seen["gap"] and (seen["n"] or 1) == 1:
-            return docs.select(F.col(key).cast("bigint").alias("_row"), *(F.col(f"`{c}`") for c in others))
-    dealt = docs.repartitionByRange(partitions(docs.sparkSession), key).sortWithinPartitions(key, text)
-    return materialize(dealt.select(F.monotonically_increasing_id().alias("_row"), *(F.col(f"`{c}`") for c in others)), "rows")
-
-
 def _span_lists(spans: DataFrame) -> DataFrame:
     return spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
 

@@ -152,8 +152,8 @@ def test_simhash(spark):
     fps = sorted({b ^ sum(1 << k for k in rng.sample(range(64), rng.randint(0, 3))) for b in base for _ in range(12)})
     want = {f: r for f, r in brute_classes(fps, 3).items()}
     df = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp bigint")
-    for blocks in (2, 4):
-        links = simhash.fingerprint_links(df, 3, blocks, 30).toPandas()
+    for shard in (2, 30, 4096):
+        links = simhash.fingerprint_links(df, shard).toPandas()
         a, b = components.forest(links["a"].to_numpy().view(np.uint64), links["b"].to_numpy().view(np.uint64))
         got = {f: f for f in fps} | dict(zip(a.tolist(), b.tolist()))
         assert got == want
@@ -166,6 +166,20 @@ def test_simhash(spark):
     assert simhash.near_duplicate_classes(empty(spark)).count() == 0
 
 
+def test_some_pairs_are_found_in_overlapping_shards_alone():
+    # the first block differs in one bit, both others differ: no shard that both lie in
+    rng = random.Random(6)
+    pairs = [(x := rng.getrandbits(64), x ^ 1 << rng.randrange(16) ^ 1 << 20 ^ 1 << 50) for _ in range(300)]
+    fps = np.asarray([x for p in pairs for x in p], np.uint64)
+    values, n = np.unique(fps & np.uint64(0xFFFF), return_counts=True)
+    home, full = simhash.block_tree(values, n, 8)
+    at, shard = simhash.shards_of(fps, home, full)
+    lies = home[(fps & np.uint64(0xFFFF)).astype(int)]
+    for i in range(0, len(fps), 2):
+        assert set(shard[at == i].tolist()) & set(shard[at == i + 1].tolist())
+    assert (lies[::2] != lies[1::2]).sum() > 30
+
+
 def test_near_dedup(spark):
     rng = random.Random(9)
     texts = []
@@ -217,12 +231,51 @@ def test_near_dedup_finds_planted_pairs(spark):
     assert kept == [i * 7 for i in brute_near(texts)] == [i * 7 for i in range(0, len(texts), 2)]
 
 
-def test_pairs_beyond_the_radius_are_kept():
-    # of one sketch, fingerprints 64 bits apart, among others that the tree joins
-    fps = np.asarray([0, 1, 3, 2**64 - 1] * 200, np.uint64)
-    sketch = np.repeat(np.random.default_rng(1).integers(0, 256, (200, near_dedup.SKETCH), dtype=np.uint8), 4, axis=0)
-    node, root = near_dedup._pairs(fps, np.full(800, 50), sketch, 0.8)
-    assert sorted(zip(node.tolist(), root.tolist())) == [(i, i - i % 4) for i in range(800) if i % 4]
+def test_links_do_not_depend_on_what_a_task_holds(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = []
+    for size in (60, 90):  # a large group of copies, many of them below the threshold to each other
+        words = [f"w{rng.randint(0, 10**6)}" for _ in range(120)]
+        for _ in range(size):
+            copy = list(words)
+            for _ in range(rng.choice([0, 1, 2, 3, 6])):
+                copy[rng.randrange(120)] = f"e{rng.randint(0, 10**6)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", "short", "short", " "]
+    want = [i * 7 for i in brute_near(texts)]
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(docs(spark, texts, True)).collect()) == want
+    monkeypatch.setattr(near_dedup, "SKETCHES", 20)
+    monkeypatch.setattr(near_dedup, "SHINGLES", 2000)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    assert sorted(r["doc_id"] for r in near_dedup.near_dedup(docs(spark, texts)).collect()) == want
+
+
+def test_trees_over_sketches_give_the_links_of_all_pairs():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 256, (150, near_dedup.SKETCH), dtype=np.uint8)
+    sketch = np.repeat(base, 6, axis=0)
+    for row in sketch:
+        row[rng.permutation(near_dedup.SKETCH)[: rng.integers(0, 30)]] = rng.integers(0, 256)
+    kernel, n = near_dedup.Sketches(0.8), np.full(len(sketch), 50)
+    a, b = components.forest(*kernel.within((n, sketch)))
+    agree = (sketch[:, None] == sketch[None]).sum(axis=2) >= near_dedup.AGREE
+    x, y = components.forest(*np.nonzero(agree))
+    assert len(x) > 600 and a.tolist() == x.tolist() and b.tolist() == y.tolist()
+
+
+def test_near_dedup_of_odd_tables(spark):
+    assert near_dedup.near_dedup(empty(spark)).count() == 0
+    df = spark.createDataFrame([(None, "a b c d e f g", 1), (3, "A b c d e f g", 2), (3, "a b c d e f g", 3), (4, None, 4)], "doc_id bigint, text string, row int")
+    assert sorted((r["doc_id"] or 0, r["row"]) for r in near_dedup.near_dedup(df).collect()) == [(0, 1), (4, 4)]
+
+
+@pytest.mark.parametrize("held", [5, 1 << 21])
+def test_components(spark, held):
+    rng = random.Random(2)
+    links = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(150)] + [(i, i + 1) for i in range(1000, 1100)]
+    a, b = components.forest(*np.asarray(links).T)
+    got = components.components(spark.createDataFrame(links, "a bigint, b bigint").repartition(7), held=held).collect()
+    assert sorted((r["node"], r["root"]) for r in got) == sorted(zip(a.tolist(), b.tolist()))
 
 
 def test_longest_previous_factors():
