@@ -63,3 +63,13 @@ def build_anchor(text: Column, quote: Column, context: int = 32) -> Column:
     """The anchor of the first exact occurrence of a quote, or null."""
     at = F.instr(text, quote) - 1
     return F.when((at >= 0) & (quote != ""), resolve_span(text, at, at + F.char_length(quote), context))
+
+
+REFERENCES = "array<struct<id:string,label:string,text:string,url:string>>"
+
+
+def stored_references(raw: Column) -> Column:
+    """References of stored JSON: those that have id, label and text; none of what is no JSON."""
+    read = F.from_json(raw, REFERENCES)
+    good = F.filter(read, lambda r: r["id"].isNotNull() & r["label"].isNotNull() & r["text"].isNotNull())
+    return F.coalesce(good, F.array().cast(REFERENCES))

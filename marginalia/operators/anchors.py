@@ -34,22 +34,20 @@ def resolve(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """
     b = blocks.select(F.col("id").alias("b_id"), F.col("document_id").alias("b_doc"), "ord", "text")
     own = anchors.join(b, (F.col("block_id") == F.col("b_id")) & (F.col("document_id") == F.col("b_doc")), "left")
-    exact = F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quoted")
+    exact = F.coalesce(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quoted"), F.lit(False))
     columns = anchors.columns
-    first = own.filter(F.coalesce(exact, F.lit(False))).select(*columns, F.col("block_id").alias("new_block_id"), F.col("start").alias("new_start"), F.col("end").alias("new_end"), F.lit(1).alias("rung"))
-    tried = own.filter(~F.coalesce(exact, F.lit(False))).withColumn("hit", match_quote("text", "quoted", "prefix", "suffix"))
-    second = tried.filter("hit.start IS NOT NULL").select(*columns, F.col("block_id").alias("new_block_id"), F.col("hit.start").alias("new_start"), F.col("hit.end").alias("new_end"), F.lit(2).alias("rung"))
-    missing = tried.filter("hit.start IS NULL").select(*columns)
+    # Python gets the texts of those alone that have moved
+    own = own.select(*columns, exact.alias("exact"), F.when(~exact, F.col("text")).alias("text"))
+    own = own.select(*columns, "exact", match_quote("text", "quoted", "prefix", "suffix").alias("own_hit"))
+    missing = own.filter("NOT exact AND own_hit.start IS NULL").select("id", "document_id", "block_id", "quoted", "prefix", "suffix", normalize(F.col("quoted")).alias("squeezed"))
     o = blocks.select(F.col("id").alias("o_id"), F.col("document_id").alias("o_doc"), F.col("ord").alias("o_ord"), F.col("text").alias("o_text"), normalize(F.col("text")).alias("o_squeezed"))
     may = (F.col("squeezed") != "") & F.contains("o_squeezed", "squeezed")  # holds for exact matches too
-    others = missing.withColumn("squeezed", normalize(F.col("quoted"))).join(o, (F.col("document_id") == F.col("o_doc")) & ~F.col("o_id").eqNullSafe(F.col("block_id")) & may)
+    others = missing.join(o, (F.col("document_id") == F.col("o_doc")) & ~F.col("o_id").eqNullSafe(F.col("block_id")) & may)
     hits = others.withColumn("hit", match_quote("o_text", "quoted", "prefix", "suffix")).filter("hit.start IS NOT NULL")
     best = hits.groupBy("id").agg(F.min_by(F.struct("o_id", "hit"), F.struct("o_ord", "o_id")).alias("best"))
-    rest = missing.join(best, "id", "left").select(
-        *columns, F.coalesce("best.o_id", "block_id").alias("new_block_id"), F.coalesce("best.hit.start", "start").alias("new_start"),
-        F.coalesce("best.hit.end", "end").alias("new_end"), F.when(F.col("best").isNull(), 4).otherwise(3).alias("rung"),
-    )
-    out = first.union(second).union(rest).withColumn("now_orphaned", F.col("rung") == 4)
+    rung = F.when(F.col("exact"), 1).when(F.col("own_hit.start").isNotNull(), 2).when(F.col("best").isNotNull(), 3).otherwise(4)
+    place = lambda c: F.when(F.col("exact"), F.col(c)).otherwise(F.coalesce(f"own_hit.{c}", f"best.hit.{c}", c))
+    out = own.join(best, "id", "left").select(*columns, F.coalesce("best.o_id", "block_id").alias("new_block_id"), place("start").alias("new_start"), place("end").alias("new_end"), rung.alias("rung")).withColumn("now_orphaned", F.col("rung") == 4)
     moved = ~(F.col("new_block_id").eqNullSafe(F.col("block_id"))) | (F.col("new_start") != F.col("start")) | (F.col("new_end") != F.col("end"))
     was = F.coalesce("orphaned", F.lit(False)) if "orphaned" in columns else F.lit(False)
     return out.withColumn("changed", moved | (was != F.col("now_orphaned")))
@@ -66,6 +64,11 @@ def healed(spans: DataFrame, blocks: DataFrame) -> DataFrame:
     return keep.union(again)
 
 
+def owned(asked: DataFrame, blocks: DataFrame) -> DataFrame:
+    """Requests (block_id, document_id) whose block is of the document that they name."""
+    return asked.join(blocks.select(F.col("id").alias("block_id"), "document_id"), ["block_id", "document_id"], "left_semi")
+
+
 def unorphaned(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """Anchors whose orphan flag goes where their slice equals the quote again (after a restore)."""
     b = blocks.select(F.col("id").alias("block_id"), "text")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marginalia.functions import json as J
-from marginalia.functions.text import clip
+from marginalia.functions.text import clip, normalize
 from marginalia.functions.udf import arrow
 
 # Output tokens of each kind of derivation, and of a corpus prompt.
@@ -138,9 +138,11 @@ def notebook_context(sections: DataFrame, notes: DataFrame) -> DataFrame:
     return g.select("notebook_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n\n").alias("notes"))
 
 
-def corpus_context(matches: DataFrame) -> Column:
-    """A match as a prompt's text, from columns id, section_id, similarity."""
-    return F.format_string("[note %s] (section: %s, similarity: %.2f)", F.col("id").cast("string"), F.col("section_id").cast("string"), F.col("similarity"))
+def corpus_context() -> Column:
+    """A note found in the corpus as a prompt's text, from columns id, notebook_title, section_title,
+    similarity and content."""
+    head = F.format_string("[note %s] (%s / %s, similarity %.2f)", F.col("id").cast("string"), F.col("notebook_title"), F.col("section_title"), F.col("similarity"))
+    return F.concat(head, F.lit("\n"), F.col("content"))
 
 
 # Actions that an assistant may plan.
@@ -185,19 +187,30 @@ def core_blocks(blocks: DataFrame, ranges: DataFrame) -> DataFrame:
 def restructured(blocks: DataFrame, ops: DataFrame) -> DataFrame:
     """Blocks after operations (document_id, ord, action, type): drop, retype, merge_up.
 
-    More drops than two fifths of a document count for nothing, with all else for that document.
-    A merge joins a paragraph to the paragraph before it.
+    Documents of fewer than 5 blocks, and operations past the first 500 blocks, are passed over.
+    More drops than two fifths of a document count for nothing, with all else for that document;
+    one of which nothing would be left stays as it is.  A merge joins a paragraph to the paragraph
+    before it; places of citations (array<struct<start,end,ref_id>>), if there are any, move along.
     """
     from pyspark.sql import Window
 
-    per = ops.groupBy("document_id", "ord").agg(F.max((F.col("action") == "drop").cast("int")).alias("drop"), F.max((F.col("action") == "merge_up").cast("int")).alias("merge"), F.max(F.when(F.col("action") == "retype", F.col("type"))).alias("retype"))
+    cited = "citations" in blocks.columns
+    per = ops.filter(F.col("ord") < LISTED).groupBy("document_id", "ord").agg(F.max((F.col("action") == "drop").cast("int")).alias("drop"), F.max((F.col("action") == "merge_up").cast("int")).alias("merge"), F.max(F.when(F.col("action") == "retype", F.col("type"))).alias("retype"))
     j = blocks.join(per, ["document_id", "ord"], "left").na.fill(0, ["drop", "merge"])
-    share = j.groupBy("document_id").agg((F.sum("drop") > F.count("*") * MOST_DROPPED).alias("refused"))
+    share = j.groupBy("document_id").agg(((F.count("*") < 5) | (F.sum("drop") > F.count("*") * MOST_DROPPED)).alias("refused"))
     j = j.join(share, "document_id").filter("refused OR drop = 0")
     can = ~F.col("refused") & F.col("type").isin("PARAGRAPH", "HEADING", "LIST", "CODE")
     j = j.withColumn("type", F.when(can & F.col("retype").isNotNull(), F.col("retype")).otherwise(F.col("type")))
     w = Window.partitionBy("document_id").orderBy("ord")
     up = ~F.col("refused") & (F.col("merge") == 1) & (F.col("type") == "PARAGRAPH") & (F.lag("type").over(w) == "PARAGRAPH")
     runs = j.withColumn("head", F.when(F.coalesce(up, F.lit(False)), 0).otherwise(1)).withColumn("run", F.sum("head").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    g = runs.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct("ord", "text"))).alias("x"), F.min_by("type", "ord").alias("type"))
-    return g.select("document_id", (F.col("run") - 1).alias("ord"), "type", F.array_join(F.transform("x", lambda r: r["text"]), " ").alias("text"))
+    fields = ["ord", "text", *(["citations"] if cited else [])]
+    g = runs.groupBy("document_id", "run").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("x"), F.min_by("type", "ord").alias("type"))
+    joined = F.when(F.size("x") > 1, normalize(F.array_join(F.transform("x", lambda r: r["text"]), " "))).otherwise(F.element_at("x", 1)["text"])
+    out = [F.col("document_id"), (F.col("run") - 1).alias("ord"), F.col("type"), joined.alias("text")]
+    if cited:
+        # texts are normalised, so a join is one space
+        begin = lambda i: F.aggregate(F.slice("x", F.lit(1), i), F.lit(0), lambda n, r: n + F.char_length(r["text"]) + 1)
+        shifted = lambda r, i: F.transform(F.coalesce(r["citations"], F.array().cast("array<struct<start:int,end:int,ref_id:string>>")), lambda c: F.struct((c["start"] + begin(i)).alias("start"), (c["end"] + begin(i)).alias("end"), c["ref_id"].alias("ref_id")))
+        out.append(F.flatten(F.transform("x", shifted)).alias("citations"))
+    return g.select(*out)

@@ -18,6 +18,15 @@ def with_counts(parents: DataFrame, children: DataFrame, key: str, name: str = "
     return parents.join(n, "id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
+def nested(parents: DataFrame, children: DataFrame, key: str, name: str) -> DataFrame:
+    """``parents`` (id) with the list of the children that ``key`` names, in the order of their other
+    columns; an empty one where there are none."""
+    fields = [c for c in children.columns if c != key]
+    lists = children.groupBy(F.col(key).alias("id")).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias(name))
+    none = F.array().cast(lists.schema[name].dataType)
+    return parents.join(lists, "id", "left").withColumn(name, F.coalesce(name, none))
+
+
 def renumbered(items: DataFrame, parents: list[str], order: list) -> DataFrame:
     """Places 0..n-1 among siblings; ties by id."""
     return items.withColumn("place", F.row_number().over(Window.partitionBy(*parents).orderBy(*order, "id")) - 1)
@@ -64,9 +73,18 @@ def first_edits(edits: DataFrame) -> DataFrame:
 
 
 def trailing_counts(rows: DataFrame, per: list[str], seconds: int = 86_400) -> DataFrame:
-    """Rows with the number of rows of their key in the window of time that ends with them."""
-    w = Window.partitionBy(*per).orderBy(F.unix_seconds(F.col("created_at").cast("timestamp"))).rangeBetween(-seconds, 0)
-    return rows.withColumn("trailing", F.count("*").over(w))
+    """Rows with the number of rows of their key in the window of time that ends with them.
+
+    Rows are counted by the second before they move.  Seconds are dealt out by stretches of the
+    window's length, each with the stretch before it, so no task sees more than two of them.
+    """
+    at = F.unix_seconds(F.col("created_at").cast("timestamp"))
+    counts = rows.groupBy(*per, at.alias("_at")).agg(F.count("*").alias("_n"))
+    stretch = F.floor(F.col("_at") / seconds)
+    both = counts.withColumn("_own", stretch).select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_stretch"))
+    w = Window.partitionBy(*per, "_stretch").orderBy("_at").rangeBetween(-seconds, 0)
+    found = both.withColumn("trailing", F.sum("_n").over(w)).filter("_own = _stretch").select(*per, "_at", "trailing")
+    return rows.withColumn("_at", at).join(found, [*per, "_at"]).select(*(F.col(c) for c in rows.columns), "trailing")
 
 
 def within_quota(rows: DataFrame, per: list[str], most: int = 50, seconds: int = 86_400) -> DataFrame:

@@ -86,10 +86,10 @@ def pdf_layout(spark, sf_dir):
     return P.pdf_blocks(_items(spark, sf_dir))
 
 
-@query("SELECT doc_id AS upload_id, sha256(text) AS file_hash, CASE WHEN length(text) >= 300 THEN 3 ELSE 2 END AS n_chunks FROM documents WHERE length(text) >= 20")
+@query("SELECT doc_id AS upload_id, sha256(coalesce(text, '')) AS file_hash, CASE WHEN length(text) >= 300 THEN 3 ELSE 2 END AS n_chunks FROM documents")
 def assembled_uploads(spark, sf_dir):
     """Staged chunks put together again (SRC8, SRC9)."""
-    d = S.table(spark, sf_dir, "documents").filter(F.char_length("text") >= 20).select(F.col("doc_id").alias("upload_id"), "text")
+    d = S.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("upload_id"), F.coalesce("text", F.lit("")).alias("text"))
     n = F.when(F.char_length("text") >= 300, 3).otherwise(2)
     cut = F.ceil(F.char_length("text") / n).cast("int")
     c = d.select("upload_id", F.explode(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(i.alias("idx"), F.encode(F.substring("text", (i * cut + 1).cast("int"), cut), "UTF-8").alias("data")))).alias("c")).select("upload_id", "c.*", F.lit(S.AS_OF).cast("timestamp_ntz").alias("created_at"))
@@ -160,7 +160,14 @@ def core_selection(spark, sf_dir):
     return D.core_blocks(b, r).select("id", "document_id", "ord")
 
 
-@query()
+@query("""
+    WITH b AS (SELECT document_id, ord, text, CASE WHEN ord < 500 THEN ord % 4 ELSE 0 END AS k, count(*) OVER (PARTITION BY document_id) AS n FROM {blocks} x),
+    d AS (SELECT *, n < 5 OR count(*) FILTER (WHERE k = 2) OVER (PARTITION BY document_id) > n * 0.4 AS refused FROM b),
+    t AS (SELECT *, CASE WHEN k = 3 AND NOT refused THEN 'HEADING' ELSE 'PARAGRAPH' END AS type FROM d WHERE refused OR k <> 2),
+    h AS (SELECT *, CASE WHEN NOT refused AND k = 1 AND type = 'PARAGRAPH' AND lag(type) OVER (PARTITION BY document_id ORDER BY ord) = 'PARAGRAPH' THEN 0 ELSE 1 END AS head FROM t),
+    r AS (SELECT *, sum(head) OVER (PARTITION BY document_id ORDER BY ord) AS run FROM h)
+    SELECT document_id, CAST(run - 1 AS BIGINT) AS ord, arg_min(type, ord) AS type, CASE WHEN count(*) > 1 THEN trim(regexp_replace(string_agg(text, ' ' ORDER BY ord), '\\s+', ' ', 'g'), ' ') ELSE min(text) END AS text FROM r GROUP BY document_id, run
+""")
 def restructured_blocks(spark, sf_dir):
     """Blocks after a model's drops, retypings and merges (PAR15)."""
     b = S.blocks(spark, sf_dir).select("document_id", "ord", "type", "text")

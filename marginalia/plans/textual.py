@@ -52,10 +52,10 @@ def similarity_to_first(spark, sf_dir):
     return e.join(F.broadcast(one)).select("id", F.round(V.cosine_similarity(F.col("embedding"), F.col("e0")), 6).alias("similarity"))
 
 
-@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding[1:8], lambda x: format('{:.6f}', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings")
+@query("SELECT vec_id AS id, '[' || array_to_string(list_transform(embedding, lambda x: format('{:.6f}', CAST(x AS DOUBLE))), ',') || ']' AS literal FROM embeddings")
 def vector_literals(spark, sf_dir):
     """Vectors as text with six decimals (STR30)."""
-    return S.embeddings(spark, sf_dir).select("id", T.vector_literal(F.slice("embedding", 1, 8)).alias("literal"))
+    return S.embeddings(spark, sf_dir).select("id", T.vector_literal(F.col("embedding")).alias("literal"))
 
 
 @query("""

@@ -14,15 +14,29 @@ IMAGE_TYPES = ("image/png", "image/jpeg", "image/gif", "image/webp")
 def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     """Files with PDF's magic bytes, within the size limit: path, title, file_hash, content."""
     found = spark.read.format("binaryFile").load(path).filter(F.col("length") <= PDF_BYTES)
-    return found.filter(F.substring("content", 1, 5) == F.lit(b"%PDF-")).select(
+    return found.filter(is_pdf(F.col("content"))).select(
         "path", F.regexp_replace(F.substring_index("path", "/", -1), r"(?i)\.pdf$", "").alias("title"), F.sha2("content", 256).alias("file_hash"), "content"
     )
 
 
+def is_pdf(content: Column, most: Column | None = None) -> Column:
+    """Whether bytes begin as a PDF does and are within the limit."""
+    return (F.substring(content, 1, 5) == F.lit(b"%PDF-")) & (F.octet_length(content) <= (F.lit(PDF_BYTES) if most is None else most))
+
+
 def ndjson(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """JSON values, one a line; blank lines are skipped, lines that are none are rows of null."""
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json(F.trim("value"), schema).alias("v")).select("v.*")
+    return ndjson_values(spark.read.text(path), schema)
+
+
+def ndjson_values(lines: DataFrame, schema: str) -> DataFrame:
+    """The JSON values of lines (value); blank lines are skipped, lines that are none are rows of null."""
+    return lines.filter(F.trim("value") != "").select(F.from_json(F.trim("value"), schema).alias("v")).select("v.*")
+
+
+def ndjson_line(rows: DataFrame, *columns: str) -> Column:
+    """Columns of a row as one line of JSON."""
+    return F.to_json(F.struct(*(rows[c] for c in columns)))
 
 
 def stage_chunks(staged: DataFrame, chunks: DataFrame) -> DataFrame:
