@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import json as J
 from marginalia.functions.text import clip, normalize
 from marginalia.functions.udf import arrow
+from marginalia.operators.outline import section_labels
 
 # Output tokens of each kind of derivation, and of a corpus prompt.
 MAX_TOKENS = {"EXPLAIN": 1024, "SIMPLIFY": 1024, "SALIENCE": 4096, "EXTRACT": 2048, "SUMMARIZE": 2048, "SYNTHESIS": 8192}
@@ -138,6 +139,60 @@ def notebook_context(sections: DataFrame, notes: DataFrame) -> DataFrame:
     return g.select("notebook_id", F.array_join(F.transform("x", lambda r: r["line"]), "\n\n").alias("notes"))
 
 
+@arrow("array<boolean>")
+def fitting(sizes: pd.Series, budget: pd.Series) -> pd.Series:
+    """For each size in order whether it fits what is left of a budget; one that does not is passed
+    over, and later smaller ones may still fit."""
+    out = []
+    for own, left in zip(sizes, budget):
+        kept = []
+        for n in own:
+            kept.append(bool(left - n > 0))
+            left -= n if kept[-1] else 0
+        out.append(kept)
+    return pd.Series(out, dtype=object)
+
+
+def notebook_prompt(notebooks: DataFrame, attachments: DataFrame, documents: DataFrame, blocks: DataFrame, sections: DataFrame, notes: DataFrame, sources: DataFrame, budget: int = CORPUS_CHARS) -> DataFrame:
+    """All that a notebook (id) holds as a prompt's text: notebook_id, content, kept, cut.
+
+    Documents stand in full, in the order of ids, under one budget of characters; cuts are declared.
+    Then come the outline of visible sections and the accepted notes with the first 80 characters of
+    what they quote.  ``attachments`` has notebook_id and document_id, ``sources`` note_id,
+    document_id, ord and quoted.  Only sizes of blocks are gathered for a notebook; the texts that
+    are gathered are within the budget.
+    """
+    a = attachments.select("notebook_id", "document_id").distinct()
+    r = blocks.select("document_id", "ord", rendered_blocks().alias("r"))
+    sizes = a.join(r.select("document_id", "ord", F.char_length("r").alias("n")), "document_id")
+    ordered = sizes.groupBy("notebook_id").agg(F.array_sort(F.collect_list(F.struct("document_id", "ord", "n"))).alias("x"))
+    fits = ordered.withColumn("fits", fitting(F.transform("x", lambda b: b["n"].cast("bigint")), F.lit(budget).cast("bigint")))
+    each = fits.select("notebook_id", F.explode(F.arrays_zip("x", "fits")).alias("z")).select("notebook_id", "z.x.document_id", "z.x.ord", F.col("z.fits").alias("fits"))
+    cut = each.groupBy("notebook_id", "document_id").agg(F.count_if(~F.col("fits")).alias("cut"), F.count_if("fits").alias("kept"))
+    kept = each.filter("fits").join(r, ["document_id", "ord"]).groupBy("notebook_id", "document_id").agg(F.array_sort(F.collect_list(F.struct("ord", "r"))).alias("b"))
+    titled = a.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id").join(cut, ["notebook_id", "document_id"], "left").join(kept, ["notebook_id", "document_id"], "left")
+    declared = F.when(F.col("cut") > 0, F.array(F.concat(F.lit("["), F.col("cut").cast("string"), F.lit(" more blocks of this document were cut for length]")))).otherwise(F.array().cast("array<string>"))
+    lines = F.concat(F.array(F.concat(F.lit("## Document: "), F.col("title"))), F.coalesce(F.transform("b", lambda b: b["r"]), F.array().cast("array<string>")), declared)
+    docs = titled.select("notebook_id", "document_id", F.array_join(lines, "\n\n").alias("t"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("cut", F.lit(0)).alias("cut"))
+    docs = docs.groupBy("notebook_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("document_id", "t"))), lambda x: x["t"]), "\n\n---\n\n").alias("documents"), F.sum("kept").alias("kept"), F.sum("cut").alias("cut"))
+
+    label = section_labels(sections).filter("NOT hidden").select("notebook_id", "ord", "id", F.concat(F.lit("- "), "label").alias("line"))
+    outline = label.groupBy("notebook_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "id", "line"))), lambda x: x["line"]), "\n").alias("outline"))
+
+    quote = F.concat(F.lit('"'), F.left("quoted", F.lit(80)), F.lit('" ('), "title", F.lit(")"))
+    cited = sources.join(documents.select(F.col("id").alias("document_id"), "title"), "document_id").select("note_id", "ord", quote.alias("q"))
+    cited = cited.groupBy("note_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "q"))), lambda x: x["q"]), "; ").alias("cited"))
+    s = sections.select(F.col("id").alias("section_id"), "notebook_id", F.col("ord").alias("section_ord"), F.when(F.col("hidden"), "Annotations").otherwise(F.col("title")).alias("label"))
+    n = notes.filter("status = 'ACCEPTED'").select(F.col("id").alias("note_id"), "section_id", "content").join(s, "section_id").join(cited, "note_id", "left")
+    line = F.concat(F.lit("[note "), F.col("note_id").cast("string"), F.lit("] (section: "), F.col("label"), F.lit(")\n"), F.col("content"), F.lit("\nsources: "), F.coalesce("cited", F.lit("none")))
+    texts = n.groupBy("notebook_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("section_ord", "section_id", "note_id", line.alias("line")))), lambda x: x["line"]), "\n\n").alias("notes"))
+
+    j = notebooks.select(F.col("id").alias("notebook_id")).join(docs, "notebook_id", "left").join(outline, "notebook_id", "left").join(texts, "notebook_id", "left")
+    part = lambda head, c, none: F.concat(F.lit(head + "\n"), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(none)))
+    content = F.concat_ws("\n\n", F.lit("A reader's documents and notes. Cite what you use by its tag."), part("Documents:", "documents", "(none)"), part("Sections:", "outline", "(none)"), part("Notes:", "notes", "(none)"))
+    return j.select("notebook_id", content.alias("content"), F.coalesce("kept", F.lit(0)).alias("kept"), F.coalesce("cut", F.lit(0)).alias("cut"))
+
+
 def corpus_context() -> Column:
     """A note found in the corpus as a prompt's text, from columns id, notebook_title, section_title,
     similarity and content."""

@@ -51,7 +51,7 @@ def page_references(spark, sf_dir):
     return H.pruned_references(refs, refs.select("id", "ref_id").filter("ref_id <> 'r9'"))
 
 
-@query()
+@query("SELECT id, text, CASE WHEN trim(x) = '' THEN [] ELSE [(10 + length(x) - length(ltrim(x))) || ':' || (10 + length(rtrim(x))) || ':r1'] END AS citations FROM (SELECT id, text, substring(text, 11, 8) AS x FROM {blocks} b)")
 def lifted_citations(spark, sf_dir):
     """Citation marks lifted out of texts as spans (REF7, REF8, STR18)."""
     b = S.blocks(spark, sf_dir)
@@ -59,7 +59,7 @@ def lifted_citations(spark, sf_dir):
     return H.lifted(b.withColumn("text", marked)).select("id", "text", F.transform("citations", lambda c: F.concat_ws(":", c["start"].cast("string"), c["end"].cast("string"), c["ref_id"])).alias("citations"))
 
 
-@query()
+@query("SELECT id AS block_id, length(text) + 1 AS start, length(text) + 4 AS \"end\", 'r1' AS ref_id, '[1]' AS quoted FROM {blocks} b UNION ALL SELECT id, length(text) + 9, length(text) + 15, 'r2', '[2, 7]' FROM {blocks} b")
 def bracket_citations(spark, sf_dir):
     """Numbers in brackets by the entries they name (REF9)."""
     b = S.blocks(spark, sf_dir).select(F.col("id").alias("block_id"), F.col("document_id").alias("id"), F.concat("text", F.lit(" [1] and [2, 7] and [9]")).alias("text"))
@@ -97,13 +97,18 @@ def assembled_uploads(spark, sf_dir):
     return files.assembled(staged).filter("ok").select("upload_id", F.sha2("content", 256).alias("file_hash"), F.col("n_chunks").cast("int").alias("n_chunks"))
 
 
-@query()
+@query(f"""
+    SELECT document_id AS id, sha256('A reader is studying the document below. Each block begins with its tag.' || chr(10) || chr(10) || 'Title: ' || arg_min(text, ord) || chr(10) || chr(10)
+        || string_agg('[block ' || id || '] (PARAGRAPH)' || chr(10) || text, chr(10) || chr(10) ORDER BY ord) || chr(10) || chr(10) || '{D.PROMPTS["EXPLAIN"]}') AS prompt_sha256 FROM {{blocks}} b GROUP BY document_id
+""")
 def document_prefixes(spark, sf_dir):
     """The shared beginning of a document's prompts (DER1, DER5, DER6)."""
     return D.prompts(D.document_prefix(S.documents(spark, sf_dir), S.blocks(spark, sf_dir)), "EXPLAIN").select("id", F.sha2("prompt", 256).alias("prompt_sha256"))
 
 
-@query()
+@query("""
+    SELECT document_id, id AS block_id, 0 AS start, least(60, length(text)) AS "end", left(text, 60) AS quoted FROM {blocks} b WHERE ord < 5 AND trim(left(text, 60)) <> ''
+""")
 def stub_salience(spark, sf_dir):
     """Salient spans by a stub model, with one retry (DER7, DER8, DER11, UDF2)."""
     d = S.documents(spark, sf_dir)
@@ -142,6 +147,20 @@ def notebook_contexts(spark, sf_dir):
 
 
 @query()
+def notebook_prompts(spark, sf_dir):
+    """Notebooks' documents under the budget, outline and notes as a prompt's text (AST1, AST2, AGG17)."""
+    cited = S.sources(spark, sf_dir).withColumn("quoted", F.concat("quoted", F.lit(" quoted")))
+    got = D.notebook_prompt(S.notebooks(spark, sf_dir), S.notebook_documents(spark, sf_dir), S.documents(spark, sf_dir), S.blocks(spark, sf_dir), S.sections(spark, sf_dir), S.notes(spark, sf_dir), cited)
+    return got.select("notebook_id", F.char_length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"), "kept", "cut")
+
+
+@query(f"""
+    WITH a AS (SELECT id AS seq, {[*D.ACTIONS, "fly"]}[id % 11 + 1] AS type, (id % 1000) || ':0' AS block_id, section_id, id * CASE WHEN id % 3 = 0 THEN 1000003 ELSE 1 END AS note_id FROM {{notes}} n),
+    j AS (SELECT a.*, b.text, strpos(b.text, 'the') - 1 AS pos, s.id AS s, n.id AS n FROM a LEFT JOIN {{blocks}} b ON b.id = a.block_id LEFT JOIN {{sections}} s ON s.id = a.section_id LEFT JOIN {{notes}} n ON n.id = a.note_id)
+    SELECT seq, type, CASE WHEN type = 'fly' THEN 'unknown action' WHEN type IN ('highlight', 'comment', 'link', 'edit_block', 'format_block') AND text IS NULL THEN 'unknown block'
+        WHEN type IN ('highlight', 'comment', 'link') AND pos < 0 THEN 'quote not found' WHEN type IN ('create_note', 'move_note') AND s IS NULL THEN 'unknown section' WHEN type IN ('move_note', 'accept_note', 'reject_note') AND n IS NULL THEN 'unknown note' END AS warning,
+        CASE WHEN type IN ('highlight', 'comment', 'link') AND pos >= 0 THEN pos END AS start, CASE WHEN type IN ('highlight', 'comment', 'link') AND pos >= 0 THEN pos + 3 END AS "end" FROM j
+""")
 def planned_actions(spark, sf_dir):
     """An assistant's actions with what is wrong with them (AST8, AST10)."""
     k = F.col("id")
@@ -152,7 +171,11 @@ def planned_actions(spark, sf_dir):
     return D.plan(a, S.blocks(spark, sf_dir), S.sections(spark, sf_dir), S.notes(spark, sf_dir)).select("seq", "type", "warning", "start", "end")
 
 
-@query()
+@query("""
+    WITH k AS (SELECT *, ord BETWEEN 1 AND document_id % 9 + 2 OR ord >= 500 AS keep FROM {blocks} b),
+    g AS (SELECT *, count(*) OVER w >= 5 AND count(*) FILTER (WHERE keep) OVER w >= 3 AND sum(CASE WHEN keep THEN length(text) ELSE 0 END) OVER w >= 400 AS good FROM k WINDOW w AS (PARTITION BY document_id))
+    SELECT id, document_id, ord FROM g WHERE keep OR NOT good
+""")
 def core_selection(spark, sf_dir):
     """Blocks that a model's ranges keep, with the guards (PAR14, ARR6)."""
     b = S.blocks(spark, sf_dir)

