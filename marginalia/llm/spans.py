@@ -144,25 +144,6 @@ class Ids:
         return [t.id for t in self.model.tokenize(chars)]
 
 
-class Counter:
-    """Number of tokens of texts, by pieces."""
-
-    def __init__(self, path: str):
-        ids = Ids(path)
-        self.rule = ids.rule
-        self.raw = Pieces(lambda s: len(ids(s)))
-        lead = " " if self.rule == "led" else ""
-        self.bare = Pieces(lambda s: len(ids(lead + s)))
-
-    def __call__(self, text: str) -> int:
-        if self.rule == "whole":
-            return self.raw.give(text)
-        if self.rule == "led" and _BLANK_SPACE.search(text):
-            return sum(map(self.raw.__getitem__, led_pieces(text)))
-        first, *rest = text.split(" ")
-        return self.raw[first] + sum(map(self.bare.__getitem__, rest))
-
-
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers, by pieces."""
 

@@ -1,93 +1,118 @@
-"""Token counts by a compiled finite-state transducer.
-
-The transducer reads characters.  Its state is whether the last one was white space, with the
-piece that is open; the transition from "not white space" on a space closes the piece and carries
-the number of tokens that it emits.  These annotations are compiled on first use, from the
-tokenizer's own merges, and held in a table.  Long texts are cut into chunks of any position: a
-chunk is summed up as a map from what is open before it to what is open after it and the tokens
-emitted between.  Such maps compose associatively, so a text's counts come from a parallel prefix
-scan over its chunks.
+"""Token counts by a transducer compiled from the tokenizer's merges.
+
+Texts are cut into chunks of CHUNK bytes.  A chunk is summed up as a map from the state that the
+transducer is in before it to the state after it and the tokens counted between: up to its first
+reset (the beginning of a piece) the map depends on the state, from there on it is one number.  Such
+maps compose associatively, so the counts of a text come from a parallel prefix scan over its
+chunks.  What lies between resets runs side by side for a block of texts at a time.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.spans import Counter, kept, led_pieces
+from marginalia.llm.spans import kept
+from marginalia.llm.transducer import BLOCK, STATES, Transducer, piece_starts
 
-CHUNK = 1 << 16
+CHUNK = 1 << 14
 
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to an open piece: with ``closed`` unset it only lengthens it by ``head``;
-    otherwise ``head`` ends it, ``emitted`` tokens follow and ``tail`` is open at the end."""
+    """``head`` runs on from the state before; then, if the chunk has a reset, ``emitted`` tokens
+    follow and ``state`` is the last; otherwise the state after the head is."""
 
-    head: str
+    head: bytes
     emitted: int = 0
-    tail: str = ""
-    closed: bool = False
+    state: int = 0
+    reset: bool = False
 
 
-def chunk_map(text: str, count: Counter) -> ChunkMap:
-    pieces = led_pieces(text)
-    if len(pieces) == 1:
-        return ChunkMap(text)
-    return ChunkMap(pieces[0], sum(map(count.raw.__getitem__, pieces[1:-1])), pieces[-1], True)
+def compose(a: ChunkMap, b: ChunkMap, machine: Transducer) -> ChunkMap:
+    """First ``a``, then ``b``."""
+    if not a.reset:
+        return ChunkMap(a.head + b.head, b.emitted, b.state, b.reset)
+    added, state = machine.run(b.head, a.state)
+    return ChunkMap(a.head, a.emitted + added + b.emitted, b.state if b.reset else state, True)
 
 
-def compose(a: ChunkMap, b: ChunkMap, count: Counter) -> ChunkMap:
-    """First ``a``, then ``b``."""
-    if not a.closed and not b.closed:
-        return _opened(a.head + b.head, b.head, count)
-    if not a.closed:
-        head = _opened(a.head + b.head, b.head, count)
-        return ChunkMap(head.head, head.emitted + (count(head.tail) if head.closed else 0) + b.emitted, b.tail, True)
-    if not b.closed:
-        tail = _opened(a.tail + b.head, b.head, count)
-        if not tail.closed:
-            return ChunkMap(a.head, a.emitted, tail.head, True)
-        return ChunkMap(a.head, a.emitted + count(tail.head) + tail.emitted, tail.tail, True)
-    return ChunkMap(a.head, a.emitted + count(a.tail + b.head) + b.emitted, b.tail, True)
-
-
-def _opened(joined: str, later: str, count: Counter) -> ChunkMap:
-    """Two open runs put together: the seam closes a piece if a space follows another character."""
-    at = len(joined) - len(later)
-    if later[:1] == " " and at and not joined[at - 1].isspace():
-        return ChunkMap(joined[:at], 0, later, True)
-    return ChunkMap(joined)
-
-
-def prefix_scan(maps: list[ChunkMap], count: Counter) -> list[ChunkMap]:
+def prefix_scan(maps: list[ChunkMap], machine: Transducer) -> list[ChunkMap]:
     """Compositions of every prefix, by doubling: log2(n) rounds whose steps are independent."""
     out, step = list(maps), 1
     while step < len(out):
-        out = [compose(out[i - step], m, count) if i >= step else m for i, m in enumerate(out)]
+        out = [compose(out[i - step], m, machine) if i >= step else m for i, m in enumerate(out)]
         step *= 2
     return out
 
 
-def closed_count(m: ChunkMap, count: Counter) -> int:
-    return count(m.head) + m.emitted + (count(m.tail) if m.closed else 0)
-
-
-def n_tokens(text: str, count: Counter, chunk: int = CHUNK) -> int:
-    if len(text) <= chunk or count.rule != "led":
-        return count(text)
-    maps = [chunk_map(text[i : i + chunk], count) for i in range(0, len(text), chunk)]
-    return closed_count(reduce(lambda a, b: compose(a, b, count), maps), count)
-
-
-def running_counts(text: str, count: Counter, chunk: int = CHUNK) -> list[int]:
-    """Tokens of the text up to the end of each chunk, as if it ended there."""
-    maps = [chunk_map(text[i : i + chunk], count) for i in range(0, len(text), chunk)]
-    return [closed_count(m, count) for m in prefix_scan(maps, count)]
+def chunk_maps(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[list[ChunkMap]]:
+    """The maps of the chunks of each text, at least one; texts hold no added tokens."""
+    if len(machine.states) > STATES:
+        machine.clear()
+    raws, flags = [], []
+    for t in texts:
+        raw = t.encode()
+        raws.append(raw)
+        codes = np.frombuffer(t.encode("utf-32-le"), "<u4")
+        start = piece_starts(t, codes, machine.classes(codes))
+        if len(raw) != len(codes):
+            width = 1 + (codes >= 0x80) + (codes >= 0x800) + (codes >= 0x10000)
+            at = np.zeros(len(raw), bool)
+            at[(np.cumsum(width) - width)[start]] = True
+            start = at
+        flags.append(start)
+    data, reset = np.frombuffer(b"".join(raws), np.uint8), np.concatenate([*flags, np.zeros(0, bool)])
+    sizes = np.asarray([len(r) for r in raws], np.int64)
+    first = np.cumsum(sizes) - sizes
+    cuts = np.concatenate([np.arange(f, f + max(n, 1), chunk) for f, n in zip(first.tolist(), sizes.tolist())])
+    chunks_of = -(-np.maximum(sizes, 1) // chunk)
+    # runs between resets and cuts; those that no reset begins are heads, left to the scan
+    begin = reset.copy()
+    begin[cuts[cuts < len(data)]] = True
+    begins = np.flatnonzero(begin)
+    lengths = np.diff(np.append(begins, len(data)))
+    whole = reset[begins]
+    tokens, states = machine.lanes(data, begins[whole], lengths[whole])
+    edges = np.searchsorted(begins[whole], np.append(cuts, len(data)))
+    summed = np.concatenate([[0], np.cumsum(tokens)])
+    maps = []
+    for c, (i, j) in zip(cuts.tolist(), zip(edges.tolist(), edges[1:].tolist())):
+        k = int(np.searchsorted(begins, c))
+        head = b"" if k >= len(begins) or whole[k] else data[c : c + int(lengths[k])].tobytes()
+        maps.append(ChunkMap(head, int(summed[j] - summed[i]), int(states[j - 1]) if j > i else 0, j > i))
+    ends = np.cumsum(chunks_of)
+    return [maps[b - n : b] for b, n in zip(ends.tolist(), chunks_of.tolist())]
+
+
+def counts(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[int]:
+    """Tokens of whole texts, as the tokenizers library gives them.
+
+    A tokenizer that the transducer does not express is asked itself.
+    """
+    if not machine.able:
+        return [len(machine.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+    total, parts, owner = [0] * len(texts), [], []
+    for i, t in enumerate(texts):
+        # strings of added tokens are one token each, and part what surrounds them
+        own = machine.added.split(t) if machine.added else [t]
+        total[i] += len(own) - 1
+        parts += own
+        owner += [i] * len(own)
+    at = 0
+    while at < len(parts):
+        size, end = 0, at
+        while end < len(parts) and (end == at or size + len(parts[end]) <= BLOCK):
+            size += len(parts[end])
+            end += 1
+        for i, maps in zip(owner[at:end], chunk_maps(parts[at:end], machine, chunk)):
+            total[i] += prefix_scan(maps, machine)[-1].emitted
+        at = end
+    return total
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -101,10 +126,10 @@ def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str =
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
-        count = kept(Counter, tokenizer)
+        machine = kept(Transducer, tokenizer)
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            n = [n_tokens(t, count) for t in texts]
+            n = counts(texts, machine)
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([len(t.encode()) for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())],
                 names=[key, "n_bytes", "n_tokens", "over_limit"],
