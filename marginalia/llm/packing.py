@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of a bin, documents packed by one task at a time, bits of a bin's bitmaps.
-CAPACITY, GROUP, SOURCE_BITS, CLUSTER_BITS = 16_384, 4_000, 64, 4_096
+#: Bytes of a bin, documents packed by one task at a time.
+CAPACITY, GROUP = 16_384, 4_000
 
 
 class Bins:
@@ -23,17 +23,17 @@ class Bins:
     def __init__(self, capacity: int, smallest: int):
         self.capacity, self.smallest = capacity, max(1, smallest)
         self.order: list[tuple[int, int]] = []  # (what is left, bin) of open bins
-        self.sources: list[int] = []  # bitmaps of each bin
+        self.sources: list[int] = []  # bitmaps of each bin, a bit for each source and cluster of the group
         self.clusters: list[int] = []
         self.searched: tuple = (None, 0)
 
     def place(self, size: int, source: int, cluster: int) -> int:
         """The bin that a document goes to.
 
-        A negative source or cluster conflicts with nothing; bits that collide only rule out more.
+        A negative source or cluster conflicts with nothing.
         """
-        bit = 1 << source % SOURCE_BITS if source >= 0 else 0
-        mark = 1 << cluster % CLUSTER_BITS if cluster >= 0 else 0
+        bit = 1 << source if source >= 0 else 0
+        mark = 1 << cluster if cluster >= 0 else 0
         same, start = (size, source, cluster), size
         if (bit or mark) and self.searched[0] == same:
             start = self.searched[1]  # bins that an equal document could not enter stay closed to this one
