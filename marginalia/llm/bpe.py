@@ -3,9 +3,9 @@
 A rolling hash over the last characters cuts texts where their content says so, so that passages
 shared by documents give the same chunks wherever they stand.  A worker encodes each distinct chunk
 once.  A cut can fall inside a token, so every join is repaired: the last run of the left chunk and
-the first of the right are encoded again together, taking in further runs until a boundary of the
-new encoding agrees with one of the right chunk.  Runs begin where the tokenizer always cuts (see
-``spans``), so agreement there is exact.
+the first of the right are encoded again together, and the stretch is widened by a run on each side
+until its encoding agrees with those of the chunks at both ends.  Runs begin where the tokenizer
+always cuts (see ``spans``), so what agrees there is exact.
 """
 
 from __future__ import annotations
@@ -20,8 +20,10 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.spans import Encoder, kept, led_pieces
 
-#: Characters the rolling hash looks back on, and the bits that must be zero at a cut.
+#: Characters the rolling hash looks back on, the bits that must be zero at a cut, characters held.
 WINDOW, MASK, CACHE_CHARS = 8, np.uint32(0x3FF00000), 24_000_000
+#: Runs that a chunk keeps apart at each end.
+EDGE = 4
 _FACTORS = [np.uint32(pow(0x9E3779B1, i, 1 << 32)) for i in range(1, WINDOW + 1)]
 
 
@@ -37,16 +39,18 @@ def cuts(text: str) -> list[int]:
 
 
 class Chunks:
-    """Encodings of distinct chunks: first run, ids of the runs between, last run."""
+    """Encodings of distinct chunks: the first runs with their ids, the ids of the runs between,
+    the last runs with theirs."""
 
     def __init__(self, path: str):
-        self.encode, self.held, self.size = kept(Encoder, path), {}, 0
+        self.encode, self.held, self.size, self.widened = kept(Encoder, path), {}, 0, 0
 
-    def __getitem__(self, chunk: str) -> tuple[str, bytes, str | None]:
+    def __getitem__(self, chunk: str) -> tuple[list, bytes, list]:
         found = self.held.get(chunk)
         if found is None:
-            runs = led_pieces(chunk)
-            found = (runs[0], b"".join(map(self.encode.raw.__getitem__, runs[1:-1])), runs[-1] if len(runs) > 1 else None)
+            runs = [(r, self.encode.raw[r]) for r in led_pieces(chunk)]
+            few = len(runs) <= 2 * EDGE
+            found = (runs, b"", []) if few else (runs[:EDGE], b"".join(ids for _, ids in runs[EDGE:-EDGE]), runs[-EDGE:])
             self.size += 2 * len(chunk)
             if self.size > CACHE_CHARS:
                 self.held.clear()
@@ -58,17 +62,39 @@ class Chunks:
         """Ids of a whole text as little-endian unsigned 32-bit integers."""
         if self.encode.rule != "led":
             return self.encode(text)
-        out, pending, at = [], "", [*cuts(text), len(text)]
+        out: list[bytes] = []
+        tail: list[tuple[str, bytes]] = []  # runs whose end a join may still change
+        at = [*cuts(text), len(text)]
         for a, b in zip(at, at[1:]):
             if a == b:
                 continue
-            first, ids, last = self[text[a:b]]
-            pending += first
-            if last is not None:  # the right chunk has a boundary of its own: agreement
-                out += (self.encode(pending), ids)
-                pending = last
-        out.append(self.encode(pending))
-        return b"".join(out)
+            first, between, last = self[text[a:b]]
+            tail = self.joined(out, tail, first) if tail else first
+            if last:
+                out += [*(ids for _, ids in tail), between]
+                tail = last
+        return b"".join([*out, *(ids for _, ids in tail)])
+
+    def joined(self, out: list[bytes], tail: list, first: list) -> list:
+        """Repair the join of two lists of runs.  What is settled is added to ``out``; the runs that
+        the next join may change are returned."""
+        for k in range(1, len(first) + 1):
+            left, right = tail[-k:], first[:k]
+            ids = self.encode("".join(r for r, _ in (*left, *right)))
+            if k == 1 == len(first):  # the run goes on in the next chunk
+                out += [x for _, x in tail[:-1]]
+                return [(left[0][0] + right[0][0], ids)]
+            if k == 1:  # both encodings stand as they are
+                agree = ids == left[0][1] + right[0][1]
+            else:  # left of the first run, all is settled
+                agree = (k > len(tail) or ids.startswith(left[0][1])) and ids.endswith(right[-1][1])
+            if agree:
+                out += [x for _, x in tail[:-k]]
+                out.append(ids[: len(ids) - len(right[-1][1])])
+                return first[k - 1 :]
+            self.widened += 1
+        whole = "".join(r for r, _ in (*tail, *first))  # no end agrees: one run to the next join
+        return [(whole, self.encode(whole))]
 
 
 class Decoder:
