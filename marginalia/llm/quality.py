@@ -65,7 +65,8 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
     """Softmax regression over mean vectors, both learned, by gradient descent in small batches."""
     rng = np.random.default_rng(seed)
     m = Model(rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32), rng.uniform(-1, 1, (2, DIM)).astype(np.float32), np.zeros(2, np.float32))
-    if not len(labels):
+    if not len(labels):  # nothing to learn from: every score is 0.5
+        m.layer[:] = 0
         return m
     steps, done = EPOCHS * -(-len(labels) // BATCH), 0
     for _ in range(EPOCHS):
@@ -86,7 +87,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             p /= p.sum(axis=1, keepdims=True)
             err = p.copy()
             err[np.arange(len(own)), labels[own]] -= 1  # of the cross entropy by the outputs
-            back = err @ m.layer
             m.layer -= rate / len(own) * err.T @ mean
             m.bias -= rate / len(own) * err.sum(axis=0)
             # with two classes err has one degree of freedom: one number for each feature
@@ -94,7 +94,6 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, seed: i
             pull = np.bincount(ids, share * err[doc, 1], BUCKETS)
             touched = np.flatnonzero(pull)
             m.vectors[touched] -= (rate * pull[touched, None] * direction).astype(np.float32)
-            del back
     return m
 
 
@@ -165,7 +164,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, text: str = "text", key:
     """key, held_out, score, predicted for every row of ``docs``.
 
     Only the text decides a score; equal rows give equal rows, an empty table none.  A null key is
-    held out.
+    held out.  Without labelled rows to learn from every score is 0.5.
     """
     rows = docs.select(F.col(key), F.col(text).alias("text"))
     out = scored(rows, fit(docs, labels, text=text, key=key))
