@@ -1,27 +1,28 @@
-"""Removal of long repeated passages by anchors and ranks of prefixes.
+"""Removal of long repeated passages by longest previous factors of anchored stretches of text.
 
 The longest previous factor of a position is the longest match of what starts there with what
 starts at an earlier position.  In suffix order the best earlier match stands at the previous or
 the next smaller position, so the array comes from a suffix array by a stack of smaller values.
 
 A suffix array over a whole corpus cannot be sharded, and is not needed: only matches of ``length``
-bytes count.  So
+bytes count, so the arrays are cut off at that length and built over stretches that can match.
 
 * every text is winnowed: of the hashes of each ``length - GRAM + 1`` neighbouring grams of GRAM
   bytes the least is an anchor, so that two equal strings of ``length`` bytes hold equal anchors;
 * anchors that occur once are dropped; for the others, the CONTEXT around an anchor holds every
   string of ``length`` bytes whose anchor it is;
-* occurrences with equal contexts repeat in full, and take part in the rest as one;
-* differing contexts of one anchor come together, and ranks of their prefixes of ``length`` bytes
-  tell which strings repeat, comparing bytes, not hashes (a longest previous factor counts only if
-  it reaches that length, so the array itself is not built);
+* occurrences with equal contexts (the same anchor and the same 128-bit BLAKE2b digest of the
+  context) repeat in full, and take part in the rest as one;
+* differing contexts of one anchor come together.  Their suffixes are put in the order of their
+  first ``length`` bytes, by prefix doubling, and of their positions among equals; previous smaller
+  positions in that order give the longest previous factors, cut off at ``length``;
 * anchors with more differing contexts than one task should hold are dealt out by the strings
-  themselves instead, hashed with 128 bits.
+  themselves instead, by 128-bit digests, which find the same repeats.
 
 A length can also be one of words: then a text is a sequence of words and of the white space between
 them, and ``length`` and GRAM count these symbols, 2 n - 1 for n words.
 
-The result is exact over all documents, and no step gathers a group of unbounded size.
+No step gathers a group of unbounded size.
 """
 
 from __future__ import annotations
@@ -118,12 +119,26 @@ def _common(text: np.ndarray, a: int, b: int) -> int:
     return done
 
 
+def factor_sources(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+    """Longest previous factors cut off at ``length``, of the positions ``valid`` (ascending, each
+    with ``length`` bytes or symbols to go): the place in ``valid`` of an earlier match of that
+    length, -1 where the longest previous factor is shorter.
+
+    Suffix order goes by the first ``length`` bytes and then by position.  Suffixes that share
+    these bytes are neighbours in it and stand in ascending order, so the previous smaller position
+    of each but the first of them is its left neighbour, and no next smaller one is among them.
+    """
+    ranks = prefix_ranks(data, length)[valid]
+    order = np.argsort(ranks, kind="stable")
+    shared = ranks[order][1:] == ranks[order][:-1]
+    source = np.full(len(valid), -1, np.int64)
+    source[order[1:][shared]] = order[:-1][shared]
+    return source
+
+
 def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text the starts of its strings of ``length`` bytes that occur earlier (in this or
     an earlier text), and of those that occur anywhere else.  Texts are bytes or lists of symbols.
-
-    Factors are cut off at ``length``: equal ranks of that many bytes are neighbours in suffix
-    order, and within them the previous smaller position exists for all but the first.
     """
     sizes = np.asarray([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -138,19 +153,17 @@ def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int) -> tupl
     if not len(valid):
         none = [np.zeros(0, np.int64)] * len(texts)
         return none, none
-    ranks = prefix_ranks(data, length)[valid]
-    order = np.argsort(ranks, kind="stable")  # suffix order, by position among equals
-    same = ranks[order][1:] == ranks[order][:-1]
-    previous, following = np.zeros(len(valid), bool), np.zeros(len(valid), bool)
-    previous[order[1:]] = same
-    following[order[:-1]] = same
+    source = factor_sources(data, valid, length)
+    previous = source >= 0
+    elsewhere = previous.copy()
+    elsewhere[source[previous]] = True
 
     def by_text(flag):
         at = valid[flag]
         cut = np.searchsorted(owner[at], np.arange(len(texts) + 1))
         return [within[at[a:b]] for a, b in zip(cut, cut[1:])]
 
-    return by_text(previous), by_text(previous | following)
+    return by_text(previous), by_text(elsewhere)
 
 
 # ---------------------------------------------------------------- words
@@ -341,33 +354,33 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
                 hs.append(h)
                 ties.append(tie)
                 # the place of the anchor in its context counts too
-                cs.append([int.from_bytes(hashlib.blake2b(raw[x:y], digest_size=8, salt=(p - f).to_bytes(4, "little")).digest(), "little", signed=True) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
+                cs.append([_signed(hashlib.blake2b(raw[x:y], digest_size=16, salt=(p - f).to_bytes(4, "little")).digest()) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
                 lefts.append(e - a)
             if rows:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rows)), pa.array(np.concatenate(poss)), pa.array(np.concatenate(hs).view(np.int64)), pa.array([c for x in cs for c in x], pa.int64()), pa.array(np.concatenate(ties)), pa.array(np.concatenate(lefts).astype(np.int32))],
-                    names=["row", "pos", "h", "c", "tie", "size"],
+                    [pa.array(np.concatenate(rows)), pa.array(np.concatenate(poss)), pa.array(np.concatenate(hs).view(np.int64)), *(pa.array([c[k] for x in cs for c in x], pa.int64()) for k in (0, 1)), pa.array(np.concatenate(ties)), pa.array(np.concatenate(lefts).astype(np.int32))],
+                    names=["row", "pos", "h", "c", "d", "tie", "size"],
                 )
 
-    found = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(anchor_rows, "row bigint, pos bigint, h bigint, c bigint, tie boolean, size int")
+    found = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(anchor_rows, "row bigint, pos bigint, h bigint, c bigint, d bigint, tie boolean, size int")
     found = materialize(found, "anchors")
 
     # distinct contexts: how often, and first where
-    distinct = found.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"), F.max("tie").alias("tie"), F.first("size").alias("size"))
+    distinct = found.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"), F.max("tie").alias("tie"), F.first("size").alias("size"))
     distinct = materialize(distinct, "contexts")
     per_anchor = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.max("tie").alias("any_tie"), F.sum("n").alias("all"))
     per_anchor = per_anchor.filter("all > 1 or any_tie").filter("contexts > 1 or any_tie")
 
     # 1. equal contexts repeat in full
-    again = distinct.filter("n > 1").select("h", "c", F.col("first").alias("f"))
-    whole = found.join(again, ["h", "c"])
+    again = distinct.filter("n > 1").select("h", "c", "d", F.col("first").alias("f"))
+    whole = found.join(again, ["h", "c", "d"])
     if keep_first:
         whole = whole.filter("row <> f.row or pos <> f.pos")
     whole = whole.select("row", F.greatest(F.col("pos") - (length - gram), F.lit(0)).alias("s"), (F.greatest(F.col("pos") - (length - gram), F.lit(0)) + F.col("size")).alias("e"))
 
     # 2. differing contexts of one anchor: fetch the bytes of one of each
-    shared = distinct.join(per_anchor, "h").select("h", "c", "n", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"), "size", "contexts")
-    wanted = shared.groupBy("row").agg(F.collect_list(F.struct("h", "c", "n", "pos", "size", "contexts")).alias("at"))
+    shared = distinct.join(per_anchor, "h").select("h", "n", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"), "size", "contexts")
+    wanted = shared.groupBy("row").agg(F.collect_list(F.struct("h", "n", "pos", "size", "contexts")).alias("at"))
 
     def cut(batches):
         for b in batches:
@@ -467,7 +480,9 @@ def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
 
 def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
     """What is left of each text without every byte covered by a string of ``length`` bytes that
-    also starts anywhere else: key, n_bytes, n_removed, n_spans, kept_sha256.
+    also starts anywhere else: key, n_bytes, n_removed, n_spans, kept_sha256, and then spans (starts
+    and ends of the removed runs, in bytes) and kept_text (what is left, without what a cut has left
+    of a character).
 
     Strings are judged on the input, matches may overlap and never cross rows.  A null text counts
     as empty; texts shorter than ``length`` lose nothing; repeated rows and equal or null keys are
@@ -476,19 +491,24 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", leng
     kind = docs.schema[key].dataType.simpleString()
     rows = with_rows(docs, text, key, list(dict.fromkeys([key, text])))
     lists = _span_lists(repeated_spans(rows, text, "_row", False, length, gram, group))
+    span = pa.struct([("s", pa.int64()), ("e", pa.int64())])
 
     def run(batches):
         for b in batches:
-            out = [[], [], [], []]
+            out = [[] for _ in range(6)]
             for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 raw = (t or "").encode()
                 s, e = _runs(spans)
-                for o, v in zip(out, (len(raw), int((e - s).sum()), len(s), hashlib.sha256(_without(raw, s, e)).hexdigest())):
+                left = _without(raw, s, e)
+                for o, v in zip(out, (len(raw), int((e - s).sum()), len(s), hashlib.sha256(left).hexdigest(), [{"s": x, "e": y} for x, y in zip(s.tolist(), e.tolist())], left.decode(errors="ignore"))):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string())], names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(span)), pa.array(out[5], pa.string())],
+                names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
+            )
 
     joined = rows.join(lists, rows["_row"] == lists["row"], "left").select(F.col(key), F.col(text), "_spans")
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s: bigint, e: bigint>>, kept_text string")
 
 
 def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: bool = False) -> DataFrame:
