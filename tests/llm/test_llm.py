@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from marginalia.llm import bpe, components, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, simhash, spans, suffix_dedup, token_counts, token_files
+from marginalia.llm import bpe, components, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, simhash, spans, suffix_dedup, token_counts, token_files, transducer
 
 ODD = [None, "", " ", "a  b", "a\n b", "x'r e's", "<|endoftext|> b", "a<|ENDOFTEXT|>", "é  b", "\x1c a", "日本 語", "a" * 3000, "same text here", "same text here", "word " * 9000]
 
@@ -27,23 +27,53 @@ def empty(spark):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_what_the_library_gives(name):
     path = public_tokenizers.path(name)
-    t, count, encode = spans.load(path), spans.Counter(path), spans.Encoder(path)
+    t, encode = spans.load(path), spans.Encoder(path)
     rng = random.Random(7)
     alphabet = [" ", "  ", "\n", "a", "Zo", "'re", "'s", "é", "é", "1", "!", " ", "<|endoftext|>", "\x1d", "²", "ﬁ"]
     for x in [o or "" for o in ODD] + ["".join(rng.choice(alphabet) for _ in range(40)) for _ in range(300)]:
         want = t.encode(x, add_special_tokens=False).ids
         assert np.frombuffer(encode(x), "<u4").tolist() == want
-        assert count(x) == len(want)
 
 
-def test_chunk_maps_compose():
-    count = spans.Counter(public_tokenizers.path("byte_bpe_50k.json"))
-    rng = random.Random(3)
-    for _ in range(60):
-        x = "".join(rng.choice([" ", "  ", "\n", "ab", "'s", "!"]) for _ in range(50))
-        for size in (1, 4, 9):
-            assert token_counts.n_tokens(x, count, size) == count(x)
-            assert token_counts.running_counts(x, count, size) == [count(x[:e]) for e in range(size, len(x) + size, size)]
+MESS = [" ", "  ", "\n", "a", "Zo", "'re", "'s", "é", "1", "!", "<|endoftext|>", "\x1d", "²", "ﬁ", "'", "'ll", "aaaa", "''", "日本", "\t", "_", "x" * 30, "\u00a0"]
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 1 << 14])
+def test_transducer_counts_what_the_library_gives(chunk):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, machine, rng = spans.load(path), transducer.Transducer(path), random.Random(7)
+    assert machine.able
+    texts = [o or "" for o in ODD] + ["".join(rng.choice(MESS) for _ in range(40)) for _ in range(300 if chunk > 1 else 60)]
+    assert token_counts.counts(texts, machine, chunk) == [len(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_prefixes_of_chunk_maps():
+    machine, rng = transducer.Transducer(public_tokenizers.path("byte_bpe_50k.json")), random.Random(3)
+    for _ in range(40):
+        x = "".join(rng.choice([" ", "  ", "\n", "ab", "'s", "!", "word"]) for _ in range(50))
+        maps = token_counts.chunk_maps([x], machine, 9)[0]
+        scanned = token_counts.prefix_scan(maps, machine)
+        folded = maps[0]
+        for m, s in zip(maps[1:], scanned[1:]):
+            folded = token_counts.compose(folded, m, machine)
+            assert folded == s
+        assert folded.emitted == token_counts.counts([x], machine)[0]
+
+
+def test_tables_of_the_transducer_are_bounded(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    machine, rng = transducer.Transducer(path), random.Random(5)
+    monkeypatch.setattr(token_counts, "STATES", 50)
+    for _ in range(5):
+        texts = ["".join(rng.choice("abcdefgh ") for _ in range(60)) for _ in range(5)]
+        assert token_counts.counts(texts, machine) == [len(machine.tokenizer.encode(t).ids) for t in texts]
+        assert len(machine.states) < 1000
+
+
+def test_tokenizers_without_a_transducer_are_asked():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    machine = transducer.Transducer(path)
+    assert not machine.able and token_counts.counts(["Two words", ""], machine) == [2, 0]
 
 
 def test_token_counts(spark):
@@ -54,6 +84,8 @@ def test_token_counts(spark):
         n = len(t.encode(x or "", add_special_tokens=False).ids)
         assert (got[i * 7]["n_bytes"], got[i * 7]["n_tokens"], got[i * 7]["over_limit"]) == (len((x or "").encode()), n, n > 1024)
     assert token_counts.token_counts(empty(spark), path).count() == 0
+    twice = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, None)], "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["n_tokens"]) for r in token_counts.token_counts(twice, path).collect()) == [(None, 0), (None, 2), (None, 2)]
 
 
 def test_bpe_round_trip(spark):
@@ -65,6 +97,37 @@ def test_bpe_round_trip(spark):
         assert r["decoded"] == x
 
 
+def test_joins_of_chunks_are_widened_until_they_agree():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    chunks, tokenizer, rng = bpe.Chunks(path), spans.load(path), random.Random(3)
+    texts = [" ".join(rng.choice(["word", "other", "don't", "  ", "x1", "naïve", "\n", "longerwordsthanothers"]) for _ in range(200)) for _ in range(20)]
+    for cut in (3, 11, 40):
+        bpe_cuts, chunks.widened = bpe.cuts, 0
+        bpe.cuts = lambda t, cut=cut: list(range(0, max(1, len(t)), cut))
+        try:
+            for x in texts + [o or "" for o in ODD]:
+                assert np.frombuffer(chunks.ids(x), "<u4").tolist() == tokenizer.encode(x, add_special_tokens=False).ids
+        finally:
+            bpe.cuts = bpe_cuts
+        assert chunks.widened > 0
+
+
+def test_bpe_of_odd_tables(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert bpe.bpe_round_trip(empty(spark), path).count() == 0
+    df = spark.createDataFrame([(None, "a", 1), (None, "a", 2), (1, None, 3)], "doc_id bigint, text string, n_tokens int")
+    assert sorted((r["doc_id"] or 0, r["n_tokens"]) for r in bpe.bpe_round_trip(df, path).collect()) == [(0, 1), (0, 1), (1, 0)]
+
+
+def test_token_files_of_odd_tables(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert token_files.token_files(empty(spark), path, 1).count() == 0
+    df = spark.createDataFrame([(None, "a", 1), (None, "b c", 2), (4, "a", 3), (4, None, 4)], "doc_id bigint, text string, shard int")
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.token_files(df, path, 1).collect())
+    assert [g[1] for g in got] == [None, None, 4, 4] and sorted(g[2] for g in got[:2]) == [2, 3] and sorted(g[2] for g in got[2:]) == [1, 2]
+    assert [g[0] for g in got] == np.cumsum([0, *(g[2] for g in got[:-1])]).tolist()
+
+
 def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t, at = Tokenizer.from_file(path), 0
@@ -107,10 +170,54 @@ def test_packing(spark):
     got["source"], got["text"] = got["doc_id"] // 7 % 3, [texts[d // 7] for d in got["doc_id"]]
     packed = got[got["size"] > 0]
     assert not packed.duplicated(["bin_id", "source"]).any() and not packed[packed["size"] < 1000].duplicated(["bin_id", "text"]).any()
+    assert packing.best_fit(empty(spark)).count() == 0
+    twice = spark.createDataFrame([(None, "ab", None), (3, "ab", None), (3, "ab", None)], "doc_id bigint, text string, source string")
+    assert packing.best_fit(twice.selectExpr("*", "1 AS grp", "2 AS n"), capacity=10).select("bin_id").distinct().count() == 3
     bins = packing.Bins(10, 1)
     assert [bins.place(s, a, -1) for s, a in ((6, 0), (5, 1), (4, 2), (5, 3))] == [0, 1, 0, 1]
 
 
+def brute_bins(items, capacity, smallest):
+    """The tightest bin without the item's source and cluster, the first of equals; else a new one."""
+    bins, out = [], []
+    for size, source, cluster in items:
+        fit = [(b["left"], i) for i, b in enumerate(bins) if b["left"] >= max(size, smallest) and source not in b["sources"] and cluster not in b["clusters"]]
+        i = min(fit)[1] if fit else len(bins)
+        if not fit:
+            bins.append({"left": capacity, "sources": set(), "clusters": set()})
+        bins[i]["left"] -= size
+        bins[i]["sources"] |= {source} - {-1}
+        bins[i]["clusters"] |= {cluster} - {-1}
+        out.append(i)
+    return out
+
+
+def test_bins_are_those_of_plain_best_fit():
+    rng = random.Random(9)
+    for _ in range(40):
+        items = sorted(((rng.randint(1, 60), rng.choice([-1, 0, 0, *range(1, 100)]), rng.choice([-1, -1, *range(90)])) for _ in range(150)), reverse=True)
+        smallest = min(i[0] for i in items)
+        bins = packing.Bins(100, smallest)
+        assert [bins.place(*i) for i in items] == brute_bins(items, 100, smallest)
+
+
+def test_packing_of_a_table_is_plain_best_fit(spark):
+    rng = random.Random(4)
+    texts = ["w" * rng.randint(1, 90) for _ in range(120)] + ["same words"] * 4
+    got = packing.best_fit(docs(spark, texts), capacity=100).toPandas()
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    digest = lambda s: signed(xxhash.xxh64_intdigest(s.encode(), 42))
+    rows = sorted((-len(x), digest(x), digest(f"src{i % 3}"), i * 7) for i, x in enumerate(texts))
+    copies = {c for c in (r[1] for r in rows) if sum(r[1] == c for r in rows) > 1}
+    bins = brute_bins([(-n, s, c if c in copies else -1) for n, c, s, _ in rows], 100, min(-r[0] for r in rows))
+    want = {}
+    for r, b in zip(rows, bins):
+        want.setdefault(b, set()).add(r[3])
+    assert sorted(map(sorted, want.values())) == sorted(sorted(g["doc_id"]) for _, g in got.groupby("bin_id"))
+
+
 def test_fingerprints(spark):
     texts = ["Ａb  c", "ab c ", "É", "É", None, "other words here"]
     got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs(spark, texts)).collect()}
@@ -125,6 +232,20 @@ def test_fingerprints(spark):
     assert got[7]["near_next"] == 1.0 and got[35]["near_next"] == 0.0 and got[28]["near_edited"] == 1.0
     assert fingerprints.document_fingerprints(empty(spark)).count() == 0
     assert fingerprints.document_fingerprints(docs(spark, ["one"])).count() == 1
+    odd = spark.createDataFrame([(None, "b", 1), (3, "a", 2), (3, "a", 3), (None, None, 4), (9, "x" * 50_000, 5)], "doc_id bigint, text string, d1 int").selectExpr("*", "6 AS c", "7 AS s")
+    rows = fingerprints.document_fingerprints(odd).collect()
+    assert sorted(r["n_chars"] for r in rows) == [0, 1, 1, 1, 50_000] and len({r["fingerprint"] for r in rows}) == 4
+
+
+def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "digests", lambda c: (F.length(c).cast("bigint"), F.lit(0).cast("bigint")))
+    for limit in (1 << 20, 0):
+        monkeypatch.setattr(fingerprints, "BROADCAST_ROWS", limit)
+        got = {r["doc_id"]: r for r in fingerprints.document_fingerprints(docs(spark, ["aa", "bb", "AA ", "ccc", "ccc"])).collect()}
+        fp = [got[i * 7]["fingerprint"] for i in range(5)]
+        assert fp[0] == fp[2] != fp[1] and fp[3] == fp[4] and len(set(fp)) == 3 and len(fp[3]) == 32
 
 
 def test_line_dedup(spark):
@@ -135,6 +256,30 @@ def test_line_dedup(spark):
         assert got[3] == ("\nown 3" if gone else "shared line\n\nown 3") and got[9] is None and got[10] == ("" if gone else "shared line")
 
 
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_line_report(spark, limit, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", limit)
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["common", "half", "", "  ", f"own {rng.random()}", f"few {rng.randint(0, 30)}"]) for _ in range(rng.randint(0, 9))) for _ in range(80)]
+    rows = [(i, x, None if i % 11 == 0 else f"s{i % (3 if 'half' in x and 'common' not in x else 17)}") for i, x in enumerate(texts)] + [(None, None, "s1"), (5, texts[5], "s2"), (5, texts[5], "s2"), (90, "line\n" * 5000, "s1")]
+    sites = {}
+    for _, x, s in rows:
+        for line in (x or "").split("\n"):
+            if line.strip(" "):
+                sites.setdefault(line, set()).update({s} - {None})
+    want = []
+    for k, x, _ in rows:
+        lines = (x or "").split("\n")
+        left = [line for line in lines if len(sites.get(line, ())) < 5]
+        want.append((str(k), len(lines), len(lines) - len(left), hashlib.sha256("\n".join(left).encode()).hexdigest()))
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").selectExpr("*", "1 AS t1", "2 AS lines", "3 AS gone")
+    assert sorted((str(r["doc_id"]), *tuple(r)[1:]) for r in line_dedup.line_report(df).collect()) == sorted(want)
+    kept = line_dedup.without_boilerplate(df)
+    assert kept.columns == df.columns
+    assert sorted(hashlib.sha256((r["text"] or "").encode()).hexdigest() for r in kept.collect()) == sorted(w[3] for w in want)
+    assert kept.filter("text is null").count() == 1 and line_dedup.line_report(df.limit(0)).count() == 0
+
+
 def brute_classes(fps, radius):
     root = {f: f for f in fps}
     find = lambda x: x if root[x] == x else find(root[x])
@@ -288,6 +433,18 @@ def test_longest_previous_factors():
             assert length[p] == best and (not best or d[source[p] : source[p] + best] == d[p : p + best])
 
 
+def test_factor_sources_are_longest_previous_factors_cut_off():
+    rng = random.Random(4)
+    for _ in range(60):
+        d, n = bytes(rng.choices(b"abc", k=rng.randint(8, 120))), rng.randint(1, 8)
+        data = np.frombuffer(d, np.uint8)
+        valid = np.arange(len(d) - n + 1)
+        source = suffix_dedup.factor_sources(data, valid, n)
+        length, _ = suffix_dedup.longest_previous_factors(d)
+        assert (source >= 0).tolist() == (length[valid] >= n).tolist()
+        assert all(q < p and d[q : q + n] == d[p : p + n] for p, q in enumerate(source.tolist()) if q >= 0)
+
+
 @pytest.mark.parametrize("group", [1500, 2])
 def test_suffix_dedup(spark, group):
     rng, size = random.Random(11), 20
@@ -317,6 +474,7 @@ def test_suffix_dedup(spark, group):
                 i = r["doc_id"] // 7
                 left = bytes(np.frombuffer(raw[i], np.uint8)[~gone[i]])
                 runs = int((np.diff(np.concatenate([[0], gone[i].astype(int)])) == 1).sum())
+                assert r["kept_text"] == left.decode(errors="ignore") and sum(x["e"] - x["s"] for x in r["spans"]) == r["n_removed"]
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw[i]), int(gone[i].sum()), runs, hashlib.sha256(left).hexdigest())
 
 
@@ -381,6 +539,14 @@ def test_quality(spark):
     assert (held["predicted"].to_numpy() == np.asarray([marks[int(i)][1] for i in held["doc_id"]])).mean() > 0.97
 
 
+def test_quality_of_odd_tables(spark):
+    marks = spark.createDataFrame([], "doc_id bigint, quality int")
+    df = spark.createDataFrame([(1, "a b", 0.1, 5), (1, "a b", 0.2, 6), (None, None, 0.3, 7), (2, "", 0.4, 8)], "doc_id bigint, text string, score double, label int")
+    got = quality.quality_scores(df, marks).collect()
+    assert [r["score"] for r in got] == [0.5] * 4 and got[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    assert quality.quality_scores(empty(spark), marks).count() == 0
+
+
 def test_pipeline_stages_keep_columns(spark):
     import os
 
