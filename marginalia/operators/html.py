@@ -22,6 +22,15 @@ KEPT = {
     "video": ["src", "poster", "autoplay", "loop", "muted", "playsinline", "controls", "preload", "width", "height"],
     **{t: [] for t in "table thead tbody tfoot caption tr ul li pre code b i em strong sub sup br hr p h1 h2 h3 h4 h5 h6 figure figcaption blockquote span".split()},
 }
+# Hosts of players that stay as iframes, with the attributes that these keep.
+PLAYERS, PLAYER_ATTRS = ("www.youtube.com", "www.youtube-nocookie.com", "youtube.com", "player.vimeo.com"), ("src", "title", "allowfullscreen", "width", "height")
+# Elements and attributes of inline drawings that stay.
+SVG = "svg g path line polyline polygon rect circle ellipse text tspan defs clippath lineargradient radialgradient stop marker symbol use title desc pattern mask".split()
+SVG_ATTRS = (
+    "id viewbox width height x y x1 x2 y1 y2 cx cy r rx ry d points dx dy offset fill fill-opacity fill-rule stroke stroke-width stroke-dasharray stroke-dashoffset stroke-linecap stroke-linejoin "
+    "stroke-opacity stroke-miterlimit opacity transform font-size font-family font-weight font-style text-anchor dominant-baseline alignment-baseline letter-spacing stop-color stop-opacity "
+    "gradientunits gradienttransform clip-path mask preserveaspectratio vector-effect paint-order patternunits markerunits markerwidth markerheight refx refy orient xmlns style href xlink:href"
+).split()
 DROPPED = "script style iframe object embed noscript form input button link meta".split()
 CHROME = ["nav", "footer", "header", "aside", "head", "title", *DROPPED]
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -127,17 +136,38 @@ def sanitized(ev: DataFrame, pages: DataFrame) -> DataFrame:
     """Pages' html with only what may stay: id, clean.
 
     Some elements go with all in them, unknown ones leave their children behind, attributes are
-    pruned, links and images made absolute, links opened without a referrer.
+    pruned, links and images made absolute, links opened without a referrer.  Players of known hosts
+    stay as iframes, inline drawings keep what cannot load anything, videos start muted.
     """
-    e = ev.join(pages.select("id", F.col("source_url").alias("base")), "id").filter(~F.coalesce(_in(F.col("path"), [*DROPPED, "svg", "title"]), F.lit(False)))
-    allowed = F.create_map(*(x for k, v in KEPT.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
-    names = F.filter(F.map_keys("attrs"), lambda k: F.array_contains(allowed[F.col("tag")], k))
-    value = lambda k: F.when(k.isin("href", "src", "poster"), absolute(F.element_at("attrs", k), F.col("base"))).otherwise(F.element_at("attrs", k))
-    attrs = F.array_join(F.transform(F.filter(names, lambda k: value(k).isNotNull()), lambda k: F.concat(F.lit(" "), k, F.lit('="'), escape_html(value(k), True), F.lit('"'))), "")
-    extra = F.when(F.col("tag") == "a", ' rel="noopener noreferrer" target="_blank"').otherwise("")
-    known = F.col("tag").isin(*KEPT) & ~(F.col("tag").isin("img", "source") & value(F.lit("src")).isNull())
+    svg = F.array_position("path", "svg").cast("int")
+    drawn = F.slice("path", F.greatest(svg, F.lit(1)), F.size("path"))
+    player = (F.col("kind") == "open") & (F.col("tag") == "iframe")
+    around = F.when(svg > 0, F.slice("path", F.lit(1), svg - 1)).when(player, F.slice("path", F.lit(1), F.size("path") - 1)).otherwise(F.col("path"))
+    stays = ~_in(around, [*DROPPED, "title"]) & ((svg == 0) | F.forall(drawn, lambda t: t.isin(*SVG)))
+    e = ev.join(pages.select("id", F.col("source_url").alias("base")), "id").withColumn("in_svg", F.coalesce(svg > 0, F.lit(False))).filter(F.coalesce(stays, F.lit(True)))
+    allowed = F.create_map(*(x for k, v in (KEPT | {"iframe": PLAYER_ATTRS}).items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast("array<string>"))))
+    own = F.when(F.col("in_svg"), F.array(*map(F.lit, SVG_ATTRS))).otherwise(allowed[F.col("tag")])
+    names = F.filter(F.map_keys("attrs"), lambda k: F.array_contains(own, k))
+
+    def value(k):
+        raw = F.element_at("attrs", k)
+        local = ~raw.rlike(r"(?i)url\(\s*['\"]?(?!#)[^'\")]") & ~(k.isin("href", "xlink:href") & ~F.startswith(F.trim(raw), F.lit("#"))) & ~((k == "style") & raw.rlike("(?i)expression|@import|javascript:"))
+        return F.when(F.col("in_svg"), F.when(local, raw)).when(k.isin("href", "src", "poster"), absolute(raw, F.col("base"))).otherwise(raw)
+
+    plays = ("muted", "controls", "preload", "playsinline")
+    shown = F.filter(names, lambda k: value(k).isNotNull() & ~((F.col("tag") == "video") & k.isin(*plays)))
+    attrs = F.array_join(F.transform(shown, lambda k: F.concat(F.lit(" "), k, F.lit('="'), escape_html(value(k), True), F.lit('"'))), "")
+    extra = (
+        F.when((F.col("tag") == "a") & ~F.col("in_svg"), ' rel="noopener noreferrer" target="_blank"')
+        .when(F.col("tag") == "video", F.concat(F.lit(' muted=""'), F.when(F.map_contains_key("attrs", "autoplay"), "").otherwise(' controls=""'), F.lit(' preload="metadata" playsinline=""')))
+        .when(F.col("tag") == "iframe", ' loading="lazy" referrerpolicy="no-referrer"').otherwise("")
+    )
+    src = value(F.lit("src"))
+    known = F.col("in_svg") | (F.col("tag").isin(*KEPT) & ~(F.col("tag").isin("img", "source") & src.isNull()))
+    trusted = player & F.regexp_extract(src, "^https://([^/?#:]+)", 1).isin(*PLAYERS)
     piece = (
         F.when(F.col("kind") == "text", escape_html(F.col("text")))
+        .when(F.coalesce(trusted, F.lit(False)), F.concat(F.lit("<iframe"), attrs, extra, F.lit("></iframe>")))
         .when((F.col("kind") == "open") & known, F.concat(F.lit("<"), F.col("tag"), attrs, extra, F.lit(">")))
         .when((F.col("kind") == "close") & known, F.concat(F.lit("</"), F.col("tag"), F.lit(">")))
         .otherwise("")
@@ -145,18 +175,41 @@ def sanitized(ev: DataFrame, pages: DataFrame) -> DataFrame:
     return e.select("id", "seq", piece.alias("piece")).groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "piece"))), lambda x: x["piece"]), "").alias("clean"))
 
 
+# Headings of reference lists, those under which paragraphs may be entries, class and id
+# hints, ids of entries, marks of links that lead back.
 _HEADING = r"(?i)^[^a-z]*(references?|bibliography|works cited|citations?|notes|endnotes|footnotes|sources|literature cited)\b[\s\d.:]*$"
-_HINT = r"(?i)(references|bibliography|footnotes|endnotes|citation-list|works[-_]?cited|ref[-_]?list|reflist|refbegin|biblist|literature)"
-_ENTRY = r"(?i)^((cite[_-]?note|citeref|ref|reference|fn|footnote|note|bib|endnote)[-_:.]?|(b|r|cr)-?\d+$)"
+_STRONG = r"(?i)^[^a-z]*(references?|bibliography|works cited|literature cited)\b[\s\d.:]*$"
+_HINT = r"(?i)\b(references|bibliography|footnotes|endnotes|citation-list|works[-_]?cited|ref[-_]?list|reflist|refbegin|biblist|literature)\b"
+_ENTRY_ID = r"(?i)^(cite[_-]?note|citeref|ref|reference|fn|footnote|note|bib|endnote)[-_:.]?"
+_SHORT_ENTRY_ID = r"(?i)^(b|r|cr)-?\d+$"
+_BACK_CLASS = r"(^|\s)(mw-cite-backlink|footnote-backref|footnote-return)(\s|$)"
+PARAGRAPH_CHARS = 800
 MOST, ENTRY_CHARS, LINK_CHARS = 1000, 600, 300
 
 
+def _entry_paragraphs(opened: DataFrame, words: DataFrame) -> DataFrame:
+    """Paragraphs that are reference entries: three or more right after a heading that leaves no
+    doubt, half of them with a year, a number before them or a link."""
+    parent = F.coalesce(F.try_element_at("nodes", F.lit(-2)), F.lit(0))
+    sib = opened.select("id", "node", "seq", "tag", parent.alias("parent"))
+    w = Window.partitionBy("id", "parent").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)  # bounded by a page
+    sib = sib.withColumn("run", F.sum(F.when(F.col("tag") == "p", 0).otherwise(1)).over(w))
+    titled = words.withColumnRenamed("item", "node")
+    heads = sib.filter(F.col("tag").rlike("^h[1-6]$")).join(titled, ["id", "node"]).filter(F.col("text").rlike(_STRONG)).select("id", "parent", "run", F.col("node").alias("list"))
+    links = opened.filter("tag = 'a'").filter(F.map_contains_key("attrs", "href")).select("id", F.explode("nodes").alias("node")).distinct().withColumn("linked", F.lit(True))
+    p = sib.filter("tag = 'p'").join(heads, ["id", "parent", "run"]).join(titled, ["id", "node"], "left").join(links, ["id", "node"], "left")
+    shaped = (F.char_length("text") <= PARAGRAPH_CHARS) & (F.col("text").rlike(r"\b(19|20)\d{2}\b") | F.col("text").rlike(r"^\[?\d{1,4}[\]).]") | F.coalesce("linked", F.lit(False)))
+    good = p.groupBy("id", "list").agg(F.count("*").alias("n"), F.count_if(F.coalesce(shaped, F.lit(False))).alias("shaped")).filter("n >= 3 AND shaped * 2 >= n").select("id", "list")
+    none = F.lit(None).cast("string")
+    return p.join(good, ["id", "list"], "left_semi").select("id", F.col("node").alias("item"), F.col("seq").alias("item_seq"), "list", none.alias("html_id"), none.alias("value"))
+
+
 def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     """Reference entries of pages: id, ref_id, label, text, url, formal.
 
     A list is one of references if its class or id, or that of an element above, says so and it has
     two items, if most of three or more items have ids of entries, or if a heading that names
-    references stands before it.  Outbound links in the text follow as entries of their own, to
+    references stands before it; paragraphs under a clear heading can be entries too.  Outbound links in the text follow as entries of their own, to
     other hosts only if there is a formal list.
     """
     e = ev.join(pages.select("id", F.col("source_url").alias("base")), "id").filter(~F.coalesce(_in(F.col("path"), CHROME), F.lit(False)))
@@ -165,7 +218,7 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     hints = opened.filter(marks.rlike(_HINT)).select("id", F.col("node").alias("hint"))
     lists = opened.filter("tag IN ('ol', 'ul')").filter(~_in(F.slice("path", F.lit(1), F.size("path") - 1), ["ol", "ul"])).select("id", F.col("node").alias("list"), "seq", "nodes")
     items = opened.filter("tag = 'li'").select("id", F.col("node").alias("item"), F.col("seq").alias("item_seq"), F.element_at("nodes", -2).alias("list"), F.element_at("attrs", F.lit("id")).alias("html_id"), F.element_at("attrs", F.lit("value")).alias("value"))
-    sizes = items.groupBy("id", "list").agg(F.count("*").alias("n"), F.count_if(F.col("html_id").rlike(_ENTRY)).alias("ids"))
+    sizes = items.groupBy("id", "list").agg(F.count("*").alias("n"), F.count_if(F.col("html_id").rlike(_ENTRY_ID) | F.col("html_id").rlike(_SHORT_ENTRY_ID)).alias("ids"))
     near = F.slice("nodes", F.greatest(F.size("nodes") - 2, F.lit(1)), F.lit(3))
     hinted = lists.select("id", "list", F.explode(near).alias("hint")).join(hints, ["id", "hint"], "left_semi").select("id", "list").distinct().withColumn("hinted", F.lit(True))
     # the heading with the greatest place before a list, if no other block lies between
@@ -174,9 +227,16 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     last = before.groupBy("id", "list").agg(F.max_by(F.struct("text", "heading"), "t_seq").alias("x"))
     headed = last.filter("x.heading").filter(normalize(F.col("x.text")).rlike(_HEADING)).select("id", "list", F.lit(True).alias("headed"))
     formal = sizes.join(hinted, ["id", "list"], "left").join(headed, ["id", "list"], "left").filter("(hinted AND n >= 2) OR (n >= 3 AND ids * 2 > n) OR headed").select("id", "list")
-    entries = items.join(formal, ["id", "list"], "left_semi")
     inside = e.filter("kind = 'text'").select("id", "seq", "text", F.explode("nodes").alias("item"))
-    text = inside.join(entries.select("id", "item"), ["id", "item"], "left_semi").groupBy("id", "item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("raw"))
+    words = inside.groupBy("id", "item").agg(normalize(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")).alias("text"))
+    paragraphs = _entry_paragraphs(opened, words)
+    entries = items.join(formal, ["id", "list"], "left_semi").unionByName(paragraphs)
+    # links that lead back from an entry to the text are none of its words
+    back = F.coalesce(F.element_at("attrs", F.lit("class")).rlike(_BACK_CLASS), F.lit(False)) | ((F.col("tag") == "a") & ((F.element_at("attrs", F.lit("role")) == "doc-backlink") | (F.element_at("attrs", F.lit("rev")) == "footnote")))
+    tiny = opened.filter("tag = 'a'").filter(F.startswith(F.element_at("attrs", F.lit("href")), F.lit("#"))).select("id", F.col("node").alias("item")).join(words.filter("char_length(text) <= 2"), ["id", "item"], "left_semi")
+    backs = opened.filter(F.coalesce(back, F.lit(False))).select("id", F.col("node").alias("item")).union(tiny)
+    backed = inside.join(backs, ["id", "item"], "left_semi").select("id", "seq").distinct()
+    text = inside.join(backed, ["id", "seq"], "left_anti").join(entries.select("id", "item"), ["id", "item"], "left_semi").groupBy("id", "item").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("raw"))
     links = opened.filter("tag = 'a'").select("id", "seq", F.explode("nodes").alias("item"), absolute(F.element_at("attrs", F.lit("href")), F.col("base")).alias("url"), F.element_at("attrs", F.lit("href")).alias("href"))
     link = links.filter(~F.startswith("href", F.lit("#")) & F.col("url").rlike("^https?:")).groupBy("id", "item").agg(F.min_by("url", "seq").alias("url"))
     full = entries.join(text, ["id", "item"]).join(link, ["id", "item"], "left").withColumn("raw", normalize(F.col("raw"))).filter("raw <> ''")
@@ -187,11 +247,10 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
         F.when(F.char_length(body) > ENTRY_CHARS, F.concat(F.left(body, F.lit(ENTRY_CHARS)), F.lit("…"))).otherwise(body).alias("text"), F.coalesce("url", first_weblink(F.col("raw"))).alias("url"), F.lit(True).alias("formal"),
     )
     # hyperlinks of the running text
-    taken = formal.select("id", F.col("list").alias("item")).distinct()
+    taken = formal.select("id", F.col("list").alias("item")).union(paragraphs.select("id", "item")).distinct()
     a = opened.filter("tag = 'a'").filter(~F.coalesce(_in(F.col("path"), ["figure", "table", "pre", "svg"]), F.lit(False)))
     a = a.select("id", "seq", F.col("node").alias("item"), "nodes", "base", absolute(F.element_at("attrs", F.lit("href")), F.col("base")).alias("url")).filter(F.col("url").rlike("^https?:"))
     in_list = a.select("id", "seq", F.explode("nodes").alias("item")).join(taken, ["id", "item"], "left_semi").select("id", "seq").distinct()
-    words = inside.groupBy("id", "item").agg(normalize(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")).alias("text"))
     host = lambda c: F.regexp_extract(c, "^[a-z]+://([^/?#:]*)", 1)
     count = first.groupBy("id").agg(F.count("*").alias("k"))
     out = a.join(in_list, ["id", "seq"], "left_anti").join(words, ["id", "item"]).join(count, "id", "left").withColumn("k", F.coalesce("k", F.lit(0)))
@@ -208,8 +267,6 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
 
 @arrow("string")
 def first_weblink(text: pd.Series) -> pd.Series:
-
-
     return pd.Series([(M.weblinks(t or "") or [(0, 0, None)])[0][2] for t in text], dtype=object)
 
 

@@ -41,6 +41,41 @@ def sanitized_pages(spark, sf_dir):
     return H.sanitized(H.events(p), p)
 
 
+@query("""
+    SELECT page_id AS id, CASE page_id % 5 WHEN 0 THEN '<p><iframe src="https://player.vimeo.com/v/' || page_id || '" width="3" loading="lazy" referrerpolicy="no-referrer"></iframe>x</p>' WHEN 1 THEN '<p>x</p>'
+        WHEN 2 THEN '<svg viewbox="0 0 ' || page_id || ' 1"><g fill="url(#a)"><path d="M0"></path></g><use href="#b"></use></svg>' WHEN 3 THEN '<video src="http://h.org/v.mp4" loop="" muted="" controls="" preload="metadata" playsinline="">t</video>' ELSE '<b>kept</b>' END AS clean FROM pages
+""")
+def sanitized_figures(spark, sf_dir):
+    """Players, drawings and videos as they may stay (PAR17, PAR18)."""
+    k = F.col("id")
+    n = k.cast("string")
+    html = (
+        F.when(k % 5 == 0, F.concat(F.lit('<p><iframe src="https://player.vimeo.com/v/'), n, F.lit('" width="3" onload="x()">in</iframe>x</p>')))
+        .when(k % 5 == 1, '<p><iframe src="https://evil.example.org/v"></iframe><iframe src="http://youtube.com/v"></iframe>x</p>')
+        .when(k % 5 == 2, F.concat(F.lit('<svg viewBox="0 0 '), n, F.lit(' 1" onclick="x()"><style>a</style><g fill="url(#a)" stroke="url(http://x)" style="a:expression(1)"><path d="M0"></path></g><use href="#b" xlink:href="http://x"></use><foreignObject>no<p>no</p></foreignObject></svg>')))
+        .when(k % 5 == 3, '<video src="/v.mp4" loop preload="auto" onplay="x()">t</video>').otherwise("<font><b>kept</b></font><object>no</object>")
+    )
+    p = S.pages(spark, sf_dir).select("id", F.lit("http://h.org/a/b").alias("source_url"), html.alias("html"))
+    return H.sanitized(H.events(p), p)
+
+
+@query("""
+    SELECT page_id AS id, 'r' || n AS ref_id, CAST(n AS VARCHAR) AS label, CASE n WHEN 1 THEN 'Ahto, 1999. One' WHEN 2 THEN 'Two, 2001' ELSE 'Three without a year' END AS text, CASE n WHEN 2 THEN 'http://two.org/' END AS url, true AS formal
+    FROM pages, (SELECT unnest([1, 2, 3]) AS n) WHERE page_id % 3 = 0
+    UNION ALL SELECT page_id, 'r' || n, CAST(n AS VARCHAR), CASE n WHEN 1 THEN 'First' ELSE 'Second' END, NULL, true FROM pages, (SELECT unnest([1, 2]) AS n) WHERE page_id % 3 = 1
+""")
+def reference_entries(spark, sf_dir):
+    """Entries in paragraphs, links that lead back, and classes that only look like hints (REF1, REF2, REF4)."""
+    k = F.col("id") % 3
+    html = (
+        F.when(k == 0, '<h2>8. References</h2><p>[1] Ahto, 1999. One</p><p>2. Two, 2001 <a href="http://two.org/"></a></p><p>Three without a year <a href="#up">^</a></p><div>after</div>')
+        .when(k == 1, '<ul class="reflist"><li><a class="footnote-backref" href="#x">back</a> First</li><li>Second<a href="#y">b</a></li></ul>')
+        .otherwise('<ul class="preferences"><li>a</li><li>b</li></ul>')
+    )
+    p = S.pages(spark, sf_dir).select("id", F.lit("http://h.org/a").alias("source_url"), html.alias("html"))
+    return H.page_references(H.events(p), p)
+
+
 @query()
 def page_references(spark, sf_dir):
     """Reference entries and linked works of pages with a reference list added (REF1 to REF6, SET5)."""
