@@ -43,6 +43,15 @@ def span_rules(parsed: Column, most: int = 200) -> dict[str, Column]:
     }
 
 
+TERMS = "struct<terms:array<struct<term:string,definition:string,blockIds:array<string>>>>"
+
+
+def term_rules(parsed: Column, most: int = 200) -> dict[str, Column]:
+    """Bounds of a list of terms."""
+    terms = parsed["terms"]
+    return {"terms": terms.isNotNull() & (F.size(terms) <= most), "term": F.forall(terms, lambda t: F.char_length(t["term"]) > 0), "ids": F.forall(terms, lambda t: t["blockIds"].isNotNull())}
+
+
 def merge_key(old: Column, key: Column, value: Column) -> Column:
     """A map with one entry set anew."""
     return F.map_concat(F.map_filter(F.coalesce(old, F.create_map().cast("map<string,string>")), lambda k, _: k != key), F.create_map(key, value))

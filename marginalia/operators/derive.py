@@ -26,6 +26,7 @@ PROMPTS = {
     "SALIENCE": 'Name the passages that matter most to this reader, as JSON {"spans": [{"blockId", "start", "end"}]}.',
     "EXTRACT": 'Write one note on the selected passage for a fitting section, as JSON {"sectionId", "content", "quotedSpans"}.',
     "SUMMARIZE": "Summarise the document for this reader.",
+    "GLOSSARY": 'List the terms that this reader may not know, as JSON {"terms": [{"term", "definition", "blockIds"}]}.',
     "SYNTHESIS": "Answer from the notes and documents below, citing the tags of what is used.",
 }
 
@@ -47,6 +48,8 @@ class Stub:
             ids = re.findall(r"\[block ([^\]]+)\]", p)
             if "spans" in p and "previous answer" not in p and len(p) % 5 == 0:
                 out.append("I will not.")  # a failure that the retry mends
+            elif '"terms"' in p:
+                out.append('{"terms": [' + ", ".join(f'{{"term": "t{k}", "definition": "a term", "blockIds": ["{i}", "none"]}}' for k, i in enumerate(ids[:3])) + "]}")
             elif "spans" in p:
                 out.append('```json\n{"spans": [' + ", ".join(f'{{"blockId": "{i}", "start": 0, "end": 60}}' for i in ids[:5]) + "]}\n```")
             else:
@@ -103,6 +106,18 @@ def salience(documents: DataFrame, blocks: DataFrame, model: Model) -> DataFrame
     return found.select("document_id", "block_id", "r.*")
 
 
+def glossary(documents: DataFrame, blocks: DataFrame, model: Model) -> DataFrame:
+    """Terms of documents with the blocks that hold them: document_id, term, definition, block_ids;
+    ids that are none of the document's are left out."""
+    rows = prompts(document_prefix(documents, blocks), "GLOSSARY").select("id", "prompt")
+    ok = asked(rows, model, J.TERMS, J.term_rules).filter("ok")
+    terms = ok.select(F.col("id").alias("document_id"), F.posexplode("parsed.terms").alias("n", "t"))
+    named = terms.select("document_id", "n", F.explode_outer("t.blockIds").alias("block_id"))
+    known = named.join(blocks.select(F.col("id").alias("block_id"), "document_id"), ["document_id", "block_id"], "left_semi")
+    kept = known.groupBy("document_id", "n").agg(F.array_sort(F.collect_set("block_id")).alias("block_ids"))
+    return terms.join(kept, ["document_id", "n"], "left").select("document_id", "t.term", "t.definition", F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"))
+
+
 def routed(results: DataFrame, sections: DataFrame) -> DataFrame:
     """Where results of derivations go: destination and status, or why they are refused.
 
