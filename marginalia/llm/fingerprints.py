@@ -9,8 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import partitions
+from marginalia.llm.common import materialize, partitions
 
+#: Rows of two numbers below which a table is sent to all tasks.
+BROADCAST_ROWS = 1 << 20
+#: Key ranges for each partition: several small ones share a task, so tasks are of one size.
+RANGES = 4
 _SPACE = r"[\s\p{Z}\u0085﻿]+"
 
 
@@ -32,13 +36,21 @@ def hex128(a: Column, b: Column) -> Column:
 def collided(docs: DataFrame, text: str) -> DataFrame:
     """Digests (d1, d2) whose bucket holds canonical texts that differ in a byte.
 
-    Least and greatest text of a bucket are aggregated before the shuffle, so a text with any
-    number of copies moves once for each task; a bucket is of one text if they are the same bytes.
+    Digests are counted first, so only texts of a bucket that holds several rows move.  Least and
+    greatest text of a bucket are aggregated before the shuffle, so a text with any number of
+    copies moves once for each task; a bucket is of one text if they are the same bytes.
     """
     canon = docs.select(canonical(F.col(text)).alias("c"))
     one, two = digests(F.col("c"))
-    ends = canon.select(one.alias("d1"), two.alias("d2"), "c").groupBy("d1", "d2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
-    return ends.filter("lo <> hi").select("d1", "d2")
+    rows = canon.select(one.alias("d1"), two.alias("d2"), "c")
+    several = materialize(rows.groupBy("d1", "d2").agg(F.count("*").alias("n")).filter("n > 1").select("d1", "d2"), "digests")
+    ends = rows.join(_small(several), ["d1", "d2"], "left_semi").groupBy("d1", "d2").agg(F.min("c").alias("lo"), F.max("c").alias("hi"))
+    return materialize(ends.filter("lo <> hi").select("d1", "d2"), "collided")
+
+
+def _small(written: DataFrame) -> DataFrame:
+    """A table of the shared folder, to be sent to all tasks if it has BROADCAST_ROWS at most."""
+    return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
 def _with_next(rows: DataFrame) -> DataFrame:
@@ -48,7 +60,7 @@ def _with_next(rows: DataFrame) -> DataFrame:
     Rows are dealt out by key ranges, and each range also gets the first row of the next, so the
     order is followed without one task that holds it all.
     """
-    ranges = partitions(rows.sparkSession)
+    ranges = RANGES * partitions(rows.sparkSession)
     # a few numbers for each range come to the driver, no rows
     cuts = rows.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()[0]
     cuts = sorted({int(c) for c in cuts or []})
@@ -97,7 +109,7 @@ def document_fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_i
         "key", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "d1", "d2", "s", "e1", "e2", F.sha2("ce", 256).alias("es"),
         same_edited.alias("same_edited"), same_next.alias("same_next"),
     )
-    bad = collided(docs, text)
+    bad = _small(collided(docs, text))
     out = out.join(bad.withColumn("bad", F.lit(True)), ["d1", "d2"], "left")
     out = out.join(bad.select(F.col("d1").alias("e1"), F.col("d2").alias("e2"), F.lit(True).alias("ebad")), ["e1", "e2"], "left")
     wide = lambda mark, s: F.when(mark, F.concat(F.lit(":"), F.col(s))).otherwise("")
