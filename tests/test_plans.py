@@ -51,11 +51,92 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - set(plans.SQL) - {"stub_salience", "page_references"}))
-def test_runs(spark, name):
-    df = plans.QUERIES[name](spark, SF)
-    assert df.columns
-    df.limit(5).collect()
+WITHOUT_SQL = {"corpus_search_lexical", "edited_ranges", "html_blocks", "notebook_prompts", "page_references", "pdf_layout", "remapped_anchors", "sanitized_pages"}
+
+
+def test_queries_without_sql_are_those_tested_here():
+    assert set(plans.QUERIES) - set(plans.SQL) == WITHOUT_SQL
+
+
+def test_corpus_search_lexical(spark):
+    from marginalia.operators.search import parsed_query, stem, STOP
+
+    got = [(r["id"], float(r["similarity"])) for r in plans.QUERIES["corpus_search_lexical"](spark, SF).collect()]
+    assert parsed_query("thonan or license -warranty") == [(False, [[stem("thonan")], [stem("license")]]), (True, [[stem("warranty")]])]
+    want = []
+    for r in tables.blocks(spark, SF).collect():
+        words = [stem(w) for w in re.findall(r"[^\W_]+", r["text"].lower()) if w not in STOP]
+        n = [words.count(stem("thonan")), words.count(stem("license"))]
+        if any(n) and stem("warranty") not in words:
+            want.append((-round(sum(0.1 * x / (x + 1) for x in n), 6), r["id"]))
+    assert got == [(i, -s) for s, i in sorted(want)[:12]]
+
+
+def test_remapped_anchors_and_edited_ranges(spark):
+    from marginalia.functions import match as M
+
+    texts = {r["id"]: r["text"] for r in tables.blocks(spark, SF).collect()}
+    want, ranges = {}, []
+    for r in tables.anchors(spark, SF).collect():
+        before = texts[r["block_id"]]
+        after = "An edit before " + re.sub(r"\bthe\b", "a", before, flags=re.ASCII)
+        s, e, q, _, _, orphaned = M.remap(M.segments(before, after), after, r["start"], r["end"], r["quoted"])
+        want[r["id"]] = (s, e, q, orphaned)
+    got = plans.QUERIES["remapped_anchors"](spark, SF).collect()
+    assert {r["id"]: (r["start"], r["end"], r["quoted"], r["orphaned"]) for r in got} == want
+    for i, t in texts.items():
+        ranges += [(i, s, e) for s, e in M.edited_ranges(t, re.sub(r"\b(of|de|der)\b", "new", t, flags=re.ASCII))]
+    assert sorted(map(tuple, plans.QUERIES["edited_ranges"](spark, SF).collect())) == sorted(ranges)
+
+
+def test_notebook_prompts(spark):
+    from marginalia.operators import derive
+
+    d = spark.createDataFrame([(1, "One"), (2, "Two"), (3, "Three")], "id int, title string")
+    sizes = {1: [30, 200, 10], 2: [150, 5, 90], 3: [40]}
+    b = spark.createDataFrame([(f"{i}:{k}", i, k, "PARAGRAPH", "x" * n) for i, ns in sizes.items() for k, n in enumerate(ns)], "id string, document_id int, ord int, type string, text string")
+    notebooks = spark.createDataFrame([(7, "N"), (8, "M")], "id int, title string")
+    attached = spark.createDataFrame([(7, 1), (7, 2), (7, 3), (7, 3)], "notebook_id int, document_id int")
+    sections = spark.createDataFrame([(1, 7, "S", 1, False, None), (2, 7, "T", 0, False, 1), (3, 7, "H", 5, True, None)], "id int, notebook_id int, title string, ord int, hidden boolean, parent_id int")
+    notes = spark.createDataFrame([(5, 1, "ACCEPTED", "said"), (6, 3, "ACCEPTED", "hid"), (9, 1, "PENDING", "no")], "id int, section_id int, status string, content string")
+    sources = spark.createDataFrame([(5, 1, 0, "q" * 100), (5, 2, 1, "r")], "note_id int, document_id int, ord int, quoted string")
+    got = {r["notebook_id"]: r for r in derive.notebook_prompt(notebooks, attached, d, b, sections, notes, sources, budget=400).collect()}
+    left, docs, cuts = 400, [], 0
+    for i, ns in sizes.items():
+        lines, cut = [f"## Document: {dict([(1, 'One'), (2, 'Two'), (3, 'Three')])[i]}"], 0
+        for k, n in enumerate(ns):
+            text = f"[block {i}:{k}] (PARAGRAPH)\n" + "x" * n
+            if left - len(text) <= 0:
+                cut += 1
+            else:
+                left -= len(text)
+                lines.append(text)
+        docs.append("\n\n".join(lines + ([f"[{cut} more blocks of this document were cut for length]"] if cut else [])))
+        cuts += cut
+    assert cuts > 0 and got[7]["cut"] == cuts and got[7]["kept"] == 7 - cuts
+    tail = '- S / T\n- S\n\nNotes:\n[note 5] (section: S)\nsaid\nsources: "' + "q" * 80 + '" (One); "r" (Two)\n\n[note 6] (section: Annotations)\nhid\nsources: none'
+    assert got[7]["content"].split("Documents:\n")[1] == "\n\n---\n\n".join(docs) + "\n\nSections:\n" + tail
+    assert got[8]["content"].endswith("Documents:\n(none)\n\nSections:\n(none)\n\nNotes:\n(none)") and got[8]["kept"] == 0
+    rows = plans.QUERIES["notebook_prompts"](spark, SF).collect()
+    assert len(rows) == 25 and all(r["kept"] > 0 for r in rows)
+
+
+def test_pages_and_layout(spark):
+    blocks = plans.QUERIES["html_blocks"](spark, SF).toPandas()
+    pages = {r["id"]: r["html"] for r in tables.pages(spark, SF).collect()}
+    assert set(blocks["id"]) == set(pages) and not blocks.duplicated(["id", "ord"]).any()
+    for i, text in zip(blocks["id"], blocks["text"]):
+        assert all(w in pages[i] or "&" in pages[i] for w in text.split()[:3])
+    for r in plans.QUERIES["sanitized_pages"](spark, SF).collect():
+        assert not re.search(r"<(script|style|form|title|nav)|onload=|javascript:", r["clean"])
+    refs = plans.QUERIES["page_references"](spark, SF).toPandas()
+    formal = refs[refs["formal"]]
+    assert set(formal["id"]) == {i for i in pages if i % 2 == 0} and set(formal["text"]) == {"First work, 1999. link", "Second work, other.example.net/2"}
+    laid = plans.QUERIES["pdf_layout"](spark, SF).toPandas()
+    words = {}
+    for r in tables.blocks(spark, SF).collect():
+        words.setdefault(r["document_id"], []).extend(r["text"].split())
+    assert set(laid["document_id"]) <= set(words) and laid["text"].str.len().gt(0).all()
 
 
 def test_queries_read_all_blocks(spark):
