@@ -539,6 +539,79 @@ def test_quality(spark):
     assert (held["predicted"].to_numpy() == np.asarray([marks[int(i)][1] for i in held["doc_id"]])).mean() > 0.97
 
 
+def brute_score(model, text):
+    """Probability of class 1: mean of the vectors of all features, through the layer."""
+    words = (text or "").split()
+    ids = [quality.END] * quality.END_COUNT + [quality.SAME] * (quality.SAME_COUNT * sum(a == b for a, b in zip(words, words[1:])))
+    for w in words:
+        ids += quality.features(w).tolist()
+    out = model.layer @ model.vectors[ids].astype(float).mean(axis=0) + model.bias
+    return float(1 / (1 + np.exp(out[0] - out[1])))
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    passage = " ".join(word() for _ in range(60))
+    texts = []
+    for i in range(60):
+        words = [word() for _ in range(150)]
+        texts.append(" ".join(words))
+        if i % 4 == 0:
+            texts.append(texts[-1])  # an exact copy
+        if i % 4 == 1:
+            texts.append(" ".join([*words[:-12], *(word() for _ in range(12))]))  # 134 of 158 shingles
+        if i % 4 == 2:
+            texts[-1] += "\n" + passage + "\n" + word()
+        if i % 4 == 3:
+            texts.append(" ".join(word() + "$#!" for _ in range(40)))  # junk
+    texts += [None, "", "short text"]
+    rng.shuffle(texts)
+    rows = [(i * 3, t, "en", f"src{i % 4}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    marks = [(k, 0 if "$#!" in (t or "") else 1, 0) for k, t, *_ in rows]
+    spark.createDataFrame(marks, "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs_, labels = (spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "labels"))
+    model = quality.fit(docs_, labels)
+    assert quality.fit(docs_, labels).vectors.tobytes() == model.vectors.tobytes()
+
+    kept = [r for r in rows if brute_score(model, r[1]) >= 0.5]
+    assert not any("$#!" in (r[1] or "") for r in kept) and len(kept) > 60
+    last = {}
+    for r in kept:
+        last[r[1] or ""] = max(last.get(r[1] or "", r), r, key=lambda x: x[0])
+    kept = sorted(last.values())
+    kept = [kept[i] for i in brute_near([r[1] or "" for r in kept])]
+    cut = brute_without_passages([r[1] for r in kept], corpus_pipeline.PASSAGE)
+    assert sum(len(c) < len(r[1] or "") for c, r in zip(cut, kept)) > 8
+    import xxhash
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    digest = lambda s: signed(xxhash.xxh64_intdigest(s.encode(), 42))
+    packed = sorted((-len(c.encode()), digest(c), digest(r[3]), r[0]) for c, r in zip(cut, kept))
+    bins = brute_bins([(-n, s, -1) for n, _, s, _ in packed], packing.CAPACITY, max(1, min(-p[0] for p in packed)))
+    want = {}
+    for p, b in zip(packed, bins):
+        want.setdefault(b, set()).add((p[3], -p[0]))
+
+    stage = docs_
+    for (name, f), n in zip(corpus_pipeline.STAGES[:-1], (None, None, [r[0] for r in kept], list(zip([r[0] for r in kept], cut)))):
+        stage = f(spark, stage, str(tmp_path))
+        stage.write.parquet(f"{tmp_path}/{name}")
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
+        assert stage.columns == docs_.columns
+        if name == "simhash_near_dedup":
+            assert sorted(r["doc_id"] for r in stage.collect()) == n
+        if name == "suffix_array_dedup":
+            assert sorted((r["doc_id"], r["text"] or "") for r in stage.collect()) == n
+    got = {}
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        got.setdefault(r["bin_id"], set()).add((r["doc_id"], r["size"]))
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+
+
 def test_quality_of_odd_tables(spark):
     marks = spark.createDataFrame([], "doc_id bigint, quality int")
     df = spark.createDataFrame([(1, "a b", 0.1, 5), (1, "a b", 0.2, 6), (None, None, 0.3, 7), (2, "", 0.4, 8)], "doc_id bigint, text string, score double, label int")
