@@ -14,14 +14,24 @@ def extract_json(text: Column) -> Column:
     fence = F.nullif(F.regexp_extract(text, r"```(?:json)?\s*([\s\S]*?)```", 1), F.lit(""))
     o1, o2 = F.instr(text, "{"), F.char_length(text) - F.instr(F.reverse(text), "}") + 1
     braces = F.when((o1 > 0) & F.contains(text, F.lit("}")) & (o2 > o1), F.substring(text, o1, o2 - o1 + 1))
-    tried = [F.when(F.try_parse_json(trim_ws(t)).isNotNull() & (trim_ws(t) != "null"), trim_ws(t)) for t in (fence, text, braces)]
-    return F.coalesce(*tried)
+    # each candidate is named once: an expression named several times is computed as often
+    parts = F.transform(F.array(fence, text, braces), trim_ws)
+    return F.try_element_at(F.filter(parts, lambda t: F.try_parse_json(t).isNotNull() & (t != "null")), F.lit(1))
 
 
 def checked(df: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """``df`` with ok and issues: the names of the rules that a row breaks; null breaks a rule."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
-    return df.withColumn("issues", broken).withColumn("ok", F.size("issues") == 0)
+    return df.withColumn("issues", _broken(rules)).withColumn("ok", F.size("issues") == 0)
+
+
+def _broken(rules: dict[str, Column]) -> Column:
+    return F.array_compact(F.array(*(F.when(~F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in rules.items())))
+
+
+def checked_value(df: DataFrame, value: str, rules) -> DataFrame:
+    """``checked`` by rules that are a function of one column, which is computed once."""
+    issues = F.element_at(F.transform(F.array(value), lambda v: _broken(rules(v))), 1)
+    return df.withColumn("issues", issues).withColumn("ok", F.size("issues") == 0)
 
 
 def quarantined(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:

@@ -87,7 +87,7 @@ def asked(rows: DataFrame, model: Model, parse: str, rules) -> DataFrame:
 
     def answered(df, attempt):
         out = df.withColumn("answer", ask("prompt")).withColumn("parsed", F.from_json(J.extract_json(F.col("answer")), parse))
-        return J.checked(out, rules(F.col("parsed"))).withColumn("attempts", F.lit(attempt))
+        return J.checked_value(out, "parsed", rules).withColumn("attempts", F.lit(attempt))
 
     first = answered(rows, 1)
     good = first.filter("ok")
