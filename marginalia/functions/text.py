@@ -1,4 +1,4 @@
-"""Text functions as built-in Spark expressions.
+"""Text functions as built-in Spark expressions, and one over Arrow batches.
 
 Offsets count code points.  White space is one explicit class, as Java's, SQL's and scripts' own
 classes differ on the no-break space and the byte order mark.
@@ -6,12 +6,17 @@ classes differ on the no-break space and the byte order mark.
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marginalia.functions.udf import arrow
+
 #: White space by code point: what scripts on the web count as such.
 WS = "[\\t\\n\\u000b\\f\\r \\u00a0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
-_BREAK = chr(1)
+_SPACES = "\t\n\x0b\f\r \u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def slice_(text: Column, start: Column, end: Column) -> Column:
@@ -46,23 +51,31 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when(quote == "", F.array().cast("array<int>")).otherwise(F.filter(found, lambda i: i < F.char_length(text)))
 
 
-def sentence_spans(text: Column) -> Column:
-    """Sentences as array<struct<text,start,end>>.
+_END = re.compile(f"[.!?]+[\"'”’)\\]]*{WS}+(?=[A-Z0-9\"'“‘(\\[])")
+_BLANK = re.compile(f"{WS}*")
 
-    A sentence ends at . ! or ?, closing quotes or brackets, and white space before what can begin
-    another; pieces are trimmed and their offsets follow.
-    """
-    marked = F.regexp_replace(text, f"([.!?]+[\"'”’)\\]]*{WS}+)(?=[A-Z0-9\"'“‘(\\[])", "$1" + _BREAK)
-    empty = F.array().cast("array<struct<text:string,start:int,end:int>>")
-    step = lambda a, p: F.struct((a["at"] + F.char_length(p)).alias("at"), F.concat(a["all"], F.array(_trimmed(p, a["at"]))).alias("all"))
-    # one pass over the pieces: an expression named inside a lambda is computed anew for each element
-    return F.aggregate(F.split(marked, _BREAK), F.struct(F.lit(0).alias("at"), empty.alias("all")), step, lambda a: F.filter(a["all"], lambda s: s["text"] != ""))
 
+def sentences(text: str) -> list[dict]:
+    """Sentences of a text with their offsets (see ``sentence_spans``)."""
+    out, begin = [], 0
+    for end in [*(m.end() for m in _END.finditer(text)), len(text)]:
+        s = _BLANK.match(text, begin, end).end()
+        t = text[s:end].rstrip(_SPACES)
+        if t:
+            out.append({"text": t, "start": s, "end": s + len(t)})
+        begin = end
+    return out
 
-def _trimmed(piece: Column, start: Column) -> Column:
-    lead = F.char_length(piece) - F.char_length(F.regexp_replace(piece, f"^{WS}+", ""))
-    t = trim_ws(piece)
-    return F.struct(t.alias("text"), (start + lead).alias("start"), (start + lead + F.char_length(t)).alias("end"))
+
+@arrow("array<struct<text:string,start:int,end:int>>")
+def sentence_spans(text: pd.Series) -> pd.Series:
+    """Sentences as array<struct<text,start,end>>; null for null.
+
+    A sentence ends at . ! or ?, closing quotes or brackets, and white space before what can begin
+    another; pieces are trimmed and their offsets follow.  One pass of a compiled pattern for each
+    text: a fold over pieces in SQL copies the list for each of them.
+    """
+    return pd.Series([None if t is None else sentences(t) for t in text], dtype=object)
 
 
 _REFS = r"\[\[(\d+(?:\s*,\s*\d+)*)\]\]"
