@@ -46,7 +46,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"))
+    return suffix_dedup.repeat_report(table(spark, sf_dir, "documents"), passage=51)
 
 
 QUERIES = {

@@ -34,13 +34,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marginalia.llm.common import materialize, partitions, with_rows
+from marginalia.llm.common import Scratch, materialize, partitions, with_rows
 
 LENGTH, GRAM = 400, 200
 #: Symbols of a gram where lengths are of words.
 WORD_GRAM = 35
 #: Differing contexts of an anchor that one task compares.
 GROUP = 1500
+#: Hashes of repeated anchors (8 bytes each) that are sent to all tasks; more are joined.
+BROADCAST_ANCHORS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 
@@ -335,7 +337,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
     the spans.
     """
     spark = docs.sparkSession
-    parts = partitions(spark)
+    parts, scratch = partitions(spark), Scratch(spark)
 
     def anchor_rows(batches):
         for b in batches:
@@ -363,13 +365,19 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
                 )
 
     found = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).mapInArrow(anchor_rows, "row bigint, pos bigint, h bigint, c bigint, d bigint, tie boolean, size int")
-    found = materialize(found, "anchors")
+    found = scratch.keep(found, "anchors")
+
+    # anchors that occur once are left out before anything else moves
+    again = found.groupBy("h").agg(F.count("*").alias("all"), F.max("tie").alias("any_tie")).filter("all > 1 or any_tie").select("h")
+    again = scratch.keep(again, "repeated")
+    few = again.count() <= BROADCAST_ANCHORS
+    found = scratch.keep(found.join(F.broadcast(again) if few else again, "h", "left_semi"), "occurrences")
 
     # distinct contexts: how often, and first where
     distinct = found.groupBy("h", "c", "d").agg(F.count("*").alias("n"), F.min(F.struct("row", "pos")).alias("first"), F.max("tie").alias("tie"), F.first("size").alias("size"))
-    distinct = materialize(distinct, "contexts")
-    per_anchor = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.max("tie").alias("any_tie"), F.sum("n").alias("all"))
-    per_anchor = per_anchor.filter("all > 1 or any_tie").filter("contexts > 1 or any_tie")
+    distinct = scratch.keep(distinct, "contexts")
+    per_anchor = distinct.groupBy("h").agg(F.count("*").alias("contexts"), F.max("tie").alias("any_tie"))
+    per_anchor = per_anchor.filter("contexts > 1 or any_tie")
 
     # 1. equal contexts repeat in full
     again = distinct.filter("n > 1").select("h", "c", "d", F.col("first").alias("f"))
@@ -396,7 +404,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()], names=list(out))
 
     contexts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(wanted, "row").select("row", "text", "at")
-    contexts = materialize(contexts.mapInArrow(cut, "h bigint, row bigint, pos bigint, n bigint, contexts bigint, bytes binary"), "cut")
+    contexts = scratch.keep(contexts.mapInArrow(cut, "h bigint, row bigint, pos bigint, n bigint, contexts bigint, bytes binary"), "cut")
 
     span = "row bigint, s bigint, e bigint"
 
@@ -454,18 +462,20 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             yield pa.RecordBatch.from_arrays([pa.array(o, pa.int64()) for o in out], names=["x", "y", "row", "s"])
 
     many = contexts.filter(F.col("contexts") > group).select("row", "pos", "bytes").mapInArrow(strings, "x bigint, y bigint, row bigint, s bigint")
-    many = materialize(many.distinct(), "strings")
+    many = scratch.keep(many.distinct(), "strings")
     twice = many.groupBy("x", "y").agg(F.count("*").alias("n"), F.min(F.struct("row", "s")).alias("f")).filter("n > 1")
     large = many.join(twice, ["x", "y"])
     if keep_first:
         large = large.filter("row <> f.row or s <> f.s")
     large = large.select("row", "s", (F.col("s") + length).alias("e"))
 
-    return whole.select("row", "s", "e").union(small).union(large)
+    spans = materialize(whole.select("row", "s", "e").union(small).union(large), "spans")
+    scratch.drop()
+    return spans
 
 
-def _span_lists(spans: DataFrame) -> DataFrame:
-    return spans.groupBy("row").agg(F.collect_list(F.struct("s", "e")).alias("_spans"))
+def _span_lists(spans: DataFrame, name: str) -> DataFrame:
+    return spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("s", "e")).alias(name))
 
 
 def _runs(spans) -> tuple[np.ndarray, np.ndarray]:
@@ -478,11 +488,15 @@ def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
 
-def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP) -> DataFrame:
+def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, passage: int | None = None) -> DataFrame:
     """What is left of each text without every byte covered by a string of ``length`` bytes that
-    also starts anywhere else: key, n_bytes, n_removed, n_spans, kept_sha256, and then spans (starts
-    and ends of the removed runs, in bytes) and kept_text (what is left, without what a cut has left
-    of a character).
+    also starts anywhere else: key, n_bytes, n_removed, n_spans, kept_sha256, and spans (starts and
+    ends of the removed runs, in bytes).
+
+    With ``passage`` two columns follow that go by words: passages, the runs of that many whole words
+    or more that stand anywhere else too (starts and ends in bytes; short words may make them
+    shorter than ``length``), and kept_text, what neither spans nor passages cover, without what a
+    cut has left of a character.
 
     Strings are judged on the input, matches may overlap and never cross rows.  A null text counts
     as empty; texts shorter than ``length`` lose nothing; repeated rows and equal or null keys are
@@ -490,25 +504,33 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", leng
     """
     kind = docs.schema[key].dataType.simpleString()
     rows = with_rows(docs, text, key, list(dict.fromkeys([key, text])))
-    lists = _span_lists(repeated_spans(rows, text, "_row", False, length, gram, group))
-    span = pa.struct([("s", pa.int64()), ("e", pa.int64())])
+    joined = rows.join(_span_lists(repeated_spans(rows, text, "_row", False, length, gram, group), "_spans"), "_row", "left")
+    if passage:
+        joined = joined.join(_span_lists(repeated_spans(rows, text, "_row", False, 2 * passage - 1, WORD_GRAM, group, True), "_words"), "_row", "left")
+    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
+    as_list = lambda s, e: [{"s": x, "e": y} for x, y in zip(s.tolist(), e.tolist())]
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(6)]
-            for t, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            out = [[] for _ in range(7 if passage else 5)]
+            for t, spans, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
                 raw = (t or "").encode()
                 s, e = _runs(spans)
-                left = _without(raw, s, e)
-                for o, v in zip(out, (len(raw), int((e - s).sum()), len(s), hashlib.sha256(left).hexdigest(), [{"s": x, "e": y} for x, y in zip(s.tolist(), e.tolist())], left.decode(errors="ignore"))):
+                found = [len(raw), int((e - s).sum()), len(s), hashlib.sha256(_without(raw, s, e)).hexdigest(), as_list(s, e)]
+                if passage:
+                    at = np.asarray([(x["s"], x["e"]) for x in words or []], np.int64).reshape(-1, 2)
+                    ws, we = word_spans(raw, at[:, 0], at[:, 1], 2 * passage - 1)
+                    both = merged(np.concatenate([s, ws]), np.concatenate([e, we]))
+                    found += [as_list(ws, we), _without(raw, *both).decode(errors="ignore")]
+                for o, v in zip(out, found):
                     o.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), *(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.string()), pa.array(out[4], pa.list_(span)), pa.array(out[5], pa.string())],
-                names=[key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept_text"],
-            )
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, span, pa.string()]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
 
-    joined = rows.join(lists, rows["_row"] == lists["row"], "left").select(F.col(key), F.col(text), "_spans")
-    return joined.mapInArrow(run, f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s: bigint, e: bigint>>, kept_text string")
+    names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["passages", "kept_text"] if passage else [])]
+    schema = f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s: bigint, e: bigint>>"
+    schema += ", passages array<struct<s: bigint, e: bigint>>, kept_text string" if passage else ""
+    return joined.select(F.col(key), F.col(text), "_spans", F.col("_words") if passage else F.lit(None).alias("_words")).mapInArrow(run, schema)
 
 
 def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, gram: int = GRAM, group: int = GROUP, words: bool = False) -> DataFrame:
@@ -522,7 +544,7 @@ def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id"
     plain = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
     t, k = f"c{docs.columns.index(text)}", f"c{docs.columns.index(key)}"
     rows = with_rows(plain, t, k, plain.columns)
-    lists = _span_lists(repeated_spans(rows, t, "_row", True, length, gram, group, words))
+    lists = _span_lists(repeated_spans(rows, t, "_row", True, length, gram, group, words), "_spans")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -543,5 +565,5 @@ def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id"
             out.append(_without(raw, s[s < e], e[s < e]).decode())
         return __import__("pandas").Series(out, dtype=object)
 
-    joined = rows.join(lists, rows["_row"] == lists["row"], "left")
+    joined = rows.join(lists, "_row", "left")
     return joined.select(*(cut(F.col(t), F.col("_spans")).alias(c) if f"c{i}" == t else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

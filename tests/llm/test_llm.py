@@ -470,11 +470,11 @@ def test_suffix_dedup(spark, group):
                     at += n
                 assert (r["text"] or "") == want
         else:
-            for r in suffix_dedup.repeat_report(docs(spark, texts), length=size, gram=10, group=group).collect():
+            for r in suffix_dedup.repeat_report(docs(spark, texts, True), length=size, gram=10, group=group).collect():
                 i = r["doc_id"] // 7
                 left = bytes(np.frombuffer(raw[i], np.uint8)[~gone[i]])
                 runs = int((np.diff(np.concatenate([[0], gone[i].astype(int)])) == 1).sum())
-                assert r["kept_text"] == left.decode(errors="ignore") and sum(x["e"] - x["s"] for x in r["spans"]) == r["n_removed"]
+                assert sum(x["e"] - x["s"] for x in r["spans"]) == r["n_removed"]
                 assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(raw[i]), int(gone[i].sum()), runs, hashlib.sha256(left).hexdigest())
 
 
@@ -503,6 +503,32 @@ def test_suffix_dedup_by_words(spark, group):
     assert [got[i * 7] or "" for i in range(len(texts))] == brute_without_passages(texts, n)
 
 
+def test_report_with_passages(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_ANCHORS", 0)
+    rng, n = random.Random(14), 51
+    base = ["".join(rng.choice(["a", "b", "é", "longer", "ab", ".", "word"]) + rng.choice([" ", " ", "  ", "\n"]) for _ in range(90)) for _ in range(4)]
+    texts = ["".join(rng.choice(base)[rng.randint(0, 60) :] + rng.choice(["", "zz", str(rng.random())]) for _ in range(rng.randint(0, 3))) for _ in range(30)] + [None, "", "x " * 200]
+    raws = [(t or "").encode() for t in texts]
+    words, places = [list(re.finditer(rb"[^ \t-\r]+", r)) for r in raws], {}
+    for i, ws in enumerate(words):
+        for a, b in zip(ws, ws[n - 1 :]):
+            places.setdefault(raws[i][a.start() : b.end()], []).append((i, a.start(), b.end()))
+    gone = [np.zeros(len(r), bool) for r in raws]
+    for found in places.values():
+        for i, a, b in found if len(found) > 1 else []:
+            gone[i][a:b] = True
+    assert sum(g.any() for g in gone) > 15
+    for r in suffix_dedup.repeat_report(docs(spark, texts), passage=n).collect():
+        i = r["doc_id"] // 7
+        own, both = np.zeros(len(raws[i]), bool), np.zeros(len(raws[i]), bool)
+        for x in r["passages"]:
+            own[x["s"] : x["e"]] = True
+        assert (own == gone[i]).all()
+        for x in (*r["passages"], *r["spans"]):
+            both[x["s"] : x["e"]] = True
+        assert r["kept_text"] == np.frombuffer(raws[i], np.uint8)[~both].tobytes().decode(errors="ignore")
+
+
 def test_pipeline_passages_are_of_51_words(spark):
     import corpus_pipeline
 
