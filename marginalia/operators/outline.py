@@ -138,8 +138,11 @@ def markdown_export(notebook: DataFrame, sections: DataFrame, notes: DataFrame,
     accepted = notes.filter("status = 'ACCEPTED'").select(F.col("id").alias("note_id"), "section_id", "content")
     cited = sources.join(documents.select(F.col("id").alias("document_id"), F.col("title").alias("work")), "document_id").select("note_id", F.col("ord").alias("source_ord"), "quoted", "work")
     lines = visible.join(accepted, "section_id").join(cited, "note_id", "left")
-    order = Window.partitionBy("notebook_id").orderBy("section_ord", "section_id", "note_id", "source_ord", "quoted", "work").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = lines.withColumn("n", F.sum(F.when(F.col("source_ord").isNotNull(), 1).otherwise(0)).over(order))
+    # sections are counted first, so that a notebook's lines need not meet in one task to be numbered
+    ahead = Window.partitionBy("notebook_id").orderBy("section_ord", "section_id").rowsBetween(Window.unboundedPreceding, -1)
+    begin = lines.groupBy("notebook_id", "section_ord", "section_id").agg(F.count("source_ord").alias("k")).select("section_id", F.coalesce(F.sum("k").over(ahead), F.lit(0)).alias("begin"))
+    order = Window.partitionBy("section_id").orderBy("note_id", "source_ord", "quoted", "work").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = lines.join(begin, "section_id").withColumn("n", F.col("begin") + F.count("source_ord").over(order))
     per_note = numbered.groupBy("notebook_id", "section_ord", "section_id", "section", "mark", "note_id", "content").agg(F.array_sort(F.collect_list(F.when(F.col("source_ord").isNotNull(), F.struct("n", "quoted", "work")))).alias("feet"))
     body = F.concat(F.col("content"), F.array_join(F.transform("feet", lambda f: F.concat(F.lit("[^"), f["n"].cast("string"), F.lit("]"))), ""))
     notes_out = per_note.select("notebook_id", "section_ord", "section_id", "section", "mark", "note_id", body.alias("body"), "feet")

@@ -113,6 +113,20 @@ def iso_times(spark, sf_dir):
     return S.edits(spark, sf_dir).select("id", F.date_format("created_at", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'").alias("at"))
 
 
+@query("SELECT id, text FROM {blocks} b")
+def citation_tokens(spark, sf_dir):
+    """Texts without the marks of citations under way (STR18)."""
+    marked = F.concat(F.lit(T.CITE_OPEN + "r12" + T.CITE_MID), F.left("text", F.lit(5)), F.lit(T.CITE_CLOSE), F.substring("text", 6, F.char_length("text")), F.lit(T.CITE_CLOSE))
+    return S.blocks(spark, sf_dir).select("id", T.strip_citation_tokens(marked).alias("text"))
+
+
+@query("SELECT page_id AS id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://' || regexp_replace(url, '^https?://', '') END AS href FROM pages")
+def weblink_hrefs(spark, sf_dir):
+    """Where written addresses lead: those without a scheme get one (STR10)."""
+    token = F.when(F.col("id") % 2 == 0, F.col("source_url")).otherwise(F.regexp_replace("source_url", "^https?://", ""))
+    return S.pages(spark, sf_dir).select("id", T.weblink_href(token).alias("href"))
+
+
 # ---------------------------------------------------------------- sources and projections
 
 
@@ -511,3 +525,13 @@ def accepted_search_lexical(spark, sf_dir):
 
     n = L.accepted_notes(S.notes(spark, sf_dir), S.sections(spark, sf_dir), S.notebooks(spark, sf_dir))
     return R.ranked(n, "urgent or high -low").select("id", "section_title", F.col("similarity").cast("decimal(3,2)").alias("similarity"))
+
+
+@query("SELECT l_orderkey AS note_id, l_linenumber AS ord, CASE WHEN l_quantity >= 45 THEN 'quantity' END AS issue FROM lineitem")
+def quarantined_rows(spark, sf_dir):
+    """Rows that keep all rules, and those that are kept apart with what is wrong (JSN2, JSN4)."""
+    from marginalia.functions import json as J
+
+    li = S.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("note_id"), F.col("l_linenumber").alias("ord"), "l_quantity")
+    good, bad = J.quarantined(li, {"quantity": F.col("l_quantity") < 45})
+    return good.select("note_id", "ord", F.lit(None).cast("string").alias("issue")).unionByName(bad.select("note_id", "ord", F.element_at("issues", 1).alias("issue")))
