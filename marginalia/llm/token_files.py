@@ -7,7 +7,8 @@ apart, so a reader gets all lengths from one table lookup and all values from a
 The file format is a Parquet table of blocks in ascending key order: Spark's writers commit it on
 any store, a lost executor's attempt leaves nothing behind, and readers prune to the blocks and
 columns they need.  Columns: shard and block (position), start (ids in the shard before the
-block), n_ids, keys and lens (the documents of the block), control, data.
+block), n_ids, keys, absent and lens (the documents of the block; a bit of absent is set where the
+key is null), control, data.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from marginalia.llm.spans import Encoder, kept
 #: Ids of a block, unless a single document has more.
 BLOCK = 1 << 19
 _LENGTHS = (((np.arange(256)[:, None] >> (2 * np.arange(4))) & 3) + 1).astype(np.uint8)
-BLOCK_SCHEMA = "shard int, block int, start bigint, n_ids bigint, keys binary, lens binary, control binary, data binary"
+BLOCK_SCHEMA = "shard int, block int, start bigint, n_ids bigint, keys binary, absent binary, lens binary, control binary, data binary"
 
 
 def pack(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -126,9 +127,9 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, path: str, t
         def flush():
             nonlocal block, start, keys, parts, size
             control, data = pack(rank[np.concatenate(parts)])
-            row = [shard, block, start, size, np.asarray([-(1 << 63) if k is None else k for k in keys], "<i8").tobytes(), np.asarray([len(p) for p in parts], "<u4").tobytes(), control, data]
+            row = [shard, block, start, size, np.asarray([k or 0 for k in keys], "<i8").tobytes(), np.packbits([k is None for k in keys]).tobytes(), np.asarray([len(p) for p in parts], "<u4").tobytes(), control, data]
             block, start, keys, parts, size = block + 1, start + size, [], [], 0
-            return pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "start", "n_ids", "keys", "lens", "control", "data"), row))], schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.binary()), ("lens", pa.binary()), ("control", pa.binary()), ("data", pa.binary())]))
+            return pa.RecordBatch.from_pylist([dict(zip(("shard", "block", "start", "n_ids", "keys", "absent", "lens", "control", "data"), row))], schema=pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("start", pa.int64()), ("n_ids", pa.int64()), ("keys", pa.binary()), ("absent", pa.binary()), ("lens", pa.binary()), ("control", pa.binary()), ("data", pa.binary())]))
 
         for b in batches:
             for k, stored in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -159,9 +160,10 @@ def read_token_files(spark: SparkSession, path: str, ids: np.ndarray, key: str =
                 lens = np.frombuffer(row["lens"], "<u4").astype(np.int64)
                 end = np.cumsum(lens)
                 keys = np.frombuffer(row["keys"], "<i8")
+                absent = np.unpackbits(np.frombuffer(row["absent"], np.uint8), count=len(keys)).astype(bool)
                 parts = [values[e - n : e].tobytes() for e, n in zip(end.tolist(), lens.tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys, pa.int64(), mask=keys == -(1 << 63)), pa.array(before[row["shard"]] + row["start"] + end - lens, pa.int64()), pa.array(lens, pa.int64()), pa.array(parts, pa.binary()) if full else pa.array([zlib.crc32(p) for p in parts], pa.int64())],
+                    [pa.array(keys, pa.int64(), mask=absent), pa.array(before[row["shard"]] + row["start"] + end - lens, pa.int64()), pa.array(lens, pa.int64()), pa.array(parts, pa.binary()) if full else pa.array([zlib.crc32(p) for p in parts], pa.int64())],
                     names=[key, "start", "n_tokens", "ids" if full else "ids_crc32"],
                 )
 

@@ -122,9 +122,9 @@ def test_bpe_of_odd_tables(spark):
 def test_token_files_of_odd_tables(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     assert token_files.token_files(empty(spark), path, 1).count() == 0
-    df = spark.createDataFrame([(None, "a", 1), (None, "b c", 2), (4, "a", 3), (4, None, 4)], "doc_id bigint, text string, shard int")
+    df = spark.createDataFrame([(None, "a", 1), (None, "b c", 2), (4, "a", 3), (4, None, 4), (-(1 << 63), "a", 5)], "doc_id bigint, text string, shard int")
     got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in token_files.token_files(df, path, 1).collect())
-    assert [g[1] for g in got] == [None, None, 4, 4] and sorted(g[2] for g in got[:2]) == [2, 3] and sorted(g[2] for g in got[2:]) == [1, 2]
+    assert [g[1] for g in got] == [None, None, -(1 << 63), 4, 4] and sorted(g[2] for g in got[:2]) == [2, 3] and sorted(g[2] for g in got[3:]) == [1, 2]
     assert [g[0] for g in got] == np.cumsum([0, *(g[2] for g in got[:-1])]).tolist()
 
 
