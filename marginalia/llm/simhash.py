@@ -33,8 +33,8 @@ from marginalia.llm.components import components, forest
 SEED, BITS, RADIUS = 42, 64, 3
 #: Bits of the block that has a tree.
 TREE_BITS = 16
-#: Fingerprints a shard should hold; leaves of the local tree.
-SHARD, LEAF = 4096, 512
+#: Fingerprints that should lie in a shard (several times as many ask there); leaves of the local tree.
+SHARD, LEAF = 512, 512
 
 
 # ---------------------------------------------------------------- fingerprints
@@ -108,8 +108,8 @@ def block_tree(values: np.ndarray, weights: np.ndarray, shard: int) -> tuple[np.
     return home, np.asarray(full, bool)
 
 
-def shards_of(fps: np.ndarray, home: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``fps`` and the shards that each lies or asks in."""
+def shards_of(fps: np.ndarray, home: np.ndarray, full: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places in ``fps``, the shards that each lies or asks in, and whether it lies there."""
     ball = np.asarray([0, *(1 << k for k in range(TREE_BITS))])
     own = (fps & np.uint64((1 << TREE_BITS) - 1)).astype(np.int64)
     leaves = np.sort(home[own[:, None] ^ ball], axis=1)
@@ -117,16 +117,19 @@ def shards_of(fps: np.ndarray, home: np.ndarray, full: np.ndarray) -> tuple[np.n
     fresh[:, 1:] &= leaves[:, 1:] != leaves[:, :-1]
     place, column = np.nonzero(fresh)
     leaf = leaves[place, column]
+    lies = leaf == home[own[place]]
     split = full[leaf]
-    at, shard = [place[~split]], [leaf[~split] << 16]
+    at, shard, here = [place[~split]], [leaf[~split] << 16], [lies[~split]]
     for j in range(4):
         sub = ((fps[place[split]] >> np.uint64(TREE_BITS + 12 * j)) & np.uint64(0xFFF)).astype(np.int64)
         at.append(place[split])
         shard.append(leaf[split] << 16 | (j + 1) << 12 | sub)
+        here.append(lies[split])
     for j in range(2):
         at.append(np.arange(len(fps)))
         shard.append(((fps >> np.uint64(TREE_BITS + 24 * j)) & np.uint64(0xFFFFFF)).astype(np.int64) | (j + 1) << 60)
-    return np.concatenate(at), np.concatenate(shard)
+        here.append(np.ones(len(fps), bool))
+    return np.concatenate(at), np.concatenate(shard), np.concatenate(here)
 
 
 # ---------------------------------------------------------------- search within a shard
@@ -181,8 +184,8 @@ def fingerprint_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
     def place(batches):
         for batch in batches:
             fp = batch.column(0).to_numpy().view(np.uint64)
-            at, shards = shards_of(fp, home, full)
-            yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(shards)], names=["fp", "shard"])
+            at, shards, lies = shards_of(fp, home, full)
+            yield pa.RecordBatch.from_arrays([pa.array(fp[at].view(np.int64)), pa.array(shards), pa.array(lies)], names=["fp", "shard", "lies"])
 
     def search(batches):
         # a task's shards, one after another; a shard's rows arrive together
@@ -190,26 +193,32 @@ def fingerprint_links(distinct: DataFrame, shard: int = SHARD) -> DataFrame:
         now = None
 
         def links():
-            fps = np.unique(np.concatenate(held).view(np.uint64))
-            a, b = shard_links(fps, RADIUS)
+            # what asks is compared with what lies here alone: elsewhere it is the other way round
+            fps, lies = (np.concatenate(x) for x in zip(*held))
+            fps = fps.view(np.uint64)
+            own, asks, out = fps[lies], fps[~lies], []
+            out.append(shard_links(own, RADIUS))
+            _cross(own, asks, RADIUS, out)
+            a, b = (np.concatenate(x) for x in zip(*out))
+            a, b = forest(a, b) if len(a) else (a, b)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fp, k = batch.column("fp").to_numpy(), batch.column("shard").to_numpy()
+            fp, k, lies = batch.column("fp").to_numpy(), batch.column("shard").to_numpy(), batch.column("lies").to_numpy(zero_copy_only=False)
             cut = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), len(k)]
             for i, j in zip(cut, cut[1:]):
                 if now is not None and k[i] != now:
-                    if sum(map(len, held)) > 1:
+                    if sum(len(h[0]) for h in held) > 1:
                         yield links()
                     held.clear()
                 now = k[i]
-                held.append(fp[i:j])
-        if sum(map(len, held)) > 1:
+                held.append((fp[i:j], lies[i:j]))
+        if sum(len(h[0]) for h in held) > 1:
             yield links()
 
-    placed = distinct.select("fp").mapInArrow(place, "fp bigint, shard bigint")
+    placed = distinct.select("fp").mapInArrow(place, "fp bigint, shard bigint, lies boolean")
     dealt = placed.repartition(partitions(distinct.sparkSession), "shard").sortWithinPartitions("shard")
     return dealt.mapInArrow(search, "a bigint, b bigint")
 
