@@ -10,8 +10,8 @@ from __future__ import annotations
 
 import json
 import re
+from struct import pack
 
-import numpy as np
 from tokenizers import Tokenizer
 
 _BLANK_SPACE = re.compile(r"\s ")
@@ -113,6 +113,8 @@ class Ids:
         others = [b for b in range(256) if b not in set(plain)]
         # the byte-level alphabet: printable bytes as they are, others above them in order
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        # a word comes with many marks after it, and marks are few
+        self.matches = Pieces(self.of_match, 200_000)
 
     def __call__(self, piece: str) -> list[int]:
         if not piece:
@@ -140,19 +142,26 @@ class Ids:
         return self.matched(lead + word) + self.matched(marks) if marks else self.matched(lead + word)
 
     def matched(self, match: str) -> list[int]:
+        return self.matches[match]
+
+    def of_match(self, match: str) -> list[int]:
         chars = match.replace(" ", self.alphabet[32]) if match.isascii() and match.isprintable() else "".join(map(self.alphabet.__getitem__, match.encode()))
         return [t.id for t in self.model.tokenize(chars)]
 
 
+def _packed(ids: list[int]) -> bytes:
+    return pack(f"<{len(ids)}I", *ids)
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit integers, by pieces."""
 
     def __init__(self, path: str):
         ids = Ids(path)
         self.rule = ids.rule
-        self.raw = Pieces(lambda s: np.asarray(ids(s), "<u4").tobytes())
+        self.raw = Pieces(lambda s: _packed(ids(s)))
         lead = " " if self.rule == "led" else ""
-        self.bare = Pieces(lambda s: np.asarray(ids(lead + s), "<u4").tobytes())
+        self.bare = Pieces(lambda s: _packed(ids(lead + s)))
 
     def __call__(self, text: str) -> bytes:
         if self.rule == "whole":
