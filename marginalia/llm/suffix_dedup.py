@@ -11,8 +11,8 @@ bytes count, so the arrays are cut off at that length and built over stretches t
   bytes the least is an anchor, so that two equal strings of ``length`` bytes hold equal anchors;
 * anchors that occur once are dropped; for the others, the CONTEXT around an anchor holds every
   string of ``length`` bytes whose anchor it is;
-* occurrences with equal contexts (the same anchor and the same 128-bit BLAKE2b digest of the
-  context) repeat in full, and take part in the rest as one;
+* occurrences with equal contexts (the same anchor hash and the same 128-bit XXH3 of the context)
+  repeat in full, and take part in the rest as one;
 * differing contexts of one anchor come together.  Their suffixes are put in the order of their
   first ``length`` bytes, by prefix doubling, and of their positions among equals; previous smaller
   positions in that order give the longest previous factors, cut off at ``length``;
@@ -31,6 +31,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,6 +42,8 @@ LENGTH, GRAM = 400, 200
 WORD_GRAM = 35
 #: Differing contexts of an anchor that one task compares.
 GROUP = 1500
+#: Bytes or symbols that are put in suffix order at once, beyond those of one anchor.
+AT_ONCE = 1 << 17
 #: Hashes of repeated anchors (8 bytes each) that are sent to all tasks; more are joined.
 BROADCAST_ANCHORS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -55,12 +58,12 @@ def prefix_ranks(data: np.ndarray, length: int) -> np.ndarray:
     n = len(data) - length + 1
     if n <= 0:
         return np.full(len(data), -1, np.int64)
-    size = 1
-    while data.dtype == np.uint8 and size * 2 <= min(8, length):
+    size, bits = 1, max(1, int(data.max()).bit_length())
+    while size * 2 * bits <= 64 and size * 2 <= length:
         size *= 2
     ranks = np.zeros(len(data) - size + 1, np.uint64)
     for i in range(size):
-        ranks = (ranks << np.uint64(8)) | data[i : len(data) - size + 1 + i].astype(np.uint64)
+        ranks = (ranks << np.uint64(bits)) | data[i : len(data) - size + 1 + i].astype(np.uint64)
     ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
     while size < length:
         step = min(size, length - size)
@@ -121,7 +124,7 @@ def _common(text: np.ndarray, a: int, b: int) -> int:
     return done
 
 
-def factor_sources(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarray:
+def factor_sources(data: np.ndarray, valid: np.ndarray, length: int, group: np.ndarray | None = None) -> np.ndarray:
     """Longest previous factors cut off at ``length``, of the positions ``valid`` (ascending, each
     with ``length`` bytes or symbols to go): the place in ``valid`` of an earlier match of that
     length, -1 where the longest previous factor is shorter.
@@ -129,8 +132,11 @@ def factor_sources(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarr
     Suffix order goes by the first ``length`` bytes and then by position.  Suffixes that share
     these bytes are neighbours in it and stand in ascending order, so the previous smaller position
     of each but the first of them is its left neighbour, and no next smaller one is among them.
+    With ``group``, a number for each of ``valid``, only matches of one group count.
     """
     ranks = prefix_ranks(data, length)[valid]
+    if group is not None and len(valid):
+        ranks = ranks + group * (int(ranks.max()) + 1)
     order = np.argsort(ranks, kind="stable")
     shared = ranks[order][1:] == ranks[order][:-1]
     source = np.full(len(valid), -1, np.int64)
@@ -138,9 +144,10 @@ def factor_sources(data: np.ndarray, valid: np.ndarray, length: int) -> np.ndarr
     return source
 
 
-def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int, groups: list[int] | None = None) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """For each text the starts of its strings of ``length`` bytes that occur earlier (in this or
-    an earlier text), and of those that occur anywhere else.  Texts are bytes or lists of symbols.
+    an earlier text), and of those that occur anywhere else.  Texts are bytes or lists of symbols;
+    only texts of one group are compared.
     """
     sizes = np.asarray([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
@@ -155,7 +162,7 @@ def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int) -> tupl
     if not len(valid):
         none = [np.zeros(0, np.int64)] * len(texts)
         return none, none
-    source = factor_sources(data, valid, length)
+    source = factor_sources(data, valid, length, None if groups is None else np.asarray(groups, np.int64)[owner[valid]])
     previous = source >= 0
     elsewhere = previous.copy()
     elsewhere[source[previous]] = True
@@ -356,7 +363,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
                 hs.append(h)
                 ties.append(tie)
                 # the place of the anchor in its context counts too
-                cs.append([_signed(hashlib.blake2b(raw[x:y], digest_size=16, salt=(p - f).to_bytes(4, "little")).digest()) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
+                cs.append([_signed(xxhash.xxh3_128_digest(raw[x:y], p - f)) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
                 lefts.append(e - a)
             if rows:
                 yield pa.RecordBatch.from_arrays(
@@ -413,35 +420,50 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
         return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["row", "s", "e"])
 
     def compare(batches):
-        # a task's anchors, one after another; an anchor's contexts arrive together, in order
+        # a task's anchors, one after another; an anchor's contexts arrive together, in order.  Many
+        # anchors are put in suffix order at once, and each is compared within itself
         held, now = [], None
+        rows, begins, texts, groups, size = [], [], [], [], 0
 
-        def done():
+        def gather():
             # contexts of one row that overlap are one stretch of its text, else it would match itself
-            rows, begins, texts = [], [], []
+            nonlocal size
+            first, group = len(rows), groups[-1] + 1 if groups else 0
             for _, r, p, raw in held:
                 a = max(p - (length - gram), 0)
                 raw = symbols(raw) if words else raw
-                if rows and rows[-1] == r and a <= begins[-1] + len(texts[-1]):
+                size += len(raw)
+                if len(rows) > first and rows[-1] == r and a <= begins[-1] + len(texts[-1]):
                     texts[-1] += raw[max(0, begins[-1] + len(texts[-1]) - a) :]
                 else:
                     rows.append(r)
                     begins.append(a)
                     texts.append(raw)
-            previous, elsewhere = repeated_starts(texts, length)
+                    groups.append(group)
+
+        def done():
+            nonlocal size
+            previous, elsewhere = repeated_starts(texts, length, groups)
             starts = previous if keep_first else elsewhere
             if words:
                 starts = [np.asarray([i for i in st.tolist() if not t[i].isspace()], np.int64) for t, st in zip(texts, starts)]
-            return spans_of(rows, begins, starts)
+            out = spans_of(rows, begins, starts)
+            for part in (rows, begins, texts, groups):
+                part.clear()
+            size = 0
+            return out
 
         for b in batches:
             for x in zip(*(b.column(k).to_pylist() for k in ("h", "row", "pos", "bytes"))):
                 if now is not None and x[0] != now:
-                    yield done()
+                    gather()
                     held = []
+                    if size > AT_ONCE:
+                        yield done()
                 now = x[0]
                 held.append(x)
         if held:
+            gather()
             yield done()
 
     small = contexts.filter(F.col("contexts") <= group).repartition(parts, "h").sortWithinPartitions("h", "row", "pos")
