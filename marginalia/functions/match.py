@@ -120,9 +120,15 @@ def _point(segs, at: int, is_start: bool) -> int:
     return segs[-1][3] if segs else at
 
 
+def moved(segs, start: int, end: int) -> tuple[int, int] | None:
+    """Where a range lies after an edit; None if nothing of it is left."""
+    s, e = _point(segs, start, True), _point(segs, end, False)
+    return (s, e) if e > s else None
+
+
 def remap(segs, text: str, start: int, end: int, quoted: str) -> tuple[int, int, str, str, str, bool]:
     """(start, end, quote, prefix, suffix, orphaned) of an anchor after an edit."""
-    s, e = _point(segs, start, True), _point(segs, end, False)
+    s, e = moved(segs, start, end) or (0, 0)
     if e > s:
         inner = text[s:e]
         lead = WS.match(inner)

@@ -215,30 +215,6 @@ def corpus_context() -> Column:
     return F.concat(head, F.lit("\n"), F.col("content"))
 
 
-# Actions that an assistant may plan.
-ACTIONS = ("create_section", "create_note", "move_note", "accept_note", "reject_note", "highlight", "comment", "link", "edit_block", "format_block")
-
-
-def plan(actions: DataFrame, blocks: DataFrame, sections: DataFrame, notes: DataFrame) -> DataFrame:
-    """Planned actions (seq, type, block_id, section_id, note_id, quote) with what is wrong with
-    them, and for quotes where they lie: warning, start, end."""
-    b = blocks.select(F.col("id").alias("block_id"), "text")
-    s = sections.select(F.col("id").alias("section_id"), F.lit(True).alias("has_section"))
-    n = notes.select(F.col("id").alias("note_id"), F.lit(True).alias("has_note"))
-    j = actions.join(b, "block_id", "left").join(s, "section_id", "left").join(n, "note_id", "left")
-    t = F.col("type")
-    quoted = t.isin("highlight", "comment", "link")
-    at = J.build_anchor(F.col("text"), F.col("quote"))
-    warning = (
-        F.when(~t.isin(*ACTIONS), "unknown action")
-        .when(t.isin("highlight", "comment", "link", "edit_block", "format_block") & F.col("text").isNull(), "unknown block")
-        .when(quoted & at.isNull(), "quote not found")
-        .when(t.isin("create_note", "move_note") & F.col("has_section").isNull(), "unknown section")
-        .when(t.isin("move_note", "accept_note", "reject_note") & F.col("has_note").isNull(), "unknown note")
-    )
-    return j.select(*actions.columns, warning.alias("warning"), F.when(quoted, at["start"]).alias("start"), F.when(quoted, at["end"]).alias("end"))
-
-
 # ---------------------------------------------------------------- what a model says of a parse
 
 LISTED, LEAST_BLOCKS, LEAST_CHARS, MOST_DROPPED = 500, 3, 400, 0.4

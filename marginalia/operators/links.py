@@ -236,7 +236,7 @@ def embedded(rows: DataFrame, embedder: Embedder, size: int = 96) -> DataFrame:
     return rows.select("id", "text").mapInArrow(run, f"id {kind}, embedding array<float>")
 
 
-# ---------------------------------------------------------------- plans and edits
+# ---------------------------------------------------------------- edits
 
 
 def edited(blocks: DataFrame, anchors: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -252,36 +252,3 @@ def edited(blocks: DataFrame, anchors: DataFrame, commands: DataFrame) -> tuple[
     carried = remapped(anchors, log)
     still = anchors.join(log.select("block_id").distinct(), "block_id", "left_anti").withColumn("orphaned", F.lit(False))
     return out, carried.unionByName(still.select(*carried.columns)), log
-
-
-def executed(actions: DataFrame, notes: DataFrame, sections: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """A plan's outcome: failure of each action (null if it is done), then notes and sections.
-
-    ``actions`` has seq, type, note_id, section_id, section_title and text.  An action that fails
-    leaves the others alone.  Sections are named by id, or by the title, whatever its case, of one
-    that stands or that an earlier action adds; of several decisions on a note the last counts.
-    """
-    t = F.col("type")
-    title = F.lower("section_title")
-    made = actions.filter("type = 'add_section'").select("seq", F.concat(F.lit("plan:"), F.col("seq").cast("string")).alias("new_id"), F.col("text").alias("title"))
-    named = sections.select(F.col("id").cast("string").alias("by_title"), F.lower("title").alias("key"), F.lit(-1).cast("bigint").alias("since")).unionByName(made.select(F.col("new_id").alias("by_title"), F.lower("title").alias("key"), F.col("seq").cast("bigint").alias("since")))
-    ids = sections.select(F.col("id").alias("section_id"), F.lit(True).alias("has_section"))
-    has = notes.select(F.col("id").alias("note_id"), F.lit(True).alias("has_note"))
-    last = actions.select("seq", title.alias("key")).join(named, "key").filter(F.col("since") < F.col("seq")).groupBy("seq").agg(F.max_by("by_title", F.struct("since", "by_title")).alias("by_title"))
-    j = actions.join(ids, "section_id", "left").join(has, "note_id", "left").join(last, "seq", "left")
-    place = F.coalesce(F.when(F.col("has_section"), F.col("section_id").cast("string")), "by_title")
-    j = j.withColumn("place", place)
-    failure = (
-        F.when(~t.isin("add_section", "add_note", "move_note", "accept_note", "reject_note"), "unknown action")
-        .when(t.isin("add_note", "move_note") & F.col("place").isNull(), "unknown section")
-        .when(t.isin("move_note", "accept_note", "reject_note") & F.col("has_note").isNull(), "unknown note")
-    )
-    j = j.withColumn("failure", failure)
-    good = j.filter("failure IS NULL")
-    decided = good.filter(t.isin("accept_note", "reject_note")).groupBy(F.col("note_id").alias("id")).agg(F.max_by(F.when(t == "accept_note", "ACCEPTED").otherwise("REJECTED"), "seq").alias("d"))
-    moves = good.filter("type = 'move_note'").groupBy(F.col("note_id").alias("id")).agg(F.max_by("place", "seq").alias("m"))
-    old = notes.select(F.col("id").cast("string").alias("key"), "id", "section_id", "status", "content").join(decided, "id", "left").join(moves, "id", "left")
-    kept = old.select(F.col("key").alias("id"), F.coalesce("m", F.col("section_id").cast("string")).alias("section_id"), F.coalesce("d", "status").alias("status"), "content")
-    added = good.filter("type = 'add_note'").select(F.concat(F.lit("plan:"), F.col("seq").cast("string")).alias("id"), F.col("place").alias("section_id"), F.lit("ACCEPTED").alias("status"), F.col("text").alias("content"))
-    all_sections = sections.select(F.col("id").cast("string").alias("id"), "title").unionByName(made.select(F.col("new_id").alias("id"), "title"))
-    return j.select("seq", "type", "failure"), kept.unionByName(added), all_sections

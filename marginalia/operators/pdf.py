@@ -1,100 +1,108 @@
-"""Blocks from positioned text of PDF pages, by windows over the pieces of a page.
+"""Blocks from positioned text of PDF pages.
 
 ``items`` has document_id, page, s (text), x, y (from the bottom), w, size, page_width, page_height.
+Pages are groups of their own: which line a piece is in, and which run a line is in, depends on what
+came before on the page (``functions.layout``).  What a document knows as a whole, the size of its
+body, its title and where paragraphs go on, comes from aggregates and windows over pages.
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marginalia.functions.text import escape_html, table_html
+from marginalia.functions import layout as L
+from marginalia.functions.text import escape_html, table_html, trim_ws
 
-_NUMBERED, _BULLET = r"^\d+(\.\d+)*\.?\s+[A-Z]", r"^\s*([-*•–]|\d{1,3}[.)])\s+"
+#: Size of the body where no line tells it, and characters of lines that tell it.
+BODY, TELLING = 10.0, 40
 
 
-def columns(items: DataFrame) -> DataFrame:
-    """Items with ``band`` order within their page: two columns are read one after the other,
-    between lines that run across.
-
-    The gutter is where least text crosses among eight places near the middle.
-    """
-    page = ["document_id", "page"]
-    n = F.char_length("s")
-    at = items.select(*page, "x", "w", n.alias("n"), F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.col("page_width") * (0.44 + 0.02 * i))).alias("g"))
-    cross = (F.col("x") < F.col("g")) & (F.col("x") + F.col("w") > F.col("g"))
-    per = at.groupBy(*page, "g").agg(F.sum("n").alias("total"), F.sum(F.when(cross, F.col("n")).otherwise(0)).alias("crossing"), F.sum(F.when(F.col("x") + F.col("w") <= F.col("g"), F.col("n")).otherwise(0)).alias("left"), F.sum(F.when(F.col("x") >= F.col("g"), F.col("n")).otherwise(0)).alias("right"))
-    best = per.groupBy(*page).agg(F.min_by(F.struct("g", "total", "crossing", "left", "right"), F.struct("crossing", "g")).alias("b"))
-    two = (F.try_divide("b.crossing", "b.total") < 0.12) & (F.try_divide("b.left", "b.total") > 0.2) & (F.try_divide("b.right", "b.total") > 0.2)
-    j = items.join(best.select(*page, F.col("b.g").alias("g"), F.coalesce(two, F.lit(False)).alias("two")), page)
-    side = F.when(~F.col("two"), 0).when(F.col("x") + F.col("w") <= F.col("g"), 1).when(F.col("x") >= F.col("g"), 2).otherwise(3)
-    return j.withColumn("side", side).drop("g")
+def items(raw: DataFrame) -> DataFrame:
+    """Positioned text from ``raw``, which has the transform (a, b, c, d, x, y) of each piece in the
+    place of x, y and size; text that is turned is left out."""
+    at = lambda i: F.col("transform")[i]
+    length = lambda i, j: F.nullif(F.hypot(at(i), at(j)), F.lit(0.0))
+    placed = raw.withColumns({"size": F.coalesce(length(0, 1), length(2, 3), F.lit(BODY)), "x": at(4), "y": at(5)})
+    return placed.filter(F.abs(at(1)) <= F.col("size") * 0.3).drop("transform")
 
 
 def lines(items: DataFrame) -> DataFrame:
     """Lines of pages in reading order: document_id, page, line, text (tabs at wide gaps), x, x_end,
     y, size, gaps.  A line begins where y leaves the tolerance of the line's first item."""
-    page = ["document_id", "page"]
-    placed = columns(items.filter(F.trim("s") != ""))
-    w = Window.partitionBy(*page, "side").orderBy(F.desc("y"), "x")
-    # items of one line lie within the tolerance of each other's neighbour in the order of y
-    new = F.abs(F.lag("y").over(w) - F.col("y")) >= F.greatest(F.lit(2.0), F.col("size") * 0.4)
-    flagged = placed.withColumn("new", F.when(F.coalesce(new, F.lit(True)), 1).otherwise(0))
-    row = flagged.withColumn("row", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    in_line = Window.partitionBy(*page, "side", "row").orderBy("x")
-    top = Window.partitionBy(*page, "side", "row")
-    size = F.max("size").over(top)
-    gap = F.col("x") - (F.lag("x").over(in_line) + F.lag("w").over(in_line))
-    join = F.when(gap.isNull(), "").when(gap > F.greatest(F.lit(8.0), size * 1.6), "\t").when(gap > size * 0.12, " ").otherwise("")
-    pieces = row.withColumn("piece", F.concat(join, F.col("s"))).withColumn("wide", (join == "\t").cast("int"))
-    g = pieces.groupBy(*page, "side", "row", "page_height").agg(
-        F.trim(F.regexp_replace(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "piece"))), lambda p: p["piece"]), ""), " {2,}", " ")).alias("text"),
-        F.min("x").alias("x"), F.max(F.col("x") + F.col("w")).alias("x_end"), F.max("y").alias("y"), F.max("size").alias("size"), F.sum("wide").alias("gaps"),
-    )
-    g = g.filter("text <> ''").filter(~(F.col("text").rlike(r"^\d{1,4}$") & ((F.col("y") < F.col("page_height") * 0.08) | (F.col("y") > F.col("page_height") * 0.92))))
-    # lines across both columns part them into bands, read from the top
-    by_y = Window.partitionBy(*page).orderBy(F.desc("y"), F.when(F.col("side") == 3, 0).otherwise(1))
-    band = F.sum(F.when(F.col("side") == 3, 1).otherwise(0)).over(by_y.rowsBetween(Window.unboundedPreceding, 0))
-    g = g.withColumn("band", band)
-    order = Window.partitionBy("document_id").orderBy("page", "band", F.when(F.col("side") == 3, 0).otherwise(F.col("side")), F.desc("y"), "x")
-    return g.withColumn("line", F.row_number().over(order)).select("document_id", "page", "line", "text", "x", "x_end", "y", "size", "gaps")
+    kind = items.schema["document_id"].dataType.simpleString()
+
+    def of_page(key, rows):
+        pieces = [L.Piece(*p) for p in zip(*(rows.column(c).to_pylist() for c in ("s", "x", "y", "w", "size")))]
+        found = L.page_lines(pieces, rows.column("page_width")[0].as_py(), rows.column("page_height")[0].as_py())
+        n, columns = len(found), list(zip(*found)) or [()] * 6
+        kinds = (pa.string(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.int32())
+        return pa.table({"document_id": pa.array([key[0].as_py()] * n, rows.schema.field("document_id").type), "page": pa.array([key[1].as_py()] * n, pa.int32()), "line": pa.array(range(n), pa.int32()), **{c: pa.array(v, t) for c, v, t in zip(L.Line._fields, columns, kinds)}})
+
+    plain = items.select("document_id", F.col("page").cast("int").alias("page"), "s", *(F.col(c).cast("double").alias(c) for c in ("x", "y", "w", "size", "page_width", "page_height")))
+    return plain.groupBy("document_id", "page").applyInArrow(of_page, f"document_id {kind}, page int, line int, text string, x double, x_end double, y double, size double, gaps int")
+
+
+def body_sizes(lines: DataFrame) -> DataFrame:
+    """(document_id, body): the upper median of the sizes of longer lines, by counts of each size."""
+    counts = lines.filter(F.char_length("text") > TELLING).groupBy("document_id", "size").agg(F.count("*").alias("n"))
+    w = Window.partitionBy("document_id")
+    upto = F.sum("n").over(w.orderBy("size").rowsBetween(Window.unboundedPreceding, 0))
+    told = counts.withColumn("upto", upto).withColumn("all", F.sum("n").over(w)).filter("upto > all div 2")
+    return told.groupBy("document_id").agg(F.min("size").alias("body"))
+
+
+def page_runs(lines: DataFrame) -> DataFrame:
+    """Runs of lines of pages: document_id, page, run, type, parts (texts of the lines), size, body."""
+    kind = lines.schema["document_id"].dataType.simpleString()
+
+    def of_page(key, rows):
+        order = rows.sort_by("line")
+        body = order.column("body")[0].as_py()
+        found = L.page_runs([L.Line(*v) for v in zip(*(order.column(c).to_pylist() for c in L.Line._fields))], body)
+        n = len(found)
+        return pa.table({
+            "document_id": pa.array([key[0].as_py()] * n, rows.schema.field("document_id").type), "page": pa.array([key[1].as_py()] * n, pa.int32()), "run": pa.array(range(n), pa.int32()),
+            "type": pa.array([t for t, _, _ in found], pa.string()), "parts": pa.array([p for _, p, _ in found], pa.list_(pa.string())), "size": pa.array([s for _, _, s in found], pa.float64()), "body": pa.array([body] * n, pa.float64()),
+        })
+
+    known = lines.join(body_sizes(lines), "document_id", "left").withColumn("body", F.coalesce("body", F.lit(BODY)))
+    return known.groupBy("document_id", "page").applyInArrow(of_page, f"document_id {kind}, page int, run int, type string, parts array<string>, size double, body double")
+
+
+def _joined(parts, between: str = "\x1e"):
+    """Lines as one paragraph: hyphens at line ends go before small letters."""
+    text = F.regexp_replace(F.array_join(parts, between), f"(?<=[A-Za-z])-{between}(?=[a-z])", "")
+    return F.trim(F.regexp_replace(F.regexp_replace(text, between, " "), "[ \u00a0]+", " "))
+
+
+def titles(runs: DataFrame) -> DataFrame:
+    """(document_id, title): the largest heading of the first page, the first of equals."""
+    told = runs.filter("type = 'HEADING' AND page = 0").withColumn("title", F.element_at("parts", 1)).filter(F.char_length("title") > 4)
+    return told.groupBy("document_id").agg(F.min_by("title", F.struct(-F.col("size"), F.col("run"))).alias("title"))
 
 
 def pdf_blocks(items: DataFrame) -> DataFrame:
     """Typed blocks of documents in order: document_id, ord, type, text, html.
 
     Headings are larger than the body or numbered, tables are runs of lines with wide gaps, lists
-    runs of bulleted lines; paragraphs break at blank gaps, indents and changes of size, lose
-    hyphens at line ends and are joined where one ends in mid-sentence.
+    runs of bulleted lines with what is indented below them; paragraphs break at jumps, indents and
+    changes of size, lose hyphens at line ends, and go on where one ends in mid-sentence.  A document
+    without text has no blocks.
     """
-    doc = Window.partitionBy("document_id").orderBy("line")
-    ls = lines(items)
-    sizes = ls.filter(F.char_length("text") > 40).groupBy("document_id").agg(F.array_sort(F.collect_list("size")).alias("s"))
-    body = sizes.select("document_id", F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("body"))
-    ls = ls.join(body, "document_id", "left").withColumn("body", F.coalesce("body", F.lit(10.0)))
-    short = (F.char_length("text") < 120) & ~F.col("text").rlike("[.,;:]$")
-    heading = short & ((F.col("size") > F.col("body") * 1.14) & (F.char_length("text") > 1) | F.col("text").rlike(_NUMBERED) & (F.col("size") >= F.col("body") * 0.98) & ~F.col("text").rlike(_BULLET) & (F.col("gaps") == 0))
-    bullet = F.col("text").rlike(_BULLET) & (F.col("size") <= F.col("body") * 1.15)
-    prev, follow = F.lag("gaps", 1, 0).over(doc), F.lead("gaps", 1, 0).over(doc)
-    table = (F.col("gaps") >= 1) & ((prev >= 1) | (follow >= 1))
-    kind = F.when(table, "TABLE").when(heading, "HEADING").when(bullet, "LIST").otherwise("PARAGRAPH")
-    k = ls.withColumn("kind", kind)
-    gap = F.lag("y").over(doc) - F.col("y")
-    breaks = (gap < 0) | (gap > F.col("size") * 2.1) | ((F.col("x") > F.lag("x").over(doc) + F.col("size") * 1.1) & (F.col("x") < F.lag("x").over(doc) + F.col("size") * 4)) | (F.abs(F.col("size") - F.lag("size").over(doc)) > 0.6)
-    goes_on = F.lag("text").over(doc).rlike("[a-z,;-]$") & F.col("text").rlike("^[a-z(]")
-    head = (F.lag("kind").over(doc) != F.col("kind")) | (F.col("kind") == "HEADING") | ((F.col("kind") == "PARAGRAPH") & breaks & ~goes_on)
-    runs = k.withColumn("head", F.when(F.coalesce(head, F.lit(True)), 1).otherwise(0)).withColumn("run", F.sum("head").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    g = runs.groupBy("document_id", "run", "kind").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("l"), F.max("gaps").alias("most"), F.max("size").alias("size"), F.max("body").alias("body"))
-    texts = F.transform("l", lambda x: x["text"])
-    joined = F.trim(F.regexp_replace(F.regexp_replace(F.array_join(texts, "\n"), "(?<=[A-Za-z])-\n(?=[a-z])", ""), "[ \n ]+", " "))
-    rows = F.transform(texts, lambda t: F.transform(F.split(t, "\t"), lambda c: F.trim(c)))
-    cells = F.flatten(rows)
-    figure = F.size(F.filter(cells, lambda c: F.char_length(c) <= 2)) / F.size(cells) > 0.6
-    is_table = (F.col("kind") == "TABLE") & (F.size("l") >= 2) & (F.col("most") >= 2)
-    type_ = F.when(is_table, F.when(figure, "FIGURE").otherwise("TABLE")).when(F.col("kind") == "TABLE", "PARAGRAPH").when((F.col("kind") == "LIST") & (F.size("l") < 2), "PARAGRAPH").otherwise(F.col("kind"))
-    ratio = F.col("size") / F.col("body")
+    runs = page_runs(lines(items))
+    doc = Window.partitionBy("document_id").orderBy("page", "run")
+    text = F.when(F.col("type").isin("TABLE", "LIST"), F.array_join("parts", "\n")).when(F.col("type") == "FIGURE", F.regexp_replace(F.array_join("parts", " "), "\t", " ")).when(F.col("type") == "HEADING", F.element_at("parts", 1)).otherwise(_joined(F.col("parts")))
+    typed = runs.withColumn("text", text).filter("text <> ''")
+    on = (F.col("type") == "PARAGRAPH") & (F.lag("type").over(doc) == "PARAGRAPH") & F.lag("text").over(doc).rlike("[a-z,;-]$") & F.col("text").rlike("^[a-z(]")
+    heads = typed.withColumn("head", F.when(F.coalesce(on, F.lit(False)), 0).otherwise(1)).withColumn("block", F.sum("head").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
+    whole = heads.groupBy("document_id", "block").agg(F.array_sort(F.collect_list(F.struct("page", "run", "text"))).alias("x"), F.min_by(F.struct("type", "parts", "size", "body"), F.struct("page", "run")).alias("h"))
+    texts = F.transform("x", lambda r: r["text"])
+    text = F.when(F.size("x") > 1, _joined(texts)).otherwise(F.element_at(texts, 1))
+    rows = F.transform("h.parts", lambda t: F.transform(F.split(t, "\t"), trim_ws))
+    ratio = F.col("h.size") / F.col("h.body")
     level = F.when(ratio > 1.6, "1").when(ratio > 1.25, "2").otherwise("3")
-    out = g.withColumn("type", type_)
-    text = F.when(F.col("type").isin("TABLE", "LIST"), F.array_join(texts, "\n")).otherwise(F.regexp_replace(joined, "\t", " "))
-    html = F.when(F.col("type") == "TABLE", table_html(rows)).when(F.col("type") == "HEADING", F.concat(F.lit("<h"), level, F.lit(">"), escape_html(text), F.lit("</h"), level, F.lit(">")))
-    return out.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("run")) - 1).alias("ord"), "type", text.alias("text"), html.alias("html")).filter(F.trim("text") != "")
+    html = F.when(F.col("h.type") == "TABLE", table_html(rows)).when(F.col("h.type") == "HEADING", F.concat(F.lit("<h"), level, F.lit(">"), escape_html(text), F.lit("</h"), level, F.lit(">")))
+    out = whole.select("document_id", "block", F.col("h.type").alias("type"), text.alias("text"), html.alias("html")).filter(F.trim("text") != "")
+    return out.select("document_id", (F.row_number().over(Window.partitionBy("document_id").orderBy("block")) - 1).alias("ord"), "type", "text", "html")

@@ -466,7 +466,7 @@ def touched_documents(spark, sf_dir):
     return e.groupBy(F.col("block_id").alias("document_id")).agg(F.count_if(F.col("kind") == "TEXT_EDIT").alias("clicks"), F.max("created_at").alias("touched"))
 
 
-# ---------------------------------------------------------------- plans, edits, glossaries
+# ---------------------------------------------------------------- edits, glossaries
 
 
 @query("""
@@ -478,40 +478,6 @@ def edited_blocks(spark, sf_dir):
     return L.edited(b, S.anchors(spark, sf_dir), b.filter("ord % 3 = 0").select("id", F.concat(F.lit("new "), "text").alias("new_text")))[0].select("id", "text", "original_text")
 
 
-_PLAN = """
-    SELECT id AS seq, CASE id % 5 WHEN 0 THEN 'add_section' WHEN 1 THEN 'add_note' WHEN 2 THEN 'move_note' WHEN 3 THEN 'accept_note' ELSE 'fly' END AS type, CASE WHEN id % 10 = 3 THEN -id ELSE id END AS note_id,
-           CASE WHEN id % 10 = 1 THEN section_id END AS section_id, CASE WHEN id % 5 = 1 THEN 'PLAN ' || (id - 1) WHEN id % 10 = 2 THEN 'plan ' || (id - 2) END AS section_title FROM {notes} n
-"""
-
-
-def _planned(spark, sf_dir):
-    k = F.col("id")
-    return S.notes(spark, sf_dir).select(
-        k.alias("seq"), F.element_at(F.array(*map(F.lit, ("add_section", "add_note", "move_note", "accept_note", "fly"))), (k % 5 + 1).cast("int")).alias("type"), F.when(k % 10 == 3, -k).otherwise(k).alias("note_id"),
-        F.when(k % 10 == 1, F.col("section_id")).alias("section_id"), F.when(k % 5 == 1, F.concat(F.lit("PLAN "), (k - 1).cast("string"))).when(k % 10 == 2, F.concat(F.lit("plan "), (k - 2).cast("string"))).alias("section_title"),
-        F.concat(F.lit("Plan "), k.cast("string")).alias("text"),
-    )
-
-
-@query(f"""
-    WITH p AS ({_PLAN}) SELECT p.seq, p.type, CASE WHEN type = 'fly' THEN 'unknown action' WHEN type IN ('add_note', 'move_note') AND NOT (section_id IN (SELECT c_custkey FROM customer) OR coalesce(m.o_orderkey IS NOT NULL, false)) OR (type IN ('add_note', 'move_note') AND section_id IS NULL AND section_title IS NULL) THEN 'unknown section'
-        WHEN type = 'accept_note' AND note_id < 0 THEN 'unknown note' END AS failure
-    FROM p LEFT JOIN orders m ON section_title IS NOT NULL AND m.o_orderkey % 5 = 0 AND lower(section_title) = 'plan ' || m.o_orderkey AND m.o_orderkey < p.seq
-""")
-def plan_outcomes(spark, sf_dir):
-    """What comes of a plan's actions, each alone (AST10)."""
-    return L.executed(_planned(spark, sf_dir), S.notes(spark, sf_dir), S.sections(spark, sf_dir))[0]
-
-
-@query(f"""
-    SELECT CAST(id AS VARCHAR) AS id, CASE WHEN id % 10 = 2 AND EXISTS (SELECT 1 FROM orders m WHERE m.o_orderkey = id - 2) THEN 'plan:' || (id - 2) ELSE CAST(section_id AS VARCHAR) END AS section_id, CASE WHEN id % 10 = 8 THEN 'ACCEPTED' ELSE status END AS status FROM {{notes}} n
-    UNION ALL SELECT 'plan:' || seq, coalesce(CAST(section_id AS VARCHAR), 'plan:' || (seq - 1)), 'ACCEPTED' FROM ({_PLAN}) p WHERE seq % 5 = 1 AND (section_id IS NOT NULL OR EXISTS (SELECT 1 FROM orders m WHERE m.o_orderkey = seq - 1))
-""")
-def planned_notes(spark, sf_dir):
-    """Notes after a plan (AST10, MUT7, MUT8)."""
-    return L.executed(_planned(spark, sf_dir), S.notes(spark, sf_dir), S.sections(spark, sf_dir))[1].select("id", "section_id", "status")
-
-
 @query("SELECT document_id, 't' || ord AS term, [id] AS block_ids FROM {blocks} b WHERE ord < 3")
 def glossaries(spark, sf_dir):
     """Glossaries by a stub model; blocks that a document lacks are left out (PAR16, FLT12)."""

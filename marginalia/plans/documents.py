@@ -189,23 +189,6 @@ def notebook_prompts(spark, sf_dir):
     return got.select("notebook_id", F.char_length("content").alias("n_chars"), F.sha2("content", 256).alias("content_sha256"), "kept", "cut")
 
 
-@query(f"""
-    WITH a AS (SELECT id AS seq, {[*D.ACTIONS, "fly"]}[id % 11 + 1] AS type, (id % 1000) || ':0' AS block_id, section_id, id * CASE WHEN id % 3 = 0 THEN 1000003 ELSE 1 END AS note_id FROM {{notes}} n),
-    j AS (SELECT a.*, b.text, strpos(b.text, 'the') - 1 AS pos, s.id AS s, n.id AS n FROM a LEFT JOIN {{blocks}} b ON b.id = a.block_id LEFT JOIN {{sections}} s ON s.id = a.section_id LEFT JOIN {{notes}} n ON n.id = a.note_id)
-    SELECT seq, type, CASE WHEN type = 'fly' THEN 'unknown action' WHEN type IN ('highlight', 'comment', 'link', 'edit_block', 'format_block') AND text IS NULL THEN 'unknown block'
-        WHEN type IN ('highlight', 'comment', 'link') AND pos < 0 THEN 'quote not found' WHEN type IN ('create_note', 'move_note') AND s IS NULL THEN 'unknown section' WHEN type IN ('move_note', 'accept_note', 'reject_note') AND n IS NULL THEN 'unknown note' END AS warning,
-        CASE WHEN type IN ('highlight', 'comment', 'link') AND pos >= 0 THEN pos END AS start, CASE WHEN type IN ('highlight', 'comment', 'link') AND pos >= 0 THEN pos + 3 END AS "end" FROM j
-""")
-def planned_actions(spark, sf_dir):
-    """An assistant's actions with what is wrong with them (AST8, AST10)."""
-    k = F.col("id")
-    a = S.notes(spark, sf_dir).select(
-        k.alias("seq"), F.element_at(F.array(*map(F.lit, (*D.ACTIONS, "fly"))), (k % 11 + 1).cast("int")).alias("type"), F.concat((k % 1000).cast("string"), F.lit(":0")).alias("block_id"),
-        F.col("section_id"), (k * F.when(k % 3 == 0, 1000003).otherwise(1)).alias("note_id"), F.lit("the").alias("quote"),
-    )
-    return D.plan(a, S.blocks(spark, sf_dir), S.sections(spark, sf_dir), S.notes(spark, sf_dir)).select("seq", "type", "warning", "start", "end")
-
-
 @query("""
     WITH k AS (SELECT *, ord BETWEEN 1 AND document_id % 9 + 2 OR ord >= 500 AS keep FROM {blocks} b),
     g AS (SELECT *, count(*) OVER w >= 5 AND count(*) FILTER (WHERE keep) OVER w >= 3 AND sum(CASE WHEN keep THEN length(text) ELSE 0 END) OVER w >= 400 AS good FROM k WINDOW w AS (PARTITION BY document_id))
