@@ -40,7 +40,7 @@ def action_rules() -> dict[str, Column]:
     return {
         "type": t.isin(*TYPES),
         "block": t.isin("add_note", "add_section") | filled("block_id"),
-        "quote": ~t.isin("highlight", "comment", "link", "style") | filled("quote"),
+        "quote": ~t.isin("highlight", "comment", "link", "style", "add_note") | filled("quote") | ((t == "add_note") & F.col("quote").isNull()),
         "text": ~t.isin("edit_block", "insert_paragraph", "add_note") | filled("text"),
         "comment": (t != "comment") | filled("comment"),
         "title": (t != "add_section") | filled("title"),

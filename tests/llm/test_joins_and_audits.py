@@ -174,9 +174,11 @@ def frame(spark, texts):
     return spark.createDataFrame(rows, "doc_id bigint, text string, block string, n_a bigint").repartition(3)
 
 
-@pytest.mark.parametrize("docs", [4096, 3])
-def test_alignment_is_that_of_the_libraries(spark, monkeypatch, docs):
+@pytest.mark.parametrize("docs, groups, together", [(4096, 1 << 18, 1 << 18), (3, 40, 100)])
+def test_alignment_is_that_of_the_libraries(spark, monkeypatch, docs, groups, together):
     monkeypatch.setattr(alignment, "DOCS", docs)
+    monkeypatch.setattr(alignment, "GROUPS", groups)
+    monkeypatch.setattr(alignment, "TOGETHER", together)
     texts = ODD + mixed()
     got = {r["doc_id"]: tuple(r)[1:] for r in alignment.alignment(frame(spark, texts), A, B).collect()}
     want = brute_alignment(texts)
@@ -193,8 +195,13 @@ def test_alignment_of_nothing(spark):
 
 def test_overlaps_of_a_group():
     aligner = alignment.Aligner(A, B)
-    found = aligner.of_piece(" unaligned")
-    assert found[3] == sum(len(aligner.overlaps(*(np.asarray(x.split(","), np.int64) for x in g.split("|")))) for g in found[4])
+    numbers = aligner.cut([" unaligned", " ", " a▁", " tokenization"])
+    assert numbers[2] is None and len(numbers[1]) == 1
+    groups = [aligner.texts[i] for i in numbers[0] + numbers[3]]
+    assert all(aligner.n_a[aligner.numbers[g]] == g.split("|")[0].count(",") + 1 for g in groups)
+    assert all(len(aligner.overlaps(g)) == g.count(",") + 1 for g in groups)
+    linked = {x for g in groups for x in aligner.overlaps(g).tolist()}
+    assert {p for p, i in aligner.pairs.items() if i in aligner.pairs_of(np.unique(numbers[0] + numbers[3])).tolist()} == linked
 
 
 # ---------------------------------------------------------------- divergence
