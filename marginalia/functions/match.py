@@ -6,6 +6,7 @@ Each takes and returns plain values; the operators deal rows to them and join wh
 from __future__ import annotations
 
 import re
+from math import isqrt
 
 import numpy as np
 
@@ -74,22 +75,43 @@ def _tokens(pattern: str, s: str) -> list[tuple[str, int, int]]:
 
 
 def _common(a: list[str], b: list[str]) -> list[tuple[int, int]]:
-    """Pairs of a longest common subsequence; ties pass over the first text's token."""
-    names = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    x, y = np.asarray([names[w] for w in a], np.int64), np.asarray([names[w] for w in b], np.int64)
-    table = np.zeros((len(a) + 1, len(b) + 1), np.int32)
+    """Pairs of a longest common subsequence; ties pass over the first text's token.
+
+    A row of the usual table, the length left from each place of ``b`` on, differs by one or not at
+    all from place to place, so it is held as one bit a place, and a row follows from the one below
+    by a few operations on whole rows (Hyyro, 2004).  Every n-th row is kept for n the root of the
+    number of rows, and those between are made again as the walk comes to them.
+    """
+    m, step = len(b), isqrt(len(a)) + 1
+    full = (1 << m) - 1
+    marks: dict[str, int] = {}
+    for j, w in enumerate(reversed(b)):
+        marks[w] = marks.get(w, 0) | 1 << j
+
+    def above(row: int, word: str) -> int:
+        hit = row & marks.get(word, 0)
+        return (row + hit | row - hit) & full
+
+    kept, row = {len(a): full}, full
     for i in range(len(a) - 1, -1, -1):
-        # the best of skipping or taking, then the running maximum from the right
-        row = np.maximum(table[i + 1, :-1], np.where(y == x[i], table[i + 1, 1:] + 1, 0))
-        table[i, :-1] = np.maximum.accumulate(row[::-1])[::-1]
+        row = above(row, a[i])
+        if i % step == 0:
+            kept[i] = row
+    rows: dict[int, int] = {}
     i = j = 0
     pairs = []
-    while i < len(a) and j < len(b):
+    while i < len(a) and j < m:
+        if i not in rows or i + 1 not in rows:
+            first = i - i % step
+            last = min(first + step, len(a))
+            rows = {last: kept[last]}
+            for k in range(last - 1, first - 1, -1):
+                rows[k] = above(rows[k + 1], a[k])
         if a[i] == b[j]:
             pairs.append((i, j))
             i, j = i + 1, j + 1
-        elif table[i + 1, j] >= table[i, j + 1]:
-            i += 1
+        elif not rows[i] >> m - 1 - j & 1 or (rows[i + 1] & (1 << m - j) - 1).bit_count() <= (rows[i] & (1 << m - j) - 1).bit_count():
+            i += 1  # nothing is lost without this token of the first text
         else:
             j += 1
     return pairs
@@ -177,6 +199,7 @@ DOMAINS = (
     "com org net edu gov mil int io ai dev app co me sh so gg fm tv to ly info biz xyz tech cloud site online page news blog wiki run live world zone space plus pro one "
     "uk us ca de fr jp cn in ru br au ch nl se no es it eu be at dk fi ie il kr nz pl pt sg za tr ua cz gr hu ro mx ar id"
 ).split()
+# Fixed value: what a link looks like, with its scheme or with a known domain.
 _LINK = re.compile(
     r"(?<![A-Za-z0-9_@.\-])(?:https?://[^\s<>\"']+|(?:[a-z0-9](?:[a-z0-9\-]*[a-z0-9])?\.)+(?:" + "|".join(DOMAINS) + r")(?![A-Za-z0-9_])(?:/[^\s<>\"']*)?)", re.I
 )

@@ -51,6 +51,7 @@ def occurrences(text: Column, quote: Column) -> Column:
     return F.when(quote == "", F.array().cast("array<int>")).otherwise(F.filter(found, lambda i: i < F.char_length(text)))
 
 
+# Fixed value: where a sentence ends.
 _END = re.compile(f"[.!?]+[\"'”’)\\]]*{WS}+(?=[A-Z0-9\"'“‘(\\[])")
 _BLANK = re.compile(f"{WS}*")
 

@@ -1,17 +1,22 @@
 """Anchors: resolving, healing and remapping quotes in texts that change.
 
-The ladder is staged by joins, so that each dearer step sees only what the cheaper one left.
+The ladder is staged by joins, so that each dearer step sees only what the cheaper one left; layers
+over a text are swept in order of place.
 """
 
 from __future__ import annotations
 
+from heapq import heappop, heappush
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import match as M
 from marginalia.functions.text import normalize
 from marginalia.functions.udf import arrow
+from marginalia.operators.quotes import holders
 
 _HIT = "struct<start:int,end:int>"
 
@@ -30,24 +35,33 @@ def resolve(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     Rung 1 is the stored slice, 2 a match in the stored block, 3 the first other block of the
     document in order that matches, 4 none: the anchor is an orphan and keeps its offsets.
     ``anchors`` has id, document_id, block_id, start, end, quoted, prefix, suffix; ``blocks`` id,
-    document_id, ord, text.  Blocks join on the document, with a native test before any Python.
+    document_id, ord, text.  Which block an anchor lies in is found by native tests, up to white
+    space, and by rare grams (``quotes``) among the other blocks; one pass of Python then tells the
+    place in the blocks so found.
     """
-    b = blocks.select(F.col("id").alias("b_id"), F.col("document_id").alias("b_doc"), "ord", "text")
+    columns = anchors.columns
+    b = blocks.select(F.col("id").alias("b_id"), F.col("document_id").alias("b_doc"), "text")
     own = anchors.join(b, (F.col("block_id") == F.col("b_id")) & (F.col("document_id") == F.col("b_doc")), "left")
     exact = F.coalesce(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quoted"), F.lit(False))
-    columns = anchors.columns
-    # Python gets the texts of those alone that have moved
-    own = own.select(*columns, exact.alias("exact"), F.when(~exact, F.col("text")).alias("text"))
-    own = own.select(*columns, "exact", match_quote("text", "quoted", "prefix", "suffix").alias("own_hit"))
-    missing = own.filter("NOT exact AND own_hit.start IS NULL").select("id", "document_id", "block_id", "quoted", "prefix", "suffix", normalize(F.col("quoted")).alias("squeezed"))
-    o = blocks.select(F.col("id").alias("o_id"), F.col("document_id").alias("o_doc"), F.col("ord").alias("o_ord"), F.col("text").alias("o_text"), normalize(F.col("text")).alias("o_squeezed"))
-    may = (F.col("squeezed") != "") & F.contains("o_squeezed", "squeezed")  # holds for exact matches too
-    others = missing.join(o, (F.col("document_id") == F.col("o_doc")) & ~F.col("o_id").eqNullSafe(F.col("block_id")) & may)
-    hits = others.withColumn("hit", match_quote("o_text", "quoted", "prefix", "suffix")).filter("hit.start IS NOT NULL")
-    best = hits.groupBy("id").agg(F.min_by(F.struct("o_id", "hit"), F.struct("o_ord", "o_id")).alias("best"))
-    rung = F.when(F.col("exact"), 1).when(F.col("own_hit.start").isNotNull(), 2).when(F.col("best").isNotNull(), 3).otherwise(4)
-    place = lambda c: F.when(F.col("exact"), F.col(c)).otherwise(F.coalesce(f"own_hit.{c}", f"best.hit.{c}", c))
-    out = own.join(best, "id", "left").select(*columns, F.coalesce("best.o_id", "block_id").alias("new_block_id"), place("start").alias("new_start"), place("end").alias("new_end"), rung.alias("rung")).withColumn("now_orphaned", F.col("rung") == 4)
+    squeezed = normalize(F.col("quoted"))
+    inside = F.when(squeezed != "", F.contains(normalize(F.col("text")), squeezed)).otherwise(F.contains("text", "quoted") & (F.col("quoted") != ""))
+    rung = F.when(exact, 1).when(F.coalesce(inside, F.lit(False)), 2)
+    own = own.select(*columns, rung.alias("own_rung"), F.when(~exact, F.col("text")).alias("text"))
+    missing = own.filter("own_rung IS NULL").select("id", "document_id", "block_id", squeezed.alias("quote"))
+    o = blocks.select("id", "document_id", "ord", normalize(F.col("text")).alias("text"))
+    # of all blocks that hold a quote the first two will do: an anchor passes over its own
+    first = Window.partitionBy("document_id", "quote").orderBy("ord", "o_id")
+    two = holders(missing, o).withColumnRenamed("id", "o_id").withColumn("n", F.row_number().over(first)).filter("n <= 2")
+    others = missing.join(two, ["document_id", "quote"]).filter(~F.col("o_id").eqNullSafe(F.col("block_id")))
+    best = others.groupBy("id").agg(F.min_by("o_id", F.struct("ord", "o_id")).alias("o_id"))
+    texts = blocks.select(F.col("id").alias("o_id"), F.col("text").alias("o_text"))
+    known = own.join(best.join(texts, "o_id"), "id", "left")
+    rung = F.coalesce("own_rung", F.when(F.col("o_id").isNotNull(), 3))
+    hit = match_quote(F.when(rung > 1, F.coalesce("o_text", "text")), "quoted", "prefix", "suffix")
+    known = known.select(*columns, rung.alias("found"), "o_id", hit.alias("hit"))
+    lost = F.col("found").isNull() | ((F.col("found") > 1) & F.col("hit.start").isNull())
+    place = lambda c: F.coalesce(F.when(F.col("found") > 1, F.col(f"hit.{c}")), c)
+    out = known.select(*columns, F.when(lost, F.col("block_id")).otherwise(F.coalesce("o_id", "block_id")).alias("new_block_id"), place("start").alias("new_start"), place("end").alias("new_end"), F.when(lost, 4).otherwise(F.col("found")).alias("rung")).withColumn("now_orphaned", F.col("rung") == 4)
     moved = ~(F.col("new_block_id").eqNullSafe(F.col("block_id"))) | (F.col("new_start") != F.col("start")) | (F.col("new_end") != F.col("end"))
     was = F.coalesce("orphaned", F.lit(False)) if "orphaned" in columns else F.lit(False)
     return out.withColumn("changed", moved | (was != F.col("now_orphaned")))
@@ -120,10 +134,18 @@ PRECEDENCE = {"link": 1, "citation": 2, "weblink": 3, "anchor": 4, "salience": 4
 
 
 def without_overlaps(spans: DataFrame, taken: DataFrame) -> DataFrame:
-    """Spans of a block that overlap none of those taken: an interval anti-join with a block key."""
-    t = taken.select(F.col("block_id").alias("t_block"), F.col("start").alias("t_start"), F.col("end").alias("t_end"))
-    overlap = (F.col("block_id") == F.col("t_block")) & (F.col("t_start") < F.col("end")) & (F.col("t_end") > F.col("start"))
-    return spans.join(t, overlap, "left_anti")
+    """Spans of a block that overlap none of those taken.
+
+    A sweep in order of place: a span is passed at its end, a taken one at its start, and a span is
+    free if the furthest end of those taken that start before its end is not beyond its start.
+    """
+    s = spans.select("block_id", F.struct(*spans.columns).alias("span"), F.col("end").alias("at"), F.col("start").alias("from"), F.lit(None).cast("bigint").alias("upto"))
+    t = taken.select("block_id", F.lit(None).cast(s.schema["span"].dataType).alias("span"), F.col("start").alias("at"), F.lit(None).cast("bigint").alias("from"), F.col("end").cast("bigint").alias("upto"))
+    # at one place spans go first: what is taken from there on does not overlap them
+    order = Window.partitionBy("block_id").orderBy("at", F.col("span").isNull()).rowsBetween(Window.unboundedPreceding, 0)
+    swept = s.unionByName(t).withColumn("furthest", F.max("upto").over(order)).filter("span IS NOT NULL")
+    free = swept.filter(F.col("furthest").isNull() | ~F.coalesce(F.col("furthest") > F.col("from"), F.lit(False)))
+    return free.select(*(F.col("span")[c].alias(c) for c in spans.columns))
 
 
 def segmented(blocks: DataFrame, spans: DataFrame) -> DataFrame:
@@ -143,13 +165,41 @@ def segmented(blocks: DataFrame, spans: DataFrame) -> DataFrame:
 
 def painted(segments: DataFrame, spans: DataFrame) -> DataFrame:
     """Segments with ``layer``: that of the covering span which wins, the narrowest of equals, then
-    the first; null where none covers.  ``spans`` has block_id, start, end, layer."""
+    the first; null where none covers.  ``spans`` has block_id, start, end, layer; segments of a
+    block do not overlap.
+
+    One sweep a block: spans enter a heap in the order of who wins as the sweep reaches their start,
+    and leave it when a segment ends beyond them.
+    """
     rank = F.coalesce(*(F.when(F.col("layer") == k, F.lit(v)) for k, v in PRECEDENCE.items()), F.lit(6))
-    s = spans.select(F.col("block_id").alias("s_block"), F.col("start").alias("s_start"), F.col("end").alias("s_end"), "layer", rank.alias("rank"))
-    cover = (F.col("block_id") == F.col("s_block")) & (F.col("s_start") <= F.col("seg_start")) & (F.col("s_end") >= F.col("seg_end"))
-    j = segments.join(s, cover, "left")
-    order = F.struct("rank", F.col("s_end") - F.col("s_start"), "s_start", "layer")
-    return j.groupBy("block_id", "seg_start", "seg_end").agg(F.min_by("layer", order).alias("layer"), F.count("layer").alias("covering"))
+    kind = segments.schema["block_id"].dataType.simpleString()
+    s = spans.filter("start IS NOT NULL AND end IS NOT NULL AND layer IS NOT NULL").select("block_id", F.col("start").cast("bigint").alias("at"), F.lit(0).alias("segment"), F.col("end").cast("bigint").alias("to"), rank.alias("rank"), "layer")
+    g = segments.select("block_id", F.col("seg_start").cast("bigint").alias("at"), F.lit(1).alias("segment"), F.col("seg_end").cast("bigint").alias("to"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("string").alias("layer"))
+    swept = s.union(g).repartition("block_id").sortWithinPartitions("block_id", "at", "segment", "to")
+    bounds = [segments.schema[c].dataType.simpleString() for c in ("seg_start", "seg_end")]
+    return swept.mapInArrow(_sweep, f"block_id {kind}, seg_start bigint, seg_end bigint, layer string, covering bigint").select("block_id", *(F.col(c).cast(t).alias(c) for c, t in zip(("seg_start", "seg_end"), bounds)), "layer", "covering")
+
+
+def _sweep(batches):
+    block, best, ends = object(), [], []
+    for b in batches:
+        out: list[tuple] = []
+        for id_, at, segment, to, rank, layer in zip(*(c.to_pylist() for c in b.columns)):
+            if id_ != block:
+                block, best, ends = id_, [], []
+            if not segment:
+                heappush(best, (rank, to - at, at, layer, to))
+                heappush(ends, to)
+                continue
+            # what ends before this segment does covers none after it
+            while ends and ends[0] < to:
+                heappop(ends)
+            while best and best[0][4] < to:
+                heappop(best)
+            out.append((id_, at, to, best[0][3] if best else None, len(ends)))
+        columns = list(zip(*out)) or [()] * 5
+        kinds = (b.schema.field(0).type, pa.int64(), pa.int64(), pa.string(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["block_id", "seg_start", "seg_end", "layer", "covering"])
 
 
 def mirrored(refs: DataFrame, sentences: DataFrame) -> DataFrame:

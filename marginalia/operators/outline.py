@@ -75,16 +75,30 @@ def first_edits(edits: DataFrame) -> DataFrame:
 def trailing_counts(rows: DataFrame, per: list[str], seconds: int = 86_400) -> DataFrame:
     """Rows with the number of rows of their key in the window of time that ends with them.
 
-    Rows are counted by the second before they move.  Seconds are dealt out by stretches of the
-    window's length, each with the stretch before it, so no task sees more than two of them.
+    Each second with rows adds their number when it comes, and takes it off when it has left the
+    window; the count is a running sum of these changes.  The sum is taken by stretches of the
+    window's length: what is in the window as one begins is what came in the stretch before it, and
+    in the last second of the one before that.  No task sees more than the seconds of a stretch.  A
+    row without a time has no count.
     """
     at = F.unix_seconds(F.col("created_at").cast("timestamp"))
-    counts = rows.groupBy(*per, at.alias("_at")).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(*per, at.alias("_at")).agg(F.count("*").alias("_n")).filter("_at IS NOT NULL")
+    gone = counts.select(*per, (F.col("_at") + seconds + 1).alias("_at"), (-F.col("_n")).alias("_n"))
+    changes = counts.withColumn("_came", F.lit(1)).unionByName(gone.withColumn("_came", F.lit(0))).groupBy(*per, "_at").agg(F.sum("_n").alias("_change"), F.max("_came").alias("_came"))
     stretch = F.floor(F.col("_at") / seconds)
-    both = counts.withColumn("_own", stretch).select("*", F.explode(F.array("_own", F.col("_own") + 1)).alias("_stretch"))
-    w = Window.partitionBy(*per, "_stretch").orderBy("_at").rangeBetween(-seconds, 0)
-    found = both.withColumn("trailing", F.sum("_n").over(w)).filter("_own = _stretch").select(*per, "_at", "trailing")
-    return rows.withColumn("_at", at).join(found, [*per, "_at"]).select(*(F.col(c) for c in rows.columns), "trailing")
+    last = F.when(F.pmod(F.col("_at"), F.lit(seconds)) == seconds - 1, stretch + 2)
+    carried = counts.select(*per, F.explode(F.array_compact(F.array(stretch + 1, last))).alias("_stretch"), "_n").groupBy(*per, "_stretch").agg(F.sum("_n").alias("_carried"))
+    w = Window.partitionBy(*per, "_stretch").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    running = changes.withColumn("_stretch", stretch).withColumn("_sum", F.sum("_change").over(w)).filter("_came = 1")
+    same = F.lit(True)
+    for c in (*per, "_stretch"):
+        same = same & F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}"))
+    found = running.alias("r").join(carried.alias("c"), same, "left").select(*(F.col(f"r.{c}").alias(f"_{c}") for c in per), F.col("r._at").alias("__at"), (F.col("r._sum") + F.coalesce("c._carried", F.lit(0))).alias("trailing"))
+    own = rows.withColumn("_at", at)
+    same = F.col("_at") == F.col("__at")
+    for c in per:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return own.join(found, same, "left").select(*(F.col(c) for c in rows.columns), "trailing")
 
 
 def within_quota(rows: DataFrame, per: list[str], most: int = 50, seconds: int = 86_400) -> DataFrame:

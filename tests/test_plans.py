@@ -73,19 +73,19 @@ def test_corpus_search_lexical(spark):
 
 
 def test_remapped_anchors_and_edited_ranges(spark):
-    from marginalia.functions import match as M
+    from independent import carried_anchor, edited
 
     texts = {r["id"]: r["text"] for r in tables.blocks(spark, SF).collect()}
     want, ranges = {}, []
     for r in tables.anchors(spark, SF).collect():
         before = texts[r["block_id"]]
         after = "An edit before " + re.sub(r"\bthe\b", "a", before, flags=re.ASCII)
-        s, e, q, _, _, orphaned = M.remap(M.segments(before, after), after, r["start"], r["end"], r["quoted"])
+        s, e, q, _, _, orphaned = carried_anchor(before, after, r["start"], r["end"], r["quoted"])
         want[r["id"]] = (s, e, q, orphaned)
     got = plans.QUERIES["remapped_anchors"](spark, SF).collect()
     assert {r["id"]: (r["start"], r["end"], r["quoted"], r["orphaned"]) for r in got} == want
     for i, t in texts.items():
-        ranges += [(i, s, e) for s, e in M.edited_ranges(t, re.sub(r"\b(of|de|der)\b", "new", t, flags=re.ASCII))]
+        ranges += [(i, s, e) for s, e in edited(t, re.sub(r"\b(of|de|der)\b", "new", t, flags=re.ASCII))]
     assert sorted(map(tuple, plans.QUERIES["edited_ranges"](spark, SF).collect())) == sorted(ranges)
 
 
