@@ -1,17 +1,23 @@
-"""Search over notes: nearest vectors, and ranked words."""
+"""Search over notes: nearest vectors, and ranked words, for one question or a table of them."""
 
 from __future__ import annotations
 
-import re
+import heapq
+import json
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marginalia.functions import lexemes as L
 from marginalia.functions.udf import arrow
 from marginalia.functions.vectors import cosine_similarity
 
 K = 12
+#: Questions of one pass over the notes: what the driver and every task hold of them at once.
+QUESTIONS = 4096
 
 
 def nearest(notes: DataFrame, vector: list[float], k: int = K) -> DataFrame:
@@ -24,123 +30,149 @@ def nearest(notes: DataFrame, vector: list[float], k: int = K) -> DataFrame:
     return found.orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-# English words that search passes over.
-STOP = frozenset(
-    "a about after all also an and any are as at be because been before but by can could did do does for from had has have he her his how i if in into is it its just me more most my no not of on only or other our out over she so some such than that the their them then there these they this to too up us very was we were what when where which who will with would you your".split()
-)
-_STEPS = (
-    (("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")),
-    (("ational", "ate"), ("tional", "tion"), ("ization", "ize"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("biliti", "ble"), ("entli", "ent"), ("ation", "ate"), ("aliti", "al"), ("iviti", "ive"), ("alism", "al"), ("ousli", "ous"), ("izer", "ize"), ("enci", "ence"), ("anci", "ance"), ("abli", "able"), ("alli", "al"), ("ator", "ate"), ("eli", "e")),
-    (("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")),
-    tuple((x, "") for x in ("ement", "ance", "ence", "able", "ible", "ment", "sion", "tion", "ant", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "al", "er", "ic", "ou")),
-)
-
-
-def _measure(s: str) -> int:
-    kinds = re.sub("[aeiou]|(?<=[^aeiou])y", "v", s)
-    return len(re.findall("v+[^v]+", kinds))
-
-
-def stem(word: str) -> str:
-    """The stem of a lower-case English word, after Porter (1980)."""
-    if len(word) < 3:
-        return word
-    vowel = lambda s: bool(re.search("[aeiouy]", s))
-
-    def cut(w, rules, least):
-        for end, new in rules:
-            if w.endswith(end):
-                base = w[: -len(end)]
-                if end in ("tion", "sion") and rules is _STEPS[3]:
-                    return base + end[0] if _measure(base + end[0]) > least else w
-                return base + new if _measure(base) > least else w
-        return w
-
-    w = next((word[: -len(e)] + n for e, n in _STEPS[0] if word.endswith(e)), word)
-    if w.endswith("eed"):
-        w = w[:-1] if _measure(w[:-3]) else w
-    else:
-        for end in ("ed", "ing"):
-            if w.endswith(end) and vowel(w[: -len(end)]):
-                w = w[: -len(end)]
-                if w.endswith(("at", "bl", "iz")):
-                    w += "e"
-                elif re.search(r"([^aeioulsz])\1$", w):
-                    w = w[:-1]
-                elif _measure(w) == 1 and re.search("[^aeiou][aeiouy][^aeiouwxy]$", w):
-                    w += "e"
-                break
-    if w.endswith("y") and vowel(w[:-1]):
-        w = w[:-1] + "i"
-    w = cut(w, _STEPS[1], 0)
-    w = cut(w, _STEPS[2], 0)
-    w = cut(w, _STEPS[3], 1)
-    if w.endswith("e") and (_measure(w[:-1]) > 1 or _measure(w[:-1]) == 1 and not re.search("[^aeiou][aeiouy][^aeiouwxy]$", w[:-1])):
-        w = w[:-1]
-    return w[:-1] if w.endswith("ll") and _measure(w[:-1]) > 1 else w
-
-
-@arrow("array<string>")
-def lexemes(text: pd.Series) -> pd.Series:
-    """Stems of a text in order, "" in the place of stop words."""
-    known: dict[str, str] = {}
-    out = []
-    for t in text:
-        words = re.findall(r"[^\W_]+", (t or "").lower())
-        out.append([known[w] if w in known else known.setdefault(w, "" if w in STOP else stem(w)) for w in words])
-    return pd.Series(out)
+# ---------------------------------------------------------------- tables of vectors
+
+
+def _unit(rows: list) -> np.ndarray:
+    """Vectors of one dimension as rows of length one; a zero vector has no direction: NaN."""
+    x = np.asarray(rows, np.float64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return x / np.sqrt((x * x).sum(axis=1))[:, None]
+
+
+def _best(keys: list, vectors: np.ndarray, k: int, kind: str):
+    """The k best notes of a task for each question: a product of matrices for each batch, of which
+    only what beats the k-th so far is looked at."""
+
+    def run(batches):
+        held: list[list] = [[] for _ in keys]  # least similarity first, of equals the largest id
+        least = np.full(len(keys), -np.inf)
+        schema = None
+        for b in batches:
+            schema = b.schema
+            rows = [(i, v) for i, v in zip(b.column("id").to_pylist(), b.column("embedding").to_pylist()) if v is not None and None not in v and len(v) == vectors.shape[1]]
+            if not rows:
+                continue
+            ids = [i for i, _ in rows]
+            similar = _unit([v for _, v in rows]) @ vectors.T
+            for n, q in zip(*np.nonzero(similar >= least)):
+                entry = (float(similar[n, q]), _Falling(ids[n]))
+                if len(held[q]) < k:
+                    heapq.heappush(held[q], entry)
+                elif held[q][0] < entry:
+                    heapq.heapreplace(held[q], entry)
+                if len(held[q]) == k:
+                    least[q] = held[q][0][0]
+        out = [(n, e[1].value, e[0]) for n, h in enumerate(held) for e in h]
+        if out:
+            n, ids, similar = zip(*out)
+            yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in n]).cast(_ARROW.get(kind, pa.string())), pa.array(ids, schema.field("id").type), pa.array(similar, pa.float64())], names=["question", "id", "similarity"])
+
+    return run
+
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
 
-def parsed_query(query: str) -> list[tuple[bool, list[list[list[str]]]]]:
-    """Terms that must all hold: (negated, alternatives of phrases of stems).
+class _Falling:
+    """A value whose order is turned round."""
 
-    Words are joined by AND, quoted words are a phrase, "or" joins its neighbours, - negates.
+    def __init__(self, value):
+        self.value = value
+
+    def __lt__(self, other):
+        return other.value < self.value
+
+    def __eq__(self, other):
+        return self.value == other.value
+
+
+def nearest_each(questions: DataFrame, notes: DataFrame, k: int = K, held: int = QUESTIONS) -> DataFrame:
+    """(question, id, similarity, rank): the k notes nearest to each question's vector.
+
+    ``questions`` has id and embedding, ``notes`` id and embedding.  Questions go to the notes in
+    blocks of at most some ``held``, each one pass; a task hands on k rows for each question of the
+    block, and these are merged.  Ties go by id; null, zero and other-dimensional vectors are near to
+    nothing; ids are whole numbers or strings.
     """
-    terms: list = []
-    join = False
-    for m in re.finditer(r'(-?)"([^"]*)"|(-?)(\S+)', query):
-        negated, words = bool(m[1] or m[3]), re.findall(r"[^\W_]+", (m[2] if m[2] is not None else m[4]).lower())
-        if words == ["or"] and m[2] is None and not negated:
-            join = bool(terms)
-            continue
-        phrase = [stem(w) for w in words if w not in STOP]
-        if not phrase:
-            continue
-        if join and terms and not terms[-1][0] and not negated:
-            terms[-1][1].append(phrase)
-        else:
-            terms.append((negated, [phrase]))
-        join = False
-    return terms
-
-
-def _places(tokens: Column, phrase: list[str]) -> Column:
-    """Whether the stems stand next to each other."""
-    if len(phrase) == 1:
-        return F.array_contains(tokens, phrase[0])
-    last = F.greatest(F.size(tokens) - len(phrase) + 1, F.lit(0))
-    # stop words between do not part a phrase: they are left out of both
-    return F.exists(F.sequence(F.lit(0), last), lambda i: F.slice(tokens, i + 1, F.lit(len(phrase))) == F.array(*map(F.lit, phrase)))
-
-
-def ranked(notes: DataFrame, query: str, k: int = K, text: str = "content") -> DataFrame:
-    """The k notes that match a query best: the query's columns of matching words, similarity.
-
-    The rank of a match adds up 0.1 * n / (n + 1) for the n occurrences of each of its words.
+    kind, of = questions.schema["id"].dataType.simpleString(), notes.schema["id"].dataType.simpleString()
+    asked = questions.filter("embedding IS NOT NULL AND id IS NOT NULL").select("id", "embedding")
+    blocks = max(1, -(-asked.count() // held))
+    found = None
+    for block in range(blocks):
+        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).collect()
+        for size in sorted({len(r["embedding"]) for r in rows if None not in r["embedding"]}):
+            own = [r for r in rows if len(r["embedding"]) == size]
+            part = notes.select("id", "embedding").mapInArrow(_best([r["id"] for r in own], _unit([r["embedding"] for r in own]), k, kind), f"question {kind}, id {of}, similarity double")
+            found = part if found is None else found.union(part)
+    if found is None:
+        found = notes.sparkSession.createDataFrame([], f"question {kind}, id {of}, similarity double")
+    order = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
+    return found.filter(~F.isnan("similarity")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+# ---------------------------------------------------------------- words
+
+
+@arrow("array<struct<lexeme:string,at:array<int>>>")
+def vectors(text: pd.Series) -> pd.Series:
+    """Lexemes of texts with their places."""
+    return pd.Series([[{"lexeme": w, "at": at} for w, at in L.vector(t).items()] for t in text])
+
+
+def ranked(notes: DataFrame, query: str, k: int | None = K, text: str = "content") -> DataFrame:
+    """The k notes that match a query best, with their similarity; all without k.  Ties by id.
+
+    See ``lexemes.parsed`` for queries and ``lexemes.rank`` for similarity; a query of which nothing
+    is left matches nothing.
     """
-    terms = parsed_query(query)
+    terms = L.parsed(query)
     if not terms:
         return notes.withColumn("similarity", F.lit(0.0)).limit(0)
-    t = notes.withColumn("_t", F.filter(lexemes(F.col(text)), lambda x: x != ""))
-    hit = F.lit(True)
-    for negated, choices in terms:
-        one = F.lit(False)
-        for phrase in choices:
-            one = one | _places(F.col("_t"), phrase)
-        hit = hit & (~one if negated else one)
-    words = sorted({w for negated, choices in terms if not negated for p in choices for w in p})
-    n = [F.size("_t") - F.size(F.array_remove("_t", w)) for w in words]
-    rank = F.lit(0.0)
-    for c in n:
-        rank = rank + F.lit(0.1) * c / (c + 1)
-    return t.filter(hit).withColumn("similarity", F.round(rank, 6)).drop("_t").orderBy(F.col("similarity").desc(), "id").limit(k)
+
+    @F.pandas_udf("double")
+    def similar(texts: pd.Series) -> pd.Series:
+        found = map(L.vector, texts)
+        return pd.Series([L.rank(terms, v) if L.holds(terms, v) else None for v in found], dtype="float64")
+
+    hits = notes.withColumn("similarity", similar(F.col(text))).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
+    return hits if k is None else hits.orderBy(F.col("similarity").desc(), "id").limit(k)
+
+
+def postings(notes: DataFrame, text: str = "content") -> DataFrame:
+    """(lexeme, id, at): the inverted index of a table of notes, which may be kept for later."""
+    return notes.select("id", F.explode(vectors(F.col(text))).alias("x")).select("x.lexeme", "id", "x.at")
+
+
+@arrow("struct<query:string,words:array<string>>")
+def _read(query: pd.Series) -> pd.DataFrame:
+    found = [L.parsed(q or "") for q in query]
+    return pd.DataFrame({"query": [json.dumps(q) for q in found], "words": [L.operands(q) for q in found]})
+
+
+@arrow("double")
+def _score(query: pd.Series, met: pd.Series) -> pd.Series:
+    known: dict[str, list] = {}
+    out = []
+    for q, words in zip(query, met):
+        if q not in known:
+            known[q] = [[L.Term(n, tuple((w, d) for w, d in p)) for n, p in terms] for terms in json.loads(q)]
+        places = {w["lexeme"]: list(w["at"]) for w in words}
+        out.append(L.rank(known[q], places) if L.holds(known[q], places) else None)
+    return pd.Series(out, dtype="float64")
+
+
+def ranked_each(questions: DataFrame, index: DataFrame, k: int = K) -> DataFrame:
+    """(question, id, similarity, rank): the k notes that match each query best.
+
+    ``questions`` has id and query, ``index`` is what ``postings`` gives.  Words of queries meet the
+    postings of the same lexeme alone, and for each pair of a question and a note that share one the
+    places of the question's own words are gathered.  A note that holds no word of a query does not
+    match it here, so a query of negated words alone finds only notes by the words that it negates.
+    """
+    read = questions.select(F.col("id").alias("question"), _read("query").alias("x")).select("question", "x.query", "x.words")
+    words = read.select("question", F.explode("words").alias("lexeme"))
+    met = words.join(index, "lexeme").groupBy("question", "id").agg(F.collect_list(F.struct("lexeme", "at")).alias("met"))
+    scored = met.join(read.select("question", "query"), "question").withColumn("similarity", _score("query", "met")).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
+    order = Window.partitionBy("question").orderBy(F.desc("similarity"), "id")
+    return scored.select("question", "id", "similarity").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

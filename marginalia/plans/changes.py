@@ -484,13 +484,13 @@ def glossaries(spark, sf_dir):
     return D.glossary(S.documents(spark, sf_dir), S.blocks(spark, sf_dir), D.Stub()).select("document_id", "term", "block_ids")
 
 
-@query("SELECT n.id, s.title AS section_title, 0.05 AS similarity FROM {notes} n JOIN {sections} s ON n.section_id = s.id WHERE n.status = 'ACCEPTED' AND n.content IN ('1-URGENT', '2-HIGH') ORDER BY n.id LIMIT 12")
+@query("SELECT n.id, s.title AS section_title, round(0.1 / 1.64493406685 / 3, 6) AS similarity FROM {notes} n JOIN {sections} s ON n.section_id = s.id WHERE n.status = 'ACCEPTED' AND n.content IN ('1-URGENT', '2-HIGH') ORDER BY n.id LIMIT 12")
 def accepted_search_lexical(spark, sf_dir):
     """Accepted notes that match words best, with their section (JOIN1, AST5, FLT8, SRT4)."""
     from marginalia.operators import search as R
 
     n = L.accepted_notes(S.notes(spark, sf_dir), S.sections(spark, sf_dir), S.notebooks(spark, sf_dir))
-    return R.ranked(n, "urgent or high -low").select("id", "section_title", F.col("similarity").cast("decimal(3,2)").alias("similarity"))
+    return R.ranked(n, "urgent or high -low").select("id", "section_title", F.round("similarity", 6).alias("similarity"))
 
 
 @query("SELECT l_orderkey AS note_id, l_linenumber AS ord, CASE WHEN l_quantity >= 45 THEN 'quantity' END AS issue FROM lineitem")

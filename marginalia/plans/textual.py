@@ -36,12 +36,45 @@ def corpus_search_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.nearest(S.embeddings(spark, sf_dir), _QUERY_VECTOR).select("id", "section_id", "similarity")
 
 
-@query()
+# what a lexeme that occurs n times adds to the rank of a query of three
+_OFTEN = "list_sum(list_transform(range(1, CAST({n} AS BIGINT) + 1), lambda j: 0.1::DOUBLE / (j * j))) / 1.64493406685 / 3"
+
+
+@query(f"""
+    WITH w AS (SELECT id, document_id, string_split_regex(lower(text), '[^\\p{{L}}\\p{{N}}]+') AS ws FROM {{blocks}} b),
+    n AS (SELECT id, document_id, len(list_filter(ws, lambda x: x IN ('thonan', 'thonans'))) AS a, len(list_filter(ws, lambda x: x IN ('license', 'licenses', 'licensed', 'licensing'))) AS b, len(list_filter(ws, lambda x: x IN ('warranty', 'warranties'))) AS c FROM w)
+    SELECT id, document_id, round(coalesce({_OFTEN.format(n="a")}, 0) + coalesce({_OFTEN.format(n="b")}, 0) + coalesce({_OFTEN.format(n="c")}, 0), 6) AS similarity FROM n WHERE a > 0 OR (b > 0 AND c = 0) ORDER BY similarity DESC, id LIMIT 12
+""")
 def corpus_search_lexical(spark, sf_dir):
-    """The blocks that match words best, with a phrase, an alternative and a negation (AST5, FLT8,
-    MTH3, SRT4)."""
+    """The blocks that match words best, with an alternative and a negation (AST5, FLT8, MTH3,
+    SRT4)."""
     b = S.blocks(spark, sf_dir)
-    return R.ranked(b, 'thonan or license -warranty', text="text").select("id", "document_id", "similarity")
+    return R.ranked(b, "thonan or license -warranty", text="text").select("id", "document_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+    WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings), p AS (SELECT q.vec_id AS question, e.vec_id AS id, list_cosine_similarity(q.x, e.x) AS s FROM e q JOIN e ON q.vec_id % 10 = 0)
+    SELECT question, id, round(s, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY s DESC, id) AS rank FROM p) WHERE rank <= 12
+""")
+def question_search_vector(spark, sf_dir):
+    """The notes nearest to each question of a table (AST4, MTH1, SRT3)."""
+    e = S.embeddings(spark, sf_dir).select("id", "embedding")
+    return R.nearest_each(e.filter("id % 10 = 0"), e).select("question", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+_QUESTIONS = ("urgent", "high or medium", "not specified", "low -urgent", '"not specified" or "low"')
+
+
+@query("""
+    WITH h AS (
+        SELECT 0 AS question, o_orderkey AS id, 0.060793 AS similarity FROM orders WHERE o_orderpriority = '1-URGENT' UNION ALL SELECT 1, o_orderkey, 0.030396 FROM orders WHERE o_orderpriority IN ('2-HIGH', '3-MEDIUM')
+        UNION ALL SELECT 2, o_orderkey, 0.060793 FROM orders WHERE o_orderpriority = '4-NOT SPECIFIED' UNION ALL SELECT 3, o_orderkey, 0 FROM orders WHERE o_orderpriority = '5-LOW' UNION ALL SELECT 4, o_orderkey, 0.030396 FROM orders WHERE o_orderpriority IN ('4-NOT SPECIFIED', '5-LOW'))
+    SELECT question, id, CAST(similarity AS DOUBLE) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY question ORDER BY similarity DESC, id) AS rank FROM h) WHERE rank <= 12
+""")
+def question_search_lexical(spark, sf_dir):
+    """The notes that match each query of a table best (AST5, FLT8, MTH3, SRT4)."""
+    asked = spark.createDataFrame(list(enumerate(_QUESTIONS)), "id int, query string")
+    return R.ranked_each(asked, R.postings(S.notes(spark, sf_dir))).select("question", "id", F.round("similarity", 6).alias("similarity"), "rank")
 
 
 @query("SELECT vec_id AS id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e0 AS DOUBLE[])), 6) AS similarity FROM embeddings, (SELECT embedding AS e0 FROM embeddings WHERE vec_id = 0)")

@@ -9,7 +9,6 @@ from marginalia.functions import match as M
 from marginalia.functions import text as T
 from marginalia.operators import anchors as A
 from marginalia.operators import html as H
-from marginalia.operators.search import parsed_query, ranked, stem
 
 words = st.lists(st.sampled_from(["foo", "bar", "baz", "x.", " ", "\n", " "]), max_size=14).map(" ".join)
 
@@ -108,10 +107,3 @@ def test_resolve_ladder(spark):
     anchors = spark.createDataFrame([(*r, "", "") for r in rows], "id string, document_id int, block_id string, start int, end int, quoted string, prefix string, suffix string")
     got = {r["id"]: (r["rung"], r["new_block_id"], r["new_start"], r["new_end"], r["now_orphaned"]) for r in A.resolve(anchors, blocks).collect()}
     assert got == {"exact": (1, "b1", 0, 5, False), "moved": (2, "b1", 11, 16, False), "other": (3, "b2", 0, 14, False), "lost": (4, "b1", 0, 4, True)}
-
-
-def test_search(spark):
-    assert [stem(w) for w in ("caresses", "ponies", "relational", "hopping", "agreed")] == ["caress", "poni", "relat", "hop", "agre"]
-    assert parsed_query('cats "big dogs" or birds -fish') == [(False, [["cat"]]), (False, [["big", "dog"], ["bird"]]), (True, [["fish"]])]
-    notes = spark.createDataFrame([(1, "cats and big dogs"), (2, "a cat"), (3, "cats birds fish"), (4, "birds cats cats")], "id int, content string")
-    assert [r["id"] for r in ranked(notes, 'cats "big dogs" or birds -fish').collect()] == [1, 4]

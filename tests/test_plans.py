@@ -51,27 +51,13 @@ def test_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(want.columns, want.fetchall())
 
 
-WITHOUT_SQL = {"corpus_search_lexical", "edited_ranges", "html_blocks", "notebook_prompts", "page_references", "pdf_layout", "remapped_anchors", "sanitized_pages"}
+WITHOUT_SQL = {"edited_ranges", "html_blocks", "notebook_prompts", "page_references", "pdf_layout", "remapped_anchors", "sanitized_pages"}
 
 
 def test_queries_without_sql_are_those_tested_here():
     assert set(plans.QUERIES) - set(plans.SQL) == WITHOUT_SQL
 
 
-def test_corpus_search_lexical(spark):
-    from marginalia.operators.search import parsed_query, stem, STOP
-
-    got = [(r["id"], float(r["similarity"])) for r in plans.QUERIES["corpus_search_lexical"](spark, SF).collect()]
-    assert parsed_query("thonan or license -warranty") == [(False, [[stem("thonan")], [stem("license")]]), (True, [[stem("warranty")]])]
-    want = []
-    for r in tables.blocks(spark, SF).collect():
-        words = [stem(w) for w in re.findall(r"[^\W_]+", r["text"].lower()) if w not in STOP]
-        n = [words.count(stem("thonan")), words.count(stem("license"))]
-        if any(n) and stem("warranty") not in words:
-            want.append((-round(sum(0.1 * x / (x + 1) for x in n), 6), r["id"]))
-    assert got == [(i, -s) for s, i in sorted(want)[:12]]
-
-
 def test_remapped_anchors_and_edited_ranges(spark):
     from independent import carried_anchor, edited
 
