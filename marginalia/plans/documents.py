@@ -13,6 +13,7 @@ from marginalia.operators import state as Z
 from marginalia.plans.relational import BLOCKS, NOTES, SECTIONS, SOURCES
 from marginalia.sources import files, tables as S
 from marginalia.streaming import ingest as I
+from marginalia.streaming import keyed as K
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -262,9 +263,36 @@ def toggled_styles(spark, sf_dir):
     return p.select("id", F.size(Z.toggled(F.col("styles"), F.lit(0), F.col("e"), F.lit("bold"))).alias("n_styles"))
 
 
-@query("SELECT event_type AS category, CASE event_type WHEN 'view' THEN 'done,active,pending,pending,pending,pending' WHEN 'click' THEN 'active,pending,pending,pending,pending,pending' END AS states FROM events GROUP BY 1")
+@query("SELECT event_type AS category, CASE event_type WHEN 'view' THEN 'done,active' WHEN 'click' THEN 'done,active,pending,pending,pending' END AS states FROM events GROUP BY 1")
 def stage_states(spark, sf_dir):
-    """States of an ingest's stages (STM2)."""
+    """States of an ingest's stages, of a file and of a page (STM2)."""
     e = S.table(spark, sf_dir, "events").select(F.col("event_type").alias("category")).distinct()
-    now = F.when(F.col("category") == "view", "parse").when(F.col("category") == "click", "fetch").otherwise("nowhere")
-    return e.select("category", F.array_join(F.transform(I.stage_state(now), lambda s: s["state"]), ",").alias("states"))
+    file, page = I.stage_state(F.when(F.col("category") == "view", "save"), I.FILE_STAGES), I.stage_state(F.when(F.col("category") == "click", "extract").otherwise("nowhere"))
+    return e.select("category", F.array_join(F.transform(F.coalesce(file, page), lambda s: s["state"]), ",").alias("states"))
+
+
+@query("""
+    WITH e AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'fetch' WHEN 'click' THEN 'extract' WHEN 'purchase' THEN 'select' WHEN 'signup' THEN 'save' END AS stage, CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 5 ELSE 6 END AS place FROM events),
+    b AS (SELECT *, coalesce(max(place) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS before FROM e)
+    SELECT CAST(user_id AS VARCHAR) AS id, event_id AS seq, CASE WHEN stage IS NULL THEN '{{"id":"' || user_id || '","error":"it broke"}}' ELSE '{{"id":"' || user_id || '","stage":"' || stage || '"}}' END AS value FROM b WHERE place >= before AND before < 6
+""")
+def progress_lines(spark, sf_dir):
+    """Lines of progress of which no stage goes back, to the error that ends them (STM2, SNK8)."""
+    t, none = F.col("event_type"), F.lit(None).cast("string")
+    stage = F.when(t == "view", "fetch").when(t == "click", "extract").when(t == "purchase", "select").when(t == "signup", "save")
+    e = S.table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), F.col("event_id").alias("seq"), stage.alias("stage"), none.alias("detail"), none.alias("result"), F.when(t == "error", "it broke").alias("error"))
+    return K.progress_of_table(e)
+
+
+@query("""
+    SELECT id, text, CASE k WHEN 1 THEN 'it broke' END AS error, CASE k WHEN 2 THEN 'n' || ord END AS note FROM (SELECT id, ord, text, ord % 4 AS k FROM {blocks} b) WHERE k <> 3
+""")
+def assembled_answers(spark, sf_dir):
+    """Model answers put together from chunks, with trailers split over them (SNK9, STM1)."""
+    k = F.col("ord") % 4
+    b = S.blocks(spark, sf_dir).withColumn("raw", F.concat("text", F.when(k == 1, "\0error\0it broke").when(k == 2, F.concat(F.lit("\0note\0n"), F.col("ord").cast("string"))).otherwise("")))
+    size = 11
+    pieces = F.greatest(F.ceil(F.char_length("raw") / size), F.lit(1)).cast("int")
+    each = F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(i.alias("seq"), F.substring("raw", i * size + 1, F.lit(size)).alias("chunk"), (i == pieces - 1).alias("last")))
+    c = b.select("id", "ord", F.explode(each).alias("c")).select("id", "c.*", "ord")
+    return K.answers_of_table(c.filter((F.col("ord") % 4 != 3) | ~F.col("last")).drop("ord"))  # some never end

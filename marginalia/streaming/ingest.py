@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# The stages of an ingest, in order.
-STAGES = ("fetch", "parse", "core", "structure", "save", "attach")
+# The stages of an ingest of a page and of a file, in order.
+PAGE_STAGES, FILE_STAGES = ("fetch", "extract", "select", "structure", "save"), ("parse", "save")
 
 
-def stage_state(current: Column, stages=STAGES) -> Column:
+def stage_state(current: Column, stages=PAGE_STAGES) -> Column:
     """Each stage's state when one is under way: earlier ones done, later ones pending; an unknown
     stage gives null."""
     order = F.array(*map(F.lit, stages))
