@@ -5,15 +5,17 @@ cut; a group is what lies between two cuts, the A-ids and the B-ids of the same
 tokens overlap follows from the group alone, so links are expanded once for each distinct group.
 
 A worker encodes each distinct piece (see ``spans``) once, as both tokenizers always end a token
-before a space that follows other characters.  Documents are taken in blocks.  A block interns its
-distinct groups; its documents hold numbers of groups and how often each occurs, and for each id
-pair linked in the block it counts the documents that hold it.  Counts are summed over the corpus,
+before a space that follows other characters, and interns its groups.  Documents are taken in blocks
+with a dictionary each; a document holds numbers of groups and how often each occurs, and for each
+id pair linked in the block the block counts the documents that hold it.  Counts are summed over the corpus,
 each distinct group of the corpus is scored once, and scores return to the blocks by the group.
 """
 
 from __future__ import annotations
 
 import hashlib
+import os
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,128 +25,211 @@ from pyspark.sql import functions as F
 
 from marginalia.llm.bpe import Decoder
 from marginalia.llm.common import Scratch
-from marginalia.llm.spans import Pieces, cut_rule, kept, led_pieces, load
+from marginalia.llm.spans import cut_rule, kept, led_pieces, load
 
-#: Documents, entries of documents and distinct groups at which a block ends.
-DOCS, ENTRIES, GROUPS = 4096, 1 << 21, 1 << 18
-#: Pieces of each of two generations that a worker holds.
-PIECES = 150_000
+#: Documents and entries of documents at which a block ends, groups that a worker interns at most
+#: before it ends one, characters of texts whose pieces are encoded together.
+DOCS, ENTRIES, GROUPS, TOGETHER = 4096, 1 << 21, 1 << 18, 1 << 18
+#: Pieces that a worker holds, those that are cut at once, and those that A reads as one text.
+PIECES, BATCH, JOINED = 400_000, 1 << 14, 64
 #: The mark that stands for a space in pieces.
 MARK = "▁"
 
 
 class Aligner:
-    """Groups of pieces: texts 'a1,a2|b1', one for each group, and their sums."""
+    """Groups of pieces, interned: each has a number, a text 'a1,a2|b1', and its links."""
 
     def __init__(self, a: str, b: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.a, self.bytes_a = load(a), Decoder(a).table
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=b)
         self.bytes_b = [self.piece_bytes(i) for i in range(self.b.get_piece_size())]
         self.size_a, self.size_b = (np.asarray([len(x) for x in t], np.int64) for t in (self.bytes_a, self.bytes_b))
+        self.space = [self.b.piece_to_id(MARK)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         # no token of B runs from another character into a space, and a space is put before texts
         self.parted = cut_rule(a) == "led" and not any(MARK in p.lstrip(MARK) for p in pieces) and self.b.encode("a ") != self.b.encode("a")
-        self.pieces = Pieces(self.of_piece, PIECES)
+        self.place: dict[str, int] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """Drop all that is interned; numbers begin anew."""
+        self.numbers: dict[str, int] = {}
+        self.known: dict[tuple, int] = {}  # groups of several ids, A's and B's parted by -1
+        self.texts: list[str] = []
+        self.pairs: dict[int, int] = {}
+        # of group i: tokens of A and of B, and pairs flat[first[i]:first[i + 1]]
+        self.n_a, self.n_b, self.first, self.flat = (np.zeros(1 << 12, np.int64) for _ in range(4))
+        self.drop_pieces()
+
+    def drop_pieces(self) -> None:
+        # groups of piece i: groups[begins[i]:begins[i + 1]]; a piece whose bytes differ is -1
+        self.place.clear()
+        self.used, self.begins, self.groups = 0, np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
 
     def piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
         return bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace(MARK, " ").encode()
 
-    def of_piece(self, piece: str):
-        """(groups joined by ';', A-ids, B-ids, links, texts of the groups) of a piece that begins
-        with a space; None if what either tokenizer gives are not the piece's bytes."""
-        ids_a = self.a.encode(piece, add_special_tokens=False).ids
+    def cut(self, pieces: list[str], joined: int = 1) -> tuple[np.ndarray, np.ndarray] | None:
+        """Numbers of the groups of pieces that begin with a space, and how many each piece has; None
+        if what a tokenizer gives are not the bytes of some piece.  Calls cost more than pieces, so
+        many are cut at once, and of those that do not end in white space A reads ``joined`` as one."""
+        texts = pieces if joined == 1 else ["".join(pieces[i : i + joined]) for i in range(0, len(pieces), joined)]
+        list_a = list(chain.from_iterable(e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)))
         # the library puts no space before nothing
-        ids_b = self.b.encode(piece[1:], num_threads=1) if len(piece) > 1 else [self.b.piece_to_id(MARK)]
-        raw = piece.encode()
-        if b"".join(map(self.bytes_a.__getitem__, ids_a)) != raw or b"".join(map(self.bytes_b.__getitem__, ids_b)) != raw:
+        list_b = list(chain.from_iterable(ids or self.space for ids in self.b.encode([p[1:] for p in pieces], num_threads=1)))
+        raw = [p.encode() for p in pieces]
+        bounds, raw = np.cumsum(list(map(len, raw))), b"".join(raw)
+        if any(b"".join(map(of.__getitem__, ids)) != raw for of, ids in ((self.bytes_a, list_a), (self.bytes_b, list_b))):
             return None
-        ends_a, ends_b = np.cumsum(self.size_a[ids_a]), np.cumsum(self.size_b[ids_b])
-        cuts, at_a, at_b = np.intersect1d(ends_a, ends_b, assume_unique=True, return_indices=True)
-        out, i, j = [], 0, 0
-        for x, y in zip((at_a + 1).tolist(), (at_b + 1).tolist()):
-            out.append(f"{','.join(map(str, ids_a[i:x]))}|{','.join(map(str, ids_b[j:y]))}")
-            i, j = x, y
-        # of two sequences of tokens that end together at c places, overlaps number a + b - c
-        return ";".join(out), len(ids_a), len(ids_b), len(ids_a) + len(ids_b) - len(cuts), tuple(out)
-
-    def __call__(self, text: str) -> list | None:
-        """Groups of the pieces of a text; None if it has no tokens."""
-        if not text:
+        flat_a, flat_b = np.asarray(list_a, np.int64), np.asarray(list_b, np.int64)
+        ends_a, ends_b = np.cumsum(self.size_a[flat_a]), np.cumsum(self.size_b[flat_b])
+        upto = np.searchsorted(ends_a, bounds)
+        if (ends_a[upto] != bounds).any() or (ends_b[np.searchsorted(ends_b, bounds)] != bounds).any():
             return None
-        if self.parted:
-            found = list(map(self.pieces.__getitem__, led_pieces(" " + text)))
-            if None not in found:
-                return found
-        found = self.of_piece(" " + text)
-        return None if found is None else [found]
-
-    def links(self, group: str) -> set[int]:
-        """Linked pairs of a group, a << 32 | b, each once."""
-        left, _, right = group.partition("|")
-        if "," not in left and "," not in right:
-            return {int(left) << 32 | int(right)}
-        a, b = (np.asarray(x.split(","), np.int64) for x in (left, right))
-        return set(np.unique(self.overlaps(a, b)).tolist())
-
-    def overlaps(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        # a group ends where a token of each ends
+        place = np.searchsorted(ends_b, ends_a)
+        last_a = np.flatnonzero(ends_b[place] == ends_a)
+        last_b = place[last_a]
+        n_a, n_b = np.diff(last_a, prepend=-1), np.diff(last_b, prepend=-1)
+        numbers = np.empty(len(last_a), np.int64)
+        one = (n_a == 1) & (n_b == 1)
+        pairs, at = np.unique(flat_a[last_a[one]] << 32 | flat_b[last_b[one]], return_inverse=True)
+        numbers[one] = np.asarray([self.number((p >> 32,), (p & 0xFFFFFFFF,)) for p in pairs.tolist()], np.int64)[at]
+        some, known = [], self.known
+        for x, y, n, m in zip(*(v[~one].tolist() for v in (last_a + 1, last_b + 1, n_a, n_b))):
+            key = (*list_a[x - n : x], -1, *list_b[y - m : y])
+            if (number := known.get(key)) is None:
+                number = known[key] = self.number(key[:n], key[n + 1 :])
+            some.append(number)
+        numbers[~one] = some
+        return numbers, np.diff(np.searchsorted(last_a, upto, "right"), prepend=0)
+
+    def learn(self, pieces: list[str], joined: int = JOINED) -> None:
+        """Keep the groups of pieces."""
+        if joined > 1 and (apart := [p for p in pieces if p[-1].isspace()]):
+            self.learn(apart, 1)
+            pieces = [p for p in pieces if not p[-1].isspace()]
+        found = self.cut(pieces, joined) if pieces else None
+        if found is None:
+            if len(pieces) == 1:
+                self.place[pieces[0]] = -1
+            elif pieces:
+                half = len(pieces) // 2
+                self.learn(pieces[:half], joined)
+                self.learn(pieces[half:], joined)
+            return
+        numbers, sizes = found
+        first, n = self.used, len(pieces)
+        while first + n + 1 > len(self.begins):
+            self.begins = np.concatenate([self.begins, np.zeros_like(self.begins)])
+        ends = self.begins[first] + np.cumsum(sizes)
+        while ends[-1] > len(self.groups):
+            self.groups = np.concatenate([self.groups, np.zeros_like(self.groups)])
+        self.groups[self.begins[first] : ends[-1]] = numbers
+        self.begins[first + 1 : first + n + 1] = ends
+        self.place.update(zip(pieces, range(first, first + n)))
+        self.used += n
+
+    def number(self, a, b) -> int:
+        group = f"{','.join(map(str, a))}|{','.join(map(str, b))}"
+        n = self.numbers.get(group)
+        if n is None:
+            n = self.numbers[group] = len(self.numbers)
+            self.texts.append(group)
+            linked = [self.pairs.setdefault(p, len(self.pairs)) for p in np.unique(self.overlaps(group)).tolist()]
+            if n + 2 > len(self.first):
+                self.n_a, self.n_b, self.first = (np.concatenate([x, np.zeros_like(x)]) for x in (self.n_a, self.n_b, self.first))
+            end = self.first[n] + len(linked)
+            while end > len(self.flat):
+                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+            self.n_a[n], self.n_b[n], self.first[n + 1], self.flat[self.first[n] : end] = len(a), len(b), end, linked
+        return n
+
+    def overlaps(self, group: str) -> np.ndarray:
         """a << 32 | b of every two tokens of a group whose bytes overlap."""
-        ends = np.union1d(np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b]))
+        a, b = (np.asarray(x.split(","), np.int64) for x in group.split("|"))
+        if len(a) == len(b) == 1:
+            return a << 32 | b
+        ends_a, ends_b = np.cumsum(self.size_a[a]), np.cumsum(self.size_b[b])
         # between two ends next to each other lies one token of each
-        i, j = (np.searchsorted(np.cumsum(size[x]), ends) for size, x in ((self.size_a, a), (self.size_b, b)))
-        return a[i] << 32 | b[j]
+        ends = np.union1d(ends_a, ends_b)
+        return a[np.searchsorted(ends_a, ends)] << 32 | b[np.searchsorted(ends_b, ends)]
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Numbers of the groups of each text in order; None for texts that have no tokens."""
+        if self.used > PIECES:
+            self.drop_pieces()
+        split = [(led_pieces(" " + t) if self.parted else [" " + t]) if t else [] for t in texts]
+        every = list(chain.from_iterable(split))
+        at = list(map(self.place.get, every))
+        if None in at:
+            new = list({p for p, i in zip(every, at) if i is None})
+            for i in range(0, len(new), BATCH):
+                self.learn(new[i : i + BATCH])
+            at = list(map(self.place.__getitem__, every))
+            for p in new:
+                if len(p) > 256:  # not to be held
+                    del self.place[p]
+        at = np.asarray(at, np.int64)
+        first = self.begins[at]
+        size = np.where(at < 0, 0, self.begins[at + 1] - first)
+        groups = self.groups[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
+        upto = np.concatenate([[0], np.cumsum(size)])
+        out, end = [], 0
+        for text, own in zip(texts, split):
+            begin, end = end, end + len(own)
+            found = groups[upto[begin] : upto[end]] if own else None
+            if own and (at[begin:end] < 0).any():  # bytes that differ in a piece may agree in the text
+                found = self.cut([" " + text])
+                found = found and found[0]
+            out.append(found)
+        return out
+
+    def pairs_of(self, groups: np.ndarray) -> np.ndarray:
+        """Numbers of the pairs that are linked in some of these groups."""
+        first = self.first[groups]
+        size = self.first[groups + 1] - first
+        return np.unique(self.flat[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())])
 
 
 class Block:
     """Documents with the dictionary of their groups."""
 
     def __init__(self, aligner: Aligner):
-        self.aligner, self.numbers, self.entries = aligner, {}, 0
-        self.rows: list[tuple] = []
-        self.first, self.flat = [0], []  # linked pairs of group i are flat[first[i]:first[i + 1]]
-        self.pairs: dict[int, int] = {}  # numbers of linked pairs
-        self.seen: list[np.ndarray] = []  # numbers of pairs, once for each document
-
-    def number(self, group: str) -> int:
-        """Number of a group that the block has not met."""
-        self.numbers[group] = found = len(self.numbers)
-        self.flat += [self.pairs.setdefault(p, len(self.pairs)) for p in self.aligner.links(group)]
-        self.first.append(len(self.flat))
-        return found
-
-    def add(self, key, text: str) -> None:
-        pieces = self.aligner(text)
-        if pieces is None:
+        self.aligner, self.entries, self.rows, self.seen = aligner, 0, [], []
+
+    def add(self, key, groups: np.ndarray | None) -> None:
+        if groups is None:
             self.rows.append((key, 0, 0, 0, 0, "", [], []))
             return
-        joined, n_a, n_b, n_links, groups = zip(*pieces)
-        get, number = self.numbers.get, self.number
-        numbers = np.asarray([number(g) if (i := get(g)) is None else i for own in groups for g in own], np.int64)
-        own, often = np.unique(numbers, return_counts=True)
+        own, often = np.unique(groups, return_counts=True)
+        n_a, n_b = int(self.aligner.n_a[own] @ often), int(self.aligner.n_b[own] @ often)
+        digest = hashlib.sha256(";".join(map(self.aligner.texts.__getitem__, groups.tolist())).encode()).hexdigest()
         self.entries += len(own)
-        digest = hashlib.sha256(";".join(joined).encode()).hexdigest()
-        self.rows.append((key, sum(n_a), sum(n_b), len(numbers), sum(n_links), digest, own.astype(np.int32), often))
-        first = np.asarray([self.first[i] for i in own.tolist()], np.int64)
-        last = np.asarray([self.first[i + 1] for i in own.tolist()], np.int64)
-        size = last - first
-        place = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-        self.seen.append(np.unique(np.fromiter(map(self.flat.__getitem__, place.tolist()), np.int64, len(place))))
+        # of two sequences of tokens that end together at g places, overlaps number a + b - g
+        self.rows.append((key, n_a, n_b, len(groups), n_a + n_b - len(groups), digest, own, often))
+        self.seen.append(self.aligner.pairs_of(own))
 
     def full(self) -> bool:
-        return len(self.rows) >= DOCS or self.entries >= ENTRIES or len(self.numbers) >= GROUPS
+        return len(self.rows) >= DOCS or self.entries >= ENTRIES
 
     def batch(self, block: str, kind: pa.DataType) -> pa.RecordBatch:
-        """One row for each document, and a first one with the dictionary."""
-        held = np.bincount(np.concatenate([np.zeros(0, np.int64), *self.seen]), minlength=len(self.pairs))
+        """One row for each document, and a first one with the dictionary of what they hold."""
+        nothing = np.zeros(0, np.int64)
         keys, n_a, n_b, n_groups, n_links, digests, own, often = zip(*self.rows)
+        met = np.unique(np.concatenate([nothing, *own]).astype(np.int64))
+        pairs, held = np.unique(np.concatenate([nothing, *self.seen]), return_counts=True)
+        names, coded = np.asarray([*self.aligner.texts, ""], object), np.fromiter(self.aligner.pairs, np.int64, len(self.aligner.pairs))
         lists = lambda x, t: pa.array([[], *x], pa.list_(t))
         first = lambda x, t: pa.array([x, *[None] * len(self.rows)], pa.list_(t))
         longs = lambda x: pa.array([None, *x], pa.int64())
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([block] * (len(keys) + 1)), pa.array([True, *[False] * len(keys)]), pa.array([None, *keys], kind), longs(n_a), longs(n_b), longs(n_groups), longs(n_links),
-                pa.array([None, *digests], pa.string()), lists(own, pa.int32()), lists(often, pa.int64()), first(list(self.numbers), pa.string()), first(np.fromiter(self.pairs, np.int64, len(self.pairs)), pa.int64()), first(held, pa.int64()),
+                pa.array([None, *digests], pa.string()), lists([np.searchsorted(met, x).astype(np.int32) for x in own], pa.int32()), lists(often, pa.int64()), first(names[met].tolist(), pa.string()), first(coded[pairs], pa.int64()), first(held, pa.int64()),
             ],
             names=COLUMNS,
         )
@@ -164,35 +249,42 @@ def blocks(docs: DataFrame, a: str, b: str, text: str, key: str) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        task, n, block = TaskContext.get().partitionId(), 0, None
+        task, n = TaskContext.get().partitionId(), 0
         aligner = kept(_aligner, (a, b))
+        block = Block(aligner)
         for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                block = block or Block(aligner)
-                block.add(k, t or "")
-                if block.full():
-                    yield block.batch(f"{task}-{n}", batch.schema.field(0).type)
-                    block, n = None, n + 1
             of = batch.schema.field(0).type
-        if block:
+            keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            at = 0
+            while at < len(texts):
+                size, end = 0, at
+                while end < len(texts) and size < TOGETHER:
+                    size += len(texts[end])
+                    end += 1
+                for k, pieces in zip(keys[at:end], aligner(texts[at:end])):
+                    block.add(k, pieces)
+                at = end
+                if block.full() or len(aligner.texts) >= GROUPS:
+                    yield block.batch(f"{task}-{n}", of)
+                    if len(aligner.texts) >= GROUPS:
+                        aligner.forget()
+                    block, n = Block(aligner), n + 1
+        if block.rows:
             yield block.batch(f"{task}-{n}", of)
 
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, f"block string, head boolean, key {kind}, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, digest string, own array<int>, often array<bigint>, dictionary array<string>, pairs array<bigint>, held array<bigint>")
 
 
 def group_links(groups: DataFrame, a: str, b: str) -> DataFrame:
-    """(grp, a, b) for every link of each distinct group."""
+    """(grp, pair) for every link of each distinct group."""
 
     def run(batches):
         aligner = kept(_aligner, (a, b))
         for batch in batches:
-            names, found = [], []
-            for g in batch.column(0).to_pylist():
-                left, _, right = g.partition("|")
-                found.append(aligner.overlaps(np.asarray(left.split(","), np.int64), np.asarray(right.split(","), np.int64)))
-                names += [g] * len(found[-1])
-            pairs = np.concatenate([np.zeros(0, np.int64), *found])
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(pairs)], names=["grp", "pair"])
+            names = batch.column(0).to_pylist()
+            found = [aligner.overlaps(g) for g in names]
+            grp = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), [len(x) for x in found])))
+            yield pa.RecordBatch.from_arrays([grp, pa.array(np.concatenate([np.zeros(0, np.int64), *found]))], names=["grp", "pair"])
 
     return groups.select("grp").mapInArrow(run, "grp string, pair bigint")
 
