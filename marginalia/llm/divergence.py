@@ -3,9 +3,11 @@
 Two passes over whole texts.  The first counts in how many documents of a language each term occurs
 and keeps the terms that are common enough.  The second compiles the kept terms, each between two
 delimiters, into an Aho-Corasick automaton and counts their occurrences; a vocabulary too large for
-one automaton is dealt out by hash, and each share is counted in a run of its own.  What a task has
-counted is one row for each (group, term) that occurs, so postings are sparse and a frequent term or
-a large source arrives summed up.  All figures are integers.
+one automaton is dealt out by language and hash, and each share is counted in a run of its own over
+the documents of its languages.  What a task has counted are sparse postings, lists of terms and
+counts for each group, so a frequent term or a large source arrives summed up.  Postings are then
+dealt by term; a task holds some terms with all groups, sums up for each pair of groups what its
+terms add, and keeps each group's best terms.  All figures are integers.
 """
 
 from __future__ import annotations
@@ -14,21 +16,25 @@ from collections import Counter, defaultdict
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from marginalia.llm.common import Scratch
+from marginalia.llm.common import Scratch, partitions
 
 #: Parts that a whole is divided into; documents that a kept term occurs in; ranks of the terms.
 UNIT, LEAST_DOCS, RANKS = 1_000_000_000, 3, 200
-#: Terms of one automaton: what the driver holds of the vocabulary at once, and sends to all tasks.
-TERMS = 1 << 17
-#: Entries that a task counts before it hands them on.
-HELD = 1 << 20
-#: Sources compared in one task with as many others, and cells of the matrix of their terms.
-TILE, CELLS = 256, 1 << 19
+#: Terms of one automaton, half as many more at most: what the driver holds of the vocabulary at
+#: once and sends to all tasks (some 5 MB), and 32 bytes a node in each Python worker (some 80 MB).
+TERMS = 1 << 19
+#: Terms of one list of the vocabulary, whose place in it makes their number.
+LIST, PLACES = 1 << 13, 1 << 20
+#: Occurrences that a task gathers before it counts them, entries before it hands them on.
+HELD = 1 << 21
+#: Postings dealt to a task, sources compared at once with all others, cells of their matrix.
+DEALT, TILE, CELLS = 1 << 22, 256, 1 << 20
 
 #: Letters A-Z become small, all else of ASCII but letters becomes the delimiter.
 FOLD = bytes(b if b >= 0x80 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
@@ -46,117 +52,195 @@ def term_documents(docs: DataFrame) -> DataFrame:
         held: dict[str, Counter] = defaultdict(Counter)
 
         def rows():
-            size = sum(map(len, held.values()))
-            langs = [lang for lang, c in held.items() for _ in range(len(c))]
-            terms = [t.decode() for c in held.values() for t in c]
-            n = np.fromiter((x for c in held.values() for x in c.values()), np.int64, size)
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(terms, pa.string()), pa.array(n)], names=["lang", "term", "n"])
+            while held:
+                lang, c = held.popitem()
+                terms = pa.array(list(c), pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang, pa.string()), len(c)), terms, pa.array(np.fromiter(c.values(), np.int64, len(c)))], names=["lang", "term", "n"])
 
         for b in batches:
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist()):
                 held[lang].update(set(folded(text).split()))
             if sum(map(len, held.values())) > HELD:
-                yield rows()
-        if held:
-            yield rows()
+                yield from rows()
+        yield from rows()
 
     return docs.select("lang", "text").mapInArrow(run, "lang string, term string, n bigint")
 
 
-def automaton(terms: list[str]):
-    """Terms between delimiters; bytes stand as characters, so that a text is read without decoding."""
-    found = ahocorasick.Automaton()
-    for i, t in enumerate(terms):
-        found.add_word(f" {t.encode().decode('latin-1')} ", i)
-    found.make_automaton()
-    return found
-
-
 _BUILT: dict = {}
 
 
-def built(mark: str, terms: list[str]):
-    """One automaton for each Python worker, whose tasks share it."""
+class Vocabulary:
+    """The automaton of a share of the vocabulary, and the number of each (language, term) of it.
+
+    Bytes stand as characters, so that a text is searched without decoding."""
+
+    def __init__(self, lists: list[tuple[str, int, bytes]]):
+        self.automaton, self.size, pairs, ids = ahocorasick.Automaton(), 0, [], []
+        self.langs = {lang: i for i, lang in enumerate(dict.fromkeys(lang for lang, _, _ in lists))}
+        for lang, number, joined in lists:
+            own = []
+            for t in joined.decode("latin-1").split(" "):
+                t = f" {t} "
+                i = self.automaton.get(t, -1)  # another language may have it too
+                if i < 0:
+                    i = self.size
+                    self.automaton.add_word(t, i)
+                    self.size += 1
+                own.append(i)
+            pairs.append(np.asarray(own, np.int64) << 20 | self.langs[lang])
+            ids.append(np.arange(len(own)) + number * PLACES)
+        self.automaton.make_automaton()
+        pairs, ids = np.concatenate(pairs), np.concatenate(ids)
+        order = np.argsort(pairs)
+        self.pairs, self.ids = pairs[order], ids[order]
+
+    def numbers(self, lang: str, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of these are kept in a language, and their numbers."""
+        asked = terms << 20 | self.langs[lang]
+        place = np.minimum(np.searchsorted(self.pairs, asked), len(self.pairs) - 1)
+        kept = self.pairs[place] == asked
+        return kept, self.ids[place[kept]]
+
+
+def built(mark: str, lists: list) -> Vocabulary:
+    """One vocabulary for each Python worker, whose tasks share it."""
     if mark not in _BUILT:
         _BUILT.clear()
-        _BUILT[mark] = automaton(terms)
+        _BUILT[mark] = Vocabulary(lists)
     return _BUILT[mark]
 
 
-def occurrences(docs: DataFrame, ids: np.ndarray, terms: list[str], mark: str) -> DataFrame:
-    """lang, source, tid, n: how often each term of one share of the vocabulary occurs in a group."""
+def occurrences(docs: DataFrame, lists: list[tuple[str, int, bytes]], mark: str) -> DataFrame:
+    """lang, source, tid, n: lists of the terms of one share that occur in a group, and how often."""
+    langs = sorted({lang for lang, _, _ in lists})
 
     def run(batches):
-        search = built(mark, terms).iter
+        words = built(mark, lists)
+        search, size = words.automaton.iter, words.size
         groups: dict[tuple[str, str], int] = {}
-        keys, counts, new, size = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
+        keys, counts, new, held = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def settle():
-            nonlocal keys, counts, new, size
-            own, n = np.unique(np.concatenate([np.zeros(0, np.int64), *new]), return_counts=True)
-            both, at = np.unique(np.concatenate([keys, own]), return_inverse=True)
-            summed = np.zeros(len(both), np.int64)
-            np.add.at(summed, at, np.concatenate([counts, n]))
-            keys, counts, new, size = both, summed, [], 0
+            nonlocal keys, counts, new, held
+            codes, both = pd.factorize(np.concatenate([keys, *new]))
+            n = np.bincount(codes[: len(keys)], counts, len(both)) + np.bincount(codes[len(keys) :], minlength=len(both))
+            keys, counts, new, held = both, n.astype(np.int64), [], 0
 
         def rows():
             nonlocal keys, counts
-            g, t = np.divmod(keys, len(terms))
-            langs, sources = zip(*groups) if groups else ((), ())
-            out = pa.RecordBatch.from_arrays([pa.array(langs, pa.string()).take(pa.array(g)), pa.array(sources, pa.string()).take(pa.array(g)), pa.array(ids[t]), pa.array(counts)], names=["lang", "source", "tid", "n"])
+            order = np.argsort(keys)
+            keys, counts = keys[order], counts[order]
+            ends = np.searchsorted(keys, np.arange(len(groups) + 1) * size)
+            found = []
+            for (lang, source), i, j in zip(groups, ends, ends[1:]):
+                kept, ids = words.numbers(lang, keys[i:j] % size)
+                found.append((lang, source, ids, counts[i:j][kept]))
             keys, counts = keys[:0], counts[:0]
             groups.clear()
-            return out
+            columns = list(zip(*found))
+            kinds = (pa.string(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["lang", "source", "tid", "n"])
 
         for b in batches:
             for lang, source, text in zip(*(b.column(c).to_pylist() for c in ("lang", "source", "text"))):
                 g = groups.setdefault((lang, source), len(groups))
                 found = np.fromiter((v for _, v in search(f" {folded(text).decode('latin-1')} ")), np.int64)
-                new.append(found + g * len(terms))
-                size += len(found)
-                if size > HELD:
+                new.append(found + g * size)
+                held += len(found)
+                if held > HELD:
                     settle()
                     if len(keys) > HELD:
                         yield rows()
         settle()
-        if len(keys):
+        if groups:
             yield rows()
 
-    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, tid bigint, n bigint")
-
-
-def share(count: str, total: str, size: str) -> F.Column:
-    """1 + floor(UNIT * (count + 1) / (total + size)), exact; null if there are no terms."""
-    return F.expr(f"1L + (cast({UNIT} as decimal(10,0)) * cast({count} + 1 as decimal(19,0))) div nullif(cast({total} + {size} as decimal(19,0)), 0)")
+    # no more languages than the run has terms, which are sent to all tasks as well
+    own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(x,) for x in langs], "lang string")), "lang", "left_semi")
+    return own.select("lang", "source", "text").mapInArrow(run, "lang string, source string, tid array<bigint>, n array<bigint>")
 
 
-def excess(p: str, q: str) -> F.Column:
-    """floor((p - q)^2 / q)."""
-    return F.expr(f"(({p}) - ({q})) * (({p}) - ({q})) div ({q})")
+def vocabulary(common: DataFrame, held: int) -> DataFrame:
+    """Kept terms (lang, term) in sorted lists: run, lang, number, terms.
 
+    Runs have at most 1.5 * ``held`` terms: a large language's stand in as few as they fit in, small
+    languages stand together.
+    """
+    sizes = common.groupBy("lang").agg(F.count("*").alias("v"))
+    w = Window.orderBy("lang").rowsBetween(Window.unboundedPreceding, -1)
+    large = F.col("v") > held // 2
+    own = F.when(large, F.ceil(F.col("v") / held)).otherwise(0).cast("bigint")
+    small = F.when(large, 0).otherwise(F.col("v"))
+    before = sizes.select("lang", "v", large.alias("large"), own.alias("own"), F.coalesce(F.sum(own).over(w), F.lit(0)).alias("runs"), F.coalesce(F.sum(small).over(w), F.lit(0)).alias("small"))
+    # runs of large languages are even, those of small ones odd
+    run = F.when(F.col("large"), 2 * (F.col("runs") + F.pmod(F.xxhash64("term"), F.col("own")))).otherwise(2 * F.floor(F.col("small") / held) + 1)
+    dealt = common.join(before, "lang").select("lang", "term", run.cast("bigint").alias("run"), F.pmod(F.xxhash64("term", F.lit(1)), F.ceil(F.col("v") / LIST)).alias("list"))
+    lists = dealt.groupBy("run", "lang", "list").agg(F.array_sort(F.collect_list("term")).alias("terms"))
+    return lists.select("run", "lang", F.row_number().over(Window.orderBy("run", "lang", "list")).cast("bigint").alias("number"), "terms")
+
+
+def share(counts: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """1 + floor(UNIT * (count + 1) / whole), exact: a long division by thousands."""
+    out, rest = np.ones_like(counts), counts + 1
+    for scale in (UNIT // 1000, UNIT // 1_000_000, 1):
+        digit, rest = np.divmod(rest * 1000, whole)
+        out += digit * scale
+    return out
+
+
+def compared(dealt: DataFrame, groups: pd.DataFrame, ranks: int) -> DataFrame:
+    """a, b, value, pair: what the terms of a task add to each pair of groups (a, b), and of each
+    group a the best terms b, of equals at the end all.
+
+    ``groups`` has first (of its language), n, v, n_lang, in order of their numbers; the result has
+    more pairs of them than they are themselves, but for languages of one source.
+    """
+    first, n, v, n_lang = (groups[c].to_numpy(np.int64) for c in ("first", "n", "v", "n_lang"))
+    last = np.searchsorted(first, np.arange(len(first)), "right") if len(first) else first
 
-def pair_sums(cells: DataFrame, groups: DataFrame) -> DataFrame:
-    """lang, g, h, part: for the terms of a cell, the sum of floor((p - q)^2 / q) of group g over h,
-    less what as many terms without occurrences would give."""
-
-    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        s, zero = (right.column(c).to_numpy() for c in ("s", "p0"))
-        order = np.argsort(s)
-        s, zero = s[order], zero[order]
-        rows, (tids, at) = np.searchsorted(s, left.column("s").to_numpy()), np.unique(left.column("tid").to_numpy(), return_inverse=True)
-        p = np.repeat(zero[:, None], len(tids), axis=1)
-        p[rows, at] = left.column("p").to_numpy()
-        one, two = np.flatnonzero(s // TILE == key[1].as_py()), np.flatnonzero(s // TILE == key[2].as_py())
-        out = []
-        for g in one.tolist() if len(tids) else []:
-            d, d0 = p[g] - p[two], zero[g] - zero[two]
-            out.append((d * d // p[two]).sum(axis=1) - len(tids) * (d0 * d0 // zero[two]))
-        n = len(out)
-        return pa.table({"lang": pa.array([key[0].as_py()] * (n * len(two)), pa.string()), "g": np.repeat(s[one[:n]], len(two)), "h": np.tile(s[two], n), "part": np.concatenate([np.zeros(0, np.int64), *out])})
+    def best(f: np.ndarray, t: np.ndarray):
+        if len(f) <= ranks:
+            return f, t
+        kept = f >= np.partition(f, -ranks)[-ranks]
+        return f[kept], t[kept]
 
-    names = ("lang", "tile_g", "tile_h", "block")
-    return cells.groupBy(*names).cogroup(groups.groupBy(*names)).applyInArrow(run, "lang string, g bigint, h bigint, part bigint")
+    def run(batches):
+        rows = [[b.column(c).to_numpy() for c in ("gid", "tid", "n")] for b in batches if b.num_rows]
+        if not rows:
+            return
+        gid, tid, count = (np.concatenate(x) for x in zip(*rows))
+        for lead in np.unique(first[gid]).tolist():
+            own = first[gid] == lead
+            s, (tids, t), c = gid[own] - lead, np.unique(tid[own], return_inverse=True), count[own]
+            order = np.argsort(t, kind="stable")
+            s, t, c = s[order], t[order], c[order]
+            size = int(last[lead]) - lead
+            whole, step = (n + v)[lead : lead + size, None], max(1, CELLS // size)
+            top: list[tuple] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * size
+            for one in range(0, size, TILE):
+                sums = np.zeros((min(TILE, size - one), size), np.int64)
+                for at in range(0, len(tids), step):
+                    i, j = np.searchsorted(t, [at, at + step])
+                    held = np.zeros((size, min(step, len(tids) - at)), np.int64)
+                    np.add.at(held, (s[i:j], t[i:j] - at), c[i:j])
+                    p = share(held, whole)
+                    for k in range(len(sums)):
+                        d = p[one + k] - p
+                        sums[k] += (d * d // p).sum(axis=1)
+                    if not one:
+                        q = share(held.sum(axis=0), n_lang[lead] + v[lead])
+                        for g in range(size):
+                            used = np.flatnonzero((held[g] > 0) & (p[g] > q))
+                            d = p[g, used] - q[used]
+                            f, b = top[g]
+                            top[g] = best(np.concatenate([f, d * d // q[used]]), np.concatenate([b, tids[at + used]]))
+                a, b = np.divmod(np.arange(sums.size), size)
+                yield pa.RecordBatch.from_arrays([pa.array(a + one + lead), pa.array(b + lead), pa.array(sums.ravel()), pa.repeat(True, sums.size)], names=["a", "b", "value", "pair"])
+            f, b = (np.concatenate(x) for x in zip(*top))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(size) + lead, [len(x) for x, _ in top])), pa.array(b), pa.array(f), pa.repeat(False, len(f))], names=["a", "b", "value", "pair"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, value bigint, pair boolean")
 
 
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS, terms_held: int = TERMS) -> DataFrame:
@@ -173,46 +257,32 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, ranks: int = RANKS, ter
     scratch = Scratch(spark)
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
     common = scratch.keep(term_documents(docs).groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term"), "common")
-    terms = scratch.keep(common.select("term").distinct().withColumn("tid", F.monotonically_increasing_id()), "terms")
-    shares = max(1, -(-terms.count() // terms_held))
-    parts = []
-    for i in range(shares):
-        # of some ``terms_held`` terms: the driver never holds the whole vocabulary
-        held = terms.filter(F.pmod(F.xxhash64("term"), F.lit(shares)) == i).sort("tid").toPandas()
-        if len(held):
-            counted = occurrences(docs, held["tid"].to_numpy(), held["term"].tolist(), f"{scratch.paths[-1]}:{i}")
-            parts.append(scratch.keep(counted.groupBy("lang", "source", "tid").agg(F.sum("n").alias("c")), "counts"))
-    kept = common.join(terms, "term")
-    counts = parts[0] if parts else spark.createDataFrame([], "lang string, source string, tid bigint, c bigint")
-    for more in parts[1:]:
-        counts = counts.union(more)
-    postings = scratch.keep(counts.join(kept, ["lang", "tid"]), "postings")
-
-    sizes = kept.groupBy("lang").agg(F.count("*").alias("v"))
-    totals = postings.groupBy("lang", "source").agg(F.sum("c").alias("n"))
+    lists = scratch.keep(vocabulary(common, terms_held), "terms")
+    kept = lists.select(F.posexplode("terms").alias("place", "item"), "number").select((F.col("number") * PLACES + F.col("place")).alias("tid"), "item")
+    counts = spark.createDataFrame([], "lang string, source string, tid array<bigint>, n array<bigint>")
+    # as many as the vocabulary fills; the driver holds one share of it at a time
+    for run in sorted(r["run"] for r in lists.select("run").distinct().collect()):
+        share_of = lists.filter(F.col("run") == run).select("lang", "number", F.array_join("terms", " ").alias("terms")).collect()
+        counted = occurrences(docs, [(r["lang"], r["number"], r["terms"].encode()) for r in share_of], f"{scratch.paths[1]}:{run}")
+        counts = counts.union(scratch.keep(counted, "counts"))
+
+    sizes = lists.groupBy("lang").agg(F.sum(F.size("terms")).alias("v"))
+    total = F.aggregate("n", F.lit(0).cast("bigint"), lambda x, y: x + y)
+    totals = counts.groupBy("lang", "source").agg(F.sum(total).alias("n"), F.sum(F.size("tid")).alias("entries"))
+    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n", "v", "entries"])
+    gid = F.row_number().over(Window.orderBy("lang", "source")).cast("bigint") - 1
     by_lang = Window.partitionBy("lang")
-    groups = docs.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").fillna(0, ["n", "v"])
-    groups = groups.withColumn("s", F.row_number().over(by_lang.orderBy("source")).cast("bigint") - 1).withColumn("n_sources", F.count("*").over(by_lang)).withColumn("n_lang", F.sum("n").over(by_lang))
-    groups = scratch.keep(groups.withColumn("p0", share("0", "n", "v")), "groups")
-
-    known = postings.join(groups, ["lang", "source"])
-    in_lang = postings.groupBy("lang", "tid").agg(F.sum("c").alias("c_lang"))
-    used = known.join(in_lang, ["lang", "tid"]).select("lang", "source", F.col("term").alias("item"), share("c", "n", "v").alias("p"), share("c_lang", "n_lang", "v").alias("q")).filter("p > q")
-    used = used.select("lang", "source", F.lit("term").alias("part"), "item", excess("p", "q").alias("value"))
-
-    tiles, blocks = f"cast((n_sources - 1) div {TILE} as bigint)", f"v * least(n_sources, {TILE}L) div {CELLS} + 1"
-    both = F.expr(f"transform(sequence(0L, {tiles}), x -> struct(s div {TILE} as tile_g, x as tile_h))")
-    back = F.expr(f"transform(filter(sequence(0L, {tiles}), x -> x <> s div {TILE}), x -> struct(x as tile_g, s div {TILE} as tile_h))")
-    cell = [F.col("x.tile_g").alias("tile_g"), F.col("x.tile_h").alias("tile_h"), "block"]
-    spread = F.explode(F.concat(both, back)).alias("x")
-    cells = known.select("lang", "tid", "s", share("c", "n", "v").alias("p"), F.expr(f"pmod(xxhash64(tid), {blocks})").alias("block"), spread).select("lang", "tid", "s", "p", *cell)
-    heads = groups.filter("v > 0").select("lang", "s", "p0", F.explode(F.expr(f"sequence(0L, {blocks} - 1)")).alias("block"), "n_sources").select("lang", "s", "p0", "block", spread).select("lang", "s", "p0", *cell)
-    heads = heads.toDF(*heads.columns)  # columns of its own beside those of the cells
-    sums = pair_sums(cells, heads).groupBy("lang", "g", "h").agg(F.sum("part").alias("part"))
-    ends = groups.select("lang", "source", F.col("s").alias("g"), "v", "p0").join(groups.select("lang", F.col("source").alias("item"), F.col("s").alias("h"), F.col("p0").alias("q0")), "lang").filter("g <> h")
-    value = F.coalesce("part", F.lit(0)) + F.coalesce(F.col("v") * excess("p0", "q0"), F.lit(0))
-    pairs = ends.join(sums, ["lang", "g", "h"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", value.alias("value"))
-
-    best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    ranked = [pairs.withColumn("rank", F.row_number().over(best)), used.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= ranks)]
-    return ranked[0].union(ranked[1])
+    groups = scratch.keep(groups.withColumn("gid", gid).withColumn("first", F.min("gid").over(by_lang)).withColumn("n_lang", F.sum("n").over(by_lang)), "groups")
+    known = groups.sort("gid").select("first", "n", "v", "n_lang", "entries").toPandas()
+    tasks = max(partitions(spark), -(-int(known["entries"].sum()) // DEALT))
+    named = counts.join(groups.select("lang", "source", "gid"), ["lang", "source"])
+    dealt = named.select("gid", F.explode(F.arrays_zip("tid", "n")).alias("x")).select("gid", "x.tid", "x.n").repartition(tasks, "tid")
+    found = scratch.keep(compared(dealt, known, ranks), "found")
+
+    own = groups.select("lang", "source", F.col("gid").alias("a"))
+    other = groups.select("lang", F.col("source").alias("item"), F.col("gid").alias("b"))
+    sums = found.filter("pair").groupBy("a", "b").agg(F.sum("value").alias("value"))
+    pairs = own.join(other, "lang").filter("a <> b").join(sums, ["a", "b"], "left").select("lang", "source", F.lit("pair").alias("part"), "item", F.coalesce("value", F.lit(0)).cast("bigint").alias("value"))
+    terms = found.filter("NOT pair").join(kept, F.col("b") == F.col("tid")).join(own, "a").select("lang", "source", F.lit("term").alias("part"), "item", "value")
+    order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
+    return pairs.withColumn("rank", F.row_number().over(order)).union(terms.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= ranks))

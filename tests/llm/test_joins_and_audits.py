@@ -176,6 +176,7 @@ def frame(spark, texts):
 
 @pytest.mark.parametrize("docs, groups, together", [(4096, 1 << 18, 1 << 18), (3, 40, 100)])
 def test_alignment_is_that_of_the_libraries(spark, monkeypatch, docs, groups, together):
+    monkeypatch.setattr(alignment, "PIECES", 400_000 if docs > 3 else 30)
     monkeypatch.setattr(alignment, "DOCS", docs)
     monkeypatch.setattr(alignment, "GROUPS", groups)
     monkeypatch.setattr(alignment, "TOGETHER", together)
@@ -195,13 +196,14 @@ def test_alignment_of_nothing(spark):
 
 def test_overlaps_of_a_group():
     aligner = alignment.Aligner(A, B)
-    numbers = aligner.cut([" unaligned", " ", " a▁", " tokenization"])
-    assert numbers[2] is None and len(numbers[1]) == 1
-    groups = [aligner.texts[i] for i in numbers[0] + numbers[3]]
+    assert aligner.cut([" unaligned", " a▁"]) is None
+    numbers, sizes = aligner.cut([" unaligned", " ", " tokenization"])
+    groups = [aligner.texts[i] for i in numbers]
+    assert sizes.tolist() == [len(numbers) - 1 - sizes[2], 1, sizes[2]] and groups[sizes[0]].count("|") == 1
     assert all(aligner.n_a[aligner.numbers[g]] == g.split("|")[0].count(",") + 1 for g in groups)
     assert all(len(aligner.overlaps(g)) == g.count(",") + 1 for g in groups)
     linked = {x for g in groups for x in aligner.overlaps(g).tolist()}
-    assert {p for p, i in aligner.pairs.items() if i in aligner.pairs_of(np.unique(numbers[0] + numbers[3])).tolist()} == linked
+    assert {p for p, i in aligner.pairs.items() if i in aligner.pairs_of(np.unique(numbers)).tolist()} == linked
 
 
 # ---------------------------------------------------------------- divergence
@@ -253,13 +255,21 @@ def sample(n, sources):
 def test_divergence_is_that_of_all_terms_and_pairs(spark, monkeypatch, tile, terms_held, held):
     monkeypatch.setattr(divergence, "TILE", tile)
     monkeypatch.setattr(divergence, "HELD", held)
-    monkeypatch.setattr(divergence, "CELLS", 1 << 19 if tile > 2 else 8)
+    monkeypatch.setattr(divergence, "CELLS", 1 << 20 if tile > 2 else 8)
+    monkeypatch.setattr(divergence, "LIST", 1 << 13 if tile > 2 else 3)
     rows = sample(200, ["s1", "s2", "s3", "s4", "é", None]) + [("xx", "only", "rare words"), ("xx", "other", None), ("yy", "alone", "a a a"), ("yy", "alone", "a a"), ("yy", "alone", "A")]
     got = sorted(tuple(r) for r in divergence.divergence(speech(spark, rows), ranks=5, terms_held=terms_held).collect())
     assert got == brute_divergence(rows, 3, 5)
     assert ("xx", "only", "pair", "other", 0, 1) in got
 
 
+def test_shares_are_exact():
+    for whole in (1, 3, 10**9 + 7, 10**12 + 9, 10**15):
+        counts = np.asarray([c for c in (0, 1, 2, 7, 10**9, 10**12, 9 * 10**14, whole - 1) if c < whole])
+        got = divergence.share(counts, np.asarray(whole))
+        assert got.tolist() == [1 + 10**9 * (c + 1) // whole for c in counts.tolist()]
+
+
 def test_divergence_of_nothing(spark):
     assert divergence.divergence(speech(spark, [("en", "s", "a")]).limit(0)).count() == 0
     assert divergence.divergence(speech(spark, [(None, None, None)])).count() == 0
