@@ -64,26 +64,41 @@ class Chunks:
             return self.encode(text)
         out: list[bytes] = []
         tail: list[tuple[str, bytes]] = []  # runs whose end a join may still change
+        run: list[str] = []  # parts of a last run that goes on from chunk to chunk
         at = [*cuts(text), len(text)]
         for a, b in zip(at, at[1:]):
             if a == b:
                 continue
             first, between, last = self[text[a:b]]
+            if tail and len(first) == 1 and not last and not (first[0][0][0] == " " and not tail[-1][0][-1].isspace()):
+                # the run goes on: it is encoded when its end has come
+                run = run or [tail[-1][0]]
+                run.append(first[0][0])
+                tail = [*tail[:-1], (first[0][0], b"")]
+                continue
+            if run:
+                tail, run = [*tail[:-1], self.whole(run)], []
             tail = self.joined(out, tail, first) if tail else first
             if last:
                 out += [*(ids for _, ids in tail), between]
                 tail = last
+        if run:
+            tail = [*tail[:-1], self.whole(run)]
         return b"".join([*out, *(ids for _, ids in tail)])
 
+    def whole(self, parts: list[str]) -> tuple[str, bytes]:
+        run = "".join(parts)
+        return run, self.encode(run)
+
     def joined(self, out: list[bytes], tail: list, first: list) -> list:
         """Repair the join of two lists of runs.  What is settled is added to ``out``; the runs that
         the next join may change are returned."""
+        if first[0][0][0] == " " and not tail[-1][0][-1].isspace():  # where the tokenizer always cuts
+            out += [x for _, x in tail]
+            return first
         for k in range(1, len(first) + 1):
             left, right = tail[-k:], first[:k]
             ids = self.encode("".join(r for r, _ in (*left, *right)))
-            if k == 1 == len(first):  # the run goes on in the next chunk
-                out += [x for _, x in tail[:-1]]
-                return [(left[0][0] + right[0][0], ids)]
             if k == 1:  # both encodings stand as they are
                 agree = ids == left[0][1] + right[0][1]
             else:  # left of the first run, all is settled

@@ -51,6 +51,15 @@ def cut_rule(path: str) -> str:
     return "whole"
 
 
+def one_merge_each(path: str) -> bool:
+    """Whether each token of a file comes of one merge, of two tokens that come earlier."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    rank = {a + b: i for i, (a, b) in enumerate(pairs)}
+    return len(rank) == len(pairs) and not model.get("ignore_merges") and all(rank.get(x, -1) < i and (x in rank or len(x) == 1) for i, (a, b) in enumerate(pairs) for x in (a, b))
+
+
 def led_pieces(text: str) -> list[str]:
     """Pieces of a text, each with its leading white space; their concatenation is the text."""
     parts = text.split(" ")
@@ -92,6 +101,17 @@ class Pieces(dict):
         return found
 
 
+#: Characters above which a piece is encoded by parts, characters of a part, and tokens on either
+#: side of a seam that are encoded again together at first.
+LONG, PART, WINDOW = 1 << 13, 1 << 12, 8
+_DIGITS, _LETTERS = re.compile("[0-9]"), re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u02af\u0391-\u03a1\u03b1-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5\uac00-\ud7a3]")
+
+
+def _kind(c: str) -> str:
+    """Class of a character, empty for those whose class is left to the tokenizer."""
+    return "L" if _LETTERS.match(c) else "N" if _DIGITS.match(c) else "M" if c in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else ""
+
+
 #: A run of letters, with its leading space, and the ASCII punctuation after it.
 _WORD_MARKS = re.compile(r"( ?)([^\W\d_]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -107,12 +127,17 @@ class Ids:
         self.rule, self.tokenizer = cut_rule(path), load(path)
         self.model, self.normalizer = self.tokenizer.model, self.tokenizer.normalizer
         # letters and then marks never hold a string in which a letter follows a mark
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        added = self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.parted = self.rule != "whole" and all(re.search(r"[!-&(-/:-@\[-`{-~][^\W\d_]", t) for t in added)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         others = [b for b in range(256) if b not in set(plain)]
         # the byte-level alphabet: printable bytes as they are, others above them in order
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(others)}
+        back = {c: b for b, c in self.alphabet.items()}
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.sizes = {i: bytes(map(back.__getitem__, t)) for t, i in vocab.items() if all(c in back for c in t)}  # bytes of each id
+        # merges in the order of the ids that they make, one for each
+        self.ranked = self.rule == "led" and one_merge_each(path)
         # a word comes with many marks after it, and marks are few
         self.matches = Pieces(self.of_match, 200_000)
 
@@ -126,8 +151,63 @@ class Ids:
             first, line, rest = piece.partition("\n")
             if line and rest and rest[0] != " " and (one := self.word(first)) is not None and (two := self.word(rest)) is not None:
                 return one + (self.matched("\n") if self.rule == "led" else []) + two
+        if len(piece) > LONG and self.rule == "led" and self.ranked and not any(t in piece for t in self.added):
+            return self.by_parts(piece)
         return self.tokenizer.encode(piece, add_special_tokens=False).ids
 
+    def seams(self, piece: str) -> list[int]:
+        """Offsets that part a long piece: between two characters of known classes, with none beside
+        them that the splitting pattern sees together with what follows."""
+        out, at = [0], PART
+        while at < len(piece) - 2:
+            if all(map(_kind, piece[at - 2 : at + 2])):
+                out.append(at)
+                at += PART
+            else:
+                at += 1
+        return [*out, len(piece)]
+
+    def by_parts(self, piece: str) -> list[int]:
+        """Ids of a long piece.
+
+        Parts are encoded alone.  At each seam the last tokens before it and the first after it are
+        encoded again together, more of them until the outermost come out as they were.  Tokens in a
+        row are an encoding if every two neighbours are (Berglund and van der Merwe, 2023), and by
+        then each two neighbours stand in one of the encodings.
+        """
+        cuts = self.seams(piece)
+        out: list[int] = []
+        sizes, encode = self.sizes, lambda s: self.tokenizer.encode(s, add_special_tokens=False).ids
+        for a, b in zip(cuts, cuts[1:]):
+            part = piece[a:b]
+            ids = encode(part)
+            width = WINDOW
+            while out:
+                # whole characters before and after the seam, and the tokens that make them up
+                left, right = self.edge(out, width, False), self.edge(ids, width, True)
+                raw = b"".join(sizes[i] for i in (*out[len(out) - left :], *ids[:right]))
+                again = encode(raw.decode())
+                whole_left, whole_right = left == len(out), right == len(ids)
+                if (whole_left or again[0] == out[len(out) - left]) and (whole_right or again[-1] == ids[right - 1]):
+                    out[len(out) - left :] = again
+                    ids = ids[right:]
+                    break
+                width *= 2
+            out += ids
+        return out
+
+    def edge(self, ids: list[int], width: int, first: bool) -> int:
+        """How many of the first, or last, tokens to take: at least ``width``, up to where a
+        character begins."""
+        n = min(width, len(ids))
+        while n < len(ids):
+            # the byte where what is taken meets the rest begins a character
+            byte = self.sizes[ids[n]][0] if first else self.sizes[ids[len(ids) - n]][0]
+            if byte & 0xC0 != 0x80:
+                break
+            n += 1
+        return n
+
     def word(self, piece: str) -> list[int] | None:
         """Ids of a word with marks after it; None for all else."""
         found = _WORD_MARKS.fullmatch(piece)
