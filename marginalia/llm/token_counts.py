@@ -2,9 +2,12 @@
 
 Texts are cut into chunks of CHUNK bytes.  A chunk is summed up as a map from the state that the
 transducer is in before it to the state after it and the tokens counted between: up to its first
-reset (the beginning of a piece) the map depends on the state, from there on it is one number.  Such
-maps compose associatively, so the counts of a text come from a parallel prefix scan over its
-chunks.  What lies between resets runs side by side for a block of texts at a time.
+reset (the beginning of a piece) the map depends on the state, from there on it is one number.  What
+the bytes before the reset give from the first state is known beforehand; from another state the
+transducer soon comes to the same states, so a map is applied by a few steps.  Such maps compose
+associatively, so the counts of a text come from a parallel prefix scan over its chunks, of which
+the total needs the sweep upwards alone.  What lies between resets and cuts runs side by side for a
+block of texts at a time.
 """
 
 from __future__ import annotations
@@ -24,10 +27,11 @@ CHUNK = 1 << 14
 
 @dataclass(frozen=True)
 class ChunkMap:
-    """``head`` runs on from the state before; then, if the chunk has a reset, ``emitted`` tokens
-    follow and ``state`` is the last; otherwise the state after the head is."""
+    """``heads`` run on from the state before: runs of bytes, each with the tokens and the last state
+    that it gives from the first state.  Then, if the chunk has a reset, ``emitted`` tokens follow
+    and ``state`` is the last; otherwise the state after the heads is."""
 
-    head: bytes
+    heads: tuple[tuple[bytes, int, int], ...] = ()
     emitted: int = 0
     state: int = 0
     reset: bool = False
@@ -36,9 +40,16 @@ class ChunkMap:
 def compose(a: ChunkMap, b: ChunkMap, machine: Transducer) -> ChunkMap:
     """First ``a``, then ``b``."""
     if not a.reset:
-        return ChunkMap(a.head + b.head, b.emitted, b.state, b.reset)
-    added, state = machine.run(b.head, a.state)
-    return ChunkMap(a.head, a.emitted + added + b.emitted, b.state if b.reset else state, True)
+        return ChunkMap(a.heads + b.heads, b.emitted, b.state, b.reset)
+    added, state = machine.through(b.heads, a.state)
+    return ChunkMap(a.heads, a.emitted + added + b.emitted, b.state if b.reset else state, True)
+
+
+def scan_total(maps: list[ChunkMap], machine: Transducer) -> ChunkMap:
+    """The composition of all: neighbours are composed in log2(n) rounds whose steps are independent."""
+    while len(maps) > 1:
+        maps = [compose(*maps[i : i + 2], machine) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+    return maps[0]
 
 
 def prefix_scan(maps: list[ChunkMap], machine: Transducer) -> list[ChunkMap]:
@@ -71,20 +82,21 @@ def chunk_maps(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> lis
     first = np.cumsum(sizes) - sizes
     cuts = np.concatenate([np.arange(f, f + max(n, 1), chunk) for f, n in zip(first.tolist(), sizes.tolist())])
     chunks_of = -(-np.maximum(sizes, 1) // chunk)
-    # runs between resets and cuts; those that no reset begins are heads, left to the scan
+    # runs between resets and cuts; those that no reset begins are heads
     begin = reset.copy()
     begin[cuts[cuts < len(data)]] = True
     begins = np.flatnonzero(begin)
     lengths = np.diff(np.append(begins, len(data)))
     whole = reset[begins]
-    tokens, states = machine.lanes(data, begins[whole], lengths[whole])
-    edges = np.searchsorted(begins[whole], np.append(cuts, len(data)))
-    summed = np.concatenate([[0], np.cumsum(tokens)])
+    tokens, states = machine.lanes(data, begins, lengths)
+    edges = np.searchsorted(begins, np.append(cuts, len(data)))
+    summed = np.concatenate([[0], np.cumsum(np.where(whole, tokens, 0))])
     maps = []
     for c, (i, j) in zip(cuts.tolist(), zip(edges.tolist(), edges[1:].tolist())):
-        k = int(np.searchsorted(begins, c))
-        head = b"" if k >= len(begins) or whole[k] else data[c : c + int(lengths[k])].tobytes()
-        maps.append(ChunkMap(head, int(summed[j] - summed[i]), int(states[j - 1]) if j > i else 0, j > i))
+        is_head = i < j and not whole[i]
+        heads = ((data[c : c + int(lengths[i])].tobytes(), int(tokens[i]), int(states[i])),) if is_head else ()
+        reset = j - i > is_head
+        maps.append(ChunkMap(heads, int(summed[j] - summed[i]), int(states[j - 1]) if reset else 0, reset))
     ends = np.cumsum(chunks_of)
     return [maps[b - n : b] for b, n in zip(ends.tolist(), chunks_of.tolist())]
 
@@ -110,7 +122,7 @@ def counts(texts: list[str], machine: Transducer, chunk: int = CHUNK) -> list[in
             size += len(parts[end])
             end += 1
         for i, maps in zip(owner[at:end], chunk_maps(parts[at:end], machine, chunk)):
-            total[i] += prefix_scan(maps, machine)[-1].emitted
+            total[i] += scan_total(maps, machine).emitted
         at = end
     return total
 

@@ -24,8 +24,8 @@ import numpy as np
 from marginalia.llm.spans import cut_rule, load
 
 LETTER, NUMBER, OTHER, BLANK, SPACE = range(5)
-#: States above which the tables are built anew; bytes that are run side by side.
-STATES, BLOCK = 1 << 17, 1 << 20
+#: States above which the tables are built anew (of 1.5 KB each); bytes that are run side by side.
+STATES, BLOCK = 120_000, 1 << 20
 _ENDINGS = re.compile(r"'(?:s|t|re|ve|m|ll|d)")
 
 
@@ -156,7 +156,7 @@ class Transducer:
 
     def clear(self) -> None:
         self.states, self.numbers = [((0, -1, 0),)], {((0, -1, 0),): 0}
-        self.next, self.adds = np.full((1 << 12, 256), -1, np.int32), np.zeros((1 << 12, 256), np.int8)
+        self.next, self.adds = np.full((1 << 12, 256), -1, np.int32), np.zeros((1 << 12, 256), np.int16)
         self.seams.clear()
 
     def step(self, state: int, byte: int) -> None:
@@ -173,14 +173,37 @@ class Transducer:
                 self.adds = np.concatenate([self.adds, np.zeros_like(self.adds)])
         self.next[state, byte], self.adds[state, byte] = number, adds
 
-    def run(self, data: bytes, state: int) -> tuple[int, int]:
-        """Tokens added and the state reached on bytes without a reset."""
+    def compact(self, state: np.ndarray) -> np.ndarray:
+        """Drop all states but these; what they are called then."""
+        held, at = np.unique(state, return_inverse=True)
+        kept = [self.states[i] for i in held.tolist()]
+        self.clear()
+        for k in kept:
+            if k not in self.numbers:
+                self.numbers[k] = len(self.states)
+                self.states.append(k)
+        while len(self.states) > len(self.next):
+            self.next, self.adds = np.concatenate([self.next, np.full_like(self.next, -1)]), np.concatenate([self.adds, np.zeros_like(self.adds)])
+        return np.asarray([self.numbers[k] for k in kept], np.int64)[at]
+
+    def through(self, heads, state: int) -> tuple[int, int]:
+        """Tokens added and the state reached on runs of bytes (bytes, tokens and last state from the
+        first state).  A run is followed until it comes to where it would be from the first state."""
         total = 0
-        for b in data:
-            if self.next[state, b] < 0:
-                self.step(state, b)
-            total += int(self.adds[state, b])
-            state = int(self.next[state, b])
+        for data, tokens, last in heads:
+            other = 0
+            for b in data:
+                if state == other:
+                    break
+                if self.next[state, b] < 0:
+                    self.step(state, b)
+                if self.next[other, b] < 0:
+                    self.step(other, b)
+                total += int(self.adds[state, b])
+                tokens -= int(self.adds[other, b])
+                state, other = int(self.next[state, b]), int(self.next[other, b])
+            if state == other:
+                total, state = total + tokens, last
         return total, state
 
     def lanes(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,6 +213,8 @@ class Transducer:
         state, total = np.zeros(len(order), np.int64), np.zeros(len(order), np.int64)
         live = np.searchsorted(-left, -np.arange(1, int(left[0]) + 1 if len(left) else 1), "right")
         for k, n in enumerate(live.tolist()):
+            if len(self.states) > STATES:
+                state = self.compact(state)
             s, b = state[:n], data[at[:n] + k]
             to = self.next[s, b]
             if (to < 0).any():

@@ -57,6 +57,7 @@ def test_prefixes_of_chunk_maps():
         for m, s in zip(maps[1:], scanned[1:]):
             folded = token_counts.compose(folded, m, machine)
             assert folded == s
+        assert folded == token_counts.scan_total(maps, machine)
         assert folded.emitted == token_counts.counts([x], machine)[0]
 
 
@@ -70,6 +71,48 @@ def test_tables_of_the_transducer_are_bounded(monkeypatch):
         assert len(machine.states) < 1000
 
 
+def unbroken(kind, n):
+    """Texts without spaces."""
+    rng = random.Random(1)
+    if kind == "cjk":
+        return "".join(chr(rng.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    if kind == "base64":
+        import base64
+
+        return base64.b64encode(rng.randbytes(n * 3 // 4)).decode()
+    if kind == "letters":
+        return "".join(rng.choice("etaoinshr") for _ in range(n))
+    return "a" * n if kind == "one" else "".join(rng.choice(["日", "é", "a", "B", "1", "!", "'", "\n", "'s", "…", "²"]) for _ in range(n))
+
+
+@pytest.mark.parametrize("kind", ["cjk", "base64", "letters", "one", "mixed"])
+def test_long_texts_without_spaces_take_time_in_proportion(kind):
+    import time
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer, machine, chunks = spans.load(path), transducer.Transducer(path), bpe.Chunks(path)
+    took = []
+    for n in (60_000, 600_000):
+        x = unbroken(kind, n)
+        want = tokenizer.encode(x, add_special_tokens=False).ids
+        start = time.process_time()
+        assert np.frombuffer(chunks.ids(x), "<u4").tolist() == want
+        middle = time.process_time()
+        assert token_counts.counts([x], machine) == [len(want)]
+        took.append((middle - start, time.process_time() - middle))
+    # ten times the text takes ten times as long, and some more for what is measured in fractions
+    assert all(large < 25 * max(small, 0.08) for small, large in zip(*took)), took
+
+
+def test_states_are_bounded_within_a_text(monkeypatch):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(transducer, "STATES", 300)
+    machine, rng = transducer.Transducer(path), random.Random(6)
+    x = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(9)) for _ in range(3000)) + unbroken("cjk", 40_000)
+    assert token_counts.counts([x], machine, 512) == [len(machine.tokenizer.encode(x).ids)]
+    assert len(machine.states) < 20_000 and machine.adds.dtype == np.int16
+
+
 def test_tokenizers_without_a_transducer_are_asked():
     path = public_tokenizers.path("word_bpe_49k.json")
     machine = transducer.Transducer(path)
