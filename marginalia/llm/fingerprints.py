@@ -6,6 +6,8 @@ that Spark itself ships, called through ``reflect``.
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +20,15 @@ RANGES = 4
 _SPACE = r"[\s\p{Z}\u0085﻿]+"
 
 
+def _composed(text: Column) -> Column:
+    return F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(True))
+
+
 def canonical(text: Column) -> Column:
-    """NFKC, lower case, runs of white space as one space, none at the ends; null as empty."""
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), F.coalesce(text, F.lit("")), F.lit(True))
-    return F.trim(F.regexp_replace(F.lower(composed), _SPACE, " "))
+    """NFKC, case folding (which makes one of ß and ss, and of both small sigmas), NFKC again as
+    folding may undo it, runs of white space as one space, none at the ends; null as empty."""
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _composed(F.coalesce(text, F.lit(""))), F.lit(True))
+    return F.trim(F.regexp_replace(_composed(folded), _SPACE, " "))
 
 
 def digests(canon: Column) -> tuple[Column, Column]:
@@ -53,6 +60,19 @@ def _small(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+def _below(cuts: list[int], key: Column) -> Column:
+    """How many of some sorted numbers are below a key: first by groups, then within one, so a row
+    looks at as many as twice their root."""
+    if not cuts:
+        return F.lit(0)
+    step = isqrt(len(cuts)) + 1
+    groups = [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    longs = lambda some: F.array(*(F.lit(c).cast("bigint") for c in some))
+    full = F.size(F.filter(longs([g[-1] for g in groups]), lambda c: c < key))
+    within = F.coalesce(F.size(F.filter(F.get(F.array(*map(longs, groups)), full), lambda c: c < key)), F.lit(0))
+    return full * step + F.greatest(within, F.lit(0))
+
+
 def _with_next(rows: DataFrame) -> DataFrame:
     """``rows`` (key, text, d1, d2, s) with the text and digests of the next row in descending key
     order, after the last the first; rows of one key in the order of their digests.
@@ -64,8 +84,7 @@ def _with_next(rows: DataFrame) -> DataFrame:
     # a few numbers for each range come to the driver, no rows
     cuts = rows.select(F.percentile_approx("key", [i / ranges for i in range(1, ranges)] or [0.5], 10000)).first()[0]
     cuts = sorted({int(c) for c in cuts or []})
-    bounds = F.array(*(F.lit(c).cast("bigint") for c in cuts)) if cuts else F.array().cast("array<bigint>")
-    placed = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(F.size(F.filter(bounds, lambda c: c < F.col("key")))))
+    placed = rows.withColumn("range", F.when(F.col("key").isNull(), F.lit(-1)).otherwise(_below(cuts, F.col("key"))))
     heads = sorted(placed.groupBy("range").agg(F.max("key").alias("key")).collect())
     # the first row of a range also closes the range above it; that of the highest closes the lowest
     closes = [(low["key"], high["range"]) for low, high in zip(heads, [*heads[1:], *heads[:1]])]

@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from marginalia.llm import bpe, components, exact_dedup, fingerprints, line_dedup, near_dedup, packing, quality, simhash, spans, suffix_dedup, token_counts, token_files, transducer
@@ -280,6 +281,21 @@ def test_fingerprints(spark):
     assert sorted(r["n_chars"] for r in rows) == [0, 1, 1, 1, 50_000] and len({r["fingerprint"] for r in rows}) == 4
 
 
+def test_cases_fold_and_ranges_follow_keys(spark):
+    import unicodedata
+
+    texts = ["Straße", "STRASSE", "strasse", "ΟΔΟΣ", "οδος", "οδοσ", "ﬁne İ", "Ǆ ǆ ǅ", "\u03d3", "K k", "Café"]
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.document_fingerprints(docs(spark, texts)).collect()}
+    plain = [unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()) for t in texts]
+    for i, a in enumerate(plain):
+        assert all((got[i * 7] == got[j * 7]) == (a == b) for j, b in enumerate(plain))
+    for n in (0, 1, 2, 7, 50):
+        cuts = [3 * i for i in range(n)]
+        keys = spark.range(-2, 3 * n + 2).select("id", fingerprints._below(cuts, F.col("id")).alias("r")).orderBy("id").collect()
+        steps = [(a["id"], a["r"] != b["r"]) for a, b in zip(keys, keys[1:])]
+        assert [i for i, new in steps if new] == cuts and [r["r"] for r in keys] == sorted(r["r"] for r in keys)
+
+
 def test_texts_of_one_digest_are_told_apart(spark, monkeypatch):
     from pyspark.sql import functions as F
 
