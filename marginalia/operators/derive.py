@@ -15,9 +15,9 @@ from marginalia.functions import json as J
 from marginalia.functions.text import clip, normalize
 from marginalia.functions.udf import arrow
 from marginalia.operators.outline import section_labels
+from marginalia.operators.prompts import MAX_TOKENS
 
-# Output tokens of each kind of derivation, and of a corpus prompt.
-MAX_TOKENS = {"EXPLAIN": 1024, "SIMPLIFY": 1024, "SALIENCE": 4096, "EXTRACT": 2048, "SUMMARIZE": 2048, "SYNTHESIS": 8192}
+# Fixed value: characters of a corpus prompt.
 CORPUS_CHARS = 480_000
 
 PROMPTS = {
@@ -32,15 +32,15 @@ PROMPTS = {
 
 
 class Model(Protocol):
-    """What answers prompts; runs on the workers, a batch at a time."""
+    """What answers prompts in so many tokens at most; runs on the workers, a batch at a time."""
 
-    def __call__(self, prompts: list[str]) -> list[str]: ...
+    def __call__(self, prompts: list[str], tokens: int) -> list[str]: ...
 
 
 class Stub:
     """A model with fixed answers: salient spans for SALIENCE prompts, prose for others."""
 
-    def __call__(self, prompts: list[str]) -> list[str]:
+    def __call__(self, prompts: list[str], tokens: int) -> list[str]:
         import re
 
         out = []
@@ -74,7 +74,7 @@ def prompts(prefixes: DataFrame, kind: str) -> DataFrame:
     return prefixes.withColumn("prompt", F.concat(F.col("prefix"), F.lit("\n\n" + PROMPTS[kind])))
 
 
-def asked(rows: DataFrame, model: Model, parse: str, rules) -> DataFrame:
+def asked(rows: DataFrame, model: Model, parse: str, rules, tokens: int) -> DataFrame:
     """Rows (with prompt) and the model's checked answers: answer, parsed, issues, ok, attempts.
 
     An answer that is no JSON of the type or breaks a rule is asked for once more with what was
@@ -83,7 +83,7 @@ def asked(rows: DataFrame, model: Model, parse: str, rules) -> DataFrame:
 
     @arrow("string")
     def ask(texts: pd.Series) -> pd.Series:
-        return pd.Series(model(texts.tolist()), dtype=object)
+        return pd.Series(model(texts.tolist(), tokens), dtype=object)
 
     def answered(df, attempt):
         out = df.withColumn("answer", ask("prompt")).withColumn("parsed", F.from_json(J.extract_json(F.col("answer")), parse))
@@ -99,7 +99,7 @@ def salience(documents: DataFrame, blocks: DataFrame, model: Model) -> DataFrame
     """Salient spans of documents with quotes and context: document_id, block_id, start, end,
     quoted, prefix, suffix; spans that are blank in their block are dropped."""
     rows = prompts(document_prefix(documents, blocks), "SALIENCE").select("id", "prompt")
-    ok = asked(rows, model, J.SPANS, J.span_rules).filter("ok")
+    ok = asked(rows, model, J.SPANS, J.span_rules, MAX_TOKENS["SALIENCE"]).filter("ok")
     spans = ok.select(F.col("id").alias("document_id"), F.explode("parsed.spans").alias("s")).select("document_id", F.col("s.blockId").alias("block_id"), F.col("s.start").alias("a"), F.col("s.end").alias("b"))
     texts = blocks.select(F.col("id").alias("block_id"), "document_id", "text")
     found = spans.join(texts, ["document_id", "block_id"]).withColumn("r", J.resolve_span(F.col("text"), F.col("a"), F.col("b"))).filter("r IS NOT NULL")
@@ -110,7 +110,7 @@ def glossary(documents: DataFrame, blocks: DataFrame, model: Model) -> DataFrame
     """Terms of documents with the blocks that hold them: document_id, term, definition, block_ids;
     ids that are none of the document's are left out."""
     rows = prompts(document_prefix(documents, blocks), "GLOSSARY").select("id", "prompt")
-    ok = asked(rows, model, J.TERMS, J.term_rules).filter("ok")
+    ok = asked(rows, model, J.TERMS, J.term_rules, MAX_TOKENS["SYNTHESIS"]).filter("ok")
     terms = ok.select(F.col("id").alias("document_id"), F.posexplode("parsed.terms").alias("n", "t"))
     named = terms.select("document_id", "n", F.explode_outer("t.blockIds").alias("block_id"))
     known = named.join(blocks.select(F.col("id").alias("block_id"), "document_id"), ["document_id", "block_id"], "left_semi")

@@ -14,13 +14,21 @@ QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
 
-def query(sql: str):
-    def add(f):
-        _query(sql)(f)
-        QUERIES[f.__name__], SQL[f.__name__] = _ALL.pop(f.__name__), _ALL_SQL.pop(f.__name__)
-        return f
+def gathered(queries: dict, statements: dict):
+    """A decorator as that of the other changes, for queries that are gathered elsewhere."""
 
-    return add
+    def query(sql: str):
+        def add(f):
+            _query(sql)(f)
+            queries[f.__name__], statements[f.__name__] = _ALL.pop(f.__name__), _ALL_SQL.pop(f.__name__)
+            return f
+
+        return add
+
+    return query
+
+
+query = gathered(QUERIES, SQL)
 
 
 # seq, type, place of the block, quote, text, color, comment, title, kind, style
