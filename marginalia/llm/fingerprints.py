@@ -26,9 +26,12 @@ def _composed(text: Column) -> Column:
 
 def canonical(text: Column) -> Column:
     """NFKC, case folding (which makes one of ß and ss, and of both small sigmas), NFKC again as
-    folding may undo it, runs of white space as one space, none at the ends; null as empty."""
-    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _composed(F.coalesce(text, F.lit(""))), F.lit(True))
-    return F.trim(F.regexp_replace(_composed(folded), _SPACE, " "))
+    folding may undo it, runs of white space as one space, none at the ends; null as empty.  Of
+    ASCII all this is small letters."""
+    plain = F.coalesce(text, F.lit(""))
+    folded = F.reflect(F.lit("com.ibm.icu.lang.UCharacter"), F.lit("foldCase"), _composed(plain), F.lit(True))
+    small = F.when(F.octet_length(plain) == F.char_length(plain), F.lower(plain)).otherwise(_composed(folded))
+    return F.trim(F.regexp_replace(small, _SPACE, " "))
 
 
 def digests(canon: Column) -> tuple[Column, Column]:
