@@ -114,9 +114,9 @@ def plan_outcomes(spark, sf_dir):
 
 
 @query(f"""
-    WITH q AS ({_PLANNED}), w AS (SELECT plan, seq, type, CASE WHEN seq IN (0, 2) THEN plan % 25 || ':annotations' ELSE 'plan:' || plan || ':' || CASE seq WHEN 7 THEN 7 ELSE 8 END END AS section_id,
-        CASE seq WHEN 0 THEN 'the' WHEN 2 THEN 'Look' WHEN 7 THEN 'Noted' ELSE 'Noted again' END AS content, CASE WHEN seq = 0 THEN 'clay' END AS color, 'ACCEPTED' AS status, CASE WHEN seq IN (7, 9) THEN 'SYNTHESIS' END AS derivation_type
-        FROM q WHERE seq IN (0, 2, 7, 9) AND (reason IS NULL OR type = 'add_note'))
+    WITH q AS ({_PLANNED}), c AS ({_CARRIED}), w AS (SELECT plan, seq, type, CASE WHEN seq IN (0, 2, 12) THEN plan % 25 || ':annotations' ELSE 'plan:' || plan || ':' || CASE seq WHEN 7 THEN 7 ELSE 8 END END AS section_id,
+        CASE seq WHEN 0 THEN 'the' WHEN 2 THEN 'Look' WHEN 7 THEN 'Noted' WHEN 12 THEN left(regexp_replace('Zz9 ' || c.text, '\\s+$', ''), 5000) ELSE 'Noted again' END AS content, CASE WHEN seq IN (0, 12) THEN 'clay' END AS color, 'ACCEPTED' AS status, CASE WHEN seq IN (7, 9) THEN 'SYNTHESIS' END AS derivation_type
+        FROM q JOIN c ON c.document_id = q.plan WHERE (seq IN (0, 2, 7, 9) OR seq = 12 AND whole) AND (reason IS NULL OR type = 'add_note'))
     SELECT 'plan:' || plan || ':' || seq AS id, section_id, content, color, status, derivation_type, row_number() OVER (PARTITION BY section_id ORDER BY plan, seq) - 1 AS ord FROM w
 """)
 def planned_notes(spark, sf_dir):
@@ -137,7 +137,7 @@ def planned_blocks(spark, sf_dir):
     WITH c AS ({_CARRIED}), a AS (SELECT id, document_id, ord, CAST(document_id % 7 AS INT) AS s, substring(text, document_id % 7 + 1, 40) AS q FROM {{blocks}} b1 WHERE length(text) >= 47),
     t AS (SELECT *, s + length(q) - length(regexp_replace(q, '^\\s+', '')) AS ts, s + length(regexp_replace(q, '\\s+$', '')) AS te FROM a WHERE trim(q) <> ''),
     q AS ({_PLANNED}),
-    n AS (SELECT 'plan:' || plan || ':' || seq AS id, CASE WHEN type = 'link' THEN 'from' ELSE 'source' END AS role, plan AS document_id, CASE WHEN seq IN (0, 2) THEN 0 ELSE 2 END AS ord, pos FROM q WHERE seq IN (0, 2, 7, 10) AND reason IS NULL),
+    n AS (SELECT 'plan:' || plan || ':' || seq AS id, CASE WHEN type = 'link' THEN 'from' ELSE 'source' END AS role, plan AS document_id, CASE WHEN seq IN (0, 2, 12) THEN 0 ELSE 2 END AS ord, pos FROM q JOIN c ON c.document_id = plan WHERE (seq IN (0, 2, 7, 10) OR seq = 12 AND whole) AND reason IS NULL),
     every AS (SELECT t.id, 'source' AS role, t.document_id, t.ord, CASE WHEN t.ord = 0 THEN ts ELSE s END AS s, CASE WHEN t.ord = 0 THEN te ELSE s + 40 END AS e FROM t UNION ALL SELECT id, role, document_id, ord, pos, pos + 3 FROM n)
     SELECT x.id, role, CASE WHEN ord = 0 AND whole THEN 0 WHEN ord = 0 THEN s + 4 ELSE s END AS start, CASE WHEN ord = 0 AND whole THEN length(regexp_replace('Zz9 ' || c.text, '\\s+$', '')) WHEN ord = 0 THEN e + 4 ELSE e END AS "end", ord = 1 AS orphaned FROM every x JOIN c ON c.document_id = x.document_id
 """)
