@@ -24,6 +24,8 @@ BUCKETS, DIM = 1 << 17, 16
 GRAMS = (3, 4)
 #: Labelled rows that are learned from at most, those of least hash of their key.
 MAX_ROWS, EPOCHS, BATCH, RATE = 3000, 12, 32, 2.0
+#: Words of each of two generations that a worker holds: it keeps the memory after the stage.
+WORDS = 200_000
 
 
 def features(word: str) -> np.ndarray:
@@ -111,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(picked), "key")
 
     def bags(batches):
-        words = Pieces(features, 200_000)
+        words = Pieces(features, WORDS // 4)
         for b in batches:
             out = [bag(t or "", words) for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([i.tobytes() for i, _ in out], pa.binary()), pa.array([s.tobytes() for _, s in out], pa.binary())], names=["key", "label", "ids", "share"])
@@ -141,7 +143,7 @@ def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             f = features(w)
             return complex(shares[f].sum(), len(f))  # its share and its number of features
 
-        words = Pieces(give, 1_000_000)
+        words = Pieces(give, WORDS)
         for batch in texts:
             out = np.zeros(len(batch))
             for i, t in enumerate(batch):
