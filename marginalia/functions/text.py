@@ -28,9 +28,13 @@ def trim_ws(text: Column) -> Column:
     return F.regexp_replace(text, f"^{WS}+|{WS}+$", "")
 
 
+#: White space other than the space itself.
+_OTHER = WS.replace("\\r ", "\\r")
+
+
 def normalize(text: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return trim_ws(F.regexp_replace(text, f"{WS}+", " "))
+    """Runs of white space as one space, none at the ends; a single space is not touched."""
+    return F.trim(F.regexp_replace(text, f" {WS}+|{_OTHER}{WS}*", " "))
 
 
 def is_blank(text: Column) -> Column:

@@ -19,18 +19,26 @@ from marginalia.functions.grams import winnowed
 TIERS = ((8, 9), (4, 1), (1, 1))
 
 
-def grams(rows: DataFrame, text: str, q: int, w: int) -> DataFrame:
-    """``rows`` without their text, once for each gram that is kept of it."""
-    others = [c for c in rows.columns if c != text]
+def grams(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` without their text and tiers, once for each tier in tiers and gram that is kept."""
+    others = [c for c in rows.columns if c not in (text, "tiers")]
 
     def run(batches):
         for b in batches:
-            kept = [winnowed(t, q, w) for t in b.column(text).to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(kept)), [len(k) for k in kept]))
-            yield pa.RecordBatch.from_arrays([*(b.column(c).take(at) for c in others), pa.array(np.concatenate([np.zeros(0, np.int64), *kept]))], names=[*others, "gram"])
+            at, tiers, kept = [], [], []
+            for n, (t, asked) in enumerate(zip(b.column(text).to_pylist(), b.column("tiers").to_pylist())):
+                for tier in asked:
+                    kept.append(winnowed(t, *TIERS[tier]))
+                    at.append(n)
+                    tiers.append(tier)
+            ends = np.cumsum([0, *map(len, kept)])
+            found = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *kept])))
+            place = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(place) for c in others), pa.array(tiers, pa.int32()), found], names=[*others, "tier", "grams"])
 
     schema = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in others)
-    return rows.mapInArrow(run, f"{schema}, gram bigint")
+    kept = rows.mapInArrow(run, f"{schema}, tier int, grams array<bigint>")
+    return kept.select(*others, "tier", F.explode("grams").alias("gram"))
 
 
 def holders(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -39,21 +47,20 @@ def holders(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     ``quotes`` has document_id and quote, which may repeat; ``blocks`` id, document_id, ord, text.
     Nulls and empty quotes are held by none.
     """
-    wanted = quotes.filter("quote <> ''").select("document_id", "quote").distinct()
-    found, above = None, None
-    for q, w in TIERS:
-        least = q + w - 1
-        n = F.char_length("quote")
-        own = wanted.filter((n >= least) if above is None else (n >= least) & (n < above))
-        above = least
-        here = blocks.filter("text IS NOT NULL").select("document_id", "id", "text").join(own.select("document_id").distinct(), "document_id", "left_semi")
-        asked = grams(own.withColumn("copy", F.col("quote")), "copy", q, w)
-        held = grams(here, "text", q, w).join(asked.select("document_id", "gram").distinct(), ["document_id", "gram"], "left_semi")
-        counts = held.groupBy("document_id", "gram").agg(F.count("*").alias("n"))
-        # a quote with a gram that no block holds is held by none
-        rarest = asked.join(counts, ["document_id", "gram"], "left").groupBy("document_id", "quote").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unheard")).filter("unheard = 0").drop("unheard")
-        may = rarest.join(held, ["document_id", "gram"]).select("document_id", "quote", "id")
-        found = may if found is None else found.union(may)
+    n, tier = F.char_length("quote"), F.lit(len(TIERS) - 1)
+    for i in range(len(TIERS) - 2, -1, -1):
+        tier = F.when(n >= sum(TIERS[i]) - 1, i).otherwise(tier)
+    wanted = quotes.filter("quote <> ''").select("document_id", "quote").distinct().withColumn("tier", tier)
+    asked = grams(wanted.select("document_id", "quote", F.col("quote").alias("copy"), F.array("tier").alias("tiers")), "copy")
+    # a document's blocks are cut into the grams of the tiers that its quotes are of
+    of = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("tiers"))
+    here = blocks.filter("text IS NOT NULL").select("document_id", "id", "text").join(of, "document_id")
+    key = ["document_id", "tier", "gram"]
+    held = grams(here, "text").join(asked.select(*key).distinct(), key, "left_semi")
+    counts = held.groupBy(*key).agg(F.count("*").alias("n"))
+    # a quote with a gram that no block holds is held by none
+    rarest = asked.join(counts, key, "left").groupBy("document_id", "quote", "tier").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unheard")).filter("unheard = 0").drop("unheard")
+    may = rarest.join(held, key).select("document_id", "quote", "id")
     texts = blocks.select("id", F.col("document_id").alias("d"), "ord", "text")
-    tested = found.join(texts, "id").filter((F.col("document_id") == F.col("d")) & F.contains("text", "quote"))
+    tested = may.join(texts, "id").filter((F.col("document_id") == F.col("d")) & F.contains("text", "quote"))
     return tested.select("document_id", "quote", "id", "ord")
