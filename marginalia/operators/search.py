@@ -120,19 +120,19 @@ def vectors(text: pd.Series) -> pd.Series:
     return pd.Series([[{"lexeme": w, "at": at} for w, at in L.vector(t).items()] for t in text])
 
 
-def ranked(notes: DataFrame, query: str, k: int | None = K, text: str = "content") -> DataFrame:
+def ranked(notes: DataFrame, query: str, k: int | None = K, text: str = "content", forms: dict[str, str] | None = None) -> DataFrame:
     """The k notes that match a query best, with their similarity; all without k.  Ties by id.
 
     See ``lexemes.parsed`` for queries and ``lexemes.rank`` for similarity; a query of which nothing
-    is left matches nothing.
+    is left matches nothing.  ``forms`` takes the place of the stemmer (``lexemes.lexeme``).
     """
-    terms = L.parsed(query)
+    terms = L.parsed(query, forms)
     if not terms:
         return notes.withColumn("similarity", F.lit(0.0)).limit(0)
 
     @F.pandas_udf("double")
     def similar(texts: pd.Series) -> pd.Series:
-        found = map(L.vector, texts)
+        found = (L.vector(t, forms) for t in texts)
         return pd.Series([L.rank(terms, v) if L.holds(terms, v) else None for v in found], dtype="float64")
 
     hits = notes.withColumn("similarity", similar(F.col(text))).filter("similarity IS NOT NULL AND NOT isnan(similarity)")
