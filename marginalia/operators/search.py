@@ -16,8 +16,9 @@ from marginalia.functions.udf import arrow
 from marginalia.functions.vectors import cosine_similarity
 
 K = 12
-#: Questions of one pass over the notes: what the driver and every task hold of them at once.
-QUESTIONS = 4096
+#: Questions of one pass over the notes: what the driver and every task hold of them at once; and
+#: notes that are compared with them at a time.
+QUESTIONS, NOTES = 4096, 256
 
 
 def nearest(notes: DataFrame, vector: list[float], k: int = K) -> DataFrame:
@@ -54,15 +55,17 @@ def _best(keys: list, vectors: np.ndarray, k: int, kind: str):
             if not rows:
                 continue
             ids = [i for i, _ in rows]
-            similar = _unit([v for _, v in rows]) @ vectors.T
-            for n, q in zip(*np.nonzero(similar >= least)):
-                entry = (float(similar[n, q]), _Falling(ids[n]))
-                if len(held[q]) < k:
-                    heapq.heappush(held[q], entry)
-                elif held[q][0] < entry:
-                    heapq.heapreplace(held[q], entry)
-                if len(held[q]) == k:
-                    least[q] = held[q][0][0]
+            unit = _unit([v for _, v in rows])
+            for at in range(0, len(rows), NOTES):
+                similar = unit[at : at + NOTES] @ vectors.T
+                for n, q in zip(*np.nonzero(similar >= least)):
+                    entry = (float(similar[n, q]), _Falling(ids[at + n]))
+                    if len(held[q]) < k:
+                        heapq.heappush(held[q], entry)
+                    elif held[q][0] < entry:
+                        heapq.heapreplace(held[q], entry)
+                    if len(held[q]) == k:
+                        least[q] = held[q][0][0]
         out = [(n, e[1].value, e[0]) for n, h in enumerate(held) for e in h]
         if out:
             n, ids, similar = zip(*out)
