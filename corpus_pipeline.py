@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from marginalia.llm import exact_dedup, near_dedup, packing, quality, suffix_dedup
 from marginalia.llm.common import materialize, table
+from marginalia.session import few_rows
 
 #: Words of a passage that may stand only once, however short or long they are.
 PASSAGE = 51
@@ -18,12 +19,14 @@ PASSAGE = 51
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for quality is 0.5 or more."""
+    few_rows(spark)  # workers keep what they held, and the stages after this one need room
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).filter("score >= 0.5").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the one with the largest doc_id."""
+    few_rows(spark, False)
     return exact_dedup.exact_dedup(docs)
 
 

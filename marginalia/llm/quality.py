@@ -25,7 +25,7 @@ GRAMS = (3, 4)
 #: Labelled rows that are learned from at most, those of least hash of their key.
 MAX_ROWS, EPOCHS, BATCH, RATE = 3000, 12, 32, 2.0
 #: Words of each of two generations that a worker holds: it keeps the memory after the stage.
-WORDS = 200_000
+WORDS = 100_000
 
 
 def features(word: str) -> np.ndarray:
