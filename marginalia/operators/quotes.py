@@ -2,14 +2,15 @@
 
 Quotes and blocks meet on (document, gram), and of a quote's grams only the one that the fewest
 blocks of its document hold is looked up; what comes of that is tested by containment.  So a quote
-meets the blocks that hold it, and few others, however many blocks the document has.
+meets the blocks that hold it, and few others, however many blocks the document has.  Blocks know the
+grams that the quotes of their document have, unless these are very many, and hand on no others.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions.grams import winnowed
@@ -17,18 +18,26 @@ from marginalia.functions.grams import winnowed
 #: Characters of a gram and grams of which one is kept, for quotes of at least their sum less one;
 #: the first that a quote is long enough for.
 TIERS = ((8, 9), (4, 1), (1, 1))
+#: Grams of a document's quotes that go to each of its blocks; of more, none go, and the blocks hand
+#: on all that they have.
+KNOWN = 4096
 
 
 def grams(rows: DataFrame, text: str) -> DataFrame:
-    """``rows`` without their text and tiers, once for each tier in tiers and gram that is kept."""
-    others = [c for c in rows.columns if c not in (text, "tiers")]
+    """``rows`` without their text, tiers and known, once for each tier in tiers and gram that is kept;
+    where known is not null, of the grams in it alone."""
+    others = [c for c in rows.columns if c not in (text, "tiers", "known")]
 
     def run(batches):
         for b in batches:
             at, tiers, kept = [], [], []
+            known = b.column("known")
             for n, (t, asked) in enumerate(zip(b.column(text).to_pylist(), b.column("tiers").to_pylist())):
                 for tier in asked:
-                    kept.append(winnowed(t, *TIERS[tier]))
+                    found = winnowed(t, *TIERS[tier])
+                    if known[n].is_valid:
+                        found = np.intersect1d(found, known[n].values.to_numpy(), assume_unique=True)
+                    kept.append(found)
                     at.append(n)
                     tiers.append(tier)
             ends = np.cumsum([0, *map(len, kept)])
@@ -51,12 +60,16 @@ def holders(quotes: DataFrame, blocks: DataFrame) -> DataFrame:
     for i in range(len(TIERS) - 2, -1, -1):
         tier = F.when(n >= sum(TIERS[i]) - 1, i).otherwise(tier)
     wanted = quotes.filter("quote <> ''").select("document_id", "quote").distinct().withColumn("tier", tier)
-    asked = grams(wanted.select("document_id", "quote", F.col("quote").alias("copy"), F.array("tier").alias("tiers")), "copy")
-    # a document's blocks are cut into the grams of the tiers that its quotes are of
-    of = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("tiers"))
+    asked = grams(wanted.select("document_id", "quote", F.col("quote").alias("copy"), F.array("tier").alias("tiers"), F.lit(None).cast("array<bigint>").alias("known")), "copy")
+    # a document's blocks are cut into the grams of the tiers that its quotes are of; those of its
+    # quotes are gathered where there are few, which is counted before
+    distinct = asked.select("document_id", "tier", "gram").distinct()
+    few = distinct.withColumn("n", F.row_number().over(Window.partitionBy("document_id").orderBy("tier", "gram"))).filter(F.col("n") <= KNOWN + 1)
+    own = few.groupBy("document_id").agg(F.collect_set("gram").alias("known"), F.max("n").alias("n")).select("document_id", F.when(F.col("n") <= KNOWN, F.col("known")).alias("known"))
+    of = wanted.groupBy("document_id").agg(F.collect_set("tier").alias("tiers")).join(own, "document_id", "left")
     here = blocks.filter("text IS NOT NULL").select("document_id", "id", "text").join(of, "document_id")
     key = ["document_id", "tier", "gram"]
-    held = grams(here, "text").join(asked.select(*key).distinct(), key, "left_semi")
+    held = grams(here, "text").join(distinct, key, "left_semi")
     counts = held.groupBy(*key).agg(F.count("*").alias("n"))
     # a quote with a gram that no block holds is held by none
     rarest = asked.join(counts, key, "left").groupBy("document_id", "quote", "tier").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count_if(F.col("n").isNull()).alias("unheard")).filter("unheard = 0").drop("unheard")
