@@ -2,53 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marginalia.session import materialize, new_path, shared_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-_LOCAL: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only in a local session where that is unset, as in tests, a temporary folder takes its place.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    if not _LOCAL:
-        _LOCAL.append(tempfile.mkdtemp(prefix="marginalia-"))
-        atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)
-    return f"file://{_LOCAL[0]}"
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/marginalia/{tag}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it back.
-
-    The rows survive the loss of any executor and what is built on them is never computed again.
-    """
-    spark = df.sparkSession
-    path = path or new_path(spark, tag)
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder written by ``materialize`` through Hadoop's file system of its path."""
     jvm = spark._jvm
