@@ -17,6 +17,7 @@ from marginalia.functions.text import escape_html, table_html, trim_ws
 
 #: Size of the body where no line tells it, and characters of lines that tell it.
 BODY, TELLING = 10.0, 40
+_PLACED = ("page", "s", "x", "y", "w", "size", "page_width", "page_height")
 
 
 def items(raw: DataFrame) -> DataFrame:
@@ -71,6 +72,43 @@ def page_runs(lines: DataFrame) -> DataFrame:
     return known.groupBy("document_id", "page").applyInArrow(of_page, f"document_id {kind}, page int, run int, type string, parts array<string>, size double, body double")
 
 
+def document_runs(items: DataFrame) -> DataFrame:
+    """What ``page_runs`` gives of the ``lines`` of ``items``, in one pass over documents."""
+    kind = items.schema["document_id"].dataType.simpleString()
+
+    def runs_of(pages: dict) -> list[tuple]:
+        laid = {page: L.page_lines(pieces, width, height) for page, (pieces, width, height) in pages.items()}
+        told = sorted((line.size for found in laid.values() for line in found if len(line.text) > TELLING), key=lambda x: (x != x, x))
+        body = told[len(told) // 2] if told else BODY
+        return [(page, n, *run, body) for page, found in laid.items() for n, run in enumerate(L.page_runs(found, body))]
+
+    def run(batches):
+        doc, pages, id_type = None, None, None
+
+        def table(done):
+            rows = [(key, *r) for key, found in done for r in runs_of(found)]
+            columns = list(zip(*rows)) or [()] * 7
+            kinds = (id_type, pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.float64(), pa.float64())
+            names = ("document_id", "page", "run", "type", "parts", "size", "body")
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(columns, kinds)], names=list(names))
+
+        for b in batches:
+            id_type, done = b.schema.field("document_id").type, []
+            for key, page, s, x, y, w, size, width, height in zip(*(b.column(c).to_pylist() for c in ("document_id", *_PLACED))):
+                if pages is None or key != doc:
+                    if pages is not None:
+                        done.append((doc, pages))
+                    doc, pages = key, {}
+                pages.setdefault(page, ([], width, height))[0].append(L.Piece(s, x, y, w, size))
+            if done:
+                yield table(done)
+        if pages is not None:
+            yield table([(doc, pages)])
+
+    plain = items.select("document_id", F.col("page").cast("int").alias("page"), "s", *(F.col(c).cast("double").alias(c) for c in _PLACED[2:]))
+    return plain.repartition("document_id").sortWithinPartitions("document_id", "page").mapInArrow(run, f"document_id {kind}, page int, run int, type string, parts array<string>, size double, body double")
+
+
 def _joined(parts, between: str = "\x1e"):
     """Lines as one paragraph: hyphens at line ends go before small letters."""
     text = F.regexp_replace(F.array_join(parts, between), f"(?<=[A-Za-z])-{between}(?=[a-z])", "")
@@ -91,7 +129,7 @@ def pdf_blocks(items: DataFrame) -> DataFrame:
     changes of size, lose hyphens at line ends, and go on where one ends in mid-sentence.  A document
     without text has no blocks.
     """
-    runs = page_runs(lines(items))
+    runs = document_runs(items)
     doc = Window.partitionBy("document_id").orderBy("page", "run")
     text = F.when(F.col("type").isin("TABLE", "LIST"), F.array_join("parts", "\n")).when(F.col("type") == "FIGURE", F.regexp_replace(F.array_join("parts", " "), "\t", " ")).when(F.col("type") == "HEADING", F.element_at("parts", 1)).otherwise(_joined(F.col("parts")))
     typed = runs.withColumn("text", text).filter("text <> ''")
