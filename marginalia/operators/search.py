@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
 import json
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marginalia.functions import lexemes as L
@@ -117,10 +118,18 @@ def nearest_each(questions: DataFrame, notes: DataFrame, k: int = K, held: int =
 # ---------------------------------------------------------------- words
 
 
-@arrow("array<struct<lexeme:string,at:array<int>>>")
-def vectors(text: pd.Series) -> pd.Series:
-    """Lexemes of texts with their places."""
-    return pd.Series([[{"lexeme": w, "at": at} for w, at in L.vector(t).items()] for t in text])
+_VECTOR = pa.list_(pa.struct([("lexeme", pa.string()), ("at", pa.list_(pa.int32()))]))
+
+
+def vectors(text: Column) -> Column:
+    """Lexemes of texts with their places; equal texts of a batch are read once."""
+
+    def read(texts: pa.Array) -> pa.Array:
+        each = texts.fill_null("").dictionary_encode()
+        found = [[{"lexeme": w, "at": at} for w, at in L.vector(t).items()] for t in each.dictionary.to_pylist()]
+        return pa.array(found, _VECTOR).take(each.indices)
+
+    return F.arrow_udf(read, "array<struct<lexeme:string,at:array<int>>>")(text)
 
 
 def ranked(notes: DataFrame, query: str, k: int | None = K, text: str = "content", forms: dict[str, str] | None = None) -> DataFrame:
@@ -153,16 +162,24 @@ def _read(query: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"query": [json.dumps(q) for q in found], "words": [L.operands(q) for q in found]})
 
 
-@arrow("double")
-def _score(query: pd.Series, met: pd.Series) -> pd.Series:
-    known: dict[str, list] = {}
-    out = []
-    for q, words in zip(query, met):
-        if q not in known:
-            known[q] = [[L.Term(n, tuple((w, d) for w, d in p)) for n, p in terms] for terms in json.loads(q)]
-        places = {w["lexeme"]: list(w["at"]) for w in words}
-        out.append(L.rank(known[q], places) if L.holds(known[q], places) else None)
-    return pd.Series(out, dtype="float64")
+@functools.lru_cache(4096)
+def _parsed(query: str) -> list[list[L.Term]]:
+    return [[L.Term(n, tuple((w, d) for w, d in p)) for n, p in terms] for terms in json.loads(query)]
+
+
+@functools.lru_cache(4096)
+def _scored(query: str, met: str) -> float | None:
+    places = {w["lexeme"]: w["at"] for w in json.loads(met)}
+    return L.rank(_parsed(query), places) if L.holds(_parsed(query), places) else None
+
+
+def _score(query, met):
+    """Similarities; ``met`` comes as JSON, so that what was scored before is known again."""
+
+    def score(queries: pa.Array, mets: pa.Array) -> pa.Array:
+        return pa.array([None if x is None else float(x) for x in map(_scored, queries.to_pylist(), mets.to_pylist())], pa.float64())
+
+    return F.arrow_udf(score, "double")(query, F.to_json(met))
 
 
 def ranked_each(questions: DataFrame, index: DataFrame, k: int = K) -> DataFrame:
