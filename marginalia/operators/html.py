@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from marginalia.functions import match as M
 from marginalia.functions.text import escape_html, normalize
 from marginalia.functions.udf import arrow
+from marginalia.session import materialize
 
 # Fixed values of the clean-up: elements and attributes that stay, elements that go with all in them.
 KEPT = {
@@ -213,6 +214,7 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     other hosts only if there is a formal list.
     """
     e = ev.join(pages.select("id", F.col("source_url").alias("base")), "id").filter(~F.coalesce(_in(F.col("path"), CHROME), F.lit(False)))
+    e = materialize(e, "events")  # read some twenty times below; pages are parsed once
     opened = e.filter("kind = 'open'").withColumn("node", F.element_at("nodes", -1))
     marks = F.concat_ws(" ", F.element_at("attrs", F.lit("class")), F.element_at("attrs", F.lit("id")))
     hints = opened.filter(marks.rlike(_HINT)).select("id", F.col("node").alias("hint"))
@@ -279,24 +281,26 @@ def pruned_references(references: DataFrame, cited: DataFrame) -> DataFrame:
     return keep.withColumn("label", F.when(F.col("formal"), F.col("label")).otherwise(place.cast("string"))).drop("is_cited")
 
 
-_CITED = "struct<text:string,citations:array<struct<start:int,end:int,ref_id:string,quoted:string>>>"
-
-
-@arrow(_CITED)
-def take_citations(raw: pd.Series) -> pd.DataFrame:
-    """Texts without citation marks, and the spans that the marks held."""
-
-
-    found = [M.take_citations(r or "") for r in raw]
-    return pd.DataFrame({"text": [t for t, _ in found], "citations": [[dict(zip(("start", "end", "ref_id", "quoted"), c)) for c in cs] for _, cs in found]})
+# Types of blocks that keep the spans of their citations.
+CITED = ("PARAGRAPH", "HEADING", "LIST")
 
 
 def lifted(blocks: DataFrame) -> DataFrame:
     """Blocks whose texts have shed their citation marks; texts, headings and lists keep the spans,
     and blocks left empty go."""
-    got = blocks.withColumn("got", take_citations("text")).withColumn("cited", F.col("type").isin("PARAGRAPH", "HEADING", "LIST"))
-    out = got.withColumn("text", F.col("got.text")).withColumn("citations", F.when(F.col("cited"), F.col("got.citations")))
-    return out.filter(normalize(F.col("text")) != "").drop("got", "cited")
+    names = blocks.columns
+    spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_id", pa.string()), ("quoted", pa.string())]))
+
+    def run(batches):
+        for b in batches:
+            found = [M.take_citations(t or "") for t in b.column("text").to_pylist()]
+            cited = [[dict(zip(("start", "end", "ref_id", "quoted"), c)) for c in cs] if k in CITED else None for (_, cs), k in zip(found, b.column("type").to_pylist())]
+            columns = [pa.array([t for t, _ in found], pa.string()) if c == "text" else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(cited, spans)], names=[*names, "citations"])
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
+    out = blocks.mapInArrow(run, f"{schema}, citations array<struct<start:int,end:int,ref_id:string,quoted:string>>")
+    return out.filter(normalize(F.col("text")) != "")
 
 
 def bracket_citations(blocks: DataFrame, references: DataFrame) -> DataFrame:
