@@ -28,6 +28,8 @@ No step gathers a group of unbounded size.
 from __future__ import annotations
 
 import hashlib
+import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -152,8 +154,7 @@ def repeated_starts(texts: list[bytes] | list[list[bytes]], length: int, groups:
     sizes = np.asarray([len(t) for t in texts], np.int64)
     begin = np.cumsum(sizes) - sizes
     if texts and isinstance(texts[0], list):
-        ids: dict[bytes, int] = {}
-        data = np.asarray([ids.setdefault(x, len(ids)) for t in texts for x in t], np.int64)
+        data = np.fromiter(map(_Numbers().__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
     else:
         data = np.frombuffer(b"".join(texts), np.uint8)
     owner = np.repeat(np.arange(len(texts)), sizes)
@@ -201,17 +202,27 @@ def symbol_hashes(data: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+_SYMBOL = re.compile(rb"[ \t-\r]+|[^ \t-\r]+")
+
+
 def symbols(raw: bytes) -> list[bytes]:
-    edges = symbol_edges(np.frombuffer(raw, np.uint8)).tolist()
-    return [raw[a:b] for a, b in zip(edges, edges[1:])]
+    return _SYMBOL.findall(raw)
+
+
+class _Numbers(dict):
+    """A number for each distinct symbol, in the order in which they are met."""
+
+    def __missing__(self, symbol: bytes) -> int:
+        self[symbol] = found = len(self)
+        return found
 
 
 def word_spans(raw: bytes, starts: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """Spans of symbols, narrowed to whole words, as spans of bytes; those below ``length`` go."""
-    data = np.frombuffer(raw, np.uint8)
-    edges = symbol_edges(data)
     if not len(starts):
         return starts, ends
+    data = np.frombuffer(raw, np.uint8)
+    edges = symbol_edges(data)
     space = _space(data[edges[:-1]])
     s, e = starts + space[starts], ends - space[ends - 1]
     keep = e - s >= length
@@ -245,15 +256,19 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
-    """Minimum of each ``w`` neighbours, from running minima within blocks of ``w``."""
+def _sliding(least: np.ufunc, x: np.ndarray, w: int, fill: int) -> np.ndarray:
+    """Minimum (or maximum) of each ``w`` neighbours, from running ones within blocks of ``w``."""
     n = len(x) - w + 1
-    padded = np.full(-(-len(x) // w) * w, np.iinfo(x.dtype).max, x.dtype)
+    padded = np.full(-(-len(x) // w) * w, fill, x.dtype)
     padded[: len(x)] = x
     grid = padded.reshape(-1, w)
-    ahead = np.minimum.accumulate(grid, axis=1).reshape(-1)
-    behind = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-    return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
+    ahead = least.accumulate(grid, axis=1).reshape(-1)
+    behind = least.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    return least(behind[:n], ahead[w - 1 : w - 1 + n])
+
+
+def _sliding_min(x: np.ndarray, w: int) -> np.ndarray:
+    return _sliding(np.minimum, x, w, np.iinfo(x.dtype).max)
 
 
 #: Windows winnowed at once, so that a very long text needs no more memory than a long one.
@@ -265,11 +280,26 @@ def anchors(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.nd
     window that they are the anchor of (a string that overlaps its own copy has such windows).
 
     The anchor of a window is the rightmost of its least grams, or an earlier window's anchor if
-    that is among them.
+    that is among them.  Most texts have no window with two least grams: there, a gram is an anchor
+    if it is as small as the greatest minimum of the windows that hold it.
     """
     w = length - gram + 1
     if len(data) < length:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
+    if len(data) - length < _WINDOWS:
+        h = gram_hashes(data, gram)
+        around = np.zeros(len(h) + w - 1, np.uint64)
+        around[w - 1 : len(h)] = _sliding_min(h, w)
+        pos = np.flatnonzero(h == _sliding(np.maximum, around, w, 0))
+        own = h[pos]
+        if not ((own[1:] == own[:-1]) & (np.diff(pos) <= w)).any():
+            return pos, own, np.zeros(len(pos), bool)
+    return anchors_in_turn(data, length, gram)
+
+
+def anchors_in_turn(data: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``anchors`` of any text, by stretches of windows that share their least gram."""
+    w = length - gram + 1
     out: dict[int, bool] = {}
     found_h: dict[int, int] = {}
     last = -1
@@ -323,9 +353,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return s[head], e[np.append(np.flatnonzero(head)[1:] - 1, len(e) - 1)]
 
 
-def _starts_to_spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    s, e = merged(starts, starts + length)
-    return list(zip(s.tolist(), e.tolist()))
+def _fields(lists: pa.ListArray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Lists of structs of whole numbers: where the structs of each list begin, and their fields."""
+    return lists.offsets.to_numpy() - lists.offsets[0].as_py(), [x.to_numpy() for x in lists.flatten().flatten()]
+
+
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]]) -> pa.ListArray:
+    """Starts and ends, for each row, as lists of structs s, e."""
+    flat = [pa.array(np.concatenate([np.zeros(0, np.int64), *(x[k] for x in parts)])) for k in (0, 1)]
+    bounds = np.concatenate([[0], np.cumsum([len(x[0]) for x in parts])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.StructArray.from_arrays(flat, names=["s", "e"]))
 
 
 def _signed(h: bytes) -> tuple[int, int]:
@@ -347,6 +384,7 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
     parts, scratch = partitions(spark), Scratch(spark)
 
     def anchor_rows(batches):
+        digest = xxhash.xxh3_128_digest
         for b in batches:
             rows, poss, hs, cs, ties, lefts = [], [], [], [], [], []
             for r, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
@@ -363,11 +401,12 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
                 hs.append(h)
                 ties.append(tie)
                 # the place of the anchor in its context counts too
-                cs.append([_signed(xxhash.xxh3_128_digest(raw[x:y], p - f)) for p, f, x, y in zip(pos.tolist(), a.tolist(), begin.tolist(), end.tolist())])
+                cs += [digest(raw[x:y], seed) for seed, x, y in zip((pos - a).tolist(), begin.tolist(), end.tolist())]
                 lefts.append(e - a)
             if rows:
+                halves = np.frombuffer(b"".join(cs), "<i8").reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rows)), pa.array(np.concatenate(poss)), pa.array(np.concatenate(hs).view(np.int64)), *(pa.array([c[k] for x in cs for c in x], pa.int64()) for k in (0, 1)), pa.array(np.concatenate(ties)), pa.array(np.concatenate(lefts).astype(np.int32))],
+                    [pa.array(np.concatenate(rows)), pa.array(np.concatenate(poss)), pa.array(np.concatenate(hs).view(np.int64)), *(pa.array(np.ascontiguousarray(halves[:, k])) for k in (0, 1)), pa.array(np.concatenate(ties)), pa.array(np.concatenate(lefts).astype(np.int32))],
                     names=["row", "pos", "h", "c", "d", "tie", "size"],
                 )
 
@@ -395,20 +434,22 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
 
     # 2. differing contexts of one anchor: fetch the bytes of one of each
     shared = distinct.join(per_anchor, "h").select("h", "n", F.col("first.row").alias("row"), F.col("first.pos").alias("pos"), "size", "contexts")
-    wanted = shared.groupBy("row").agg(F.collect_list(F.struct("h", "n", "pos", "size", "contexts")).alias("at"))
+    wanted = shared.groupBy("row").agg(F.collect_list(F.struct("h", "n", "pos", F.col("size").cast("bigint").alias("size"), "contexts")).alias("at"))
 
     def cut(batches):
         for b in batches:
-            out = {k: [] for k in ("h", "row", "pos", "n", "contexts", "bytes")}
-            for r, t, at in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                raw = (t or "").encode()
-                edges = symbol_edges(np.frombuffer(raw, np.uint8)).tolist() if words else None
-                for x in at:
-                    a = max(x["pos"] - (length - gram), 0)
-                    own = raw[edges[a] : edges[a + x["size"]]] if words else raw[a : a + x["size"]]
-                    for k, v in (("h", x["h"]), ("row", r), ("pos", x["pos"]), ("n", x["n"]), ("contexts", x["contexts"]), ("bytes", own)):
-                        out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if k == "bytes" else pa.int64()) for k, v in out.items()], names=list(out))
+            bounds, (h, n, pos, size, contexts) = _fields(b.column(2))
+            begin = np.maximum(pos - (length - gram), 0)
+            end, out = begin + size, []
+            for t, i, j in zip(b.column(1), bounds, bounds[1:]):
+                raw = (t.as_py() or "").encode()
+                x, y = begin[i:j], end[i:j]
+                if words:
+                    edges = symbol_edges(np.frombuffer(raw, np.uint8))
+                    x, y = edges[x], edges[y]
+                out += [raw[p:q] for p, q in zip(x.tolist(), y.tolist())]
+            row = np.repeat(b.column(0).to_numpy(), np.diff(bounds))
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (h, row, pos, n, contexts)), pa.array(out, pa.binary())], names=["h", "row", "pos", "n", "contexts", "bytes"])
 
     contexts = docs.select(F.col(row).alias("row"), F.col(text).alias("text")).join(wanted, "row").select("row", "text", "at")
     contexts = scratch.keep(contexts.mapInArrow(cut, "h bigint, row bigint, pos bigint, n bigint, contexts bigint, bytes binary"), "cut")
@@ -416,8 +457,10 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
     span = "row bigint, s bigint, e bigint"
 
     def spans_of(rows, begins, starts):
-        out = [(r, a + s, a + e) for r, a, st in zip(rows, begins, starts) for s, e in _starts_to_spans(st, length)]
-        return pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.int64()) for i in range(3)], names=["row", "s", "e"])
+        out = [(r, a, *merged(st, st + length)) for r, a, st in zip(rows, begins, starts) if len(st)]
+        row = np.repeat(np.asarray([o[0] for o in out], np.int64), [len(o[2]) for o in out])
+        s, e = (np.concatenate([np.zeros(0, np.int64), *(o[1] + o[k] for o in out)]) for k in (2, 3))
+        return pa.RecordBatch.from_arrays([pa.array(row), pa.array(s), pa.array(e)], names=["row", "s", "e"])
 
     def compare(batches):
         # a task's anchors, one after another; an anchor's contexts arrive together, in order.  Many
@@ -446,7 +489,8 @@ def repeated_spans(docs: DataFrame, text: str, row: str, keep_first: bool, lengt
             previous, elsewhere = repeated_starts(texts, length, groups)
             starts = previous if keep_first else elsewhere
             if words:
-                starts = [np.asarray([i for i in st.tolist() if not t[i].isspace()], np.int64) for t, st in zip(texts, starts)]
+                # words and white space take turns
+                starts = [st[(st & 1) == (t[0].isspace() if t else 0)] for t, st in zip(texts, starts)]
             out = spans_of(rows, begins, starts)
             for part in (rows, begins, texts, groups):
                 part.clear()
@@ -500,12 +544,9 @@ def _span_lists(spans: DataFrame, name: str) -> DataFrame:
     return spans.groupBy(F.col("row").alias("_row")).agg(F.collect_list(F.struct("s", "e")).alias(name))
 
 
-def _runs(spans) -> tuple[np.ndarray, np.ndarray]:
-    at = np.asarray([(x["s"], x["e"]) for x in spans or []], np.int64).reshape(-1, 2)
-    return merged(at[:, 0], at[:, 1])
-
-
 def _without(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> bytes:
+    if not len(starts):
+        return raw
     edges = [0, *np.stack([starts, ends], axis=1).reshape(-1).tolist(), len(raw)]
     return b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2]))
 
@@ -529,25 +570,27 @@ def repeat_report(docs: DataFrame, text: str = "text", key: str = "doc_id", leng
     joined = rows.join(_span_lists(repeated_spans(rows, text, "_row", False, length, gram, group), "_spans"), "_row", "left")
     if passage:
         joined = joined.join(_span_lists(repeated_spans(rows, text, "_row", False, 2 * passage - 1, WORD_GRAM, group, True), "_words"), "_row", "left")
-    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
-    as_list = lambda s, e: [{"s": x, "e": y} for x, y in zip(s.tolist(), e.tolist())]
 
     def run(batches):
         for b in batches:
-            out = [[] for _ in range(7 if passage else 5)]
-            for t, spans, words in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                raw = (t or "").encode()
-                s, e = _runs(spans)
-                found = [len(raw), int((e - s).sum()), len(s), hashlib.sha256(_without(raw, s, e)).hexdigest(), as_list(s, e)]
+            out, spans, passages = [[] for _ in range(5)], [], []
+            bounds, (s_all, e_all) = _fields(b.column(2))
+            at, (ws_all, we_all) = _fields(b.column(3)) if passage else (bounds, (s_all, e_all))
+            for t, i, j, k, n in zip(b.column(1), bounds, bounds[1:], at, at[1:]):
+                raw = (t.as_py() or "").encode()
+                s, e = merged(s_all[i:j], e_all[i:j])
+                spans.append((s, e))
+                found = [len(raw), int((e - s).sum()), len(s), hashlib.sha256(_without(raw, s, e)).hexdigest()]
                 if passage:
-                    at = np.asarray([(x["s"], x["e"]) for x in words or []], np.int64).reshape(-1, 2)
-                    ws, we = word_spans(raw, at[:, 0], at[:, 1], 2 * passage - 1)
-                    both = merged(np.concatenate([s, ws]), np.concatenate([e, we]))
-                    found += [as_list(ws, we), _without(raw, *both).decode(errors="ignore")]
+                    ws, we = word_spans(raw, ws_all[k:n], we_all[k:n], 2 * passage - 1)
+                    passages.append((ws, we))
+                    both = merged(np.concatenate([s, ws]), np.concatenate([e, we])) if len(ws) else (s, e)
+                    found.append(_without(raw, *both).decode(errors="ignore"))
                 for o, v in zip(out, found):
                     o.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), span, span, pa.string()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, k) for o, k in zip(out, kinds))], names=names)
+            numbers = [pa.array(o, kind) for o, kind in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
+            more = [_lists(passages), pa.array(out[4], pa.string())] if passage else []
+            yield pa.RecordBatch.from_arrays([b.column(0), *numbers, _lists(spans), *more], names=names)
 
     names = [key, "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["passages", "kept_text"] if passage else [])]
     schema = f"`{key}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, spans array<struct<s: bigint, e: bigint>>"
@@ -569,23 +612,22 @@ def remove_later_copies(docs: DataFrame, text: str = "text", key: str = "doc_id"
     lists = _span_lists(repeated_spans(rows, t, "_row", True, length, gram, group, words), "_spans")
 
     @F.pandas_udf("string")
-    def cut(texts, spans):
+    def cut(texts, starts, ends):
         out = []
-        for x, own in zip(texts, spans):
-            if own is None or x is None:
+        for x, s, e in zip(texts, starts, ends):
+            if s is None or x is None:
                 out.append(x)
                 continue
             raw = x.encode()
             if words:
-                at = np.asarray([(y["s"], y["e"]) for y in own], np.int64).reshape(-1, 2)
-                out.append(_without(raw, *word_spans(raw, at[:, 0], at[:, 1], length)).decode())
+                out.append(_without(raw, *word_spans(raw, s, e, length)).decode())
                 continue
             lead = np.append((np.frombuffer(raw, np.uint8) & 0xC0) != 0x80, True)
-            s, e = _runs(list(own))
+            s, e = merged(s, e)
             at = np.flatnonzero(lead)
             s, e = at[np.searchsorted(at, s)], at[np.searchsorted(at, e, "right") - 1]
             out.append(_without(raw, s[s < e], e[s < e]).decode())
         return __import__("pandas").Series(out, dtype=object)
 
     joined = rows.join(lists, "_row", "left")
-    return joined.select(*(cut(F.col(t), F.col("_spans")).alias(c) if f"c{i}" == t else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))
+    return joined.select(*(cut(F.col(t), F.col("_spans.s"), F.col("_spans.e")).alias(c) if f"c{i}" == t else F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)))

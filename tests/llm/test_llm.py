@@ -604,6 +604,31 @@ def test_pipeline_passages_are_of_51_words(spark):
     assert [got[i * 7]["n_chars"] for i in range(len(texts))] == [len(t) for t in want]
 
 
+def test_anchors_of_most_texts_are_found_at_once(monkeypatch):
+    rng = random.Random(15)
+    in_turn, calls = suffix_dedup.anchors_in_turn, []
+    monkeypatch.setattr(suffix_dedup, "anchors_in_turn", lambda *a: calls.append(1) or in_turn(*a))
+    for i in range(600):
+        k = rng.choice([2, 3, 200]) if i % 2 else 200
+        data = np.asarray([rng.randrange(k) for _ in range(rng.randint(20, 150))], np.uint8)
+        data = np.tile(data[: rng.randint(1, 30)], 20) if i % 4 == 1 else data
+        got, want = suffix_dedup.anchors(data, 20, 5), in_turn(data, 20, 5)
+        assert all(a.tolist() == b.tolist() and a.dtype == b.dtype for a, b in zip(got, want))
+    assert 0 < len(calls) < 300
+
+
+def test_numbers_of_symbols_and_spans_as_arrays():
+    raws = [b"a bb\t\n a", b"  x y ", b"", "é\x0b1".encode()]
+    for raw in raws:
+        edges = suffix_dedup.symbol_edges(np.frombuffer(raw, np.uint8)).tolist()
+        assert suffix_dedup.symbols(raw) == [raw[a:b] for a, b in zip(edges, edges[1:])]
+    spans_ = [(np.asarray([1, 5]), np.asarray([2, 9])), (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.asarray([3]), np.asarray([4]))]
+    found = suffix_dedup._lists(spans_)
+    assert found.to_pylist() == [[{"s": 1, "e": 2}, {"s": 5, "e": 9}], [], [{"s": 3, "e": 4}]]
+    bounds, (s, e) = suffix_dedup._fields(found.slice(1))
+    assert (bounds.tolist(), s.tolist(), e.tolist()) == ([0, 0, 1], [3], [4])
+
+
 def test_repeated_keys_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(1, "x" * 30), (1, "y" * 5), (None, "x" * 30)], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in suffix_dedup.repeat_report(df, length=20, gram=10).collect()) == [0, 30, 30]
