@@ -19,14 +19,13 @@ PASSAGE = 51
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score for quality is 0.5 or more."""
-    few_rows(spark)  # workers keep what they held, and the stages after this one need room
+    few_rows(spark)  # here and in all stages that follow: workers and JVM keep what they once held
     model = quality.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality.scored(docs, model).filter("score >= 0.5").select(*docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each text, the one with the largest doc_id."""
-    few_rows(spark, False)
     return exact_dedup.exact_dedup(docs)
 
 

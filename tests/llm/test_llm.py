@@ -629,6 +629,19 @@ def test_numbers_of_symbols_and_spans_as_arrays():
     assert (bounds.tolist(), s.tolist(), e.tolist()) == ([0, 0, 1], [3], [4])
 
 
+def test_stages_after_the_first_get_few_rows_too(spark):
+    import corpus_pipeline
+    from marginalia.session import ROWS, few_rows
+
+    few_rows(spark)
+    try:
+        kept = corpus_pipeline.drop_exact_copies(spark, docs(spark, ["a", "a", "b", None], True), "").collect()
+        assert sorted(r["doc_id"] for r in kept) == [7, 14, 21]
+        assert 0 < int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= ROWS
+    finally:
+        few_rows(spark, False)
+
+
 def test_repeated_keys_are_rows_of_their_own(spark):
     df = spark.createDataFrame([(1, "x" * 30), (1, "y" * 5), (None, "x" * 30)], "doc_id bigint, text string")
     assert sorted(r["n_removed"] for r in suffix_dedup.repeat_report(df, length=20, gram=10).collect()) == [0, 30, 30]
