@@ -172,6 +172,29 @@ def test_token_files_of_odd_tables(spark):
     assert [g[0] for g in got] == np.cumsum([0, *(g[2] for g in got[:-1])]).tolist()
 
 
+def test_known_texts_are_encoded_by_matches():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encode, whole, rng = spans.Encoder(path), spans.load(path), random.Random(16)
+    letters = [*map(chr, range(32, 127)), *"\t\n\x0b\r'''sStTdD__..", *"éßÿŁıǆШящЁёぁゖァ一龥가힣"]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(3000)]
+    others = ["a<|endoftext|>b", "<|startoftext|>", "\x1c \x85x", "e\u0301E\u0301", "\u03b1\u03a3 \u03b1\u03c2", "\u0130i", "_a_1\u0663\u00b2", "\uac00\u11a8 \u304b\u3099"]
+    for t in (*texts, *others):
+        assert np.frombuffer(encode(t), "<u4").tolist() == whole.encode(t, add_special_tokens=False).ids
+    assert len(encode.matches) > 1000
+    assert not spans.known_matches(public_tokenizers.path("byte_bpe_50k.json")) or spans.cut_rule(public_tokenizers.path("byte_bpe_50k.json")) != "dropped"
+    # a word is met once, whatever marks and line breaks stand beside it
+    seen = spans.Encoder(path)
+    for t in ("one two", "One,\nTWO. (one)two"):
+        seen(t)
+    assert {m for m in seen.matches if m.isalpha()} == {"one", "two"} and not seen.raw and not seen.bare
+
+
+def test_ids_are_counted_in_both_widths(spark):
+    rows = [(i, token_files._narrow(np.asarray(x, "<u4").tobytes())) for i, x in enumerate([[5, 5, 1], [70000, 5], [1], [65535, 1, 1]])]
+    got = token_files.id_ranks(spark.createDataFrame(rows, "key bigint, ids binary"))
+    assert got.tolist() == [1, 5, 65535, 70000]
+
+
 def test_token_files(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     t, at = Tokenizer.from_file(path), 0
