@@ -285,22 +285,23 @@ def pruned_references(references: DataFrame, cited: DataFrame) -> DataFrame:
 CITED = ("PARAGRAPH", "HEADING", "LIST")
 
 
-def lifted(blocks: DataFrame) -> DataFrame:
+def lifted(blocks: DataFrame, squeeze: bool = True) -> DataFrame:
     """Blocks whose texts have shed their citation marks; texts, headings and lists keep the spans,
-    and blocks left empty go."""
+    and blocks left empty go.  Without ``squeeze`` texts keep all their white space, and blank blocks
+    stay."""
     names = blocks.columns
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref_id", pa.string()), ("quoted", pa.string())]))
 
     def run(batches):
         for b in batches:
-            found = [M.take_citations(t or "") for t in b.column("text").to_pylist()]
+            found = [M.take_citations(t or "", squeeze) for t in b.column("text").to_pylist()]
             cited = [[dict(zip(("start", "end", "ref_id", "quoted"), c)) for c in cs] if k in CITED else None for (_, cs), k in zip(found, b.column("type").to_pylist())]
             columns = [pa.array([t for t, _ in found], pa.string()) if c == "text" else b.column(c) for c in names]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(cited, spans)], names=[*names, "citations"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema)
     out = blocks.mapInArrow(run, f"{schema}, citations array<struct<start:int,end:int,ref_id:string,quoted:string>>")
-    return out.filter(normalize(F.col("text")) != "")
+    return out.filter(normalize(F.col("text")) != "") if squeeze else out
 
 
 def bracket_citations(blocks: DataFrame, references: DataFrame) -> DataFrame:
