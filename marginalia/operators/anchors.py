@@ -1,22 +1,24 @@
 """Anchors: resolving, healing and remapping quotes in texts that change.
 
-The ladder is staged by joins, so that each dearer step sees only what the cheaper one left; layers
+The ladder is climbed a document at a time, each dearer step only where the cheaper one failed; layers
 over a text are swept in order of place.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from heapq import heappop, heappush
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from marginalia.functions import match as M
-from marginalia.functions.text import normalize
+from marginalia.functions.grams import Index
 from marginalia.functions.udf import arrow
-from marginalia.operators.quotes import holders
 
 _HIT = "struct<start:int,end:int>"
 
@@ -28,6 +30,94 @@ def match_quote(text: pd.Series, quoted: pd.Series, prefix: pd.Series, suffix: p
     return pd.DataFrame({"start": pd.array([h[0] if h else None for h in hits], "Int32"), "end": pd.array([h[1] if h else None for h in hits], "Int32")})
 
 
+class _Texts:
+    """The blocks of one document in order, and which of them hold a quote up to white space."""
+
+    #: Characters that are read through for quotes before the document's grams are indexed.
+    READ = 100_000_000
+
+    def __init__(self):
+        self.place: dict = {}
+        self.ids, self.texts, self.known, self.index, self.left = [], [], {}, None, self.READ
+        self.joined, self.starts = None, []
+
+    def add(self, id_, text: str | None) -> None:
+        self.place.setdefault(id_, len(self.ids))
+        self.ids.append(id_)
+        self.texts.append(text)
+
+    def join(self) -> None:
+        """Texts with single spaces, one after the other, parted by what no such text holds."""
+        flat = [M.squeezed(t or "") for t in self.texts]
+        self.joined, at = "\n".join(flat), 0
+        for t in flat:
+            self.starts.append(at)
+            at += len(t) + 1
+        self.starts.append(at)
+
+    def find(self, quote: str, start: int) -> int:
+        if self.index is None and self.left < 0:
+            self.index = Index(self.joined)
+        if self.index is not None:
+            return self.index.find(quote, start)
+        at = self.joined.find(quote, start)
+        self.left -= (len(self.joined) if at < 0 else at) - start
+        return at
+
+    def holder(self, quote: str, start: int = 0) -> int | None:
+        """The first block from a place on that holds a squeezed quote."""
+        if (quote, start) not in self.known:
+            at = self.find(quote, start)
+            self.known[quote, start] = None if at < 0 else bisect_right(self.starts, at) - 1
+        return self.known[quote, start]
+
+    def held(self, n: int, quote: str) -> bool:
+        return quote in self.joined[self.starts[n] : self.starts[n + 1] - 1]
+
+    def rung(self, block, start, end, quote: str | None, prefix: str | None, suffix: str | None) -> tuple:
+        """(rung, other block, start, end) of an anchor, the last three null where they stay."""
+        own = self.place.get(block) if block is not None else None
+        text = None if own is None else self.texts[own]
+        if text is not None and None not in (start, end, quote) and (text[max(start, 0) : max(end, 0)] if end > start else "") == quote:
+            return 1, None, None, None
+        if self.joined is None:
+            self.join()
+        flat = M.squeezed(quote or "")
+        if text is not None and quote and (self.held(own, flat) if flat else quote in text):
+            rung, at = 2, own
+        else:
+            at = self.holder(flat) if flat else None
+            if at is not None and self.ids[at] == block:
+                at = self.holder(flat, self.starts[at + 1])
+            rung = 3
+        hit = M.match(self.texts[at], quote, prefix or "", suffix or "") if at is not None else None
+        return (rung, self.ids[at] if rung == 3 else None, *hit) if hit else (4, None, None, None)
+
+
+def _laddered(columns: list[str]):
+    """Rows of documents, blocks in order before anchors, become anchors with what ``rung`` tells."""
+
+    def run(batches):
+        document, texts = object(), _Texts()
+        for b in batches:
+            anchor, at, out = b.column("anchor"), [], []
+            valid = anchor.is_valid().to_pylist()
+            asked = zip(*(pc.struct_field(anchor, c).to_pylist() for c in columns))
+            for n, (d, is_anchor, id_, text, ask) in enumerate(zip(b.column("document_id").to_pylist(), valid, b.column("id").to_pylist(), b.column("text").to_pylist(), asked)):
+                if d != document:
+                    document, texts = d, _Texts()
+                if not is_anchor:
+                    texts.add(id_, text)
+                    continue
+                at.append(n)
+                out.append(texts.rung(*ask))
+            rung, other, start, end = list(zip(*out)) or [()] * 4
+            arrays = [anchor.take(pa.array(at, pa.int64())), pa.array(rung, pa.int32()), pa.array(other, b.schema.field("id").type), pa.array(start, pa.int32()), pa.array(end, pa.int32())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["anchor", "rung", "o_id", "start", "end"])
+
+    return run
+
+
 def resolve(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where anchors lie now: their columns with new_block_id, new_start, new_end, now_orphaned, rung
     and changed.
@@ -35,33 +125,20 @@ def resolve(anchors: DataFrame, blocks: DataFrame) -> DataFrame:
     Rung 1 is the stored slice, 2 a match in the stored block, 3 the first other block of the
     document in order that matches, 4 none: the anchor is an orphan and keeps its offsets.
     ``anchors`` has id, document_id, block_id, start, end, quoted, prefix, suffix; ``blocks`` id,
-    document_id, ord, text.  Which block an anchor lies in is found by native tests, up to white
-    space, and by rare grams (``quotes``) among the other blocks; one pass of Python then tells the
-    place in the blocks so found.
+    document_id, ord, text.  Blocks and anchors meet once, by document: its blocks pass in order, then
+    its anchors, and what is held is a document's texts.
     """
     columns = anchors.columns
-    b = blocks.select(F.col("id").alias("b_id"), F.col("document_id").alias("b_doc"), "text")
-    own = anchors.join(b, (F.col("block_id") == F.col("b_id")) & (F.col("document_id") == F.col("b_doc")), "left")
-    exact = F.coalesce(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")) == F.col("quoted"), F.lit(False))
-    squeezed = normalize(F.col("quoted"))
-    inside = F.when(squeezed != "", F.contains(normalize(F.col("text")), squeezed)).otherwise(F.contains("text", "quoted") & (F.col("quoted") != ""))
-    rung = F.when(exact, 1).when(F.coalesce(inside, F.lit(False)), 2)
-    own = own.select(*columns, rung.alias("own_rung"), F.when(~exact, F.col("text")).alias("text"))
-    missing = own.filter("own_rung IS NULL").select("id", "document_id", "block_id", squeezed.alias("quote"))
-    o = blocks.select("id", "document_id", "ord", normalize(F.col("text")).alias("text"))
-    # of all blocks that hold a quote the first two will do: an anchor passes over its own
-    first = Window.partitionBy("document_id", "quote").orderBy("ord", "o_id")
-    two = holders(missing, o).withColumnRenamed("id", "o_id").withColumn("n", F.row_number().over(first)).filter("n <= 2")
-    others = missing.join(two, ["document_id", "quote"]).filter(~F.col("o_id").eqNullSafe(F.col("block_id")))
-    best = others.groupBy("id").agg(F.min_by("o_id", F.struct("ord", "o_id")).alias("o_id"))
-    texts = blocks.select(F.col("id").alias("o_id"), F.col("text").alias("o_text"))
-    known = own.join(best.join(texts, "o_id"), "id", "left")
-    rung = F.coalesce("own_rung", F.when(F.col("o_id").isNotNull(), 3))
-    hit = match_quote(F.when(rung > 1, F.coalesce("o_text", "text")), "quoted", "prefix", "suffix")
-    known = known.select(*columns, rung.alias("found"), "o_id", hit.alias("hit"))
-    lost = F.col("found").isNull() | ((F.col("found") > 1) & F.col("hit.start").isNull())
-    place = lambda c: F.coalesce(F.when(F.col("found") > 1, F.col(f"hit.{c}")), c)
-    out = known.select(*columns, F.when(lost, F.col("block_id")).otherwise(F.coalesce("o_id", "block_id")).alias("new_block_id"), place("start").alias("new_start"), place("end").alias("new_end"), F.when(lost, 4).otherwise(F.col("found")).alias("rung")).withColumn("now_orphaned", F.col("rung") == 4)
+    kinds = {c: anchors.schema[c].dataType for c in columns}
+    none = F.lit(None)
+    b = blocks.filter("document_id IS NOT NULL").select(F.col("document_id").cast(kinds["document_id"]).alias("document_id"), "ord", F.col("id").cast(kinds["block_id"]).alias("id"), "text")
+    b = b.withColumn("anchor", none.cast(StructType([StructField(c, k) for c, k in kinds.items()])))
+    a = anchors.select("document_id", none.cast(b.schema["ord"].dataType).alias("ord"), none.cast(kinds["block_id"]).alias("id"), none.cast("string").alias("text"), F.struct(*columns).alias("anchor"))
+    met = b.unionByName(a).repartition("document_id").sortWithinPartitions("document_id", F.col("anchor").isNotNull(), "ord", "id").select("document_id", "id", "text", "anchor")
+    schema = StructType([StructField("anchor", met.schema["anchor"].dataType), StructField("rung", IntegerType()), StructField("o_id", kinds["block_id"]), StructField("start", IntegerType()), StructField("end", IntegerType())])
+    known = met.mapInArrow(_laddered(["block_id", "start", "end", "quoted", "prefix", "suffix"]), schema)
+    old = {c: F.col("anchor")[c] for c in columns}
+    out = known.select(*(old[c].alias(c) for c in columns), F.coalesce("o_id", old["block_id"]).alias("new_block_id"), *(F.coalesce(F.col(c), old[c]).alias(f"new_{c}") for c in ("start", "end")), "rung").withColumn("now_orphaned", F.col("rung") == 4)
     moved = ~(F.col("new_block_id").eqNullSafe(F.col("block_id"))) | (F.col("new_start") != F.col("start")) | (F.col("new_end") != F.col("end"))
     was = F.coalesce("orphaned", F.lit(False)) if "orphaned" in columns else F.lit(False)
     return out.withColumn("changed", moved | (was != F.col("now_orphaned")))
