@@ -185,7 +185,7 @@ _ENTRY_ID = r"(?i)^(cite[_-]?note|citeref|ref|reference|fn|footnote|note|bib|end
 _SHORT_ENTRY_ID = r"(?i)^(b|r|cr)-?\d+$"
 _BACK_CLASS = r"(^|\s)(mw-cite-backlink|footnote-backref|footnote-return)(\s|$)"
 PARAGRAPH_CHARS = 800
-MOST, ENTRY_CHARS, LINK_CHARS = 1000, 600, 300
+ENTRY_CHARS, LINK_CHARS = 600, 300
 
 
 def _entry_paragraphs(opened: DataFrame, words: DataFrame) -> DataFrame:
@@ -244,7 +244,7 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     full = entries.join(text, ["id", "item"]).join(link, ["id", "item"], "left").withColumn("raw", normalize(F.col("raw"))).filter("raw <> ''")
     marker = r"^\[?(\d{1,4})[\]).:]?\s+"
     body = F.regexp_replace("raw", marker, "")
-    first = full.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("item_seq"))).filter(F.col("n") <= MOST).select(
+    first = full.withColumn("n", F.row_number().over(Window.partitionBy("id").orderBy("item_seq"))).select(
         "id", "n", F.coalesce(F.nullif(F.regexp_extract("raw", marker, 1), F.lit("")), "value", F.col("n").cast("string")).alias("label"),
         F.when(F.char_length(body) > ENTRY_CHARS, F.concat(F.left(body, F.lit(ENTRY_CHARS)), F.lit("…"))).otherwise(body).alias("text"), F.coalesce("url", first_weblink(F.col("raw"))).alias("url"), F.lit(True).alias("formal"),
     )
@@ -261,7 +261,7 @@ def page_references(ev: DataFrame, pages: DataFrame) -> DataFrame:
     out = out.filter(page(F.col("url")) != page(F.col("base"))).withColumn("key", F.regexp_replace("url", "/$", ""))
     known = first.filter("url IS NOT NULL").select("id", F.regexp_replace("url", "/$", "").alias("key")).distinct()
     new = out.join(known, ["id", "key"], "left_anti").groupBy("id", "key", "k").agg(F.min_by(F.struct("seq", "text", "url"), "seq").alias("x"))
-    new = new.withColumn("n", F.col("k") + F.row_number().over(Window.partitionBy("id").orderBy("x.seq"))).filter(F.col("n") <= MOST)
+    new = new.withColumn("n", F.col("k") + F.row_number().over(Window.partitionBy("id").orderBy("x.seq")))
     new = new.select("id", "n", F.col("n").cast("string").alias("label"), "x.text", "x.url", F.lit(False).alias("formal"))
     both = first.withColumn("n", F.col("n").cast("bigint")).unionByName(new)
     return both.select("id", F.concat(F.lit("r"), F.col("n").cast("string")).alias("ref_id"), "label", "text", "url", "formal")
